@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from momentlens.plans import queries as plans
+
 
 def queries():
-    return {}
+    return plans.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return plans.SQL
+
+
+def flagship(spark, sf_dir):
+    """Top integrated highlights of each recording."""
+    return plans.t2_editor_table(spark, sf_dir)

@@ -1,0 +1,135 @@
+"""Statistics of jobs: metrics, requests, costs, failures, alerts and queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# Rates in dollars, speeds in times real time, reliabilities, and the error rules in order of trial.
+RATES = {"deepgram": (0.0045 * 60, 0.0), "parakeet_gpu": (0.45 / 40, 0.02), "parakeet_cpu": (0.10 / 2, 0.01)}
+ERROR_RULES = (
+    ("timeout|timed out", "TIMEOUT_ERROR", True, 60),
+    ("out of memory|memory error", "OUT_OF_MEMORY", True, 300),
+    ("404|not found", "NOT_FOUND", False, 0),
+    ("rate limit|too many requests|429", "RATE_LIMITED", True, 120),
+    ("no space left|disk full", "DISK_FULL", True, 600),
+    ("permission denied|unauthorized|403", "PERMISSION_DENIED", False, 0),
+    ("connection|network|dns", "NETWORK_ERROR", True, 60),
+)
+STAGES = {"queued": (0, 0), "downloading": (0, 20), "transcribing": (20, 50), "analyzing": (50, 80), "integrating": (80, 95), "uploading": (95, 100), "completed": (100, 100)}
+
+
+def floor_index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], *ties: str) -> DataFrame:
+    """sorted[int(n q)] for each q, by rank; no list of values is gathered."""
+    part = Window.partitionBy(*keys)
+    ranked = df.withColumns({"_r": F.row_number().over(part.orderBy(value, *ties)) - 1, "_n": F.count("*").over(part)})
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), F.col(value))).alias(name) for name, q in qs.items()])
+
+
+def endpoint_stats(requests: DataFrame) -> DataFrame:
+    return requests.groupBy("endpoint").agg(F.count("*").alias("requests"), F.avg("duration").alias("avg_time"), F.sum((~F.col("success")).cast("long")).alias("errors"), F.avg((~F.col("success")).cast("double")).alias("error_rate"))
+
+
+def metric_summary(points: DataFrame, minutes: int) -> DataFrame:
+    """Per metric over the last minutes before the last point: count, extremes, mean, current and floor-index percentiles."""
+    now = points.agg(F.max("ts").alias("now"))
+    recent = points.crossJoin(F.broadcast(now)).where(F.expr(f"ts > now - INTERVAL {minutes} MINUTES"))  # now is one row
+    sums = recent.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("current"))
+    return sums.join(floor_index_percentile(recent, ["name"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "event_id"), "name")
+
+
+def classify(message: Column, rules=ERROR_RULES) -> Column:
+    out = F
+    for pattern, code, _, _ in rules:
+        out = out.when(message.rlike(f"(?i){pattern}"), code)
+    return out.otherwise("UNCLASSIFIED_ERROR")
+
+
+def retry_after(code: Column, rules=ERROR_RULES) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for _, c, _, s in rules for x in (c, s)]), code), F.lit(120))
+
+
+def transcription_cost(seconds: Column, method: Column) -> Column:
+    hours = seconds / 3600
+    out = F
+    for name, (rate, setup) in RATES.items():
+        out = out.when(method == name, hours * rate + setup)
+    return out.otherwise(0.0)
+
+
+def processing_time(seconds: Column, method: Column) -> Column:
+    return F.when(method == "deepgram", 10.0).when(method == "parakeet_gpu", seconds / 40).when(method == "parakeet_cpu", seconds / 2).otherwise(seconds)
+
+
+def cost_analysis(records: DataFrame) -> DataFrame:
+    """Per method: count, hours, cost (an actual cost of null or 0 counts as missing), success rate and savings."""
+    cost = F.when(F.coalesce(F.col("actual_cost"), F.lit(0.0)) != 0, F.col("actual_cost")).otherwise(F.col("estimated_cost"))
+    out = records.withColumn("_c", cost).groupBy("method").agg(F.count("*").alias("n"), (F.sum("duration") / 3600).alias("hours"), F.sum("_c").alias("cost"), F.avg("processing").alias("avg_time"), F.avg(F.col("success").cast("double")).alias("success_rate"))
+    return out.withColumns({"cost_per_hour": F.col("cost") / F.col("hours"), "baseline": F.col("hours") * 60 * 0.0045}).withColumn("savings", F.col("baseline") - F.col("cost"))
+
+
+def cost_recommendations(analysis: DataFrame) -> DataFrame:
+    low = analysis.where("success_rate < 0.95").select("method", F.lit("low_success").alias("advice"))
+    dear = analysis.where("savings < 0").select("method", F.lit("dearer_than_baseline").alias("advice"))
+    return low.unionByName(dear)
+
+
+def choose_method(durations: DataFrame, reliability: dict[str, float]) -> DataFrame:
+    """Least score over the methods: cost + 0.001 time + (1 - reliability) cost."""
+    options = []
+    for name in RATES:
+        c = transcription_cost(F.col("duration"), F.lit(name))
+        score = c + processing_time(F.col("duration"), F.lit(name)) * 0.001 + (1 - reliability.get(name, 0.9)) * c
+        options.append(F.struct(score.alias("score"), F.lit(name).alias("method")))
+    return durations.withColumn("_best", F.least(*options)).withColumns({"method": F.col("_best.method"), "score": F.col("_best.score")}).drop("_best")
+
+
+def method_by_duration(hours: Column, gpu: bool = True) -> Column:
+    return F.when(F.lit(not gpu), "deepgram").when(hours < 2, "parakeet").when(hours < 4, "hybrid").otherwise("deepgram")
+
+
+def performance_score(cpu: Column, mem: Column, p95: Column) -> Column:
+    cut = lambda x, at, by, most: F.when(x > at, F.least(F.lit(most), (x - at) * by)).otherwise(0.0)
+    return F.greatest(F.lit(0.0), 100 - cut(cpu, 80, 2, 20.0) - cut(mem, 85, 2, 20.0) - cut(p95, 2, 10, 30.0))
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+def backoff_delay(attempt: Column, policy: str, base: float = 1.0) -> Column:
+    delay = {"exponential": F.pow(F.lit(2.0), attempt - 1) * base, "linear": attempt * base, "fixed": F.lit(base), "immediate": F.lit(0.0)}[policy]
+    return F.least(delay.cast("double"), F.lit(60.0))
+
+
+def stage_progress(stage: Column, sub: Column) -> Column:
+    out = F
+    for name, (lo, hi) in STAGES.items():
+        out = out.when(stage == name, lo + sub / 100 * (hi - lo))
+    return out.otherwise(0.0)
+
+
+def eta_seconds(elapsed: Column, pct: Column, status: Column) -> Column:
+    left = elapsed / (pct / 100) - elapsed
+    return F.when(status.isin("Completed", "Failed"), 0).when(pct <= 0, 3600).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(left, F.lit(7200.0))))).cast("long")
+
+
+def threshold_alerts(latest: DataFrame, thresholds: dict[str, tuple[float, float]]) -> DataFrame:
+    level = F
+    for name, (warn, critical) in thresholds.items():
+        level = level.when((F.col("name") == name) & (F.col("value") >= critical), "critical").when((F.col("name") == name) & (F.col("value") >= warn), "warning")
+    return latest.withColumn("level", level.otherwise(None)).where("level IS NOT NULL")
+
+
+def queue_health(jobs: DataFrame) -> DataFrame:
+    done, failed = F.sum((F.col("status") == "Completed").cast("long")), F.sum((F.col("status") == "Failed").cast("long"))
+    out = jobs.groupBy("queue_key").agg(F.count("*").alias("jobs"), done.alias("processed"), failed.alias("failed"), F.avg("cost").alias("avg_cost"))
+    rate = F.col("processed") / F.nullif(F.col("processed") + F.col("failed"), F.lit(0))
+    return out.withColumns({"success_rate": rate, "issues": F.array_join(F.array_compact(F.array(F.when(rate < 0.95, "low_success"), F.when(F.col("jobs") > 300, "long_queue"))), ",")})
+
+
+def priority_order(jobs: DataFrame, fifo: bool = False) -> DataFrame:
+    """Position in each queue, from 0; by default the newest first within a priority, with ``fifo`` the oldest."""
+    when = F.asc("queued_at") if fifo else F.desc("queued_at")
+    w = Window.partitionBy("queue_key").orderBy(F.desc("priority"), when, "job_id")
+    return jobs.withColumn("position", F.row_number().over(w) - 1)

@@ -1,0 +1,104 @@
+"""Timelines of chat, speech, loudness and telemetry derived from the test tables, with the same arithmetic in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+EMOTIONS = ("excitement", "funny", "happiness", "anger", "sadness", "neutral")
+_KINDS = (("excitement", "purchase"), ("funny", "click"), ("happiness", "signup"), ("anger", "error"), ("sadness", "view"))
+_MILLIS = "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
+_MILLIS_SQL = "date_diff('millisecond', timestamp '2024-01-01', ts)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scored(millis: str) -> str:
+    emotions = ", ".join(f"CASE WHEN event_type = '{kind}' THEN score ELSE 0.1 * score END AS {e}" for e, kind in _KINDS)
+    return f"""SELECT event_id, user_id % 10 AS video_id, {millis} / 100000.0e0 AS time, CASE WHEN event_type = 'error' THEN -score ELSE score END AS sentiment_score,
+ score AS highlight_score, {emotions}, 1 - score AS neutral FROM (SELECT *, least(value / 500.0e0, 1.0e0) AS score FROM events)"""
+
+
+def scored_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return spark.sql(_scored(_MILLIS).replace("FROM events)", "FROM {events})"), events=events)
+
+
+SCORED_SQL = _scored(_MILLIS_SQL)
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql(r"SELECT doc_id, line_no, doc_id % 20 AS video_id, (doc_id DIV 20) * 30.0D + line_no * 2 AS time, source AS username, message FROM {docs} LATERAL VIEW posexplode(split(text, '\n')) AS line_no, message", docs=docs)
+
+
+CHAT_SQL = """SELECT doc_id, line_no, doc_id % 20 AS video_id, (doc_id // 20) * 30.0e0 + line_no * 2 AS time, source AS username, message
+ FROM (SELECT doc_id, source, unnest(str_split(text, chr(10))) AS message, unnest(range(0, len(str_split(text, chr(10))))) AS line_no FROM documents)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql(r"SELECT doc_id AS video_id, i, i * 2 / 5.0D AS start_time, (i + 1) * 2 / 5.0D AS end_time, word FROM {docs} LATERAL VIEW posexplode(filter(split(text, '[ \n]+'), x -> x <> '')) AS i, word", docs=docs)
+
+
+WORDS_SQL = """SELECT doc_id AS video_id, i, i * 2 / 5.0e0 AS start_time, (i + 1) * 2 / 5.0e0 AS end_time, word FROM
+ (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents))"""
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql(r"""SELECT video_id, ord, till - n AS first_word, (till - n) * 2 / 5.0D AS start_time, till * 2 / 5.0D AS end_time, text FROM (
+ SELECT doc_id AS video_id, ord, text, n, sum(n) OVER (PARTITION BY doc_id ORDER BY ord) AS till FROM (
+ SELECT doc_id, ord, p AS text, size(filter(split(p, ' +'), x -> x <> '')) AS n FROM {docs} LATERAL VIEW posexplode(split(text, '\n')) AS ord, p)) WHERE n > 0""", docs=docs)
+
+
+PARAGRAPHS_SQL = """SELECT video_id, ord, till - n AS first_word, (till - n) * 2 / 5.0e0 AS start_time, till * 2 / 5.0e0 AS end_time, text FROM (
+ SELECT doc_id AS video_id, ord, text, n, sum(n) OVER (PARTITION BY doc_id ORDER BY ord) AS till FROM (
+ SELECT doc_id, ord, p AS text, len(list_filter(regexp_split_to_array(p, ' +'), lambda x: x <> '')) AS n FROM (
+ SELECT doc_id, unnest(str_split(text, chr(10))) AS p, unnest(range(0, len(str_split(text, chr(10))))) AS ord FROM documents))) WHERE n > 0"""
+
+_FRAMES = "SELECT event_id, user_id % 10 AS video_id, {ms} / 100000.0e0 AS t, value / 500.0e0 AS rms, ((event_id * 37) % 1000) / 1000.0e0 AS centroid FROM "
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_FRAMES.replace("{ms}", _MILLIS) + "{events}", events=table(spark, sf_dir, "events"))
+
+
+FRAMES_SQL = _FRAMES.replace("{ms}", _MILLIS_SQL) + "events"
+_REQUESTS = "SELECT event_id, ts, user_id % 20 AS endpoint, value / 100.0e0 AS duration, event_type <> 'error' AS success FROM "
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_REQUESTS + "{events}", events=table(spark, sf_dir, "events"))
+
+
+REQUESTS_SQL = _REQUESTS + "events"
+_TRANSCRIPTIONS = """SELECT CASE l_returnflag WHEN 'A' THEN 'deepgram' WHEN 'N' THEN 'parakeet_gpu' ELSE 'parakeet_cpu' END AS method, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) * 360 AS duration,
+ CAST(l_quantity AS DOUBLE) * 9 AS processing, CAST(l_extendedprice AS DOUBLE) / 100000 AS estimated_cost, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_extendedprice AS DOUBLE) / 90000 END AS actual_cost,
+ CAST(l_discount AS DOUBLE) < 0.085e0 AS success, l_shipdate AS ts FROM """
+
+
+def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TRANSCRIPTIONS + "{lineitem}", lineitem=table(spark, sf_dir, "lineitem"))
+
+
+TRANSCRIPTIONS_SQL = _TRANSCRIPTIONS + "lineitem"
+_JOBS = """SELECT o_orderkey AS job_id, o_custkey % 50 AS queue_key, 5 - least(CAST(substr(o_orderpriority, 1, 1) AS INT), 4) AS priority, o_orderdate AS queued_at,
+ CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Queued' ELSE 'Failed' END AS status, CAST(o_totalprice AS DOUBLE) AS cost FROM """
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_JOBS + "{orders}", orders=table(spark, sf_dir, "orders"))
+
+
+JOBS_SQL = _JOBS + "orders"
+_ERRORS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Connection timeout after 30s' WHEN 1 THEN 'CUDA out of memory' WHEN 2 THEN '404: video not found' WHEN 3 THEN 'Rate limit exceeded'
+ WHEN 4 THEN 'No space left on device' ELSE 'Something odd' END AS message FROM """
+
+
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ERRORS + "{events}", events=table(spark, sf_dir, "events"))
+
+
+ERRORS_SQL = _ERRORS + "events"
