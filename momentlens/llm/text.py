@@ -54,6 +54,14 @@ def chunks(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> It
         i = j
 
 
+def small_batches(batches, limit: int = 4 << 20):
+    """The rows of Arrow batches with a column ``text``, in batches of at most ``limit`` bytes of text (or one row)."""
+    for batch in batches:
+        buf, offsets = utf8(batch["text"])
+        for i, j, *_ in chunks(buf, offsets, limit):
+            yield batch.slice(i, j - i)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word and the n + 1 word offsets of the documents; no word crosses a document's end."""
     n = len(buf)
