@@ -189,10 +189,11 @@ def test_tree_distributions_sum_to_one():
     assert np.allclose((10.0 ** t.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
-def test_raked_margins_meet_their_targets(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_raked_margins_meet_their_targets(spark, few):
     data = [(f"s{i}", f"l{j}", f"t{k}", 10 + 7 * i + 3 * j * k) for i in range(4) for j in range(3) for k in range(2)]
     cells = spark.createDataFrame(data, "source string, language string, topic string, tokens long")
-    got = mixing.rake(cells, {"language": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}).toPandas()
+    got = mixing.rake(cells, {"language": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}, few=few).toPandas()
     share = got.groupby("language").weight.sum() / got.weight.sum()
     assert np.allclose(share[["l0", "l1", "l2"]], [0.5, 0.3, 0.2], atol=2e-3)
     assert np.allclose(got.groupby("topic").weight.sum() / got.weight.sum(), 0.5, atol=2e-3)
