@@ -184,9 +184,55 @@ def test_scores(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_tree_distributions_sum_to_one():
-    t = suffix_tree.Tree({(5 << 9) | 6: 10, (6 << 9) | 5: 9, 5: 1}, {})
-    assert np.allclose((10.0 ** t.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+def _brute_tree(texts, least):
+    """(log10 probability of a token after the tokens before it, vocabulary) by plain dictionaries."""
+    end, c, grams = "\0end", Counter(), Counter()
+    for t in texts:
+        s = [end, *t, end]
+        c.update(s[1:])
+        for i in range(1, len(s)):
+            grams[tuple(s[i - 1 : i + 1])] += 1
+            if i > 1:
+                grams[tuple(s[i - 2 : i + 1])] += 1
+    often = {w for w in c if c[w] >= least or w == end}
+    kept = {g: n for g, n in grams.items() if n >= least and set(g) <= often}
+    total, size = sum(c.values()), sum(c.values()) + len(c) + 1
+    of = lambda g: c[g[0]] if len(g) == 1 else grams[g]
+    share = lambda g: (c[g[0]] + 1) / size if len(g) == 1 else of(g) / of(g[:-1])
+    after = {}
+    for g in kept:
+        after.setdefault(g[:-1], []).append(g)
+    good = {x for x, gs in after.items() if sum(kept[g] * math.log(of(g) / of(x) / share(g[1:])) for g in gs) >= suffix_tree.LEAST_DIVERGENCE}
+    good |= {x[1:] for x in good if len(x) == 2}
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g[0]] + 1) / size
+        x = g[:-1]
+        if x not in good:
+            return p(g[1:])
+        if g in kept:
+            return (kept[g] - suffix_tree.DISCOUNT) / of(x)
+        seen = after[x]
+        return (1 - sum(p(k) for k in seen)) / (1 - sum(p(k[1:]) for k in seen)) * p(g[1:])
+
+    return p, [*c, "\0unseen"], total
+
+
+def test_scores_equal_a_brute_force_tree_that_beats_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    rows = {r.doc_id: tokens(r.text) for r in docs.collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    p, vocabulary, total = _brute_tree([t for i, t in rows.items() if i not in held], 2)
+    for context in (("\0end",), ("the",), *[tuple(t[:2]) for t in list(rows.values())[:5] if len(t) > 1]):
+        assert math.isclose(sum(p((*context, w)) for w in vocabulary), 1, abs_tol=1e-9)
+    got = suffix_tree.score_documents(docs).collect()
+    assert sum(r.score - r.base_score for r in got if r.held_out) > 0
+    for r in got[:60]:
+        s = ["\0end", *rows[r.doc_id], "\0end"]
+        want = sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(1, len(s)))
+        assert r.train_tokens == total and math.isclose(r.score, want, rel_tol=1e-6), r.doc_id
 
 
 @pytest.mark.parametrize("few", [0, 1000])
