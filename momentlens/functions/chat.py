@@ -72,7 +72,7 @@ def _has_key(key: str):
 
 
 def score_cache_key(model: str, text: Column, *metrics: Column) -> Column:
-    return F.concat_ws("|", F.lit(model), *[F.format_number(F.bround(m, 1), "0.0") for m in metrics], F.substring(F.lower(normalize_ws(text)), 1, 100))
+    return F.concat_ws("|", F.lit(model), *[F.bround(m, 1).cast("decimal(20,1)").cast("string") for m in metrics], F.substring(F.lower(normalize_ws(text)), 1, 100))
 
 
 def parse_chat_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
