@@ -22,9 +22,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block_order(symbols: np.ndarray, follows: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of one block, ordered by their first ``depth`` symbols (its Burrows-Wheeler order)."""
+    """Suffixes of one block, ordered by their first ``depth`` symbols and whether they go on (its Burrows-Wheeler order)."""
     ranks, step, k = symbols, follows, 1
-    while k < depth:
+    while k <= depth:
         ranks = _pairs(ranks, np.where(step >= 0, ranks[step] + 1, 0))
         step = np.where(step >= 0, step[step], -1)
         k *= 2
