@@ -38,30 +38,50 @@ def _run_starts(key: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(at)
 
 
+def _ranks(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """For two sorted lists of keys, how many keys of both are less than each."""
+    return [_run_starts(x) + np.searchsorted(y, x, "left") for x, y in (keys, keys[::-1])]
+
+
+def _members(classes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rows of the wanted classes, for sorted classes."""
+    a, b = np.searchsorted(classes, wanted, "left"), np.searchsorted(classes, wanted, "right")
+    n = b - a
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+
+
 def merge_orders(symbols: np.ndarray, follows: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
     """The merged order of all suffixes from two block orders.
 
     After k iterations suffixes are interleaved by their first k symbols: a suffix's class is the number of suffixes
-    whose first k symbols are less. An iteration takes the class of each suffix's successor and its own first symbol;
-    both blocks are in order already, so the interleave is two binary searches and no suffix is sorted again.
+    whose first k symbols are less. An iteration takes the class of each suffix's successor within its own class; both
+    blocks are in order already, so the interleave is two binary searches and no suffix is sorted again. Only classes
+    with a suffix whose successor has just got another class can split, so an iteration looks at no other suffix.
     """
     row = np.empty(len(symbols), np.int64)
     for x in blocks:
         row[x] = np.arange(len(x))
-    sym = [symbols[x] for x in blocks]
     nxt = [np.where(follows[x] >= 0, row[follows[x]], -1) for x in blocks]
-    cls = [np.zeros(len(x), np.int64) for x in blocks]
-    wide = len(symbols) + 2
-    for _ in range(max(1, depth)):
-        key = [s * wide + np.where(n >= 0, (c[n] if len(c) else n) + 1, 0) for s, n, c in zip(sym, nxt, cls, strict=True)]
-        cross = [np.searchsorted(key[1], key[0], "left"), np.searchsorted(key[0], key[1], "left")]
-        new = [_run_starts(k) + x for k, x in zip(key, cross, strict=True)]
-        if all(np.array_equal(a, b) for a, b in zip(new, cls, strict=True)):
+    before = [np.full(len(x), -1, np.int64) for x in blocks]
+    for p, n in zip(before, nxt, strict=True):
+        p[n[n >= 0]] = np.flatnonzero(n >= 0)
+    cls = _ranks([symbols[x] * 2 + (n >= 0) for x, n in zip(blocks, nxt, strict=True)])
+    changed, wide = [np.arange(len(x)) for x in blocks], len(symbols) + 2
+    for _ in range(1, depth):
+        hit = [p[c] for p, c in zip(before, changed, strict=True)]
+        wanted = np.unique(np.concatenate([c[h[h >= 0]] for c, h in zip(cls, hit, strict=True)]))
+        if not len(wanted):
             break
-        cls = new
+        live = [_members(c, wanted) for c in cls]
+        old = [c[x] for c, x in zip(cls, live, strict=True)]
+        key = [o * wide + np.where(n[x] >= 0, c[n[x]] + 1, 0) for o, n, c, x in zip(old, nxt, cls, live, strict=True)]
+        step = [a - b for a, b in zip(_ranks(key), _ranks(old), strict=True)]
+        changed = [x[s > 0] for x, s in zip(live, step, strict=True)]
+        for c, x, o, s in zip(cls, live, old, step, strict=True):
+            c[x] = o + s
     out = np.empty(len(symbols), np.int64)
-    out[np.arange(len(blocks[0])) + cross[0]] = blocks[0]
-    out[np.arange(len(blocks[1])) + np.searchsorted(key[0], key[1], "right")] = blocks[1]
+    out[np.arange(len(blocks[0])) + np.searchsorted(cls[1], cls[0], "left")] = blocks[0]
+    out[np.arange(len(blocks[1])) + np.searchsorted(cls[0], cls[1], "right")] = blocks[1]
     return out
 
 

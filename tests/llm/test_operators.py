@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from momentlens.llm import decontaminate, hash_tree, license_scan, mixing, quality, queries, repeats, simhash, suffix_tree, token_counts
+from momentlens.llm import bwt_merge, decontaminate, hash_tree, license_scan, mixing, quality, queries, repeats, simhash, suffix_tree, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, shard int, fingerprint string"
 _long = "  ".join(f"word{i % 7000}" for i in range(30000))
@@ -259,3 +259,27 @@ def test_pipeline_stages_keep_columns(spark):
         if name != "sharding":
             assert docs.columns == before.columns
     assert docs.count() > 0
+
+
+def test_merged_orders_equal_a_sort():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, depth = int(rng.integers(1, 60)), int(rng.integers(1, 9))
+        symbols, follows, middle = rng.integers(0, 3, n), np.arange(1, n + 1), int(rng.integers(0, n + 1))
+        follows[rng.random(n) < 0.2] = -1
+        follows[-1] = -1
+        if middle:
+            follows[middle - 1] = -1
+        blocks = []
+        for a, b in ((0, middle), (middle, n)):
+            blocks.append(bwt_merge._block_order(symbols[a:b], np.where(follows[a:b] >= 0, follows[a:b] - a, -1), depth) + a if b > a else np.zeros(0, np.int64))
+
+        def head(i):
+            out = []
+            while i >= 0 and len(out) < depth:
+                out.append(int(symbols[i]))
+                i = int(follows[i])
+            return out
+
+        order = bwt_merge.merge_orders(symbols, follows, tuple(blocks), depth)
+        assert sorted(order.tolist()) == list(range(n)) and [head(i) for i in order] == sorted(map(head, range(n)))
