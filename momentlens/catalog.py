@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from momentlens.plans import queries as plans
-from momentlens.plans import segments  # noqa: F401  registers its queries with the others
+from momentlens.plans import models, segments  # noqa: F401  register their queries with the others
 
 
 def queries():

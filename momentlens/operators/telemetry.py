@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Rates in dollars, speeds in times real time, reliabilities, and the error rules in order of trial.
 RATES = {"deepgram": (0.0045 * 60, 0.0), "parakeet_gpu": (0.45 / 40, 0.02), "parakeet_cpu": (0.10 / 2, 0.01)}
+SPLIT_SECONDS = 2.5 * 3600
 ERROR_RULES = (
     ("timeout|timed out", "TIMEOUT_ERROR", True, 60),
     ("out of memory|memory error", "OUT_OF_MEMORY", True, 300),
@@ -49,16 +50,26 @@ def retry_after(code: Column, rules=ERROR_RULES) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for _, c, _, s in rules for x in (c, s)]), code), F.lit(120))
 
 
+def _rate(name: str, hours: Column) -> Column:
+    rate, setup = RATES[name]
+    return hours * rate + setup
+
+
 def transcription_cost(seconds: Column, method: Column) -> Column:
-    hours = seconds / 3600
+    """Dollars; ``hybrid`` sends what goes beyond SPLIT_SECONDS to the service; an unknown method costs nothing."""
+    hours, split = seconds / 3600, SPLIT_SECONDS / 3600
     out = F
-    for name, (rate, setup) in RATES.items():
-        out = out.when(method == name, hours * rate + setup)
+    for name in RATES:
+        out = out.when(method == name, _rate(name, hours))
+    both = _rate("parakeet_gpu", F.lit(split)) + _rate("deepgram", hours - split)
+    out = out.when((method == "hybrid") & (seconds <= SPLIT_SECONDS), _rate("parakeet_gpu", hours)).when(method == "hybrid", both)
     return out.otherwise(0.0)
 
 
 def processing_time(seconds: Column, method: Column) -> Column:
-    return F.when(method == "deepgram", 10.0).when(method == "parakeet_gpu", seconds / 40).when(method == "parakeet_cpu", seconds / 2).otherwise(seconds)
+    """Seconds; the parts of ``hybrid`` run side by side, an unknown method in real time."""
+    hybrid = F.when(seconds <= SPLIT_SECONDS, seconds / 40).otherwise(max(SPLIT_SECONDS / 40, 10.0))
+    return F.when(method == "deepgram", 10.0).when(method == "parakeet_gpu", seconds / 40).when(method == "parakeet_cpu", seconds / 2).when(method == "hybrid", hybrid).otherwise(seconds)
 
 
 def cost_analysis(records: DataFrame) -> DataFrame:
@@ -74,13 +85,13 @@ def cost_recommendations(analysis: DataFrame) -> DataFrame:
     return low.unionByName(dear)
 
 
-def choose_method(durations: DataFrame, reliability: dict[str, float]) -> DataFrame:
-    """Least score over the methods: cost + 0.001 time + (1 - reliability) cost."""
+def choose_method(durations: DataFrame, reliability: dict[str, float], gpu: bool = True) -> DataFrame:
+    """Least score over the methods at hand, the first of equal ones: cost + 0.001 time + (1 - reliability) cost."""
     options = []
-    for name in RATES:
+    for i, name in enumerate(("deepgram", "parakeet_gpu", "hybrid") if gpu else ("deepgram", "parakeet_cpu")):
         c = transcription_cost(F.col("duration"), F.lit(name))
         score = c + processing_time(F.col("duration"), F.lit(name)) * 0.001 + (1 - reliability.get(name, 0.9)) * c
-        options.append(F.struct(score.alias("score"), F.lit(name).alias("method")))
+        options.append(F.struct(score.alias("score"), F.lit(i).alias("i"), F.lit(name).alias("method")))
     return durations.withColumn("_best", F.least(*options)).withColumns({"method": F.col("_best.method"), "score": F.col("_best.score")}).drop("_best")
 
 

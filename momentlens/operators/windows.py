@@ -180,18 +180,51 @@ def paragraphs_by_pause(segments: DataFrame, keys: list[str], pause: float = 0.8
     return segments.withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(w)).groupBy(*keys, "paragraph").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("segments"))
 
 
+# Words that open another topic, and those that do after a question.
+CUES = ("now let's", "moving on", "speaking of", "by the way", "anyway", "meanwhile", "however", "on the other hand", "in other news", "next up", "switching gears")
+OPENERS = ("alright", "okay", "well", "so")
+
+
+def paragraphs_by_rules(segments: DataFrame, keys: list[str], pause: float = 0.8, longest: float = 20.0, most: int = 6) -> DataFrame:
+    """(keys, paragraph, start_time, end_time, segments, text): blank segments are left out; a paragraph begins after a
+    pause, where it would reach ``longest`` seconds, after ``most`` segments, at a cue, or at an opener after a question.
+    Each rule looks at the paragraph so far, so one task per key."""
+    cues = tuple(c + mark for c in CUES for mark in " ,")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(text=pdf["text"].fillna("").str.strip()).sort_values("start_time", kind="stable")
+        pdf = pdf[pdf["text"] != ""]
+        number, begin, end, n, asked, numbers = -1, 0.0, 0.0, 0, False, []
+        for s, e, text in zip(pdf["start_time"], pdf["end_time"], pdf["text"], strict=True):
+            low = text.lower()
+            if number < 0 or s - end >= pause or e - begin >= longest or n >= most or low.startswith(cues) or (asked and low.startswith(OPENERS)):
+                number, begin, n = number + 1, s, 0
+            end, n, asked = e, n + 1, text.endswith("?")
+            numbers.append(number)
+        g = pdf.assign(paragraph=numbers).groupby([*keys, "paragraph"], as_index=False)
+        return g.agg(start_time=("start_time", "first"), end_time=("end_time", "last"), segments=("text", "count"), text=("text", " ".join))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.select(*keys).schema)
+    return segments.groupBy(*keys).applyInPandas(run, f"{fields}, paragraph long, start_time double, end_time double, segments long, text string")
+
+
+def keep_updates(progress: pd.Series, stage: pd.Series, step: float, last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which updates are kept, and (progress, stage, updates since) of the last one kept; ``last`` is that from before."""
+    keep = []
+    for p, s in zip(progress, stage, strict=True):
+        since = last[2] + 1 if last else 1
+        ok = last is None or abs(p - last[0]) >= step - 1e-12 or s != last[1] or since >= 10
+        last = (float(p), s, 0) if ok else (*last[:2], since)
+        keep.append(ok)
+    return np.array(keep, bool), last
+
+
 def meaningful_updates(updates: DataFrame, keys: list[str], order: str, step: float = 0.1) -> DataFrame:
     """Updates whose progress moved ``step`` since the last kept one, whose stage changed, or every tenth."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, last, since = pdf.sort_values(order), [], None, 0
-        for p, s in zip(pdf["progress"], pdf["stage"], strict=True):
-            since += 1
-            ok = last is None or abs(p - last[0]) >= step - 1e-12 or s != last[1] or since >= 10
-            keep.append(ok)
-            if ok:
-                last, since = (p, s), 0
-        return pdf[np.array(keep, bool)]
+        pdf = pdf.sort_values(order)
+        return pdf[keep_updates(pdf["progress"], pdf["stage"], step, None)[0]]
 
     return updates.groupBy(*keys).applyInPandas(run, updates.schema)
 
@@ -199,5 +232,3 @@ def meaningful_updates(updates: DataFrame, keys: list[str], order: str, step: fl
 def top_k(df: DataFrame, keys: list[str], score: str, k: int, *ties: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-

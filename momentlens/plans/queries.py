@@ -453,8 +453,11 @@ def a16_cost_recommendations(spark, sf_dir):
     return M.cost_recommendations(M.cost_analysis(A.transcriptions(spark, sf_dir)))
 
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, duration AS d FROM ({A.TRANSCRIPTIONS_SQL}) AS t), c AS (SELECT *, d / 3600 * 0.27e0 AS c1, d / 3600 * (0.45e0 / 40) + 0.02e0 AS c2, d / 3600 * 0.05e0 + 0.01e0 AS c3 FROM t), s AS (SELECT *, c1 + 0.01e0 + 0.1e0 * c1 AS s1, c2 + d / 40 * 0.001e0 + 0.1e0 * c2 AS s2, c3 + d / 2 * 0.001e0 + 0.1e0 * c3 AS s3 FROM c)
-SELECT l_orderkey, l_linenumber, CASE WHEN s1 <= s2 AND s1 <= s3 THEN 'deepgram' WHEN s3 < s2 THEN 'parakeet_cpu' ELSE 'parakeet_gpu' END AS method, round(least(s1, s2, s3), 6) AS score FROM s""")
+_HYBRID = "CASE WHEN d <= 9000 THEN d / 3600 * (0.45e0 / 40) + 0.02e0 ELSE 2.5e0 * (0.45e0 / 40) + 0.02e0 + (d / 3600 - 2.5e0) * 0.27e0 END"
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, duration AS d FROM ({A.TRANSCRIPTIONS_SQL}) AS t), c AS (SELECT *, d / 3600 * 0.27e0 AS c1, d / 3600 * (0.45e0 / 40) + 0.02e0 AS c2, {_HYBRID} AS c3 FROM t), s AS (SELECT *, c1 + 0.01e0 + 0.1e0 * c1 AS s1, c2 + d / 40 * 0.001e0 + 0.1e0 * c2 AS s2, c3 + least(d / 40, 225) * 0.001e0 + 0.1e0 * c3 AS s3 FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN s1 <= s2 AND s1 <= s3 THEN 'deepgram' WHEN s3 < s2 THEN 'hybrid' ELSE 'parakeet_gpu' END AS method, round(least(s1, s2, s3), 6) AS score FROM s""")
 def a17_choose_method(spark, sf_dir):
     t = A.transcriptions(spark, sf_dir).select("l_orderkey", "l_linenumber", "duration")
     return M.choose_method(t, {}).select("l_orderkey", "l_linenumber", "method", _round("score", 6).alias("score"))
@@ -550,9 +553,9 @@ def t5_recent(spark, sf_dir):
     return A.table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(CASE method WHEN 'deepgram' THEN duration / 3600 * 0.27e0 WHEN 'parakeet_gpu' THEN duration / 3600 * (0.45e0 / 40) + 0.02e0 ELSE duration / 3600 * 0.05e0 + 0.01e0 END, 6) AS cost, CASE WHEN duration / 3600 < 2 THEN 'parakeet' WHEN duration / 3600 < 4 THEN 'hybrid' ELSE 'deepgram' END AS by_duration, round(CASE method WHEN 'deepgram' THEN 10 WHEN 'parakeet_gpu' THEN duration / 40 ELSE duration / 2 END, 6) AS seconds FROM ({A.TRANSCRIPTIONS_SQL}) AS t")
+@query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 4 = 0 THEN {_HYBRID.replace('d /', 'duration /').replace('d <=', 'duration <=')} WHEN method = 'deepgram' THEN duration / 3600 * 0.27e0 WHEN method = 'parakeet_gpu' THEN duration / 3600 * (0.45e0 / 40) + 0.02e0 ELSE duration / 3600 * 0.05e0 + 0.01e0 END, 6) AS cost, CASE WHEN duration / 3600 < 2 THEN 'parakeet' WHEN duration / 3600 < 4 THEN 'hybrid' ELSE 'deepgram' END AS by_duration, round(CASE WHEN l_linenumber % 4 = 0 THEN least(duration / 40, 225) WHEN method = 'deepgram' THEN 10 WHEN method = 'parakeet_gpu' THEN duration / 40 ELSE duration / 2 END, 6) AS seconds FROM ({A.TRANSCRIPTIONS_SQL}) AS t")
 def f30_transcription_cost(spark, sf_dir):
-    d, m = F.col("duration"), F.col("method")
+    d, m = F.col("duration"), F.when(F.col("l_linenumber") % 4 == 0, "hybrid").otherwise(F.col("method"))
     return A.transcriptions(spark, sf_dir).select("l_orderkey", "l_linenumber", _round(M.transcription_cost(d, m), 6).alias("cost"), M.method_by_duration(d / 3600).alias("by_duration"), _round(M.processing_time(d, m), 6).alias("seconds"))
 
 

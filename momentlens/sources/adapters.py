@@ -61,8 +61,13 @@ PARAGRAPHS_SQL = """SELECT video_id, ord, till - n AS first_word, (till - n) * 2
 _FRAMES = "SELECT event_id, user_id % 10 AS video_id, {ms} / 100000.0e0 AS t, value / 500.0e0 AS rms, ((event_id * 37) % 1000) / 1000.0e0 AS centroid FROM "
 
 
+def frames_of(events: DataFrame) -> DataFrame:
+    """Loudness frames from the rows of ``events``, a table or a stream."""
+    return events.sparkSession.sql(_FRAMES.replace("{ms}", _MILLIS) + "{events}", events=events)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_FRAMES.replace("{ms}", _MILLIS) + "{events}", events=table(spark, sf_dir, "events"))
+    return frames_of(table(spark, sf_dir, "events"))
 
 
 FRAMES_SQL = _FRAMES.replace("{ms}", _MILLIS_SQL) + "events"
