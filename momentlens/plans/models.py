@@ -1,13 +1,18 @@
-"""Registered queries on scorers, stateful streams and paragraphs by rules, with their SQL where SQL can express them."""
+"""Registered queries on scorers, stateful streams, paragraphs by rules and files, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from momentlens.operators import scorers as R
 from momentlens.operators import windows as W
-from momentlens.plans.queries import SQL, _round, query, r6
+from momentlens.operators import intervals as J
+from momentlens.plans.queries import _AUDIO, _AVGS, _TUMBLE, SQL, _r, _round, _sides, chat_windows, query, r6
 from momentlens.sources import adapters as A
+from momentlens.sources import files as S
+from momentlens.streaming import live
 from momentlens.streaming import stateful as V
 
 
@@ -81,3 +86,48 @@ def _updates(events):
 def r6_live_updates(spark, sf_dir):
     """The updates worth telling as a stream, run to its end."""
     return V.drained(V.live_updates(_updates(V.events_stream(spark, sf_dir)), "job_id", "event_id"), "updates")
+
+
+@query("SELECT m.event_id, count(*) AS n FROM events AS m JOIN (SELECT user_id % 10 AS video_id, ts FROM events WHERE event_type = 'view') AS s ON m.user_id % 10 = s.video_id AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 315 SECOND GROUP BY 1")
+def r4_reactions(spark, sf_dir):
+    """Messages within five minutes and the lag of what was viewed; the same join takes two streams."""
+    e = A.table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 10).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    seen = e.where("event_type = 'view'").select("video_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("end_ts"))
+    return live.reactions(e.drop("event_type"), seen).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_AUDIO} SELECT au.video_id, au.seg, count(*) AS frames, round(avg(f.rms), 6) AS rms FROM au JOIN ({A.FRAMES_SQL}) AS f ON f.video_id = au.video_id AND f.t >= au.seg * 60.0e0 AND f.t < au.seg * 60.0e0 + 60 GROUP BY 1, 2")
+def j3_frames_in_segments(spark, sf_dir):
+    segments = _sides(spark, sf_dir)[0].select("video_id", F.col("seg").alias("window_id"), "start_time", "end_time")
+    near = J.point_in_interval_join(A.frames(spark, sf_dir), segments, ["video_id"], "t", 0.0, closed=False)
+    return near.groupBy("video_id", F.col("window_id").alias("seg")).agg(F.count("*").alias("frames"), _round(F.avg("rms"), 6).alias("rms"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(line_no * 2 AS DOUBLE) AS time, username, message FROM ({A.CHAT_SQL}) AS c WHERE username IS NOT NULL AND message IS NOT NULL")
+def s1_chat_json(spark, sf_dir):
+    """The lines of each document as comments of one JSON text, read back from it."""
+    docs = A.table(spark, sf_dir, "documents")
+    comment = lambda x, i: F.struct((i * 2).cast("double").alias("content_offset_seconds"), F.struct(F.col("source").alias("display_name")).alias("commenter"), F.struct(x.alias("body")).alias("message"))
+    text = F.to_json(F.struct(F.transform(F.split("text", "\n"), comment).alias("comments"), F.struct(F.col("doc_id").cast("string").alias("id")).alias("video")))
+    return S.explode_comments(docs.select(F.from_json(text, S.CHAT_SCHEMA).alias("x")).select("x.*"))
+
+
+@query(f"SELECT video_id, ord, start_time, end_time, text FROM ({A.PARAGRAPHS_SQL}) AS p")
+def s4_transcript_json(spark, sf_dir):
+    """The paragraphs of each document as one transcript JSON, read back from it in the order of their times."""
+    p = A.paragraphs(spark, sf_dir)
+    part = F.struct(F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.when(F.col("ord") % 2 == 0, F.col("text")).alias("transcript"), F.col("text").alias("text"))
+    whole = p.groupBy("video_id").agg(F.collect_list(part).alias("paragraphs"))
+    best = F.struct(F.struct(F.lit("").alias("transcript"), F.col("paragraphs")).alias("paragraphs"))
+    text = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(best).alias("alternatives"))).alias("channels")).alias("results")))
+    found = S.parse_transcript(whole.select("video_id", F.from_json(text, S.TRANSCRIPT_SCHEMA).alias("x")).select("video_id", "x.results"), ["video_id"])[1]
+    return found.join(p.select("video_id", "ord", "start_time"), ["video_id", "start_time"]).select("video_id", "ord", "start_time", "end_time", "text")
+
+
+@query(f"WITH {_TUMBLE} SELECT CAST(video_id AS VARCHAR) AS video_id, message_count, {_r('start_time', 'end_time', *_AVGS)} FROM cw")
+def s6_segment_files(spark, sf_dir):
+    """Chat windows written as CSV by video and read back as an interval table."""
+    path = f"{V.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    S.write_segments(chat_windows(spark, sf_dir), path, "csv")
+    names = {"start_time": "double", "end_time": "double", "message_count": "long"} | dict.fromkeys(_AVGS, "double")
+    return r6(S.read_interval_csv(spark, path, names, r"video_id=(\d+)/"), "start_time", "end_time", *_AVGS)

@@ -26,12 +26,18 @@ def chat_bursts(messages: DataFrame, gap: str, keys=("video_id",), lateness: str
     return messages.withWatermark("ts", lateness).groupBy(*keys, F.session_window("ts", gap).alias("session")).agg(F.count("*").alias("message_count"), F.sum("value").alias("total"))
 
 
-def reactions(messages: DataFrame, segments: DataFrame, lag: str = LATENESS, lateness: str = LATENESS) -> DataFrame:
-    """Messages with the segments (video_id, start_ts, end_ts) that they may react to; both sides may be streams."""
-    m = messages.withWatermark("ts", lateness).alias("m")
-    s = segments.withWatermark("start_ts", lateness).alias("s")
-    near = F.expr(f"m.video_id = s.video_id AND m.ts >= s.start_ts AND m.ts <= s.end_ts + INTERVAL {lag} AND m.ts <= s.start_ts + INTERVAL 10 MINUTES")
-    return m.join(s, near).select("m.*", "s.start_ts", "s.end_ts")
+def reactions(messages: DataFrame, segments: DataFrame, lag: str = LATENESS, lateness: str = LATENESS, longest: int = 600) -> DataFrame:
+    """Messages with the segments (video_id, start_ts, end_ts) that they may react to; both sides may be streams.
+
+    A message comes at most ``longest`` seconds after a segment's start, which bounds the state kept. Both sides are
+    dealt by bins of that length, so that a long recording spreads over many keys.
+    """
+    bin_of = lambda c: F.floor(F.unix_timestamp(c) / longest)
+    m = messages.withWatermark("ts", lateness).withColumn("_bin", bin_of("ts")).alias("m")
+    both = F.explode(F.array(bin_of("start_ts"), bin_of("start_ts") + 1))
+    s = segments.withWatermark("start_ts", lateness).withColumn("_bin", both).alias("s")
+    near = F.expr(f"m.video_id = s.video_id AND m._bin = s._bin AND m.ts >= s.start_ts AND m.ts <= s.end_ts + INTERVAL {lag} AND m.ts <= s.start_ts + INTERVAL {longest} SECONDS")
+    return m.join(s, near).select("m.*", "s.start_ts", "s.end_ts").drop("_bin")
 
 
 def second(windows: DataFrame) -> DataFrame:

@@ -76,3 +76,15 @@ def test_hybrid_methods(spark):
     rows = spark.createDataFrame([(3600.0,), (9000.0,), (18000.0,)], "d double")
     got = rows.select(M.transcription_cost(F.col("d"), F.lit("hybrid")).alias("c"), M.processing_time(F.col("d"), F.lit("hybrid")).alias("t")).collect()
     assert [round(r.c, 6) for r in got] == [0.03125, 0.048125, 0.723125] and [r.t for r in got] == [90.0, 225.0, 225.0]
+
+
+def test_reactions_of_two_streams_equal_the_batch(spark, in_parts):
+    from momentlens.streaming import live
+
+    def joined(events):
+        e = events.select("event_id", "event_type", (F.col("user_id") % 10).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+        seen = e.where("event_type = 'view'").select("video_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("end_ts"))
+        return live.reactions(e.drop("event_type"), seen)
+
+    got, want = V.drained(joined(in_parts), "r"), joined(spark.read.parquet(f"{SF}/events.parquet"))
+    assert want.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
