@@ -475,13 +475,31 @@ def a19_cache_stats(spark, sf_dir):
     return A.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("accesses"), F.sum(hit.cast("long")).alias("hits"), _round(F.avg(F.when(hit, 100.0).otherwise(0.0)), 6).alias("hit_percent"))
 
 
-_CODE = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN '{c}'" for p, c, _, _ in M.ERROR_RULES) + " ELSE 'UNCLASSIFIED_ERROR' END"
+def _verdict(rules, field: int, other) -> str:
+    text = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{r[0]}') THEN {text(r[field])}" for r in rules) + f" ELSE {text(other)} END"
 
 
-@query(f"SELECT code, count(*) AS n, max(event_id) AS last, CAST(max(CASE code {' '.join(f'''WHEN '{c}' THEN {s}''' for _, c, _, s in M.ERROR_RULES)} ELSE 120 END) AS BIGINT) AS retry_after FROM (SELECT event_id, {_CODE} AS code FROM ({A.ERRORS_SQL}) AS e) AS x GROUP BY 1")
+def _verdicts(rules) -> str:
+    return f"SELECT code, error_type, retry_after > 0 AS retryable, CAST(retry_after AS BIGINT) AS retry_after, count(*) AS n, max(event_id) AS last FROM (SELECT event_id, {_verdict(rules, 1, 'UNCLASSIFIED_ERROR')} AS code, {_verdict(rules, 2, 'unknown_error')} AS error_type, {_verdict(rules, 3, 120)} AS retry_after FROM ({A.ERRORS_SQL}) AS e) AS x GROUP BY 1, 2, 3, 4"
+
+
+def _classified(spark, sf_dir, rules):
+    x = A.error_messages(spark, sf_dir).withColumn("v", M.classify(F.col("message"), rules))
+    return x.groupBy("v.code", "v.error_type", "v.retryable", F.col("v.retry_after").cast("long").alias("retry_after")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+_CODE = _verdict(M.ERROR_RULES, 1, "UNCLASSIFIED_ERROR")
+
+
+@query(_verdicts(M.ERROR_RULES))
 def f28_classify_error(spark, sf_dir):
-    x = A.error_messages(spark, sf_dir).withColumn("code", M.classify(F.col("message")))
-    return x.groupBy("code").agg(F.count("*").alias("n"), F.max("event_id").alias("last"), F.max(M.retry_after(F.col("code"))).cast("long").alias("retry_after"))
+    return _classified(spark, sf_dir, M.ERROR_RULES)
+
+
+@query(_verdicts(M.TRANSCRIPTION_RULES + M.ERROR_RULES))
+def f28_transcription_errors(spark, sf_dir):
+    return _classified(spark, sf_dir, M.TRANSCRIPTION_RULES + M.ERROR_RULES)
 
 
 @query("SELECT event_type AS operation, count(*) AS attempts, round(sum(least(pow(2.0e0, user_id % 8), 60.0e0)), 6) AS delay, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
@@ -492,7 +510,7 @@ def a20_retry_stats(spark, sf_dir):
 
 @query(f"SELECT event_id % 3 AS method, code, count(*) AS n, max(event_id) AS last FROM (SELECT event_id, {_CODE} AS code FROM ({A.ERRORS_SQL}) AS e) AS x GROUP BY 1, 2")
 def a21_failure_counts(spark, sf_dir):
-    return A.error_messages(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("method"), M.classify(F.col("message")).alias("code")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return A.error_messages(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("method"), M.classify(F.col("message"))["code"].alias("code")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 @query(f"SELECT coalesce(CAST(endpoint AS VARCHAR), 'all') AS category, count(*) AS total, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS passed, CASE WHEN avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END) >= 0.8e0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({A.REQUESTS_SQL}) AS r GROUP BY ROLLUP (endpoint)")
