@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Rates in dollars, speeds in times real time, reliabilities, and the error rules in order of trial.
 RATES = {"deepgram": (0.0045 * 60, 0.0), "parakeet_gpu": (0.45 / 40, 0.02), "parakeet_cpu": (0.10 / 2, 0.01)}
 SPLIT_SECONDS = 2.5 * 3600
+# (warning, critical) of each metric.
+THRESHOLDS = {"cpu_percent": (80, 95), "memory_percent": (85, 95), "disk_percent": (85, 95), "error_rate": (0.05, 0.1), "response_time_p95": (5.0, 10.0), "queue_length": (50, 100), "failed_jobs_rate": (0.1, 0.2)}
 # (pattern, code, error type, seconds until a retry; 0: not retried)
 ERROR_RULES = (
     ("(timeout|timed out|connection.*timeout)", "NETWORK_TIMEOUT", "network_error", 60),
@@ -102,10 +104,21 @@ def cost_analysis(records: DataFrame) -> DataFrame:
     return out.withColumns({"cost_per_hour": F.col("cost") / F.col("hours"), "baseline": F.col("hours") * 60 * 0.0045}).withColumn("savings", F.col("baseline") - F.col("cost"))
 
 
-def cost_recommendations(analysis: DataFrame) -> DataFrame:
-    low = analysis.where("success_rate < 0.95").select("method", F.lit("low_success").alias("advice"))
-    dear = analysis.where("savings < 0").select("method", F.lit("dearer_than_baseline").alias("advice"))
-    return low.unionByName(dear)
+def cost_recommendations(analysis: DataFrame, budget: float = 1000.0) -> DataFrame:
+    """(method, advice) from a month's cost analysis: much of the budget used, a service dearer than twice the GPU, few
+    successes of a method, savings under 80 % of the baseline; else that all is well. Advice on all methods is of ``all``."""
+    cph = lambda name: F.max(F.when(F.col("method") == name, F.col("cost_per_hour")))
+    rules = (
+        ("high_budget_use", F.sum("cost") / budget > 0.8),
+        ("use_gpu_more", cph("deepgram") > 2 * cph("parakeet_gpu")),
+        ("raise_savings", F.coalesce(F.sum("savings") / F.nullif(F.sum("baseline"), F.lit(0.0)), F.lit(0.0)) < 0.8),
+        ("all_well", F.min("success_rate") >= 0.95),
+    )
+    sums = analysis.agg(F.count("*").alias("n"), *[held.alias(name) for name, held in rules]).where("n > 0")
+    advice = [F.when(F.col(name), name) for name, _ in rules[:3]]
+    well = F.when(F.col("all_well") & ~F.coalesce(F.col("high_budget_use") | F.col("raise_savings"), F.lit(False)) & ~F.coalesce("use_gpu_more", F.lit(False)), "all_well")
+    whole = sums.select(F.lit("all").alias("method"), F.explode(F.array_compact(F.array(*advice, well))).alias("advice"))
+    return whole.unionByName(analysis.where("success_rate < 0.95").select("method", F.lit("low_success").alias("advice")))
 
 
 def choose_method(durations: DataFrame, reliability: dict[str, float], gpu: bool = True) -> DataFrame:
@@ -148,7 +161,7 @@ def eta_seconds(elapsed: Column, pct: Column, status: Column) -> Column:
     return F.when(status.isin("Completed", "Failed"), 0).when(pct <= 0, 3600).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(left, F.lit(7200.0))))).cast("long")
 
 
-def threshold_alerts(latest: DataFrame, thresholds: dict[str, tuple[float, float]]) -> DataFrame:
+def threshold_alerts(latest: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
     level = F
     for name, (warn, critical) in thresholds.items():
         level = level.when((F.col("name") == name) & (F.col("value") >= critical), "critical").when((F.col("name") == name) & (F.col("value") >= warn), "warning")

@@ -448,7 +448,10 @@ def a15_cost_analysis(spark, sf_dir):
     return M.cost_analysis(A.transcriptions(spark, sf_dir)).withColumns({c: _round(c, 4) for c in ("hours", "cost", "avg_time", "success_rate", "cost_per_hour", "baseline", "savings")})
 
 
-@query(f"WITH {_COST} SELECT method, 'low_success' AS advice FROM ca WHERE success_rate < 0.95 UNION ALL SELECT method, 'dearer_than_baseline' FROM ca WHERE savings < 0")
+_ALL = f"x AS (SELECT sum(cost) / 1000.0e0 > 0.8e0 AS a, max(cost_per_hour) FILTER (WHERE method = 'deepgram') > 2 * max(cost_per_hour) FILTER (WHERE method = 'parakeet_gpu') AS b, sum(savings) / sum(baseline) < 0.8e0 AS c, min(success_rate) >= 0.95e0 AS d FROM ca)"
+
+
+@query(f"WITH {_COST}, {_ALL} SELECT method, 'low_success' AS advice FROM ca WHERE success_rate < 0.95 UNION ALL SELECT 'all', 'high_budget_use' FROM x WHERE a UNION ALL SELECT 'all', 'use_gpu_more' FROM x WHERE b UNION ALL SELECT 'all', 'raise_savings' FROM x WHERE c UNION ALL SELECT 'all', 'all_well' FROM x WHERE d AND NOT a AND NOT coalesce(b, false) AND NOT c")
 def a16_cost_recommendations(spark, sf_dir):
     return M.cost_recommendations(M.cost_analysis(A.transcriptions(spark, sf_dir)))
 

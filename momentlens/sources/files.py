@@ -10,8 +10,12 @@ CHAT_SCHEMA = "comments array<struct<content_offset_seconds: double, commenter:
 _WORD = "struct<word: string, start: double, `end`: double, punctuated_word: string>"
 _PARAGRAPH = "struct<start: double, `end`: double, transcript: string, text: string, sentences: array<struct<text: string, transcript: string>>>"
 TRANSCRIPT_SCHEMA = f"results struct<channels: array<struct<alternatives: array<struct<transcript: string, words: array<{_WORD}>, paragraphs: struct<transcript: string, paragraphs: array<{_PARAGRAPH}>>>>>>>"
-# The lexicon used where a file is missing.
-DEFAULT_LEXICON = (("lol", "laughing"), ("gg", "good game"), ("pog", "excitement"), ("kappa", "sarcasm"))
+# The lexicons used where a file is missing.
+DEFAULT_LEXICONS = {
+    "emote": (("Kappa", "sarcasm"), ("PogChamp", "excitement"), ("LUL", "laughter"), ("BibleThump", "sadness"), ("ResidentSleeper", "boredom"), ("TriHard", "trying hard"), ("4Head", "laughter"), ("DansGame", "disgust"), ("Kreygasm", "excitement"), ("SwiftRage", "anger")),
+    "emoji": (("😂", "laughter"), ("😊", "happiness"), ("😍", "love"), ("🔥", "fire"), ("👍", "approval"), ("❤️", "love"), ("😭", "crying"), ("😢", "sadness"), ("😡", "anger"), ("🤔", "thinking")),
+    "slang": (("pog", "excitement"), ("poggers", "excitement"), ("monkas", "anxiety"), ("pepega", "silly"), ("omegalul", "extreme laughter"), ("pepelaugh", "laughing at someone"), ("sadge", "sadness"), ("kekw", "laughter"), ("weirdchamp", "disapproval"), ("peeposad", "sadness")),
+}
 
 
 def _video_id(pattern: str) -> Column:
@@ -60,15 +64,15 @@ def read_transcripts(spark: SparkSession, path: str, pattern: str = r"(\d+)[^/]*
     return parse_transcript(raw.select(_video_id(pattern).alias("video_id"), "results"), ["video_id"])
 
 
-def load_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(token, meaning) of a two-column CSV file, or the default where the path is none or not there."""
+def load_lexicon(spark: SparkSession, path: str | None = None, kind: str = "emote") -> DataFrame:
+    """(token, meaning), tokens in lower case, of a two-column CSV file, or the kind's default where the path is none or not there."""
     if path:
         try:
             return spark.read.option("header", True).csv(path).toDF("token", "meaning").withColumn("token", F.lower(F.trim("token")))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    return spark.createDataFrame(list(DEFAULT_LEXICON), "token string, meaning string")
+    return spark.createDataFrame([(t.lower(), m) for t, m in DEFAULT_LEXICONS[kind]], "token string, meaning string")
 
 
 def write_segments(df: DataFrame, path: str, form: str = "parquet") -> None:

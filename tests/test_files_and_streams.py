@@ -34,7 +34,7 @@ def test_transcript_text_falls_back(spark, tmp_path):
 
 
 def test_lexicon_and_segments(spark, tmp_path):
-    assert files.load_lexicon(spark, str(tmp_path / "none.csv")).count() == len(files.DEFAULT_LEXICON)
+    assert [files.load_lexicon(spark, str(tmp_path / "none.csv"), k).count() for k in files.DEFAULT_LEXICONS] == [10, 10, 10]
     (tmp_path / "l.csv").write_text("emote,meaning\nPog ,wow\n")
     assert [tuple(r) for r in files.load_lexicon(spark, str(tmp_path / "l.csv")).collect()] == [("pog", "wow")]
     df = spark.createDataFrame([("x", 1, 0.0, 1.0, 0.5)], "text string, video_id int, start_time double, end_time double, score double")
