@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlens.llm import decontaminate, hash_tree, mixing, quality, simhash
+from momentlens.llm import decontaminate, hash_tree, mixing, near_copies, quality
 from momentlens.llm.shared import materialize, read
 
 
@@ -13,7 +13,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
