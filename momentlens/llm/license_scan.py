@@ -51,28 +51,47 @@ RULES = (
     ("MPL-2.0", ("mpl2",)),
 )
 
+#: Whole sentences of standard texts that SENTENCES has in part, by the same identifiers, and others that they hold.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl_hope",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2_header",
+}
+WHOLE_RULES = (("Apache-2.0", ("apache2_header", "apache2_copy")),)
+
 
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def scan_licenses(docs: DataFrame, sentences=None, rules=RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids, licenses for every row of ``docs``.
 
-    Sentences end at a line's end or at a full stop, exclamation or question mark before a blank. They are normalised
-    and looked up; ``sentence_ids`` are the known ones in order of occurrence, ``licenses`` the names whose rule's
-    identifiers occur in order, both comma-joined (empty if none). Null and empty texts have no sentences; repeated
-    rows get a row each. Built-in expressions only, no shuffle.
+    Pieces end at a line's end or at a full stop, exclamation or question mark before a blank; ``n_sentences`` counts
+    them. A sentence is the pieces up to such a mark, a colon at a line's end or a line without letters and digits (so a
+    comment's empty line too), whatever lines it is wrapped over. It is normalised, without an item's number, and looked
+    up; where it isn't known, its pieces are. ``sentence_ids`` are the known ones in order of occurrence, ``licenses``
+    the names whose rule's identifiers occur in order, both comma-joined (empty if none). Null and empty texts have no
+    sentences; repeated rows get a row each. Built-in expressions only, no shuffle.
     """
-    known = sentences or SENTENCES
-    table = "map(" + ", ".join(f"{_text(v)}, {_text(k)}" for k, v in known.items()) + ")"
-    lengths = ", ".join(str(n) for n in sorted({len(v) for v in known.values()}))
-    ends = r"split(regexp_replace(lower(coalesce(text, '')), '([.!?])[ \t\r]+', '$1\n'), '\n', -1)"
-    plain = "trim(regexp_replace(s, '[^a-z0-9]+', ' '))"
+    known = {v: k for k, v in (sentences or SENTENCES).items()} | ({} if sentences else WHOLE)
+    rules = RULES + WHOLE_RULES if rules is None else rules
+    table = "map(" + ", ".join(f"{_text(v)}, {_text(k)}" for v, k in known.items()) + ")"
+    lengths = ", ".join(str(n) for n in sorted({len(v) for v in known}))
+    # sentences end at \u0001, which is taken out of the text before; "v. 2.0" goes on
+    low = r"translate(lower(coalesce(text, '')), '\u0001', '-')"
+    ends = rf"regexp_replace({low}, '(?<! v)[.!?](?:[ \t\r]*\n|[ \t\r]+)|:[ \t\r]*(?=\n)|\n[^a-z0-9\n]*+(?=\n)', '$0\u0001')"
+    pieces = r"split(regexp_replace(s, '([.!?])[ \t\r]+', '$1\n'), '\n', -1)"
+    plain = "trim(regexp_replace({}, '[^a-z0-9]+', ' '))"
     # only a sentence as long as a known one is looked up
-    ids = f"filter(transform(f, x -> IF(length(x) IN ({lengths}), try_element_at({table}, x), CAST(NULL AS STRING))), y -> y IS NOT NULL)"
-    body = f"transform(array(filter(transform({ends}, s -> {plain}), x -> x != '')), f -> struct(CAST(size(f) AS BIGINT) AS n, {ids} AS ids))[0]"
-    found = docs.select("doc_id", F.explode(F.array(F.expr(body))).alias("_f"))
+    find = f"IF(length(x) IN ({lengths}), try_element_at({table}, x), CAST(NULL AS STRING))"
+    ids = f"filter(transform(p, x -> {find}), y -> y IS NOT NULL)"
+    whole = f"transform(array(regexp_replace({plain.format('s')}, '^[0-9]{{1,2}} ', '')), x -> {find})[0]"
+    one = f"transform(array(filter(transform({pieces}, q -> {plain.format('q')}), x -> x != '')), p -> struct(CAST(size(p) AS BIGINT) AS n, IF(size(p) > 1 AND w IS NOT NULL, array(w), {ids}) AS ids))[0]"
+    body = f"transform(split({ends}, '\u0001', -1), s -> transform(array({whole}), w -> {one})[0])"
+    parts = docs.select("doc_id", F.explode(F.array(F.expr(body))).alias("_p"))
+    found = parts.select("doc_id", F.expr("struct(aggregate(_p.n, CAST(0 AS BIGINT), (a, b) -> a + b) AS n, flatten(_p.ids) AS ids)").alias("_f"))
     chain = F.concat(F.lit(","), F.array_join("_f.ids", ","), F.lit(","))
     names = []
     for name, wanted in rules:
