@@ -28,12 +28,18 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], mode: str
     return left.join(pairs.select(*[F.col(c) for c in pairs.columns if c not in left.columns or c in (*keys, ls, le)]), [*keys, ls, le], "left")
 
 
-def point_in_interval_join(points: DataFrame, windows: DataFrame, keys: list[str], time: str = "time", lag: float = 15.0, closed: bool = True, size: float = 60.0) -> DataFrame:
-    """Points with every window that has start <= t <= end + lag (or t < end + lag); windows need ``window_id``."""
+def point_in_interval_join(points: DataFrame, windows: DataFrame, keys: list[str], time: str = "time", lag: float = 15.0, closed: bool = True, size: float = 60.0, how: str = "inner") -> DataFrame:
+    """Points with every window that has start <= t <= end + lag (or t < end + lag); windows need a ``window_id`` of their own.
+
+    With ``how`` left, a window without a point is kept with nulls for the point.
+    """
     w = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_time") / size), F.floor((F.col("end_time") + lag) / size))))
     p = points.withColumn("_bin", F.floor(F.col(time) / size))
     till = F.col(time) <= F.col("end_time") + lag if closed else F.col(time) < F.col("end_time") + lag
-    return p.join(w, [*keys, "_bin"]).where((F.col(time) >= F.col("start_time")) & till).drop("_bin")
+    pairs = p.join(w, [*keys, "_bin"]).where((F.col(time) >= F.col("start_time")) & till).drop("_bin")
+    if how == "inner":
+        return pairs
+    return windows.join(pairs.drop(*[c for c in windows.columns if c not in (*keys, "window_id")]), [*keys, "window_id"], "left")
 
 
 def overlap_weighted_avg(left: DataFrame, right: DataFrame, keys: list[str], id_col: str, metrics: list[str], size: float = 60.0) -> DataFrame:
@@ -47,8 +53,8 @@ def overlap_weighted_avg(left: DataFrame, right: DataFrame, keys: list[str], id_
 def interp_join(target: DataFrame, series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Linear interpolation of (t, value) at the target's times ``t``, clamped at the ends: a two-sided as-of join by window."""
     both = target.select(*keys, "t", F.lit(None).cast("double").alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_want")).unionByName(series.select(*keys, "t", F.col("t").alias("_t"), F.col(value).alias("_v"), F.lit(False).alias("_want")))
-    order = Window.partitionBy(*keys).orderBy("t")
-    back, ahead = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    # both sides as growing frames, which take a step a row; a frame up to the last row is run through again for each row
+    back, ahead = (Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, 0) for t in (F.col("t"), F.col("t").desc()))
     x = both.withColumns({"_t0": F.max("_t").over(back), "_v0": F.max_by("_v", "_t").over(back), "_t1": F.min("_t").over(ahead), "_v1": F.min_by("_v", "_t").over(ahead)})
     line = F.when(F.col("_t0").isNull(), F.col("_v1")).when(F.col("_t1").isNull() | (F.col("_t1") == F.col("_t0")), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
     return x.where("_want").select(*keys, "t", line.alias(value))

@@ -97,3 +97,22 @@ def score_texts(rows: DataFrame, asks: Sequence[tuple[str, Ask]], text: str = "t
     for name, default in zip(SCORE_KEYS, UNANSWERED, strict=True):
         out[name] = F.when(short, 1.0 if name == "neutral" else 0.0).when(F.col("reply").isNull(), default).otherwise(scores[name])
     return joined.withColumns(out).select(*rows.columns, *out)
+
+
+def score_distinct(rows: DataFrame, key: Column, asks: Sequence[tuple[str, Ask]], text: str = "text", batch: int = 32) -> DataFrame:
+    """The columns of ``rows``, ``model`` and the eight scores, asked for once for each distinct ``key`` and joined back.
+
+    Of a key's texts the least one, its blanks made single, is scored.
+    """
+    keyed = rows.withColumn("_key", key)
+    one = keyed.groupBy("_key").agg(F.min(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))).alias("_text"))
+    replies = ask_models(one.where(word_count(F.col("_text")) >= 2), asks, "_text", batch)
+    scores = parse_key_value_scores(F.col("reply"))
+    found = [F.when(F.col("reply").isNull(), default).otherwise(scores[name]).alias(f"_{name}") for name, default in zip(SCORE_KEYS, UNANSWERED, strict=True)]
+    # texts stay behind here: only keys and scores are joined; a key that wasn't asked for is short
+    scored = replies.select(F.col("_key").alias("_of"), F.coalesce("model", F.lit("default")).alias("_model"), *found)
+    joined = keyed.join(scored, F.col("_key").eqNullSafe(F.col("_of")), "left")
+    short = F.col("_model").isNull()
+    out = {"model": F.coalesce("_model", F.lit("short"))}
+    out |= {name: F.when(short, 1.0 if name == "neutral" else 0.0).otherwise(F.col(f"_{name}")) for name in SCORE_KEYS}
+    return joined.withColumns(out).select(*rows.columns, *out)

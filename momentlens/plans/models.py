@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from momentlens.functions.chat import score_cache_key
 from momentlens.operators import scorers as R
 from momentlens.operators import windows as W
 from momentlens.operators import intervals as J
@@ -52,6 +53,15 @@ def u2_model_chain(spark, sf_dir):
     return r6(scored.select("video_id", "ord", "model", "excitement", "sadness", "neutral", "highlight"), "excitement", "sadness", "neutral", "highlight")
 
 
+@query(f"""SELECT video_id, ord, model, round(CASE model WHEN 'first' THEN {_COUNT.format('e')} WHEN 'default' THEN 0.2e0 ELSE 0.0e0 END, 6) AS excitement, round(CASE model WHEN 'second' THEN {_COUNT.format('a')} WHEN 'default' THEN 0.1e0 ELSE 0.0e0 END, 6) AS sadness,
+ round(CASE model WHEN 'short' THEN 1.0e0 WHEN 'default' THEN 0.7e0 ELSE 0.0e0 END, 6) AS neutral, round(CASE model WHEN 'first' THEN least(1.0e0, length(t) / 400.0e0) WHEN 'default' THEN 0.2e0 ELSE 0.0e0 END, 6) AS highlight
+ FROM (SELECT *, CASE WHEN NOT contains(t, ' ') THEN 'short' WHEN length(t) % 3 <> 0 THEN 'first' WHEN length(t) % 2 <> 0 THEN 'second' ELSE 'default' END AS model FROM (SELECT video_id, ord, min(t) OVER (PARTITION BY substr(lower(t), 1, 100)) AS t FROM {_T} AS q) AS k) AS z""")
+def j8_score_joined_back(spark, sf_dir):
+    asks = (("down", _down), ("first", _first_model), ("second", _second_model))
+    scored = R.score_distinct(A.paragraphs(spark, sf_dir).select("video_id", "ord", "text"), score_cache_key("m", F.col("text")), asks)
+    return r6(scored.select("video_id", "ord", "model", "excitement", "sadness", "neutral", "highlight"), "excitement", "sadness", "neutral", "highlight")
+
+
 _LEXICON = {"excitement": ("the", "und"), "sadness": ("of", "and", "de")}
 _WORDS = "list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '')"
 

@@ -189,6 +189,13 @@ def j2_point_in_interval(spark, sf_dir):
     return J.point_in_interval_join(s, win, ["video_id"]).groupBy(F.col("window_id").alias("event_id")).agg(F.count("*").alias("n"), _round(F.sum("highlight_score"), 6).alias("score"))
 
 
+@query(f"SELECT g.event_id, count(s.event_id) AS n, round(sum(s.highlight_score), 6) AS score FROM (SELECT event_id, video_id, time AS start_time FROM ({A.SCORED_SQL}) AS w) AS g LEFT JOIN ({A.SCORED_SQL}) AS s ON s.video_id = g.video_id AND s.time >= g.start_time AND s.time <= g.start_time + 60 + 15 GROUP BY 1")
+def j2_all_windows(spark, sf_dir):
+    s = A.scored_chat(spark, sf_dir)
+    win = s.select(F.col("event_id").alias("window_id"), "video_id", F.col("time").alias("start_time"), (F.col("time") + 60).alias("end_time"))
+    return J.point_in_interval_join(s, win, ["video_id"], how="left").groupBy(F.col("window_id").alias("event_id")).agg(F.count("event_id").alias("n"), _round(F.sum("highlight_score"), 6).alias("score"))
+
+
 @query(f"""SELECT a.event_id AS a_id, count(*) AS n, CAST(sum(b.event_id) AS BIGINT) AS ids FROM ({A.SCORED_SQL}) AS a JOIN ({A.SCORED_SQL}) AS b ON a.video_id = b.video_id AND a.time <= b.time + 100 * b.highlight_score AND b.time <= a.time + 45 GROUP BY 1""")
 def j1_interval_join(spark, sf_dir):
     s = A.scored_chat(spark, sf_dir)
@@ -616,6 +623,15 @@ def j5_interp_join(spark, sf_dir):
     return want.join(got, ["video_id", "t"]).select("event_id", _round("rms", 6).alias("v"))
 
 
+@query(f"""WITH f AS (SELECT video_id, t, max(rms) AS rms FROM ({A.FRAMES_SQL}) AS y GROUP BY 1, 2), w AS (SELECT event_id, video_id, t + 0.5e0 AS t FROM ({A.FRAMES_SQL}) AS z)
+SELECT w.event_id, round(CASE WHEN a.t IS NULL THEN b.rms WHEN b.t IS NULL OR b.t = a.t THEN a.rms ELSE a.rms + (b.rms - a.rms) * (w.t - a.t) / (b.t - a.t) END, 6) AS v FROM w ASOF LEFT JOIN f AS a ON w.video_id = a.video_id AND w.t >= a.t ASOF LEFT JOIN f AS b ON w.video_id = b.video_id AND w.t <= b.t""")
+def j5_all_frames(spark, sf_dir):
+    f = A.frames(spark, sf_dir)
+    want = f.select("event_id", "video_id", (F.col("t") + 0.5).alias("t"))
+    got = J.interp_join(want.select("video_id", "t").distinct(), f.groupBy("video_id", "t").agg(F.max("rms").alias("rms")), ["video_id"], "rms")
+    return want.join(got, ["video_id", "t"]).select("event_id", _round("rms", 6).alias("v"))
+
+
 @query(f"SELECT video_id * 1000 + part AS part_id, round(sum(t + part * 100.0e0), 4) AS total FROM (SELECT video_id, event_id % 7 AS part, t FROM ({A.FRAMES_SQL}) AS f) AS z GROUP BY 1")
 def j10_offset_merge(spark, sf_dir):
     f = A.frames(spark, sf_dir).withColumn("part", F.col("event_id") % 7).withColumn("part_id", F.col("video_id") * 1000 + F.col("part"))
