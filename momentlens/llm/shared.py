@@ -96,8 +96,10 @@ def id_groups(did: np.ndarray, n: int) -> np.ndarray:
 
 def split_by(groups: np.ndarray):
     """(group, row numbers) for each group that occurs; rows keep their order."""
+    if not len(groups):
+        return
     order = np.argsort(groups, kind="stable")
-    cut = np.flatnonzero(np.diff(groups[order], prepend=groups[order][:1] - 1 if len(order) else None)) if len(order) else []
+    cut = np.flatnonzero(np.diff(groups[order], prepend=groups[order][:1] - 1))
     for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
         yield int(groups[order[a]]), order[a:b]
 

@@ -1,8 +1,16 @@
-"""LM scoring with a probabilistic suffix tree over words, on top of a smoothed unigram base.
+"""LM scoring with a probabilistic suffix tree over words: contexts of up to four words on a smoothed unigram root.
 
-Word counts are exact and sharded by word: each shard counts its words and answers the documents that hold them. The
-tree grows a level at a time. A phrase can only be frequent if its words and shorter phrases are, so each level counts
-just the phrases whose parts were kept; the tree has a bounded number of entries, whatever the corpus, and is broadcast.
+The tree is never in one place. A shard holds all that follows its contexts (of a very frequent context, a part), and the
+documents, dealt into buckets, ask the shards level by level:
+
+1. a bucket asks for the counts of its words, which make the root;
+2. for each level k it asks for the pairs (context of k words, next word) that it holds: once each, with their training
+   count here and the expected count by the state so far. A context is asked for if it occurs LEAST times or more in
+   training and none of its suffixes has a single continuation (then it could not predict anything else);
+3. the context's shard adds the counts up, tests whether the context's next words diverge from those of the shorter
+   state, and answers counts and verdicts in the order asked, from which the bucket computes the next level.
+
+No threshold depends on the corpus, and each pair is sent once a bucket however often it occurs.
 """
 
 from __future__ import annotations
@@ -12,271 +20,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlens.llm.shared import groups_for, id_groups, identified, materialize, pack, split_by, unpack, unpack_table
+from momentlens.llm.shared import groups_for, pack, packed_documents, split_by, unpack, unpack_table
 from momentlens.llm.text import LOWER, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
 
-#: Contexts have up to DEPTH words. Symbols: 0 a rare word, 1 the end (and what precedes a first word), then the others.
-DEPTH, BITS = 2, 21
-_RARE, _END, _FIRST = 0, 1, 2
-#: A word or phrase is an entry of the tree from this many occurrences on: bytes / ENTRY_BYTES, at least 2. A word takes
-#: two bytes at least, so a level has at most ENTRY_BYTES / 2 entries, which BITS can number.
-ENTRY_BYTES = 4_000_000
-#: Nats by which a context's next words must diverge from those of its suffix, over all its occurrences, to be kept.
-LEAST_DIVERGENCE, DISCOUNT = 4.0, 0.75
+#: Contexts have up to DEPTH words, and at least LEAST occurrences in training.
+DEPTH, LEAST = 4, 2
+#: Nats by which a context's next words must diverge from the shorter state's, over all its occurrences, to be kept.
+LEAST_DIVERGENCE = 4.0
+#: A context of more occurrences than this is kept untested (that is a divergence of 1e-4 nats an occurrence) and its next
+#: words are dealt over several shards.
+MANY = 32_768
+#: Weight of the shorter state, in occurrences: p = (count of the pair + PRIOR * shorter p) / (count of the context + PRIOR).
+PRIOR = 32.0
 _U = np.uint64
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted value in sorted distinct keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _total(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted codes with the sums of their counts."""
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
-    return codes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
-
-
-class Tree:
-    """Frequent words and phrases: level k numbers phrases of k + 1 words by their sorted codes (prefix number, word)."""
-
-    def __init__(self, names: np.ndarray, counts: np.ndarray, ends: int, tokens: int, distinct: int):
-        names = names.view(_U)
-        order = np.argsort(names)
-        self.names, self.words = names[order], np.concatenate([[0, ends], counts[order]]).astype(np.int64)
-        self.size = np.log10(tokens + distinct + 1)
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = [self.words]
-        self.logs: list[np.ndarray] = [np.log10(self.words + 1) - self.size]
-        self.backoff: list[np.ndarray] = []
-
-    def grow(self, code: np.ndarray, count: np.ndarray) -> None:
-        order = np.argsort(code)
-        self.codes.append(code[order])
-        self.counts.append(count[order])
-
-    def _suffix(self, level: int) -> np.ndarray:
-        """For each phrase of a level, the number of the phrase without its first word."""
-        code = self.codes[level - 1]
-        last = code & ((1 << BITS) - 1)
-        return last if level == 1 else _find(self.codes[level - 2], (self._suffix(level - 1)[code >> BITS] << BITS) | last)
-
-    def finish(self) -> Tree:
-        """Test the contexts, the longest first, and set log10 probabilities and backoff weights of those kept."""
-        depth = len(self.codes)
-        used: list[np.ndarray] = [np.zeros(len(c), bool) for c in self.counts]
-        suffix = [self._suffix(k) for k in range(1, depth + 1)]
-        for k in range(depth, 0, -1):
-            n, parent = self.counts[k], self.codes[k - 1] >> BITS
-            q = n / self.counts[k - 1][parent]
-            if k == 1:
-                p = 10.0 ** self.logs[0][suffix[0]]
-            else:
-                up = self.counts[k - 1][suffix[k - 1]]
-                p = up / self.counts[k - 2][self.codes[k - 2][suffix[k - 1]] >> BITS]
-            gain = np.bincount(parent, n * np.log(q / p), len(self.counts[k - 1]))
-            used[k - 1] |= gain >= LEAST_DIVERGENCE
-            if k > 1:  # suffixes of kept contexts stay
-                used[k - 2][suffix[k - 2][used[k - 1]]] = True
-        for k in range(1, depth + 1):
-            n, parent = self.counts[k], self.codes[k - 1] >> BITS
-            seen = (n - DISCOUNT) / self.counts[k - 1][parent]
-            lower = 10.0 ** self.logs[k - 1][suffix[k - 1]]
-            left = 1 - np.bincount(parent, seen, len(self.counts[k - 1]))
-            rest = 1 - np.bincount(parent, lower, len(self.counts[k - 1]))
-            self.backoff.append(np.where(used[k - 1], np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12)), np.nan))
-            self.logs.append(np.where(used[k - 1][parent], np.log10(seen), np.nan))
-        return self
-
-    def symbols(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(an end, then the symbols of all texts, an end after each; first symbol of each text) of a chunk."""
-        count = np.diff(at)
-        first = 1 + at[:-1] + np.arange(len(count))
-        out = np.full(1 + len(starts) + len(count), _END, np.int64)
-        out[1 + np.arange(len(starts)) + np.repeat(np.arange(len(count)), count)] = _find(self.names, span_hashes(prefix_sums(low), starts, ends)) + _FIRST
-        out[out == _FIRST - 1] = _RARE
-        out[first + count] = _END
-        out[0] = _END
-        return out, first
-
-    def states(self, s: np.ndarray) -> list[np.ndarray]:
-        """For each level, the number of the phrase that ends at each symbol, or -1; no phrase runs over an end."""
-        out = [np.where(s == _RARE, -1, s)]
-        for code in self.codes:
-            out.append(self._match(code, out, s))
-        return out
-
-    def next_codes(self, s: np.ndarray, states: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the phrases one word longer than the last level, and where they end; all their parts are entries."""
-        before = self._context(states, s, len(states) - 1)
-        ok = np.flatnonzero((before >= 0) & (states[-1] >= 0))
-        return (before[ok] << BITS) | s[ok], ok
-
-    def _context(self, states: list[np.ndarray], s: np.ndarray, level: int) -> np.ndarray:
-        """The phrase of a level that ends before each symbol."""
-        before = np.append(-1, states[level][:-1])
-        if level:
-            before[1:][s[:-1] == _END] = -1
-        return before
-
-    def _match(self, code: np.ndarray, states: list[np.ndarray], s: np.ndarray) -> np.ndarray:
-        wanted, at = self.next_codes(s, states)
-        out = np.full(len(s), -1, np.int64)
-        out[at] = _find(code, wanted)
-        return out
-
-    def score(self, s: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol but the first by the longest context kept; log10(count + 1) of a rare word is missing."""
-        states = self.states(s)
-        out, open_ = np.zeros(len(s)), np.ones(len(s), bool)
-        for k in range(len(self.codes), 0, -1):
-            before = self._context(states, s, k - 1)
-            weight = np.where(before >= 0, self.backoff[k - 1][before], np.nan) if len(self.backoff[k - 1]) else np.full(len(s), np.nan)
-            live = open_ & ~np.isnan(weight)
-            found = live & (states[k] >= 0)
-            out[found] += self.logs[k][states[k][found]]
-            out[live & ~found] += weight[live & ~found]
-            open_ &= ~found
-        out[open_] += self.logs[0][s[open_]] if len(s) else 0
-        return out[1:]
-
-
-def _words(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, data): the words of all documents with the documents that hold them."""
-
-    def run(batches):
-        for batch in small_batches(batches):
-            if not batch.num_rows:
-                continue
-            train = ~batch["held_out"].to_numpy(zero_copy_only=False)
-            buf, offsets = utf8(batch["text"])
-            held = []
-            for first, last, b, o in chunks(buf, offsets):
-                low = LOWER[b]
-                starts, ends, at = words(low, o)
-                held.append((span_hashes(prefix_sums(low), starts, ends), np.repeat(np.arange(first, last), np.diff(at))))
-            word, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            groups, rows = [], []
-            names, number = np.unique(word, return_inverse=True)
-            pair, times = np.unique(number * batch.num_rows + doc, return_counts=True)
-            number, doc = pair // batch.num_rows, (pair % batch.num_rows).astype(np.int32)
-            did, rank = batch["did"].to_numpy(), batch["rank"].to_numpy()
-            shard_of = (names % _U(shards)).astype(np.int32)
-            for g, at in split_by(shard_of[number]):
-                mine, local = np.unique(number[at], return_inverse=True)
-                there, of_doc = np.unique(doc[at], return_inverse=True)
-                groups.append(g)
-                data = pack(d_word=names[mine].view(np.int64)), pack(n=np.bincount(local).astype(np.int32)), pack(d_did=did[there], rank=rank[there], train=train[there]), pack(doc=of_doc.astype(np.int32), times=times[at].astype(np.int32))
-                rows.append(pack(part=pa.array(data, pa.binary())))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(rows, pa.binary())], ["shard", "data"])
-
-    return docs.mapInArrow(run, "shard int, data binary")
-
-
-def _word_answers(rows: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Kind 0: known tokens, sum of log10(count + 1) and the rare words' part of it, per bucket and document; kind 1: the
-    words of at least ``least`` training occurrences; kind 2: distinct and all training words of the shard."""
+_END = _U(0x5BD1E995A3C59AC3)
+#: A key is 36 bits of the context's hash and 28 of the next word's; a shard holds a bounded number of either.
+_WORD_BITS = _U(28)
+#: Expected counts are sent as a byte: steps of 1/8 nat from _LEAST_LOG on; _KEEP marks a context that is kept untested.
+_STEPS, _LEAST_LOG, _KEEP = 8, 165, 255
+_KEPT, _SINGLE = 1, 2
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+class Tokens:
+    """The symbols of a bucket's documents (an end before the first, one after each) and what is known of each place."""
+
+    def __init__(self, table: pa.Table):
+        self.docs = pa.concat_tables([unpack_table(x) for x in table["data"].to_pylist()])
+        buf, offsets = utf8(self.docs["text"])
+        found, count = [], []
+        for _, _, b, o in chunks(buf, offsets):
+            low = LOWER[b]
+            starts, ends, at = words(low, o)
+            found.append(span_hashes(prefix_sums(low), starts, ends))
+            count.append(np.diff(at))
+        h, self.count = np.concatenate(found), np.concatenate(count)
+        n = self.count + 1
+        self.first = 1 + np.cumsum(n) - n
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.symbols = np.full(1 + int(n.sum()), _END, _U)
+        inside = np.ones(len(self.symbols), bool)
+        inside[0] = False
+        inside[self.first + self.count] = False
+        self.symbols[inside] = h
+        self.train = np.concatenate([[False], ~self.docs["held_out"].to_numpy()[self.doc]])
+        #: how many symbols before a place belong to its document, the end before it included
+        self.behind = np.concatenate([[0], np.arange(1, len(self.symbols)) - self.first[self.doc] + 1])
+
+    def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.symbols, return_inverse=True)
+
+    def start(self, counts: np.ndarray, tokens: int, distinct: int) -> None:
+        """The root: counts of each place's word."""
+        self.known = counts > 0
+        self.p = self.base = (counts + 1) / (tokens + distinct + 1)
+        self.code = np.zeros(len(self.symbols), _U)
+        self.before = np.concatenate([[0], counts[:-1]])  # occurrences of the context
+        self.final = np.zeros(len(self.symbols), bool)  # a suffix of the context has one continuation,
+        self.expected = self.final.copy()  # and it is the word here
+
+    def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
+        """(keys, a place of each, the key of each place, shard of each key) of level k; places count from ``places``."""
+        at = np.arange(k, len(self.symbols))
+        code = np.zeros(len(self.symbols), _U)
+        code[at] = mix(self.code[at] * _U(0x9E3779B97F4A7C15) + self.symbols[at - k] + _U(k))
+        self.code = code
+        self.places = places = np.flatnonzero((self.before >= LEAST) & ~self.final & (self.behind >= k))
+        context, word = self.code[places], self.symbols[places]
+        part = word % (self.before[places] // MANY + 1).astype(_U)
+        keys, where, of = np.unique((context >> _WORD_BITS << _WORD_BITS) | (word >> (_U(64) - _WORD_BITS)), return_index=True, return_inverse=True)
+        shard = (mix(context[where] + part[where] * _U(0xD6E8FEB86659FD93)) % _U(shards)).astype(np.int32)
+        return keys, where, of, shard
+
+    def hints(self, where: np.ndarray) -> np.ndarray:
+        """Expected counts of the pairs at some of the places asked for, as bytes."""
+        at = self.places[where]
+        byte = np.clip(np.rint(_STEPS * np.log(self.before[at] * self.p[at])) + _LEAST_LOG, 0, _KEEP - 1)
+        return np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8)
+
+    def learn(self, counts: np.ndarray, verdict: np.ndarray) -> None:
+        """Take in the answers for the places asked for and move on to the next level."""
+        places = self.places
+        kept = (verdict & _KEPT) > 0
+        self.p = self.p.copy()
+        at = places[kept]
+        self.p[at] = (counts[kept] + PRIOR * self.p[at]) / (self.before[at] + PRIOR)
+        # a pair whose suffix has one continuation is known without asking
+        longer = np.where(self.expected, self.before, 0)
+        longer[places] = counts
+        one = places[(verdict & _SINGLE) > 0]
+        self.final[one] = True
+        self.expected[one] = longer[one] > 0
+        self.before = np.concatenate([[0], longer[:-1]])
+
+
+def _requests(keys: np.ndarray, shard: np.ndarray, **columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    groups, rows = [], []
+    for g, at in split_by(shard):
+        groups.append(g)
+        rows.append(pack(d_key=keys[at].view(np.int64), **{c: x[at] for c, x in columns.items()}))
+    return groups, rows
+
+
+def _answers(table: pa.Table | None) -> dict[int, dict[int, dict[str, np.ndarray]]]:
+    """level -> shard -> columns."""
+    out: dict[int, dict[int, dict[str, np.ndarray]]] = {}
+    if table is not None:
+        for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
+            out.setdefault(level, {})[shard] = unpack(data)
+    return out
+
+
+def _aligned(parts: dict[int, dict[str, np.ndarray]], shard: np.ndarray, column: str) -> np.ndarray:
+    out = np.zeros(len(shard), np.int64)
+    for g, at in split_by(shard):
+        out[at] = parts[g][column]
+    return out
+
+
+def _replayed(left: pa.Table, right: pa.Table | None, level: int, shards: int, totals: tuple[int, int]) -> tuple:
+    """The bucket's tokens after all levels before ``level`` are answered, and the keys it asks at this level (if any) with
+    the shard and the columns of each."""
+    tokens, answers = Tokens(left), _answers(right)
+    keys, of = tokens.word_keys()
+    shard = (keys % _U(shards)).astype(np.int32)
+    if level == 0:
+        return tokens, keys, shard, {"n": _small(np.bincount(of, tokens.train, len(keys)).astype(np.int64))}
+    tokens.start(_aligned(answers[0], shard, "n")[of], *totals)
+    for k in range(1, min(level, DEPTH) + 1):
+        keys, where, of, shard = tokens.ask(k, shards)
+        if k == level:
+            n = np.bincount(of, tokens.train[tokens.places], len(keys)).astype(np.int64)
+            return tokens, keys, shard, {"n": _small(n), "hint": tokens.hints(where)}
+        parts = answers.get(k, {})
+        tokens.learn(_aligned(parts, shard, "n")[of], _aligned(parts, shard, "verdict")[of])
+    return tokens, keys, shard, {}
+
+
+def _asked(docs: DataFrame, answers: DataFrame | None, level: int, shards: int, totals: tuple[int, int]) -> DataFrame:
+    """(shard, bucket, data): the keys of a level that each bucket asks each shard for."""
+
+    def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        groups, rows = [], []
+        if left.num_rows:
+            _, keys, shard, columns = _replayed(left, right, level, shards, totals)
+            groups, rows = _requests(keys, shard, **columns)
+        bucket = left["bucket"][0].as_py() if left.num_rows else 0
+        return pa.table({"shard": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
+
+    schema = "shard int, bucket int, data binary"
+    if answers is None:
+        return docs.groupBy("bucket").applyInArrow(lambda table: run(table), schema)
+    return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda left, right: run(left, right), schema)
+
+
+def verdicts(keys: np.ndarray, counts: np.ndarray, hints: np.ndarray) -> np.ndarray:
+    """For sorted distinct keys, whether their context is kept and whether it has a single continuation."""
+    context = keys >> _WORD_BITS
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+    seen = counts > 0
+    gain = np.zeros(len(keys))
+    gain[seen] = counts[seen] * (np.log(counts[seen]) - (hints[seen].astype(np.float64) - _LEAST_LOG) / _STEPS)
+    size = np.diff(np.append(begin, len(keys)))
+    untested = np.maximum.reduceat(hints, begin) == _KEEP if len(begin) else np.zeros(0, bool)
+    kept = untested | (np.add.reduceat(gain, begin) >= LEAST_DIVERGENCE) if len(begin) else untested
+    single = ~untested & (np.add.reduceat(seen.astype(np.int64), begin) == 1) if len(begin) else untested
+    return np.repeat(kept * _KEPT + single * _SINGLE, size).astype(np.uint8)
+
+
+def _answered(asked: DataFrame, level: int, buckets: int) -> DataFrame:
+    """(bucket, level, shard, data): training counts and verdicts, in the order in which each bucket asked."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, docs, posts, word_base, doc_base = [], [], [], 0, 0
-        for data in table["data"].to_pylist():
-            word, n, doc, post = (unpack(x) for x in unpack_table(data)["part"].to_pylist())
-            names.append(word["d_word"])
-            docs.append((doc["d_did"], doc["rank"], doc["train"].astype(bool)))
-            posts.append((np.repeat(np.arange(len(n["n"])), n["n"]) + word_base, post["doc"] + doc_base, post["times"]))
-            word_base, doc_base = word_base + len(names[-1]), doc_base + len(doc["d_did"])
-        did, rank, train = (np.concatenate(x) for x in zip(*docs, strict=True))
-        word, doc, times = (np.concatenate(x) for x in zip(*posts, strict=True))
-        distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        word = inverse[word]
-        c = np.bincount(word, np.where(train[doc], times, 0), len(distinct))
-        logs = np.log10(c + 1)
-        known = np.bincount(doc, np.where(c[word] > 0, times, 0), len(did)).astype(np.int64)
-        all_logs = np.bincount(doc, times * logs[word], len(did))
-        rare_logs = np.bincount(doc, times * np.where(c < least, logs, 0)[word], len(did))
-        top = c >= least
-        out = [(2, -1, int((c > 0).sum()), int(c.sum()), None), (1, -1, 0, 0, pack(word=distinct[top], n=c[top].astype(np.int64)))]
-        for g, at in split_by(id_groups(did, buckets)):
-            at = at[np.lexsort((rank[at], did[at]))]
-            out.append((0, g, 0, 0, pack(d_did=did[at], rank=rank[at], known=known[at], logs=all_logs[at], rare=rare_logs[at])))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "part", "distinct", "total", "data"])
-
-    return rows.groupBy("shard").applyInArrow(run, "kind int, part int, distinct long, total long, data binary")
-
-
-def _phrases(docs: DataFrame, tree, shards: int, least: int) -> DataFrame:
-    """(data): the phrases one word longer than the tree's last level with at least ``least`` occurrences."""
-
-    def count(batches):
-        for batch in small_batches(batches):
-            if not batch.num_rows:
-                continue
-            buf, offsets = utf8(batch["text"])
-            found = []
-            for _, _, b, o in chunks(buf, offsets):
-                low = LOWER[b]
-                s, _ = tree.value.symbols(low, *words(low, o))
-                found.append(np.unique(tree.value.next_codes(s, tree.value.states(s))[0], return_counts=True))
-            code, n = _total(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            groups, rows = [], []
-            for g, at in split_by((mix(code.view(_U)) % _U(shards)).astype(np.int32)):
-                groups.append(g)
-                rows.append(pack(d_code=code[at], n=n[at].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(rows, pa.binary())], ["shard", "data"])
-
-    def total(table: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in table["data"].to_pylist()]
-        code, n = _total(np.concatenate([p["d_code"] for p in parts]), np.concatenate([p["n"] for p in parts]).astype(np.int64))
-        return pa.table({"data": pa.array([pack(d_code=code[n >= least], n=n[n >= least])], pa.binary())})
+        keys, of = np.unique(np.concatenate([p["d_key"].view(_U) for p in parts]), return_inverse=True)
+        counts = np.bincount(of, np.concatenate([p["n"] for p in parts]), len(keys)).astype(np.int64)
+        verdict = None
+        if level:
+            hints = np.zeros(len(keys), np.uint8)
+            np.maximum.at(hints, of, np.concatenate([p["hint"] for p in parts]))
+            verdict = verdicts(keys, counts, hints)
+        rows, begin = [], 0
+        for p in parts:
+            mine = of[begin : begin + len(p["d_key"])]
+            begin += len(mine)
+            rows.append(pack(n=_small(counts[mine]), **({} if verdict is None else {"verdict": verdict[mine]})))
+        n = len(rows)
+        return pa.table({"bucket": table["bucket"], "level": pa.array([level] * n, pa.int32()), "shard": table["shard"], "data": pa.array(rows, pa.binary())})
 
-    return docs.mapInArrow(count, "shard int, data binary").groupBy("shard").applyInArrow(total, "data binary")
+    return asked.groupBy("shard").applyInArrow(run, "bucket int, level int, shard int, data binary").repartition(buckets, "bucket")
 
 
-def _scored(docs: DataFrame, tree, buckets: int) -> DataFrame:
-    """(bucket, data): n_tokens and score (without rare words' counts) of the documents, packed."""
+def _totals(docs: DataFrame, shards: int) -> tuple[int, int]:
+    """Tokens (ends included) and distinct tokens of the training rows."""
 
-    def run(batches):
+    def count(batches):
         for batch in small_batches(batches):
             if not batch.num_rows:
                 continue
-            buf, offsets = utf8(batch["text"])
-            score, tokens = [], []
-            for _, _, b, o in chunks(buf, offsets):
+            found, n = [np.array([_END])], [np.array([batch.num_rows])]
+            for _, _, b, o in chunks(*utf8(batch["text"])):
                 low = LOWER[b]
-                starts, ends, at = words(low, o)
-                s, first = tree.value.symbols(low, starts, ends, at)
-                score.append(np.add.reduceat(tree.value.score(s), first - 1))
-                tokens.append(np.diff(at) + 1)
-            did = batch["did"].to_numpy()
-            table = pa.table({"did": batch["did"], "rank": batch["rank"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": np.concatenate(tokens), "score": np.concatenate(score)})
-            groups, rows = [], []
-            for g, at in split_by(id_groups(did, buckets)):
-                part = table.take(pa.array(at))
-                groups.append(g)
-                rows.append(pack(**{c: part[c] for c in part.column_names}))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "data"])
-
-    return docs.mapInArrow(run, "bucket int, data binary")
-
-
-def _collected(found: DataFrame, *columns: str) -> list[np.ndarray]:
-    """The packed columns of a level's entries, on the driver: at most ENTRY_BYTES / 2 entries."""
-    tables = [unpack(bytes(r["data"])) for r in found.select("data").collect()]
-    return [np.concatenate([t[c] for t in tables]) if tables else np.zeros(0, np.int64) for c in columns]
+                starts, ends, _ = words(low, o)
+                h, times = np.unique(span_hashes(prefix_sums(low), starts, ends), return_counts=True)
+                found.append(h)
+                n.append(times)
+            h = np.concatenate(found)
+            keys = np.unique(h)
+            tokens = sum(int(x.sum()) for x in n)
+            groups, rows = _requests(keys, (keys % _U(shards)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (len(rows) - 1), pa.int64()), pa.array(rows, pa.binary())], ["shard", "tokens", "data"])
 
+    def total(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpack(x)["d_key"] for x in table["data"].to_pylist()]))
+        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64())})
 
-def grow_tree(docs: DataFrame, names, counts, ends: int, tokens: int, distinct: int, shards: int, least: int) -> Tree:
-    """The finished tree over training rows (column ``text``), given their frequent words."""
-    tree = Tree(names, counts, ends, tokens, distinct)
-    for _ in range(DEPTH):
-        shared = docs.sparkSession.sparkContext.broadcast(tree)
-        tree.grow(*_collected(materialize(_phrases(docs, shared, shards, least), "phrases"), "d_code", "n"))
-    return tree.finish()
+    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary")
+    sums = rows.groupBy("shard").applyInArrow(total, "tokens long, keys long")
+    return sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -284,43 +249,27 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
 
     A document is held out if crc32 of its doc_id (as text; empty if null) modulo ``folds`` is ``held_out``; the others
     train. Null and empty texts have the end token only. Repeated rows train as often as they come and get a row each.
-    Without training rows all counts are zero and the tree has a root only, whose probabilities are the base's. The
-    score of a token is its discounted share in the longest kept context that it follows in training, else that
-    context's backoff weight times the score by the next shorter one; the root is the base.
+    Without training rows all counts are zero and the tree has a root only, whose probabilities are the base's. A token
+    is scored by the longest kept context before it in its document; each kept context mixes its counts with the
+    probability by the next shorter one, down to the root.
     """
-    rows, total = identified(docs)
-    rows = rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out)
-    shards, buckets = groups_for(total), groups_for(total)
-    least = max(2, -(-total // ENTRY_BYTES))
-    answers = materialize(_word_answers(_words(rows.drop("doc_id"), shards), buckets, least), "words")
-    names, counts = _collected(answers.where("kind = 1"), "word", "n")
-    vocabulary, train_words = answers.where("kind = 2").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    train = rows.where("NOT held_out").select("text")
-    ends = train.count()
-    tokens, distinct = train_words + ends, vocabulary + (ends > 0)
-    grown = grow_tree(train, names, counts, ends, tokens, distinct, shards, least)
-    tree = docs.sparkSession.sparkContext.broadcast(grown)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("did"), "doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out).alias("held_out"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = buckets = groups_for(size)
+    totals = tuple(map(int, _totals(rows, shards)))
+    dealt = packed_documents(rows, buckets).repartition(buckets, "bucket")
+    answers = None
+    for level in range(DEPTH + 1):
+        found = _answered(_asked(dealt, answers, level, shards, totals), level, buckets)
+        answers = found if answers is None else answers.unionByName(found)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not left.num_rows:
             return schema.empty_table()
-        docs_ = pa.concat_tables([unpack_table(x) for x in left["data"].to_pylist()])
-        parts = [unpack(x) for x in right["data"].to_pylist()]
-        here = np.stack([docs_["did"].to_numpy(), docs_["rank"].to_numpy()], axis=1)
-        there = [np.stack([p["d_did"], p["rank"]], axis=1) for p in parts]
-        _, inverse = np.unique(np.concatenate([here, *there]), axis=0, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        n = len(here)
-        size = int(inverse.max()) + 1
-        mine = inverse[:n]
-        copies = np.bincount(mine, minlength=size)[mine]  # rows equal in id and text share their answers
-        known, logs, rare = (np.bincount(inverse[n:], np.concatenate([p[c] for p in parts]) if parts else None, size)[mine] / copies for c in ("known", "logs", "rare"))
-        n_tokens = docs_["n_tokens"].to_numpy()
-        n_known = np.rint(known).astype(np.int64) + (ends > 0)
-        base = logs + np.log10(ends + 1) - n_tokens * np.log10(tokens + distinct + 1)
-        return pa.Table.from_arrays([docs_["doc_id"].cast(pa.int64()), docs_["held_out"], pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, tokens)), pa.array(base), pa.array(docs_["score"].to_numpy() + rare)], schema=schema)
-
-    scored = _scored(rows, tree, buckets)
-    words_ = answers.where("kind = 0").select(F.col("part").alias("bucket"), "data")
-    return scored.groupBy("bucket").cogroup(words_.groupBy("bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        tokens = _replayed(left, right, DEPTH + 1, shards, totals)[0]
+        per_doc = lambda x: np.add.reduceat(x[1:], tokens.first - 1)
+        n = len(tokens.count)
+        return pa.Table.from_arrays([tokens.docs["doc_id"].cast(pa.int64()), tokens.docs["held_out"], pa.array(tokens.count + 1), pa.array(per_doc(tokens.known.astype(np.int64))), pa.array(np.full(n, totals[0])), pa.array(per_doc(np.log10(tokens.base))), pa.array(per_doc(np.log10(tokens.p)))], schema=schema)
+
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

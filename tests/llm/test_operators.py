@@ -184,37 +184,37 @@ def test_scores(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def _brute_tree(texts, least):
-    """(log10 probability of a token after the tokens before it, vocabulary) by plain dictionaries."""
+def _brute_tree(texts, depth=suffix_tree.DEPTH):
+    """(probability of a token after the tokens before it, vocabulary, training tokens) by plain dictionaries."""
     end, c, grams = "\0end", Counter(), Counter()
     for t in texts:
         s = [end, *t, end]
         c.update(s[1:])
         for i in range(1, len(s)):
-            grams[tuple(s[i - 1 : i + 1])] += 1
-            if i > 1:
-                grams[tuple(s[i - 2 : i + 1])] += 1
-    often = {w for w in c if c[w] >= least or w == end}
-    kept = {g: n for g, n in grams.items() if n >= least and set(g) <= often}
+            for k in range(1, min(i, depth) + 1):
+                grams[tuple(s[i - k : i + 1])] += 1
     total, size = sum(c.values()), sum(c.values()) + len(c) + 1
-    of = lambda g: c[g[0]] if len(g) == 1 else grams[g]
-    share = lambda g: (c[g[0]] + 1) / size if len(g) == 1 else of(g) / of(g[:-1])
     after = {}
-    for g in kept:
+    for g in grams:
         after.setdefault(g[:-1], []).append(g)
-    good = {x for x, gs in after.items() if sum(kept[g] * math.log(of(g) / of(x) / share(g[1:])) for g in gs) >= suffix_tree.LEAST_DIVERGENCE}
-    good |= {x[1:] for x in good if len(x) == 2}
+    single = lambda x: len(after.get(x, ())) == 1 and sum(grams[g] for g in after[x]) >= suffix_tree.LEAST
+    asked = lambda x: sum(grams[g] for g in after.get(x, ())) >= suffix_tree.LEAST and not any(single(x[j:]) for j in range(1, len(x)))
+    kept = {}
+
+    def keeps(x):
+        if x not in kept:
+            n = sum(grams[g] for g in after.get(x, ()))
+            hint = lambda g: (min(max(round(8 * math.log(n * p(g[1:]))) + 165, 0), 254) - 165) / 8
+            kept[x] = asked(x) and sum(grams[g] * (math.log(grams[g]) - hint(g)) for g in after[x]) >= suffix_tree.LEAST_DIVERGENCE
+        return kept[x]
 
     def p(g):
         if len(g) == 1:
             return (c[g[0]] + 1) / size
-        x = g[:-1]
-        if x not in good:
-            return p(g[1:])
-        if g in kept:
-            return (kept[g] - suffix_tree.DISCOUNT) / of(x)
-        seen = after[x]
-        return (1 - sum(p(k) for k in seen)) / (1 - sum(p(k[1:]) for k in seen)) * p(g[1:])
+        x, low = g[:-1], p(g[1:])
+        if not keeps(x):
+            return low
+        return (grams[g] + suffix_tree.PRIOR * low) / (sum(grams[k] for k in after[x]) + suffix_tree.PRIOR)
 
     return p, [*c, "\0unseen"], total
 
@@ -224,17 +224,29 @@ def test_scores_equal_a_brute_force_tree_that_beats_the_base(spark):
     tokens = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     rows = {r.doc_id: tokens(r.text) for r in docs.collect()}
     held = {i for i in rows if zlib.crc32(str(i).encode()) % 7 == 2}
-    p, vocabulary, total = _brute_tree([t for i, t in rows.items() if i not in held], 2)
-    for context in (("\0end",), ("the",), *[tuple(t[:2]) for t in list(rows.values())[:5] if len(t) > 1]):
-        assert math.isclose(sum(p((*context, w)) for w in vocabulary), 1, abs_tol=1e-9)
+    p, vocabulary, total = _brute_tree([t for i, t in rows.items() if i not in held])
+    for context in (("\0end",), ("the",), *[tuple(t[:k]) for k, t in enumerate(list(rows.values())[:5], 1) if len(t) > k]):
+        assert math.isclose(sum(p((*context[-4:], w)) for w in vocabulary), 1, abs_tol=1e-9)
     got = suffix_tree.score_documents(docs).collect()
     assert sum(r.score - r.base_score for r in got if r.held_out) > 0
-    for r in got[:60]:
+    for r in got:
         s = ["\0end", *rows[r.doc_id], "\0end"]
-        want = sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(1, len(s)))
+        want = sum(math.log10(p(tuple(s[max(0, i - suffix_tree.DEPTH) : i + 1]))) for i in range(1, len(s)))
         assert r.train_tokens == total and math.isclose(r.score, want, rel_tol=1e-6), r.doc_id
 
 
+def test_a_score_depends_on_no_table_size(spark):
+    """Rows with words of their own change the root's size only: the counts of each context stay what they were."""
+    rows = [(i, f"alpha beta gamma delta epsilon {'zeta' if i % 3 else 'eta'} theta iota") for i in range(40)]
+    more = [(1000 + i, " ".join(f"x{i}y{j}" for j in range(2000))) for i in range(60)]
+    score = lambda data: {r.doc_id: r for r in suffix_tree.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    a, b = score(rows), score(rows + more)
+    prior = suffix_tree.PRIOR / (suffix_tree.PRIOR + 20)
+    for i in range(40):
+        # a larger root can take from the prior's share only, at most as much as it took from the base
+        assert 0 <= a[i].score - b[i].score <= (a[i].base_score - b[i].base_score) * prior * 2
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_raked_margins_meet_their_targets(spark, few):
     data = [(f"s{i}", f"l{j}", f"t{k}", 10 + 7 * i + 3 * j * k) for i in range(4) for j in range(3) for k in range(2)]
