@@ -84,7 +84,7 @@ class Tokens:
         self.expected = self.final.copy()  # and it is the word here
 
     def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
-        """(keys, a place of each, the key of each place, shard of each key) of level k; places count from ``places``."""
+        """(keys, the key of each of ``places``, shard of each key) of level k, the same in whatever order documents come."""
         at = np.arange(k, len(self.symbols))
         code = np.zeros(len(self.symbols), _U)
         code[at] = mix(self.code[at] * _U(0x9E3779B97F4A7C15) + self.symbols[at - k] + _U(k))
@@ -92,15 +92,18 @@ class Tokens:
         self.places = places = np.flatnonzero((self.before >= LEAST) & ~self.final & (self.behind >= k))
         context, word = self.code[places], self.symbols[places]
         part = word % (self.before[places] // MANY + 1).astype(_U)
-        keys, where, of = np.unique((context >> _WORD_BITS << _WORD_BITS) | (word >> (_U(64) - _WORD_BITS)), return_index=True, return_inverse=True)
-        shard = (mix(context[where] + part[where] * _U(0xD6E8FEB86659FD93)) % _U(shards)).astype(np.int32)
-        return keys, where, of, shard
-
-    def hints(self, where: np.ndarray) -> np.ndarray:
-        """Expected counts of the pairs at some of the places asked for, as bytes."""
-        at = self.places[where]
+        keys, of = np.unique((context >> _WORD_BITS << _WORD_BITS) | (word >> (_U(64) - _WORD_BITS)), return_inverse=True)
+        shard = np.full(len(keys), shards, np.int32)  # two contexts of one key are asked for as one
+        np.minimum.at(shard, of, (mix(context + part * _U(0xD6E8FEB86659FD93)) % _U(shards)).astype(np.int32))
+        return keys, of, shard
+
+    def hints(self, of: np.ndarray, n: int) -> np.ndarray:
+        """Expected counts of the n pairs asked for, as bytes."""
+        at = self.places
         byte = np.clip(np.rint(_STEPS * np.log(self.before[at] * self.p[at])) + _LEAST_LOG, 0, _KEEP - 1)
-        return np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8)
+        out = np.zeros(n, np.uint8)
+        np.maximum.at(out, of, np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8))
+        return out
 
     def learn(self, counts: np.ndarray, verdict: np.ndarray) -> None:
         """Take in the answers for the places asked for and move on to the next level."""
@@ -152,10 +155,10 @@ def _replayed(left: pa.Table, right: pa.Table | None, level: int, shards: int, t
         return tokens, keys, shard, {"n": _small(np.bincount(of, tokens.train, len(keys)).astype(np.int64))}
     tokens.start(_aligned(answers[0], shard, "n")[of], *totals)
     for k in range(1, min(level, DEPTH) + 1):
-        keys, where, of, shard = tokens.ask(k, shards)
+        keys, of, shard = tokens.ask(k, shards)
         if k == level:
             n = np.bincount(of, tokens.train[tokens.places], len(keys)).astype(np.int64)
-            return tokens, keys, shard, {"n": _small(n), "hint": tokens.hints(where)}
+            return tokens, keys, shard, {"n": _small(n), "hint": tokens.hints(of, len(keys))}
         parts = answers.get(k, {})
         tokens.learn(_aligned(parts, shard, "n")[of], _aligned(parts, shard, "verdict")[of])
     return tokens, keys, shard, {}
