@@ -1,181 +1,294 @@
-"""Benchmark decontamination: suffix arrays of training text, binary-searched with every benchmark suffix."""
+"""Benchmark decontamination: suffix arrays of the training text, searched with every suffix of the benchmark.
+
+The corpus is cut into shards of whole documents. A shard's suffix array orders all its word positions by the WINDOW words
+that begin there; every benchmark suffix is looked up in it by binary search. Words are compared by 64-bit hashes first;
+what is found is then compared by its text. A benchmark of one block is sent to the tasks that build the arrays; for a
+larger one the arrays are written once and each block searches them, one after the other.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from momentlens.llm.shared import identified
-from momentlens.llm.text import ALNUM, LOWER, chunks, gram_hashes, prefix_sums, span_hashes, utf8, words
+from momentlens.llm.shared import materialize, pack, unpack_table
+from momentlens.llm.text import ALNUM, LOWER, chunks, prefix_sums, span_hashes, utf8, words
 
 WINDOW = 10
-#: Suffixes are entered into a shard's suffix array if their first words (this many, or a whole shorter window) begin a window.
-SEED_WORDS = 3
-#: A block of benchmark texts that is sent to every task; a larger benchmark is searched block by block.
-BLOCK_BYTES = 4 << 20
-_MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("length", T.LongType())]))
+#: Text of a shard, and of a block of the benchmark that is sent to every task.
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
+_NONE = np.zeros(0, np.int64)
+_MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])
+_MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("item_start", "doc_start", "length")]]))
+
+
+def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs (a[i], b[i])."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
 
+class Text:
+    """The words of some texts: their bytes in lower case, their hashes, and where each text begins and ends."""
 
-def _hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = LOWER[buf]
-    starts, ends, at = words(low, offsets, ALNUM)
-    return span_hashes(prefix_sums(low), starts, ends) | np.uint64(1), at
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        self.low = LOWER[buf]
+        self.starts, self.ends, self.at = words(self.low, offsets, ALNUM)
+        self.hashes = span_hashes(prefix_sums(self.low), self.starts, self.ends)
+        self.count = np.diff(self.at)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        self.left = self.at[1:][self.doc] - np.arange(len(self.doc))  # words to the end of the text
 
+    def words(self, at: int, n: int) -> list[bytes]:
+        return [self.low[a:b].tobytes() for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)]
 
-def _rows(h: np.ndarray, at: np.ndarray, limit: np.ndarray, width: int) -> np.ndarray:
-    """Byte strings that sort as the word sequences h[at : min(at + width, limit)]."""
-    out = np.zeros((len(at), width), ">u8")
-    for j in range(width):
-        ok = at + j < limit
-        out[ok, j] = h[at[ok] + j]
-    return out.view(f"S{8 * width}").reshape(-1)
+    def suffix_array(self, depth: int = WINDOW) -> np.ndarray:
+        """All word positions in the order of the hashes of the ``depth`` words from there to the text's end."""
+        ranks, k = np.unique(self.hashes, return_inverse=True)[1] + 1, 1
+        while k < depth:
+            step = min(k, depth - k)
+            after = np.zeros(len(ranks), np.int64)
+            inside = np.flatnonzero(self.left > step)
+            after[inside] = ranks[inside + step]
+            ranks = _ranks(ranks, after) + 1
+            k += step
+        return np.argsort(ranks, kind="stable")
 
 
 class TestSuffixes:
-    """The suffixes of benchmark items, each with its first window as the string to search for."""
+    """The suffixes of a block of items, each with the window that it begins with; equal windows are searched once."""
 
     __test__ = False
 
     def __init__(self, ids: list[str], texts: pa.Array):
-        h, at = _hashed_words(*utf8(texts))
-        n = np.diff(at)
-        item, start, length = [], [], []
-        for i in np.flatnonzero(n).tolist():
-            w = min(WINDOW, int(n[i]))
-            count = int(n[i]) - w + 1
-            item.append(np.full(count, i))
-            start.append(np.arange(count))
-            length.append(np.full(count, w))
-        none = np.zeros(0, np.int64)
-        self.ids = ids
-        self.item, self.start, self.length = (np.concatenate(x) if x else none for x in (item, start, length))
-        begin = at[:-1][self.item] + self.start if len(self.item) else none
-        self.low = _rows(h, begin, begin + self.length, WINDOW)
-        high = _rows(h, begin, begin + self.length, WINDOW).view(np.uint8).reshape(-1, 8 * WINDOW).copy()
-        for w in np.unique(self.length).tolist():
-            high[self.length == w, 8 * w :] = 255
-        self.high = high.view(f"S{8 * WINDOW}").reshape(-1)
-        #: seeds by length: hashes of the first words of all windows
-        self.seeds = {}
-        for k in range(1, SEED_WORDS + 1):
-            mine = begin[(self.length == k) | (self.length >= SEED_WORDS) & (k == SEED_WORDS)]
-            grams = gram_hashes(h, k)
-            if len(mine):
-                self.seeds[k] = np.unique(grams[mine])
-
-    def matches(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, item, item start, document start, length) of the longest verbatim matches in a shard."""
-        none = (np.zeros(0, np.int64),) * 5
-        found = []
-        for k, seeds in self.seeds.items():
-            grams = gram_hashes(h, k)
-            slot = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-            found.append(np.flatnonzero(seeds[slot] == grams))
-        where = np.unique(np.concatenate(found)) if found else none[0]
-        if not len(where):
-            return none
-        doc = np.searchsorted(at, where, "right") - 1
-        keys = _rows(h, where, at[doc + 1], WINDOW)
-        order = np.argsort(keys, kind="stable")  # the shard's suffix array
-        where, doc, keys = where[order], doc[order], keys[order]
-        lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        self.ids = sorted({x or "" for x in ids})
+        number = {x: i for i, x in enumerate(self.ids)}
+        self.text = Text(*utf8(texts))
+        size = np.minimum(self.text.count, WINDOW)[self.text.doc]
+        place = np.flatnonzero(self.text.left >= size)
+        length = size[place]
+        keys = np.zeros((len(place), WINDOW + 1), np.uint64)
+        keys[:, WINDOW] = length
+        for j in range(WINDOW):
+            some = length > j
+            keys[some, j] = self.text.hashes[place[some] + j]
+        item = np.array([number[x or ""] for x in ids], np.int64)[self.text.doc[place]] if len(place) else _NONE
+        order = np.lexsort((place, item))  # the first place of a window is in the least item
+        where, of = np.unique(keys[order], axis=0, return_index=True, return_inverse=True)[1:] if len(place) else (_NONE, _NONE)
+        self.keys, self.length = keys[order][where, :WINDOW], length[order][where]
+        self.place, self.item = place[order][where], item[order][where]
+        self.start = self.place - self.text.at[self.text.doc[self.place]]
+        #: the items of each window
+        pairs = np.unique(of.reshape(-1) * max(1, len(self.ids)) + item[order]) if len(place) else _NONE
+        window = pairs // max(1, len(self.ids))
+        self.item_of, self.items_at = pairs % max(1, len(self.ids)), np.searchsorted(window, np.arange(len(self.place) + 1))
+
+    def _bound(self, text: Text, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, upper: bool) -> np.ndarray:
+        """Binary search of all windows at once: the first suffix not below (or, ``upper``, above) each window."""
+        lo, hi = lo.copy(), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            at = order[mid]
+            below = np.zeros(len(live), bool)
+            open_ = np.arange(len(live))
+            for j in range(WINDOW):
+                want = self.length[live[open_]] > j
+                if upper:
+                    below[open_[~want]] = True  # the window is a prefix of the suffix
+                open_ = open_[want]
+                short = text.left[at[open_]] <= j  # the suffix is a prefix of the window
+                below[open_[short]] = True
+                open_ = open_[~short]
+                if not len(open_):
+                    break
+                mine, theirs = text.hashes[at[open_] + j], self.keys[live[open_], j]
+                below[open_[mine < theirs]] = True
+                open_ = open_[mine == theirs]
+            else:
+                if upper:
+                    below[open_] = True
+            lo[live[below]] = mid[below] + 1
+            hi[live[~below]] = mid[~below]
+            live = live[lo[live] < hi[live]]
+        return lo
+
+    def occurrences(self, text: Text, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, word position) of every occurrence of every window in a shard, by its suffix array."""
+        if not len(order) or not len(self.place):
+            return _NONE, _NONE
+        heads = text.hashes[order]  # sorted: the first words of the suffixes
+        lo, hi = np.searchsorted(heads, self.keys[:, 0], "left"), np.searchsorted(heads, self.keys[:, 0], "right")
+        lo, hi = self._bound(text, order, lo, hi, False), self._bound(text, order, lo, hi, True)
         n = hi - lo
-        q = np.repeat(np.arange(len(n)), n)
-        if not len(q):
-            return none
-        p = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + lo[q]
-        doc, item, start, at_doc, length = doc[p], self.item[q], self.start[q], where[p] - at[doc[p]], self.length[q]
+        window = np.repeat(np.arange(len(n)), n)
+        at = order[np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + lo[window]]
+        if len(window):  # by the text: each place against the window's own place in the benchmark
+            same = np.ones(len(window), bool)
+            for j in range(WINDOW):
+                some = np.flatnonzero(self.length[window] > j)
+                p, q = at[some] + j, self.place[window[some]] + j
+                size = text.ends[p] - text.starts[p]
+                equal = size == self.text.ends[q] - self.text.starts[q]
+                total = int(size[equal].sum())
+                step = np.arange(total) - np.repeat(np.cumsum(size[equal]) - size[equal], size[equal])
+                a = text.low[np.repeat(text.starts[p[equal]], size[equal]) + step]
+                b = self.text.low[np.repeat(self.text.starts[q[equal]], size[equal]) + step]
+                wrong = np.unique(np.repeat(np.flatnonzero(equal), size[equal])[a != b])
+                equal[wrong] = False
+                same[some[~equal]] = False
+            window, at = window[same], at[same]
+        return window, at
+
+    def search(self, text: Text, order: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(words hit in each text, its longest verbatim matches, its items in order of their ids).
+
+        A match is named by the least item that holds its windows; items that share them are among the items.
+        """
+        docs = len(text.count)
+        window, at = self.occurrences(text, order)
+        step = np.zeros(len(text.doc) + 1, np.int64)
+        np.add.at(step, at, 1)
+        np.add.at(step, at + self.length[window], -1)
+        hits = np.bincount(text.doc[np.cumsum(step[:-1]) > 0], minlength=docs)
         # windows that follow each other in both texts are one longer match
-        order = np.lexsort((start, at_doc - start, item, doc))
-        doc, item, start, at_doc, length = (x[order] for x in (doc, item, start, at_doc, length))
+        doc, item, start, there = text.doc[at], self.item[window], self.place[window], at - text.at[text.doc[at]]
+        by = np.lexsort((start, there - start, item, doc))
+        doc, item, start, there, length = doc[by], item[by], start[by], there[by], self.length[window][by]
         new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(at_doc - start) != 0) | (np.diff(start) != 1)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(there - start) != 0) | (np.diff(start) != 1)
         begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(new)))
-        return doc[begin], item[begin], start[begin], at_doc[begin], length[begin] + count - 1
+        length = length[begin] + np.diff(np.append(begin, len(new))) - 1
+        doc, item, start, there = doc[begin], item[begin], start[begin], there[begin]
+        ids = pa.array(self.ids, pa.string())
+        matches = pa.StructArray.from_arrays([ids.take(pa.array(item)), pa.array(start - self.text.at[self.text.doc[start]]), pa.array(there), pa.array(length)], fields=list(_MATCH))
+        at_doc = lambda x: pa.array(np.searchsorted(x, np.arange(docs + 1)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(at_doc(doc), matches)
+        # items: of the distinct windows of each text
+        width = max(1, len(self.place))
+        pair = np.unique(text.doc[at] * width + window)
+        n = (self.items_at[1:] - self.items_at[:-1])[pair % width]
+        item = self.item_of[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.items_at[pair % width], n)]
+        pair = np.unique(np.repeat(pair // width, n) * max(1, len(self.ids)) + item)
+        return hits, lists, pa.ListArray.from_arrays(at_doc(pair // max(1, len(self.ids))), ids.take(pa.array(pair % max(1, len(self.ids)))))
 
 
-def _search(docs: DataFrame, block, passed: list[T.StructField]) -> DataFrame:
-    """The columns of ``docs``, n_words and matches, for one block of the benchmark."""
-    schema = T.StructType([*passed, T.StructField("n_words", T.LongType()), T.StructField("matches", _MATCH)])
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())]))
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text) and the number of blocks."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-total // BLOCK_BYTES))
+
+
+def _block(items: DataFrame, n: int, i: int):
+    """The i-th of n blocks, broadcast: at most BLOCK_BYTES of text or so."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+    return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _found_in(batch, tests: TestSuffixes) -> tuple[list, list, list, list]:
+    counts, hits, matches, ids = [], [], [], []
+    for _, _, b, o in chunks(*utf8(batch["text"]), SHARD_BYTES):
+        text = Text(b, o)
+        found = tests.search(text, text.suffix_array())
+        counts.append(text.count)
+        for into, x in zip((hits, matches, ids), found, strict=True):
+            into.append(x)
+    return counts, hits, matches, ids
+
+
+def _searched(docs: DataFrame, block, passed: list[str]) -> DataFrame:
+    """``passed`` columns of ``docs`` (which has ``text``) with n_words, n_hit, matches and item_ids, for one block."""
+    fields = [docs.schema[c] for c in passed]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", _MATCHES), T.StructField("item_ids", T.ArrayType(T.StringType()))])
 
     def run(batches):
         tests = TestSuffixes(block.value[0], pa.array(block.value[1], pa.string()))
-        ids = pa.array([x or "" for x in tests.ids], pa.string())
         for batch in batches:
-            buf, offsets = utf8(batch["text"])
-            total, parts = [], []
-            for first, _, b, o in chunks(buf, offsets):
-                h, at = _hashed_words(b, o)
-                total.append(np.diff(at))
-                doc, *rest = tests.matches(h, at)
-                parts.append((doc + first, *rest))
-            doc, item, start, at_doc, length = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
-            per_doc = np.zeros(batch.num_rows + 1, np.int32)
-            per_doc[1:] = np.cumsum(np.bincount(doc, minlength=batch.num_rows))
-            rows = pa.StructArray.from_arrays([ids.take(pa.array(item)), pa.array(start), pa.array(at_doc), pa.array(length)], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(per_doc), rows)
-            n = pa.array(np.concatenate(total) if total else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, n, lists], [*batch.schema.names, "n_words", "matches"])
+            if not batch.num_rows:
+                continue
+            counts, hits, matches, ids = _found_in(batch, tests)
+            columns = [pa.array(np.concatenate(counts)), pa.array(np.concatenate(hits)), pa.concat_arrays(matches), pa.concat_arrays(ids)]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in passed], *columns], [*passed, "n_words", "n_hit", "matches", "item_ids"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """Benchmark blocks of bounded size, broadcast one after the other."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
+def _arrays(rows: DataFrame) -> DataFrame:
+    """(data) of (row, text, order): the written suffix arrays of (row, text), a shard a row."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, b, o in chunks(*utf8(batch["text"]), SHARD_BYTES):
+                order = Text(b, o).suffix_array().astype(np.int64)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array([pack(row=part["row"], text=part["text"])], pa.binary()), pa.array([pack(order=order)], pa.binary())], ["docs", "arrays"])
+
+    return materialize(rows.select("row", "text").mapInArrow(run, "docs binary, arrays binary"), "suffix-arrays")
+
+
+def _by_block(arrays: DataFrame, block) -> DataFrame:
+    """(row, matches, item_ids) of the texts that hold something of a block, written."""
+
+    def run(batches):
+        tests = TestSuffixes(block.value[0], pa.array(block.value[1], pa.string()))
+        for batch in batches:
+            for docs, data in zip(batch["docs"].to_pylist(), batch["arrays"].to_pylist(), strict=True):
+                table = unpack_table(docs)
+                text = Text(*utf8(table["text"]))
+                hits, matches, ids = tests.search(text, unpack_table(data)["order"].to_numpy())
+                some = pa.array(np.flatnonzero(hits))
+                yield pa.RecordBatch.from_arrays([table["row"].combine_chunks().take(some), matches.take(some), ids.take(some)], ["row", "matches", "item_ids"])
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("matches", _MATCHES), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    return materialize(arrays.mapInArrow(run, schema), "contaminated")
+
+
+def _all_blocks(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(row, matches, item_ids) of the texts that hold something of the benchmark: a block at a time over written arrays."""
+    arrays, parts = _arrays(rows), []
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else items.collect()
-        yield docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])), n
+        block = _block(items, n, i)
+        parts.append(_by_block(arrays, block))
+        block.unpersist()
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
 
 
-def _digest(found: DataFrame) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated from the matches."""
-    spans = "array_sort(transform(matches, m -> struct(m.doc_start AS a, m.doc_start + m.length AS b)))"
-    hit = f"aggregate({spans}, struct(0L AS n, 0L AS till), (s, m) -> struct(s.n + greatest(0L, m.b - greatest(m.a, s.till)) AS n, greatest(s.till, m.b) AS till)).n"
-    return found.withColumn("n_hit", F.expr(hit)).withColumn("item_ids", F.expr("array_sort(array_distinct(transform(matches, m -> m.item_id)))"))
+_SPANS = "array_sort(transform(matches, m -> struct(m.doc_start AS a, m.doc_start + m.length AS b)))"
+_HIT = f"aggregate({_SPANS}, struct(0L AS n, 0L AS till), (s, m) -> struct(s.n + greatest(0L, m.b - greatest(m.a, s.till)) AS n, greatest(s.till, m.b) AS till)).n"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches for every row of ``docs``.
 
-    Null and empty texts have no words. An item with fewer than WINDOW words is one window, one without words none.
-    An item without item_id counts under the empty id; items that share an id are one item. ``matches`` holds the
-    longest verbatim matches: item, its start word, the document's start word and the words that agree.
+    Null and empty texts have no words; repeated rows get a row each. An item with fewer than WINDOW words is one window,
+    one without words none; an empty benchmark finds nothing. An item without item_id counts under the empty id; items
+    that share an id are one item. ``matches`` holds the longest verbatim matches, each named by the least item that has
+    it: the item, its start word, the document's start word and the words that agree. Texts are searched whole.
     """
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType())]
-    parts = list(_blocks(docs, benchmark))
-    if len(parts) == 1:
-        found = _search(docs.select("doc_id", F.col("text").cast("string").alias("text")), parts[0][0], fields)
+    items, n = _items(benchmark)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if n == 1:
+        found = _searched(rows, _block(items, 1, 0), ["doc_id"])
     else:
-        rows, _ = identified(docs)
-        rows = rows.withColumn("copy", F.row_number().over(_copies()))
-        fields = [T.StructField(c, rows.schema[c].dataType) for c in rows.columns]
-        every = [_search(rows, b, fields).drop("text") for b, _ in parts]
-        union = every[0]
-        for more in every[1:]:
-            union = union.unionByName(more)
-        found = union.groupBy("did", "rank", "copy").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return _digest(found).select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
-
-
-def _copies():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("did", "rank").orderBy(F.lit(1))
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        counted = _searched(rows, _block(items.limit(0), 1, 0), ["row", "doc_id"]).select("row", "doc_id", "n_words")
+        found = counted.join(_all_blocks(rows, items, n), "row", "left").withColumns({"matches": F.coalesce("matches", F.array().cast(_MATCHES)), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))}).withColumn("n_hit", F.expr(_HIT))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with their columns; no shuffle, whatever the benchmark's size."""
+    """The rows of ``docs`` without any benchmark window, with their columns; whatever these are called, none clashes."""
     names = docs.columns
     inner = [f"c{i}" if c != "text" else "text" for i, c in enumerate(names)]
-    kept = docs.toDF(*inner)
-    for block, _ in _blocks(docs, benchmark):
-        kept = _search(kept, block, list(kept.schema.fields)).where(F.size("matches") == 0).select(*inner)
-    return kept.toDF(*names)
+    items, n = _items(benchmark)
+    renamed = docs.toDF(*inner)
+    if n == 1:
+        return _searched(renamed, _block(items, 1, 0), inner).where("n_hit = 0").select(*inner).toDF(*names)
+    rows = materialize(renamed.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.join(_all_blocks(rows, items, n), "row", "left_anti").select(*inner).toDF(*names)

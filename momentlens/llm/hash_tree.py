@@ -1,4 +1,4 @@
-"""Sharding by a hierarchical weighted hash tree of regions, racks and shards."""
+"""Sharding by a hierarchical weighted hash tree: region, then rack, then shard, by a weighted hash draw at each level."""
 
 from __future__ import annotations
 
@@ -7,77 +7,105 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A shard's place in the tree is fixed by its number, so that a new shard joins the last rack or opens a new one.
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
+#: Rows of a shard are ordered inside this many buckets, so that no task sorts a whole shard.
+ORDER_BUCKETS = 1024
+#: Copies of one row (equal in id and text) are written out in runs of at most this many.
+_RUN = 1_000_000
 
+#: regions -> racks -> (shard, weight)
+Tree = list[list[list[tuple[int, float]]]]
 
-def tree(weights: Sequence[float]) -> list[list[list[tuple[int, float]]]]:
-    """regions -> racks -> (shard, weight), in order of shard numbers; shards of weight 0 get nothing."""
-    regions: list[list[list[tuple[int, float]]]] = []
+
+def tree(weights: Sequence[float], planned: int | None = None) -> Tree:
+    """The tree of shards 0, 1, ...: the first ``planned`` (all, if not given) fill racks and regions in order.
+
+    Each later shard opens a region of its own. A key that it takes is taken at the top, so no other key moves.
+    """
+    planned = len(weights) if planned is None else planned
+    regions: Tree = []
     for shard, weight in enumerate(weights):
-        rack = shard // SHARDS_PER_RACK
-        region = rack // RACKS_PER_REGION
-        while len(regions) <= region:
-            regions.append([])
-        while len(regions[region]) <= rack % RACKS_PER_REGION:
-            regions[region].append([])
-        regions[region][rack % RACKS_PER_REGION].append((shard, float(weight)))
+        leaf = (shard, float(weight))
+        if shard >= planned:
+            regions.append([[leaf]])
+        elif shard % (RACKS_PER_REGION * SHARDS_PER_RACK) == 0:
+            regions.append([[leaf]])
+        elif shard % SHARDS_PER_RACK == 0:
+            regions[-1].append([leaf])
+        else:
+            regions[-1][-1].append(leaf)
     return regions
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential draw of rate ``weight`` from a hash of the key and the shard."""
-    unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{shard}")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return F.struct((-F.log(unit) / F.lit(weight)).alias("draw"), F.lit(shard).alias("shard"))
+def _chosen(key: Column, name: str, weights: Sequence[float]) -> Column:
+    """The number of the child with the least exponential draw of its weight; a child's draw is its own, by its name."""
+    draws = []
+    for i, w in enumerate(weights):
+        if w > 0:
+            unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{name}/{i}")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+            draws.append(F.struct((-F.log(unit) / F.lit(w)).alias("draw"), F.lit(i).alias("child")))
+    return (F.least(*draws) if len(draws) > 1 else draws[0])["child"]
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _descend(key: Column, name: str, node, depth: int) -> Column:
+    """The shard that a key reaches below a node; only the branch chosen is evaluated."""
+    total = lambda x: x[1] if isinstance(x, tuple) else sum(map(total, x))
+    if isinstance(node, tuple):
+        return F.lit(node[0])
+    live = [i for i, x in enumerate(node) if total(x) > 0]
+    below = {i: _descend(key, f"{name}/{i}", node[i], depth + 1) for i in live}
+    if len(live) == 1:
+        return below[live[0]]
+
+    def branch(child: Column) -> Column:
+        out = F.when(child == live[0], below[live[0]])
+        for i in live[1:]:
+            out = out.when(child == i, below[i])
+        return out
+
+    return _bound(_chosen(key, name, [total(x) for x in node]), branch)
 
 
-def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The shard reached by descending region, rack and shard by least draw.
+def shard_of(key: Column, weights: Sequence[float], planned: int | None = None) -> Column:
+    """The shard reached from the root through a region and a rack.
 
-    A node's draw is the least of the draws below it, which is an exponential draw of the node's whole weight. So a
-    level is entered in proportion to its weight; a change of weight moves only keys that enter or leave the subtree
-    it lies in, and a new shard takes keys into itself and moves no other.
+    A node is drawn in proportion to the sum of the weights below it. A change of weights moves keys only among the
+    children of nodes whose shares change: one that leaves a rack's sum as it is moves keys inside that rack only.
     """
-    level = lambda nodes: nodes[0] if len(nodes) == 1 else F.least(*nodes)
-    regions = []
-    for region in tree(weights):
-        racks = [level([_draw(key, s, w) for s, w in rack if w > 0]) for rack in region if any(w > 0 for _, w in rack)]
-        if racks:
-            regions.append(level(racks))
-    if not regions:
+    nodes = tree(weights, planned)
+    if not sum(w for region in nodes for rack in region for _, w in rack):
         raise ValueError("no shard has a weight above 0")
-    return level(regions)["shard"]
+    return _descend(key, "tree", nodes, 0)
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, order_buckets: int | None = None) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, planned: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
-    The doc_id decides the shard (rows without one share a shard). Size is the text's bytes plus 8; a null text has no
-    bytes and the checksum of an empty text. Slots number a shard's rows without gaps: rows are numbered inside
-    (shard, bucket) and buckets are shifted by the rows before them, so no task sorts a whole shard. Repeated rows get
-    slots of their own. ``grown_shard`` is the shard with one shard of mean weight more.
+    The law is ``key``: doc_id and the number of shards decide (rows without doc_id share a shard). The first
+    ``planned`` shards (all, if not given) fill the tree; later ones stand beside it. ``grown_shard`` is the shard
+    with one more of mean weight: the same, or the new one. Size is the text's bytes plus 8; a null text has no bytes
+    and the checksum of an empty text. Slots number a shard's rows without gaps, ordered by bucket, doc_id, size and
+    checksum whatever the session's settings; equal rows get slots of their own, as many as there are. They are counted
+    before the shuffle, so copies of one row don't meet in one task; a bucket's offset is the sum of the buckets before.
     """
     weights = list(weights or [1.0] * shards)
+    planned = len(weights) if planned is None else planned
     grown = [*weights, sum(weights) / len(weights)]
-    buckets = order_buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col("doc_id").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.lit("key").alias("law"),
-        shard_of(F.coalesce(key, F.lit("")), weights).cast("int").alias("shard"),
-        shard_of(F.coalesce(key, F.lit("")), grown).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.coalesce(key, F.lit("")), F.lit("slot"), text_salt(text)), F.lit(buckets)).cast("int").alias("_bucket"),
-    )
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "text_crc32")
-    placed = rows.withColumn("_at", F.row_number().over(inside).cast("long") - 1)
-    return placed.join(before, ["shard", "_bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
-
-
-def text_salt(text: Column) -> Column:
-    """Spreads rows of one repeated or missing id over the buckets."""
-    return F.crc32(text.cast("binary"))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    bucket = F.pmod(F.xxhash64(key, F.lit("slot"), "text_crc32"), F.lit(ORDER_BUCKETS)).cast("int")
+    placed = rows.withColumns({"shard": shard_of(key, weights, planned).cast("int"), "grown_shard": shard_of(key, grown, planned).cast("int"), "bucket": bucket})
+    inside = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    counts = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
+    before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
+    first = placed.withColumn("at", F.sum("copies").over(inside) - F.col("copies")).join(before, ["shard", "bucket"])
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(_RUN))))
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + _RUN, F.col("copies")) - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard")

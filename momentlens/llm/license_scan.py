@@ -32,6 +32,96 @@ SENTENCES = {
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
+# Licences by identifier, with the names that notices call them by (normalised).
+NAMES = {
+    "0BSD": ("bsd zero clause license", "zero clause bsd license"),
+    "AFL-3.0": ("academic free license version 3 0", "academic free license 3 0"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3 0", "agpl 3 0", "agplv3"),
+    "APSL-2.0": ("apple public source license version 2 0", "apple public source license 2 0"),
+    "Apache-1.1": ("apache software license version 1 1",),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
+    "Artistic-1.0": ("artistic license 1 0",),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license", "2 clause bsd license", "freebsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "new bsd license", "modified bsd license", "3 clause bsd license"),
+    "BSD-4-Clause": ("bsd 4 clause license", "original bsd license", "4 clause bsd license"),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "BlueOak-1.0.0": ("blue oak model license 1 0 0",),
+    "CC-BY-3.0": ("creative commons attribution 3 0 unported license", "cc by 3 0"),
+    "CC-BY-4.0": ("creative commons attribution 4 0 international license",),
+    "CC-BY-NC-4.0": ("creative commons attribution noncommercial 4 0 international license",),
+    "CC-BY-NC-ND-4.0": ("creative commons attribution noncommercial noderivatives 4 0 international license", "cc by nc nd 4 0"),
+    "CC-BY-NC-SA-4.0": ("creative commons attribution noncommercial sharealike 4 0 international license", "cc by nc sa 4 0"),
+    "CC-BY-ND-4.0": ("creative commons attribution noderivatives 4 0 international license", "cc by nd 4 0"),
+    "CC-BY-SA-3.0": ("creative commons attribution sharealike 3 0 unported license", "cc by sa 3 0"),
+    "CC-BY-SA-4.0": ("creative commons attribution sharealike 4 0 international license",),
+    "CC0-1.0": ("cc0 1 0 universal", "creative commons zero v1 0 universal"),
+    "CDDL-1.0": ("common development and distribution license version 1 0", "common development and distribution license 1 0"),
+    "CDDL-1.1": ("common development and distribution license version 1 1",),
+    "CECILL-2.1": ("cecill free software license agreement version 2 1", "cecill 2 1 license"),
+    "CPL-1.0": ("common public license version 1 0", "common public license 1 0"),
+    "ECL-2.0": ("educational community license version 2 0",),
+    "EPL-1.0": ("eclipse public license v1 0", "eclipse public license 1 0", "eclipse public license version 1 0"),
+    "EPL-2.0": ("eclipse public license v2 0", "eclipse public license 2 0", "eclipse public license version 2 0"),
+    "EUPL-1.1": ("european union public licence 1 1", "eupl version 1 1"),
+    "EUPL-1.2": ("european union public licence 1 2", "eupl version 1 2", "eupl"),
+    "GFDL-1.3": ("gnu free documentation license version 1 3",),
+    "GPL-1.0": ("gnu general public license version 1",),
+    "GPL-2.0": ("gnu general public license v2 0", "gpl 2 0", "gplv2", "gnu gpl version 2"),
+    "GPL-3.0": ("gnu general public license v3 0", "gpl 3 0", "gplv3", "gnu gpl version 3"),
+    "HPND": ("historical permission notice and disclaimer",),
+    "IPL-1.0": ("ibm public license version 1 0",),
+    "ISC": ("isc license",),
+    "LGPL-2.0": ("gnu library general public license version 2",),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1", "lgpl 2 1", "lgplv2 1"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "lgpl 3 0", "lgplv3"),
+    "LPPL-1.3c": ("latex project public license version 1 3c",),
+    "MIT": ("mit license", "expat license"),
+    "MIT-0": ("mit no attribution license", "mit 0 license"),
+    "MPL-1.1": ("mozilla public license version 1 1", "mozilla public license 1 1"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0"),
+    "MS-PL": ("microsoft public license", "microsoft public license ms pl"),
+    "MS-RL": ("microsoft reciprocal license", "microsoft reciprocal license ms rl"),
+    "MulanPSL-2.0": ("mulan permissive software license version 2", "mulan psl v2"),
+    "NCSA": ("university of illinois ncsa open source license",),
+    "ODbL-1.0": ("open database license", "open data commons open database license v1 0"),
+    "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1"),
+    "OSL-3.0": ("open software license version 3 0", "open software license 3 0"),
+    "PHP-3.01": ("php license version 3 01", "php license v3 01"),
+    "PostgreSQL": ("postgresql license",),
+    "Python-2.0": ("python software foundation license version 2", "psf license"),
+    "QPL-1.0": ("q public license version 1 0",),
+    "Ruby": ("ruby license",),
+    "UPL-1.0": ("universal permissive license v 1 0", "universal permissive license version 1 0"),
+    "Unlicense": ("unlicense",),
+    "Vim": ("vim license",),
+    "W3C": ("w3c software notice and license",),
+    "WTFPL": ("do what the fuck you want to public license",),
+    "ZPL-2.1": ("zope public license version 2 1", "zope public license zpl version 2 1"),
+    "Zlib": ("zlib license", "zlib libpng license"),
+}
+#: How a notice says that it is under a licence of that name; identifiers stand in a line of their own.
+SAYINGS = tuple(f"{what}{verb} under the {{}}" for what in ("", "this work is ", "this file is ", "this code is ", "this software is ", "this program is ", "this project is ", "this package is ", "this library is ") for verb in ("licensed", "released", "distributed", "available", "made available"))
+TAG = "spdx license identifier {}"
+
+
+def _named() -> dict[str, str]:
+    """Sentences that name a licence, as normalised text -> identifier of the sentence (the licence's, as a name)."""
+    out = {}
+    for licence, names in NAMES.items():
+        plain = licence.lower().replace("-", " ").replace(".", " ")
+        for tag in (plain, *(f"{plain} {x}" for x in ("only", "or later") if "GPL" in licence or "GFDL" in licence)):
+            out[TAG.format(tag)] = f"tag:{licence}"
+        for name in names:
+            for saying in SAYINGS:
+                out[saying.format(name)] = f"name:{licence}"
+                if licence.startswith("CC-") and "the" in saying:
+                    out[saying.replace(" the {}", " a {}").format(name)] = f"name:{licence}"
+                if " version " in name and "GPL" in licence:
+                    out[f"{saying.format(name)} or at your option any later version"] = f"name:{licence}"
+    return out
+
+
 #: Licence rules: the sentence identifiers that must occur in this order, with any sentences between them.
 RULES = (
     ("Apache-2.0", ("apache2_notice",)),
@@ -50,15 +140,61 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("MPL-2.0", ("mpl2",)),
 )
+#: A licence isn't reported where a longer rule that holds its sentences is met.
+INSTEAD = {"BSD-2-Clause": ("BSD-3-Clause", "BSD-4-Clause"), "MIT-0": ("MIT",)}
 
 #: Whole sentences of standard texts that SENTENCES has in part, by the same identifiers, and others that they hold.
 WHOLE = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit0_grant",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl_hope",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2_header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_free",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl_hope",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0_grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_disclaimer",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd_advertising",
+    "this software is provided as is without any express or implied warranty": "zlib_as_is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "this is free and unencumbered software released into the public domain": "unlicense_public",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense_free",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost_grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2_terms",
+    "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1_terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1_terms",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl_copy",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0",
+    "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license": "mpl11_header",
+    "this font software is licensed under the sil open font license version 1 1": "ofl_font",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql_grant",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "cddl_terms",
 }
-WHOLE_RULES = (("Apache-2.0", ("apache2_header", "apache2_copy")),)
+WHOLE_RULES = (
+    ("Apache-2.0", ("apache2_header", "apache2_copy")),
+    ("GPL-2.0", ("gpl2_free", "gpl_hope")),
+    ("AGPL-3.0", ("agpl3_free", "gpl_hope")),
+    ("LGPL-2.1", ("lgpl21_free", "lgpl_hope")),
+    ("LGPL-3.0", ("lgpl3_free", "lgpl_hope")),
+    ("MIT-0", ("mit0_grant", "as_is")),
+    ("ISC", ("isc_grant", "isc_disclaimer")),
+    ("0BSD", ("bsd0_grant", "isc_disclaimer")),
+    ("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising")),
+    ("Zlib", ("zlib_as_is", "zlib_grant")),
+    ("Unlicense", ("unlicense_public",)),
+    ("BSL-1.0", ("boost_grant",)),
+    ("EPL-2.0", ("epl2_terms",)),
+    ("EPL-1.0", ("epl1_terms",)),
+    ("WTFPL", ("wtfpl_copy",)),
+    ("MPL-1.1", ("mpl11_header",)),
+    ("OFL-1.1", ("ofl_font",)),
+    ("PostgreSQL", ("postgresql_grant",)),
+    ("CDDL-1.0", ("cddl_terms",)),
+)
 
 
 def _text(x: str) -> str:
@@ -75,7 +211,9 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     the names whose rule's identifiers occur in order, both comma-joined (empty if none). Null and empty texts have no
     sentences; repeated rows get a row each. Built-in expressions only, no shuffle.
     """
-    known = {v: k for k, v in (sentences or SENTENCES).items()} | ({} if sentences else WHOLE)
+    known = {v: k for k, v in (sentences or SENTENCES).items()}
+    if not sentences:
+        known = _named() | known | WHOLE
     rules = RULES + WHOLE_RULES if rules is None else rules
     table = "map(" + ", ".join(f"{_text(v)}, {_text(k)}" for v, k in known.items()) + ")"
     lengths = ", ".join(str(n) for n in sorted({len(v) for v in known}))
@@ -93,10 +231,12 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     parts = docs.select("doc_id", F.explode(F.array(F.expr(body))).alias("_p"))
     found = parts.select("doc_id", F.expr("struct(aggregate(_p.n, CAST(0 AS BIGINT), (a, b) -> a + b) AS n, flatten(_p.ids) AS ids)").alias("_f"))
     chain = F.concat(F.lit(","), F.array_join("_f.ids", ","), F.lit(","))
-    names = []
-    for name, wanted in rules:
-        pattern = "%," + ",%".join(w.replace("_", r"\_") for w in wanted) + ",%" if len(wanted) == 1 else None
-        held = chain.like(pattern) if pattern else chain.rlike("," + ",(?:[^,]+,)*".join(wanted) + ",")
-        names.append(F.when(held, F.lit(name)))
-    licenses = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",")
+    # rules of one sentence are looked up by their sentence, longer ones matched against the sequence
+    one = {w[0]: name for name, w in rules if len(w) == 1} | ({} if sentences else {f"{kind}:{x}": x for x in NAMES for kind in ("name", "tag")})
+    single = F.expr(f"array_compact(transform(_f.ids, x -> try_element_at(map({', '.join(f'{_text(k)}, {_text(v)}' for k, v in one.items())}), x)))") if one else F.array().cast("array<string>")
+    longer = [F.when(chain.rlike("," + ",(?:[^,]+,)*".join(w) + ","), F.lit(name)) for name, w in rules if len(w) > 1]
+    held = F.array_distinct(F.concat(single, F.array_compact(F.array(*longer)))) if longer else F.array_distinct(single)
+    hidden = [F.when(F.arrays_overlap("_h", F.array(*map(F.lit, more))), F.lit(name)) for name, more in INSTEAD.items()]
+    found = found.withColumn("_h", F.when(F.size("_f.ids") > 0, held).otherwise(F.array().cast("array<string>")))
+    licenses = F.array_join(F.array_sort(F.array_except("_h", F.array_compact(F.array(*hidden)))), ",")
     return found.select("doc_id", F.col("_f.n").alias("n_sentences"), F.size("_f.ids").cast("long").alias("n_known"), F.array_join("_f.ids", ",").alias("sentence_ids"), licenses.alias("licenses"))

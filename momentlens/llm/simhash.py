@@ -37,16 +37,21 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE_WORDS
             mine = [digest(text[s:e], SEED) for s, e in zip(starts[: len(ws) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
         hashes.append(np.array(mine, np.uint64))
         count[d] = len(mine)
+    return fingerprints_of_hashes(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), count)
+
+
+def fingerprints_of_hashes(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each set of hashes, of which ``count`` belong to each text; zero for an empty set."""
     out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
-        all_hashes = np.concatenate(hashes)
-        begin = np.cumsum(count[some]) - count[some]
+        n = count[some]
+        begin = np.cumsum(n) - n
+        flat = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
         bits = np.empty((len(some), 64), np.int64)
-        flat = all_hashes.view(np.uint8).reshape(-1, 8)
         for byte in range(8):  # a byte at a time, so that the unpacked bits stay small
             bits[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(np.unpackbits(flat[:, byte : byte + 1], axis=1), begin, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * bits > count[some, None], axis=1).reshape(-1).view(np.uint64)
+        out[some] = np.packbits(2 * bits > n[:, None], axis=1).reshape(-1).view(np.uint64)
     return out
 
 
@@ -146,11 +151,14 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node that each node of an edge list can reach, by alternating star contraction."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of an edge list can reach, by alternating star contraction.
+
+    Each round is a written table; rounds end when one changes nothing, after about the logarithm of the longest path.
+    """
     edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -163,7 +171,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("the components did not settle")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -171,8 +178,9 @@ def _classes(rows: DataFrame) -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct("did", "th")).alias("first")), "fingerprints")
     roots = components(links(nodes.select("fp")))
     # roots are nodes too; fingerprints without links are their own class
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    placed = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    # written, so that a large class is a skewed join of two tables, which Spark splits
+    least = materialize(placed.groupBy("root").agg(F.min("first").alias("least")), "least")
     return placed.join(least, "root").select("fp", F.col("least").alias("first"))
 
 
@@ -189,10 +197,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one of smallest doc_id, with the columns of ``docs``."""
-    rows = materialize(with_fingerprints(docs), "simhash")
-    kept = _classes(rows).select(F.col("first.did").alias("_did"), F.col("first.th").alias("_th")).distinct()
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), "_th": F.xxhash64("text")})
-    one = keyed.join(kept, ["_did", "_th"], "left_semi")
-    # equal rows of one id: one of them
-    return one.withColumn("_n", F.row_number().over(Window.partitionBy("_did", "_th").orderBy(F.lit(1)))).where("_n = 1").select(*docs.columns)
+    """One row of each component of ``near_duplicates``, the one of smallest doc_id, with the columns of ``docs``."""
+    return one_row_each(docs, _classes(materialize(with_fingerprints(docs), "simhash")).select("first.did", "first.th"))
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by id (``did``, the last if null) and text (``th``), one row of each.
+
+    Of rows equal in id and text the least by all columns (as text) stays, so that the choice doesn't depend on their
+    order. No column's name can clash.
+    """
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    at = dict(zip(names, inner, strict=True))
+    renamed = docs.toDF(*inner)
+    keyed = renamed.withColumns({"did": F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(_LAST_ID)), "th": F.xxhash64(at["text"])})
+    one = keyed.join(kept.distinct(), ["did", "th"], "left_semi")
+    order = Window.partitionBy("did", "th").orderBy(F.to_json(F.struct(*[c for c in inner if c != at["text"]])) if len(inner) > 1 else F.lit(1), at["text"])
+    return one.withColumn("place", F.row_number().over(order)).where("place = 1").select(*inner).toDF(*names)

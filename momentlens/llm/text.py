@@ -87,19 +87,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers of the base and of its inverse; a longer table replaces a shorter one and serves it too.
+_powers = [np.zeros(0, np.uint64)] * 2
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK_BYTES + 1
-    while size < n:
-        size *= 2
-    if size not in _powers:
-        _powers.clear()
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        size = CHUNK_BYTES + 1
+        while size < n:
+            size *= 2
         up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
         up[1:], down[1:] = np.uint64(_MULT), np.uint64(pow(_MULT, -1, 1 << 64))
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+        _powers[:] = np.cumprod(up), np.cumprod(down)
+    return _powers
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:

@@ -47,7 +47,33 @@ You may obtain a copy of the License at
 """
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this file, stop."""
-TEXTS = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-2-Clause,BSD-3-Clause": BSD + BSD3, "GPL-3.0": GPL, "Apache-2.0": APACHE, "MPL-2.0": MPL}
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+TEXTS = {"ISC": ISC, "Zlib": ZLIB, "Unlicense": UNLICENSE, "LGPL-2.1": LGPL, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + BSD3, "GPL-3.0": GPL, "Apache-2.0": APACHE, "MPL-2.0": MPL}
 FORMS = {"plain": "{}", "star": " * {}", "hash": "# {}", "slashes": "// {}", "crlf": "{}\r"}
 
 
@@ -67,3 +93,11 @@ def test_single_lines_are_still_found_in_order(found):
     assert found["none"].licenses == "" and found["empty"].n_sentences == 0
     r = found["/lines"]
     assert (r.n_sentences, r.n_known, r.sentence_ids, r.licenses) == (3, 2, "mit_release,cc_by4", "CC-BY-4.0,MIT")
+
+
+def test_every_licence_is_found_by_its_names_and_its_tag(spark):
+    rows = [(f"{x}/{n}", f"// {say} the {n.title()}.\n// more words") for x, names in license_scan.NAMES.items() for n in names for say in ("This program is licensed under", "Distributed under")]
+    rows += [(f"{x}/tag", f"# SPDX-License-Identifier: {x}\nimport this") for x in license_scan.NAMES]
+    rows += [("GPL-2.0/later", "SPDX-License-Identifier: GPL-2.0-or-later"), ("CC-BY-4.0/a", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(license_scan.NAMES) >= 50 and [(r.doc_id, r.licenses) for r in got if r.licenses != r.doc_id.split("/")[0]] == []

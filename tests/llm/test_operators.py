@@ -157,17 +157,33 @@ def test_shards_have_gapless_slots_and_growth_only_fills_the_new_one(docs):
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
         assert r.grown_shard in (r.shard, 24)
+    spark = docs.sparkSession
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert sorted(map(repr, hash_tree.assign_shards(docs).collect())) == sorted(map(repr, got))
+    spark.conf.set("spark.sql.shuffle.partitions", width)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t, *_ in ROWS)
 
 
-def test_a_weight_change_moves_rows_only_through_its_subtree(spark):
+def test_weight_changes_move_keys_only_inside_their_subtree(spark):
     from pyspark.sql import functions as F
 
-    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
-    old, new = [1.0] * 16, [1.0] * 5 + [3.0] + [1.0] * 10
-    moved = keys.select(hash_tree.shard_of(F.col("k"), old).alias("a"), hash_tree.shard_of(F.col("k"), new).alias("b")).where("a <> b")
-    assert {r.b for r in moved.select("b").distinct().collect()} == {5}
+    keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    of = lambda w, planned=None: hash_tree.shard_of(F.col("k"), w, planned)
+    old = [1.0] * 24
+    rack, region = list(old), list(old)
+    rack[0], rack[1] = 1.5, 0.5  # in one rack
+    region[0], region[5] = 1.5, 0.5  # in one region, over racks
+    more = [*old, 1.0]
+    got = keys.select(of(old).alias("a"), of(rack).alias("b"), of(region).alias("c"), of(more, 24).alias("d"), of([*more, 1.0], 24).alias("e")).toPandas()
+    moved = lambda x, y: got[got[x] != got[y]]
+    assert len(m := moved("a", "b")) and (m.a // 4 == 0).all() and (m.b // 4 == 0).all()
+    assert len(m := moved("a", "c")) and (m.a // 8 == 0).all() and (m.c // 8 == 0).all()
+    assert 500 < len(m := moved("a", "d")) < 1200 and (m.d == 24).all()
+    assert len(m := moved("d", "e")) and (m.e == 25).all()
+    share = got.groupby("b").size() / len(got) * 24
+    assert share[0] > 1.3 and share[1] < 0.7 and abs(share[2:] - 1).max() < 0.25
 
 
 def test_scores(docs):
@@ -247,14 +263,21 @@ def test_a_score_depends_on_no_table_size(spark):
         assert 0 <= a[i].score - b[i].score <= (a[i].base_score - b[i].base_score) * prior * 2
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_raked_margins_meet_their_targets(spark, few):
+def test_raked_margins_meet_their_targets(spark):
     data = [(f"s{i}", f"l{j}", f"t{k}", 10 + 7 * i + 3 * j * k) for i in range(4) for j in range(3) for k in range(2)]
     cells = spark.createDataFrame(data, "source string, language string, topic string, tokens long")
-    got = mixing.rake(cells, {"language": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}, few=few).toPandas()
+    got = mixing.rake(cells, {"language": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}, share=0.4).toPandas()
     share = got.groupby("language").weight.sum() / got.weight.sum()
     assert np.allclose(share[["l0", "l1", "l2"]], [0.5, 0.3, 0.2], atol=2e-3)
     assert np.allclose(got.groupby("topic").weight.sum() / got.weight.sum(), 0.5, atol=2e-3)
+    assert (got.weight <= got.tokens).all() and (got.residual <= mixing.TOLERANCE).all() and np.isclose(got.weight.sum(), 0.4 * got.tokens.sum(), rtol=2e-3)
+
+
+def test_margins_that_contradict_each_other_end_with_their_error(spark):
+    data = [("a", "x", "t", 100), ("b", "y", "t", 100)]  # source and language are the same, their targets aren't
+    cells = spark.createDataFrame(data, "source string, language string, topic string, tokens long")
+    got = mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "language": {"x": 0.1, "y": 0.9}}, share=0.5).toPandas()
+    assert (got.residual > 0.5).all() and (got.weight <= got.tokens).all()
 
 
 def test_licenses(docs):

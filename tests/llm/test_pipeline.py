@@ -43,25 +43,25 @@ def _good(rows):
     return [r for r in rows if r["doc_id"] in kept]
 
 
-def _fingerprint(text: str) -> int:
-    w = _lower(text).encode().split()
-    hs = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
 def _one_of_each(rows):
-    fp = [_fingerprint(r["text"]) for r in rows]
+    """The row of least doc_id of each group that a chain of pairs of 5-word similarity 0.8 or more connects."""
+    runs = []
+    for r in rows:
+        w = _lower(r["text"]).split()
+        runs.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     seen, kept = set(), []
     for k in sorted(range(len(rows)), key=lambda k: rows[k]["doc_id"]):
         if k in seen:
             continue
         kept.append(rows[k])
         todo = [k]
+        seen.add(k)
         while todo:
             a = todo.pop()
-            near = [b for b in range(len(rows)) if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 4]
-            seen.update(near)
-            todo += near
+            more = [b for b in range(len(rows)) if b not in seen and near(runs[a], runs[b])]
+            seen.update(more)
+            todo += more
     return kept
 
 
@@ -75,44 +75,77 @@ def _clean(rows, items):
     return [r for r in rows if not any(tuple(w[s : s + n]) in windows for w in [split(r["text"])] for n in sizes for s in range(len(w) - n + 1))]
 
 
-def _mixed(rows):
-    """Each row with its cell's weight (None without words) and its draw."""
-    cells, of = Counter(), []
+def _counts(text):
+    kinds = np.zeros((1, mixing.WIDTH), np.int64)
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(text)):
+        b = np.frombuffer(w.encode(), np.uint8)
+        kinds[0, int(span_hashes(prefix_sums(b), np.array([0]), np.array([len(b)]))[0]) % mixing.WIDTH] += 1
+    return kinds
+
+
+def _mixed(rows, topics):
+    """Each row with its probability (None without words) and its draw, and the error that the margins are left with."""
+    cells, of, share = Counter(), [], mixing.KEEP_SHARE
     for r in rows:
-        kinds = [0] * mixing.TOPICS
-        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(r["text"])):
-            b = np.frombuffer(w.encode(), np.uint8)
-            kinds[int(span_hashes(prefix_sums(b), np.array([0]), np.array([len(b)]))[0]) % mixing.TOPICS] += 1
-        of.append((r["source"] or "", r["lang"] or "", f"topic{kinds.index(max(kinds))}"))
-        cells[of[-1]] += sum(kinds)
-    weight = {c: float(n) for c, n in cells.items() if n}
-    total = sum(weight.values())
+        kinds = _counts(r["text"])
+        of.append((r["source"] or "", r["lang"] or "", f"topic{topics.assign(kinds)[0]}"))
+        cells[of[-1]] += int(kinds.sum())
+    cells = {c: n for c, n in cells.items() if n}
+    weight = {c: n * share for c, n in cells.items()}
     target = []
     for d, name in enumerate(mixing.DIMENSIONS):
-        have = defaultdict(float)
-        for c in weight:
-            have[c[d]] += cells[c]
-        wish = {v: n ** mixing.TEMPER[name] for v, n in have.items()}
-        target.append({v: x / sum(wish.values()) * total for v, x in wish.items()})
-    for _ in range(mixing.SWEEPS):
-        for d in range(3):
-            have = defaultdict(float)
-            for c, x in weight.items():
-                have[c[d]] += x
-            weight = {c: x * target[d][c[d]] / have[c[d]] for c, x in weight.items()}
-    draw = [_unit(_hash(mixing.SEED, str(r["doc_id"]), *[str(_signed(_hash(r["text"]))) if r["text"] is not None else "42"])) for r in rows]
-    return [(r, weight[c] / cells[c] * mixing.KEEP_SHARE if c in weight else None, u) for r, c, u in zip(rows, of, draw, strict=True)]
-
-
-def _sharded(rows, shards=24, buckets=64):
-    key = lambda r: str(r["doc_id"])
-    least = lambda r, n: min(range(n), key=lambda s: -math.log(_unit(_hash(key(r), f"shard-{s}"))))
+        have = Counter()
+        for c, n in cells.items():
+            have[c[d]] += n
+        wish, rest, free = {v: n ** mixing.TEMPER[name] for v, n in have.items()}, sum(cells.values()) * share, set(have)
+        while True:  # values that ask for more than they have get all of it
+            level = rest / sum(wish[v] for v in free)
+            full = {v for v in free if wish[v] * level >= have[v]}
+            if not full:
+                break
+            rest -= sum(have[v] for v in full)
+            free -= full
+        target.append({v: wish[v] * level if v in free else have[v] for v in have})
+    worst = math.inf
+    while True:
+        for _ in range(mixing.SWEEPS):
+            off = 0.0
+            for d in range(3):
+                have, free = defaultdict(float), defaultdict(float)
+                for c, x in weight.items():
+                    have[c[d]] += x
+                    free[c[d]] += x if x < cells[c] else 0
+                off = max([off, *(abs(have[v] - t) / max(t, 1) for v, t in target[d].items())])
+                for c, x in weight.items():
+                    h, t = have[c[d]], target[d][c[d]]
+                    if h > t:
+                        weight[c] = x * t / h
+                    elif x < cells[c]:
+                        weight[c] = min(cells[c], x * (1 + (t - h) / free[c[d]]))
+        if off <= mixing.TOLERANCE or off > worst * mixing.STALLED:
+            break
+        worst = off
+    draw = [_unit(_hash(mixing.SEED, str(r["doc_id"]), *[str(_signed(_hash(r["text"]))) if r["text"] is not None else ""])) for r in rows]
+    return [(r, weight[c] / cells[c] if c in weight else None, u) for r, c, u in zip(rows, of, draw, strict=True)], off
+
+
+def _reached(key, shards, planned=24):
+    """Region, rack and shard by the least exponential draw of each level, over the planned shards and those added."""
+    draw = lambda node, weight: -math.log(_unit(_hash(key, node))) / weight
+    regions = [list(range(i, min(i + 8, planned))) for i in range(0, planned, 8)] + [[i] for i in range(planned, shards)]
+    r = min(range(len(regions)), key=lambda i: draw(f"tree/{i}", len(regions[i])))
+    racks = [regions[r][i : i + 4] for i in range(0, len(regions[r]), 4)]
+    k = min(range(len(racks)), key=lambda i: draw(f"tree/{r}/{i}", len(racks[i]))) if len(racks) > 1 else 0
+    return racks[k][min(range(len(racks[k])), key=lambda i: draw(f"tree/{r}/{k}/{i}", 1)) if len(racks[k]) > 1 else 0]
+
+
+def _sharded(rows, shards=24):
     out = []
     for r in rows:
-        text = (r["text"] or "").encode()
+        text, key = (r["text"] or "").encode(), str(r["doc_id"])
         crc = zlib.crc32(text)
-        bucket = _signed(_hash(key(r), "slot", crc)) % buckets
-        out.append([least(r, shards), bucket, r["doc_id"], len(text) + 8, crc, least(r, shards + 1)])
+        bucket = _signed(_hash(key, "slot", crc)) % hash_tree.ORDER_BUCKETS
+        out.append([_reached(key, shards), bucket, r["doc_id"], len(text) + 8, crc, _reached(key, shards + 1)])
     slot = Counter()
     found = []
     for shard, _, i, size, crc, grown in sorted(out):
@@ -127,30 +160,51 @@ def rows(spark):
 
 
 def test_the_mixture_equals_brute_force(spark, rows):
-    want = {r["doc_id"]: (w, u) for r, w, u in _mixed(rows)}
+    topics = mixing.fit_topics(spark.read.parquet(f"{SF}/documents.parquet"))
+    mixed, off = _mixed(rows, topics)
+    want = {r["doc_id"]: (w, u) for r, w, u in mixed}
     got = queries.op2_mixing(spark, SF).collect()
     assert len(got) == len(rows)
     for r in got:
         w, u = want[r.doc_id]
-        assert (r.weight is None) == (w is None) and (w is None or math.isclose(r.weight, w, rel_tol=1e-9))
-        assert r.sampled == (w is None or u < w)
+        assert math.isclose(r.probability, 1.0 if w is None else w, rel_tol=1e-6) and r.probability <= 1
+        assert r.sampled == (w is None or u < w) and (w is None or math.isclose(r.residual, off, rel_tol=1e-3, abs_tol=1e-6))
+    kept = sum(r.n_tokens * r.probability for r in got) / sum(r.n_tokens for r in got)
+    assert abs(kept - mixing.KEEP_SHARE) <= max(off, mixing.TOLERANCE)
 
 
 def test_the_pipeline_equals_brute_force(spark, rows):
     import corpus_pipeline
 
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = _clean(_one_of_each(_good(rows)), items)
-    mixed = [r for r, w, u in _mixed(kept) if w is None or u < w]
-    got = corpus_pipeline.run(spark, SF)
+    topics = mixing.fit_topics(docs.where(docs.doc_id.isin([r["doc_id"] for r in kept])))
+    mixed = [r for r, w, u in _mixed(kept, topics)[0] if w is None or u < w]
+    got = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(mixed) < len(kept) < len(rows)
     columns = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == _sharded(mixed)
+    assert sorted(tuple(r[c] for c in columns) for r in got) == _sharded(mixed)
+    assert {r.doc_id: (r.text, r.source, r.lang, r.n_chars) for r in got} == {r["doc_id"]: (r["text"], r["source"], r["lang"], r["n_chars"]) for r in mixed}
+
+
+def test_the_pipeline_of_an_empty_table_is_empty(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
+def test_shards_equal_brute_force_level_by_level(spark, rows):
+    columns = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    assert sorted(tuple(r[c] for c in columns) for r in queries.op9_sharding(spark, SF).collect()) == _sharded(rows)
 
 
-@pytest.mark.parametrize("n", [1, 7, 24])
-def test_the_tree_reaches_the_least_draw(spark, n):
+@pytest.mark.parametrize("n", [1, 7, 24, 30])
+def test_the_tree_reaches_the_brute_force_shard(spark, n):
     from pyspark.sql import functions as F
 
-    got = spark.range(200).select("id", hash_tree.shard_of(F.col("id").cast("string"), [1.0] * n).alias("s")).collect()
-    assert all(r.s == min(range(n), key=lambda s: -math.log(_unit(_hash(str(r.id), f"shard-{s}")))) for r in got)
+    got = spark.range(200).select("id", hash_tree.shard_of(F.col("id").cast("string"), [1.0] * n, min(n, 24)).alias("s")).collect()
+    assert all(r.s == _reached(str(r.id), n, min(n, 24)) for r in got)
