@@ -1,14 +1,20 @@
-"""Repeated byte strings of a shard: the Burrows-Wheeler orders of two blocks, merged by iterative interleave refinement.
+"""Repeated byte strings of a shard: Burrows-Wheeler transforms of its blocks, merged by iterative interleave refinement.
 
 Symbols are phrases: bytes up to and including a phrase end, so that an iteration settles several bytes at once. A phrase
-end depends on one byte only, hence equal strings have equal phrases inside.
+end depends on one byte only, hence equal strings have equal phrases inside. Blocks of bounded size are sorted each on its
+own; then transforms are merged two by two, and no suffix is sorted again. The iteration in which two neighbours of the
+merged order part gives their common prefix. A string that begins inside a phrase is a suffix of the transform's symbol
+(the phrase before) and an interval of rows with a common prefix: one backward step from it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from momentlens.llm.text import mix, prefix_sums, span_hashes
+from momentlens.llm.text import prefix_sums, span_hashes
+
+#: Bytes of a block, which is sorted in one piece.
+BLOCK_BYTES = 4 << 20
 
 # Bytes that end a phrase. All ASCII but letters and digits, few of those, and a quarter of the rest.
 _ENDS = np.ones(256, bool)
@@ -50,13 +56,15 @@ def _members(classes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
 
 
-def merge_orders(symbols: np.ndarray, follows: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """The merged order of all suffixes from two block orders.
+def merge_orders(symbols: np.ndarray, follows: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the merged order of all suffixes from two block orders, and for each suffix of it, how many symbols
+    (at most ``depth``; at a text's end perhaps one fewer) it surely shares with the one before.
 
     After k iterations suffixes are interleaved by their first k symbols: a suffix's class is the number of suffixes
-    whose first k symbols are less. An iteration takes the class of each suffix's successor within its own class; both
-    blocks are in order already, so the interleave is two binary searches and no suffix is sorted again. Only classes
-    with a suffix whose successor has just got another class can split, so an iteration looks at no other suffix.
+    whose first k symbols are less, so a class that appears in iteration k begins a row that shares k - 1 symbols with
+    the row before. An iteration takes the class of each suffix's successor within its own class; both blocks are in
+    order already, so the interleave is two binary searches. Only classes with a suffix whose successor has just got
+    another class can split, so an iteration looks at no other suffix.
     """
     row = np.empty(len(symbols), np.int64)
     for x in blocks:
@@ -66,8 +74,12 @@ def merge_orders(symbols: np.ndarray, follows: np.ndarray, blocks: tuple[np.ndar
     for p, n in zip(before, nxt, strict=True):
         p[n[n >= 0]] = np.flatnonzero(n >= 0)
     cls = _ranks([symbols[x] * 2 + (n >= 0) for x, n in zip(blocks, nxt, strict=True)])
-    changed, wide = [np.arange(len(x)) for x in blocks], len(symbols) + 2
-    for _ in range(1, depth):
+    total = sum(map(len, blocks))
+    common = np.full(total, depth, np.int64)
+    for c in cls:
+        common[c] = 0
+    changed, wide = [np.arange(len(x)) for x in blocks], total + 2
+    for k in range(1, depth):
         hit = [p[c] for p, c in zip(before, changed, strict=True)]
         wanted = np.unique(np.concatenate([c[h[h >= 0]] for c, h in zip(cls, hit, strict=True)]))
         if not len(wanted):
@@ -79,10 +91,25 @@ def merge_orders(symbols: np.ndarray, follows: np.ndarray, blocks: tuple[np.ndar
         changed = [x[s > 0] for x, s in zip(live, step, strict=True)]
         for c, x, o, s in zip(cls, live, old, step, strict=True):
             c[x] = o + s
-    out = np.empty(len(symbols), np.int64)
+            fresh = c[x[s > 0]]
+            fresh = fresh[common[fresh] == depth]
+            common[fresh] = k
+    out = np.empty(total, np.int64)
     out[np.arange(len(blocks[0])) + np.searchsorted(cls[1], cls[0], "left")] = blocks[0]
     out[np.arange(len(blocks[1])) + np.searchsorted(cls[0], cls[1], "right")] = blocks[1]
-    return out
+    return out, common
+
+
+def merged(symbols: np.ndarray, follows: np.ndarray, blocks: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks' orders merged two by two, and the symbols that neighbours of the last merge share."""
+    none = np.zeros(0, np.int64)
+    if len(blocks) == 1:
+        return merge_orders(symbols, follows, (blocks[0], none), depth)
+    while True:
+        pairs = [(blocks[i], blocks[i + 1] if i + 1 < len(blocks) else none) for i in range(0, len(blocks), 2)]
+        if len(pairs) == 1:
+            return merge_orders(symbols, follows, pairs[0], depth)
+        blocks = [merge_orders(symbols, follows, p, depth)[0] if len(p[1]) else p[0] for p in pairs]
 
 
 def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -103,7 +130,41 @@ def common_prefixes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndar
     return np.minimum(out, most)
 
 
-def first_windows(buf: np.ndarray, offsets: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _named(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(symbol of each phrase, the distinct phrases in order of their bytes). Equality is that of the bytes."""
+    raw = buf.tobytes()
+    _, where, of = np.unique(span_hashes(prefix_sums(buf), starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    lead = where[of]
+    if (size == size[lead]).all() and (common_prefixes(buf, starts, starts[lead], size) == size).all():
+        names = [raw[starts[i] : ends[i]] for i in where.tolist()]
+    else:  # two phrases of one hash
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        names = list(number)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[np.array(order, np.int64)] = np.arange(len(names))
+    return rank[of], [names[i] for i in order]
+
+
+def _from_the_end(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each phrase among all in order of their bytes from the last, common bytes with the one before)."""
+    turned = [x[::-1] for x in names]
+    order = np.array(sorted(range(len(turned)), key=turned.__getitem__), np.int64)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    buf = np.frombuffer(b"".join(turned), np.uint8)
+    size = np.fromiter(map(len, turned), np.int64, len(turned))
+    at = np.cumsum(size) - size
+    common = np.zeros(len(names), np.int64)
+    if len(names) > 1:
+        a, b = order[:-1], order[1:]
+        common[1:] = common_prefixes(buf, at[a], at[b], np.minimum(size[a], size[b]))
+    return place, common
+
+
+def first_windows(buf: np.ndarray, offsets: np.ndarray, count: np.ndarray, length: int, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence's first ``count`` windows of ``length`` bytes: sequence number and whether it is the first copy.
 
     Sequences come in document order, windows in order of sequence and place.
@@ -121,54 +182,51 @@ def first_windows(buf: np.ndarray, offsets: np.ndarray, count: np.ndarray, lengt
     of_seq = np.searchsorted(offsets, starts, "right") - 1
     follows = np.arange(1, len(starts) + 1)
     follows[np.append(of_seq[1:] != of_seq[:-1], True)] = -1
-    sums = prefix_sums(buf)
-    _, where, symbol = np.unique(span_hashes(sums, starts, ends), return_index=True, return_inverse=True)
-    raw = buf.tobytes()
-    names = [raw[starts[i] : ends[i]] for i in where.tolist()]
-    rank = np.empty(len(names), np.int64)
-    rank[np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)] = np.arange(len(names))
-    symbols = rank[symbol]
+    symbols, names = _named(buf, starts, ends)
     # phrases that ``length`` bytes can reach into
     reach = np.searchsorted(starts, np.minimum(starts + length, offsets[1:][of_seq]), "left") - np.arange(len(starts))
     depth = int(reach.max(initial=1))
-    middle = int(np.searchsorted(of_seq, of_seq[len(of_seq) // 2])) if len(of_seq) else 0
+    # blocks of whole sequences
+    cut = np.unique(np.searchsorted(starts, offsets[np.searchsorted(offsets, np.arange(0, len(buf), block_bytes))]))
+    cut = np.append(cut[cut < len(starts)], len(starts))
     blocks = []
-    for a, b in ((0, middle), (middle, len(starts))):
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         own = np.where(follows[a:b] >= 0, follows[a:b] - a, -1)
-        blocks.append(_block_order(symbols[a:b], own, depth) + a if b > a else np.zeros(0, np.int64))
-    order = merge_orders(symbols, follows, (blocks[0], blocks[1]), depth)
+        blocks.append(_block_order(symbols[a:b], own, depth) + a)
+    order, shared = merged(symbols, follows, blocks, depth)
+    # common bytes of neighbours: the shared phrases, then what the next phrases have in common
     left = offsets[1:][of_seq] - starts
+    a, b = order[:-1], order[1:]
+    known = np.minimum(np.append(starts, len(buf))[np.minimum(a + shared[1:], len(starts))] - starts[a], np.minimum(left[a], left[b]))
     lcp = np.zeros(len(order), np.int64)
-    lcp[1:] = common_prefixes(buf, starts[order[:-1]], starts[order[1:]], np.minimum(np.minimum(left[order[:-1]], left[order[1:]]), length))
+    lcp[1:] = known + common_prefixes(buf, starts[a] + known, starts[b] + known, np.maximum(0, np.minimum(np.minimum(left[a], left[b]), length) - known))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    # the next phrase start after each window's first byte, and the bytes before it
+    # a window is the end of a phrase and what follows it: the d bytes before the next phrase, and that phrase's row
     nxt = np.searchsorted(starts, at, "right")
     inside = nxt < len(starts)
     inside[inside] &= starts[nxt[inside]] < at[inside] + length
     d = np.zeros(len(at), np.int64)
     d[inside] = starts[nxt[inside]] - at[inside]
-    group = np.zeros(len(at), np.uint64)
-    by_d = np.argsort(d, kind="stable")
+    turned, turned_lcp = _from_the_end(names)
+    leader = np.arange(len(at))
+    by_d = np.argsort(d.astype(np.int16), kind="stable")
     cut = np.searchsorted(d[by_d], np.arange(1, length + 1))
     for k in range(1, length):
-        mine = by_d[cut[k - 1] : cut[k]]
-        if len(mine):
-            interval = np.cumsum(lcp < length - k)
-            group[mine] = interval[place[nxt[mine]]].astype(np.uint64)
-    ok = np.flatnonzero(inside)
-    group[ok] = mix(mix(group[ok]) ^ span_hashes(sums, at[ok], starts[nxt[ok]]))
+        mine = by_d[cut[k - 1] : cut[k]]  # in order of place
+        if len(mine) > 1:
+            interval, end = np.cumsum(lcp < length - k), np.cumsum(turned_lcp < k)
+            row = nxt[mine]
+            group = interval[place[row]] * (len(names) + 1) + end[turned[symbols[row - 1]]]
+            _, first_at, inverse = np.unique(group, return_index=True, return_inverse=True)
+            leader[mine] = mine[first_at[inverse]]
     alone = np.flatnonzero(~inside)  # windows inside one phrase
     if len(alone):
-        group[alone] = span_hashes(sums, at[alone], at[alone] + length)
-    _, first_at, inverse = np.unique(group, return_index=True, return_inverse=True)
-    leader = first_at[inverse]
-    first = leader == np.arange(len(at))
-    later = np.flatnonzero(~first)
-    full = np.full(len(later), length)
-    wrong = common_prefixes(buf, at[later], at[leader[later]], full) < length
-    if wrong.any():  # two strings with one hash: compare all windows by their bytes
-        exact = [raw[i : i + length] for i in at.tolist()]
-        seen: dict[bytes, int] = {}
-        first = np.array([seen.setdefault(x, i) == i for i, x in enumerate(exact)])
-    return seq, first
+        _, first_at, inverse = np.unique(span_hashes(prefix_sums(buf), at[alone], at[alone] + length), return_index=True, return_inverse=True)
+        lead = alone[first_at[inverse]]
+        if (common_prefixes(buf, at[alone], at[lead], np.full(len(alone), length)) == length).all():
+            leader[alone] = lead
+        else:  # two strings of one hash
+            raw, seen = buf.tobytes(), {}
+            leader[alone] = [seen.setdefault(raw[at[i] : at[i] + length], i) for i in alone.tolist()]
+    return seq, leader == np.arange(len(at))

@@ -1,12 +1,13 @@
-"""Removal of passages that occur earlier in the corpus, by words (FM-index) or by bytes (merged suffix orders).
+"""Removal of passages that occur earlier in the corpus, by words (FM-index) or by bytes (merged transforms).
 
-Both operators share one dataflow in which no task sees more than a shard:
+Both operators share one dataflow in which no task sees more than a shard, and no key more than a row a bucket:
 
-1. every text is cut into runs of windows that share an anchor (the least hashed gram of the window); only the anchor's
-   hash and place are shuffled, by anchor, and anchors that occur once drop out: their windows can't repeat;
-2. the remaining runs go back to their documents (dealt by id, compressed), which send the runs' text to the anchor's
-   shard, each distinct text once per bucket. Equal windows have equal anchors, so they meet in one shard;
-3. a shard indexes its distinct runs in order of first occurrence and tells for each window whether it is the first;
+1. documents are dealt into buckets by id; each is cut into runs of windows that share an anchor (the least hashed gram
+   of the window). A bucket asks the anchors' shards, once for each, which occur twice or more: windows of the others
+   can't repeat;
+2. a bucket sends the text of the remaining runs to the anchor's shard, each distinct text once, with its first place in
+   the bucket; its later places there are covered whole. Equal windows have equal anchors, so they meet in one shard;
+3. a shard indexes its distinct runs in order of first occurrence and tells for each window sent whether it is the first;
 4. the windows found go back to the documents, which drop the covered words or bytes.
 """
 
@@ -21,12 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from momentlens.llm import bwt_merge, fm_index
-from momentlens.llm.shared import groups_for, id_groups, identified, pack, packed_documents, split_by, unpack, unpack_table
+from momentlens.llm.shared import groups_for, identified, pack, pack_numbers, packed_documents, split_by, unpack, unpack_numbers, unpack_table
 from momentlens.llm.text import anchors, chunks, existing_windows, gram_hashes, prefix_sums, span_hashes, utf8, words
 
-_TAG = pa.binary(5)
-
-
 @dataclass(frozen=True)
 class Unit:
     """What a window is made of: ``window`` words or bytes, with anchors of ``gram`` of them."""
@@ -54,56 +52,6 @@ WORDS = Unit(True, 20, 8)
 BYTES = Unit(False, 100, 32)
 
 
-def _tags(values: np.ndarray) -> pa.Array:
-    """40 bits of each hash; a shard holds few enough anchors for them, and a clash only lets a run through."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, 3:])
-    return pa.FixedSizeBinaryArray.from_buffers(_TAG, len(values), [None, pa.py_buffer(raw)])
-
-
-def _anchor_rows(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            did, rank = batch["did"].to_numpy(), batch["rank"].to_numpy()
-            buf, offsets = utf8(batch["text"])
-            found = [(first + d, p, n, v) for first, _, b, o in chunks(buf, offsets) for d, p, n, v in [unit.runs(b, o)]]
-            if not found:
-                continue
-            doc, pos, count, value = (np.concatenate(x) for x in zip(*found, strict=True))
-            shard, rows = [], []
-            for g, at in split_by((value % np.uint64(shards)).astype(np.int32)):
-                d = doc[at]
-                shard.append(g)
-                rows.append(pack(d_did=did[d], rank=rank[d], pos=pos[at], count=count[at].astype(np.uint16), tag=_tags(value[at])))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(rows, pa.binary())], ["shard", "data"])
-
-    return docs.mapInArrow(run, "shard int, data binary")
-
-
-def _repeated_rows(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, data): the runs whose anchor occurs twice or more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts, tags = [], []
-        for data in table["data"].to_pylist():
-            t = unpack_table(data)
-            tags.append(np.frombuffer(b"".join(c.buffers()[1].to_pybytes()[: 5 * len(c)] for c in t["tag"].chunks), np.uint8).reshape(-1, 5))
-            parts.append((np.cumsum(t["d_did"].to_numpy()), t["rank"].to_numpy(), t["pos"].to_numpy(), t["count"].to_numpy()))
-        wide = np.zeros((sum(map(len, tags)), 8), np.uint8)
-        wide[:, :5] = np.concatenate(tags)
-        _, inverse, n = np.unique(wide.view(np.uint64).reshape(-1), return_inverse=True, return_counts=True)
-        again = n[inverse] > 1
-        did, rank, pos, count = (np.concatenate(x)[again] for x in zip(*parts, strict=True))
-        out, data = [], []
-        for g, at in split_by(id_groups(did, buckets)):
-            at = at[np.lexsort((pos[at], rank[at], did[at]))]
-            out.append(g)
-            data.append(pack(d_did=did[at], rank=rank[at], pos=pos[at], count=count[at]))
-        shard = table["shard"][0].as_py()
-        return pa.table({"bucket": pa.array(out, pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "data": pa.array(data, pa.binary())})
-
-    return rows.groupBy("shard").applyInArrow(run, "bucket int, shard int, data binary")
-
-
 class _Bucket:
     """The documents of a bucket, found by (did, rank)."""
 
@@ -131,97 +79,197 @@ class _Bucket:
         return self.find(self.did, self.rank)
 
 
-def _text_rows(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
-    """(shard, texts, places): the runs' text, each distinct one once, and where they stand."""
+    def runs(self, unit: Unit) -> tuple[np.ndarray, ...]:
+        """(row, first window, windows, anchor hash) of all runs, of one row of those equal in id and text."""
+        lead = self.same()
+        found = []
+        for first, _, b, o in chunks(self.buf, self.offsets):
+            doc, *rest = unit.runs(b, o)
+            mine = lead[doc + first] == doc + first
+            found.append([doc[mine] + first, *[x[mine] for x in rest]])
+        if not found:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _asked(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
+    """(shard, bucket, data): the anchors of a bucket, and which of them it has twice or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = np.unique(_Bucket(table).runs(unit)[3], return_counts=True)
+        groups, rows = [], []
+        for g, at in split_by((keys % np.uint64(shards)).astype(np.int32)):
+            mine = keys[at]
+            groups.append(g)
+            rows.append(pack_numbers(np.concatenate([mine[:1], np.diff(mine)]), (n[at] > 1).astype(np.uint8)))
+        return pa.table({"shard": pa.array(groups, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
+
+    return docs.groupBy("bucket").applyInArrow(run, "shard int, bucket int, data binary")
+
+
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, shard, data): which anchors occur twice or more, in the order in which each bucket asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack_numbers(x) for x in table["data"].to_pylist()]
+        keys, of = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts]), return_inverse=True)
+        again = np.bincount(of, np.concatenate([1 + m.astype(np.int64) for _, m in parts]), len(keys)) > 1
+        rows, begin = [], 0
+        for k, _ in parts:
+            rows.append(pack_numbers(again[of[begin : begin + len(k)]].astype(np.uint8)))
+            begin += len(k)
+        return pa.table({"bucket": table["bucket"], "shard": table["shard"], "data": pa.array(rows, pa.binary())})
+
+    return asked.groupBy("shard").applyInArrow(run, "bucket int, shard int, data binary").repartition(buckets, "bucket")
+
+
+def _text_rows(docs: DataFrame, answers: DataFrame, unit: Unit, shards: int) -> DataFrame:
+    """(key, bucket, texts, places): the runs' text, each distinct one once, and its first place in the bucket, for a
+    shard (key >= 0); and for the bucket itself (key < 0) the places that are covered whole."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shard, texts, places = [], [], []
+        keys, texts, places = [], [], []
         if left.num_rows and right.num_rows:
             bucket = _Bucket(left)
+            number = left["bucket"][0].as_py()
+            row, pos, count, value = bucket.runs(unit)
+            # the answers come in the order of the sorted anchors of each shard
+            anchors_, of = np.unique(value, return_inverse=True)
+            again = np.zeros(len(anchors_), bool)
+            answer = dict(zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True))
+            shard = (anchors_ % np.uint64(shards)).astype(np.int32)
+            for g, at in split_by(shard):
+                again[at] = unpack_numbers(answer[g])[0] > 0
+            mine = np.flatnonzero(again[of])
+            row, pos, count, shard = row[mine], pos[mine], count[mine].astype(np.int64), shard[of[mine]]
+            did, rank = bucket.did[row], bucket.rank[row]
             if unit.words:
                 starts, ends, at = words(bucket.buf, bucket.offsets)
-            sums = prefix_sums(bucket.buf)
-            by_shard: dict[int, list] = {}
-            for g, data in zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True):
-                by_shard.setdefault(g, []).append(unpack(data))
-            for g, parts in by_shard.items():
-                did, rank, pos, count = (np.concatenate([x[k] for x in parts]) for k in ("d_did", "rank", "pos", "count"))
-                row = bucket.find(did, rank)
-                if unit.words:
-                    w = at[row] + pos
-                    a, b = starts[w], ends[w + count.astype(np.int64) + unit.window - 2]
-                else:
-                    a = bucket.offsets[row] + pos
-                    b = a + count + unit.window - 1
-                _, where, content = np.unique(span_hashes(sums, a, b), return_index=True, return_inverse=True)
-                raw = [bucket.buf[i:j].tobytes() for i, j in zip(a[where].tolist(), b[where].tolist(), strict=True)]
-                shard.append(g)
-                texts.append(pack(text=pa.array(raw, pa.large_binary()), count=count[where]))
-                places.append(pack(content=content.astype(np.int32), d_did=did, rank=rank, pos=pos))
-        return pa.table({"shard": pa.array(shard, pa.int32()), "texts": pa.array(texts, pa.binary()), "places": pa.array(places, pa.binary())})
-
-    return docs.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(run, "shard int, texts binary, places binary")
+                w = at[row] + pos
+                a, b = starts[w], ends[w + count + unit.window - 2]
+            else:
+                a = bucket.offsets[row] + pos
+                b = a + count + unit.window - 1
+            content = np.unique(span_hashes(prefix_sums(bucket.buf), a, b), return_inverse=True)[1]
+            order = np.lexsort((pos, rank, did, content))
+            lead = order[np.flatnonzero(np.diff(content[order], prepend=-1))]
+            raw = bucket.buf.tobytes()
+            # texts of one hash are compared by their bytes; another text of the same hash is sent as well
+            first = lead[content]
+            odd = [i for i in np.flatnonzero(first != np.arange(len(first))).tolist() if raw[a[i] : b[i]] != raw[a[first[i]] : b[first[i]]]]
+            lead = np.concatenate([lead, np.array(odd, np.int64)])
+            for g, part in split_by(shard[lead]):
+                mine = lead[part]
+                keys.append(g)
+                texts.append(pack(text=pa.array([raw[i:j] for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True)], pa.large_binary()), count=count[mine]))
+                places.append(pack(did=did[mine], rank=rank[mine], pos=pos[mine]))
+            later = np.setdiff1d(np.arange(len(row)), lead)
+            if len(later):
+                later = later[np.lexsort((pos[later], rank[later], did[later]))]
+                keys.append(-1 - number)
+                texts.append(None)
+                places.append(pack(d_did=did[later], rank=rank[later], start=pos[later], length=count[later] + unit.window - 1))
+            return pa.table({"key": pa.array(keys, pa.int32()), "bucket": pa.array([number] * len(keys), pa.int32()), "texts": pa.array(texts, pa.binary()), "places": pa.array(places, pa.binary())})
+        return pa.table({"key": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "texts": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
+
+    return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, "key int, bucket int, texts binary, places binary")
+
+
+def _first_by_words(raw: list[bytes], parts: list[list[bytes]], unit: Unit):
+    """For the texts of each part, which come as a stream: the text of ``raw`` (in order of first occurrence) and the window
+    in it where each of their windows occurs first."""
+
+    def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        starts, ends, at = words(buf, offsets)
+        return span_hashes(prefix_sums(buf), starts, ends), at
+
+    hashes, at = hashed(raw)
+    index = fm_index.WordIndex(hashes, at, unit.window)
+    begin = at + np.arange(len(at))  # with a separator after each text
+    for texts in parts:
+        hashes, cut = hashed(texts)
+        place = index.first_places(hashes, cut)
+        text = np.searchsorted(begin, place, "right") - 1
+        yield text, place - begin[text], cut
 
 
 def _first_flags(raw: list[bytes], count: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """(text, is first) of each window of the texts, which come in order of first occurrence."""
     buf = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-    if not unit.words:
-        return bwt_merge.first_windows(buf, offsets, count, unit.window)
-    starts, ends, at = words(buf, offsets)
-    first = fm_index.first_windows(span_hashes(prefix_sums(buf), starts, ends), at, unit.window)
-    seq = np.repeat(np.arange(len(raw)), np.diff(at))
-    within = np.arange(len(seq)) - at[seq]
-    return seq[within < count[seq]], first[within < count[seq]]
+    return bwt_merge.first_windows(buf, offsets, count, unit.window)
 
 
-def _covered_rows(rows: DataFrame, unit: Unit, buckets: int) -> DataFrame:
+def _spans(seq: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows) of the runs of windows that aren't first, of texts with so many windows."""
+    begin = np.cumsum(counts) - counts
+    within = np.arange(len(seq)) - begin[seq]
+    new = ~first
+    new[1:] &= first[:-1] | (seq[1:] != seq[:-1])
+    stop = ~first
+    stop[:-1] &= first[1:] | (seq[1:] != seq[:-1])
+    a, b = np.flatnonzero(new), np.flatnonzero(stop)
+    return seq[a], within[a], b - a + 1
+
+
+def _covered_rows(rows: DataFrame, unit: Unit) -> DataFrame:
     """(bucket, data): document, start and length of passages that occur earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts, counts, places, base = [], [], [], 0
+        schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+        if table["key"][0].as_py() < 0:  # a bucket's own
+            return pa.Table.from_arrays([table["bucket"], table["places"]], schema=schema)
+        parts, counts, places = [], [], []
         for t, p in zip(table["texts"].to_pylist(), table["places"].to_pylist(), strict=True):
             t, p = unpack_table(t), unpack(p)
-            texts += t["text"].to_pylist()
-            counts.append(t["count"].to_numpy().astype(np.int64))
-            places.append((p["content"] + base, p["d_did"], p["rank"], p["pos"]))
-            base = len(texts)
-        count = np.concatenate(counts)
-        content, did, rank, pos = (np.concatenate(x).astype(np.int64) for x in zip(*places, strict=True))
+            parts.append(t["text"].to_pylist())
+            counts.append(t["count"].to_numpy())
+            places.append((p["did"], p["rank"], p["pos"]))
         number: dict[bytes, int] = {}
-        same = np.fromiter((number.setdefault(x, len(number)) for x in texts), np.int64, len(texts))
-        distinct, content = list(number), same[content]
-        windows = np.empty(len(distinct), np.int64)
-        windows[same] = count
+        content = np.fromiter((number.setdefault(x, len(number)) for part in parts for x in part), np.int64)
+        did, rank, pos = (np.concatenate(x) for x in zip(*places, strict=True))
+        count = np.concatenate(counts)
         # the first place of each distinct text, and the texts in the order of these
         order = np.lexsort((pos, rank, did, content))
         lead = order[np.flatnonzero(np.diff(content[order], prepend=-1))]
         by_place = np.lexsort((pos[lead], rank[lead], did[lead]))
-        seq, first = _first_flags([distinct[i] for i in by_place.tolist()], windows[by_place], unit)
-        # places after the first are covered whole
-        lead_of = lead[content]
-        later = np.flatnonzero((did != did[lead_of]) | (rank != rank[lead_of]) | (pos != pos[lead_of]))
-        out = [(did[later], rank[later], pos[later], windows[content[later]])]
-        # at the first place, the windows with an earlier copy
-        begin = np.cumsum(windows[by_place]) - windows[by_place]
-        within = np.arange(len(seq)) - begin[seq]
-        new = ~first
-        new[1:] &= first[:-1] | (seq[1:] != seq[:-1])
-        stop = ~first
-        stop[:-1] &= first[1:] | (seq[1:] != seq[:-1])
-        a, b = np.flatnonzero(new), np.flatnonzero(stop)
-        at = lead[by_place[seq[a]]]
-        out.append((did[at], rank[at], pos[at] + within[a], b - a + 1))
-        did, rank, pos, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        distinct = list(number)
+        raw = [distinct[i] for i in by_place.tolist()]
+        lead = lead[by_place]
+        found, start = [], 0
+        if unit.words:
+            # each bucket's documents are streamed through the index: a window is first where it stands itself
+            turn = np.empty(len(lead), np.int64)
+            turn[by_place] = np.arange(len(lead))
+            for (text, window, cut), n in zip(_first_by_words(raw, parts, unit), counts, strict=True):
+                own = np.arange(start, start + len(n))
+                start += len(n)
+                seq = np.repeat(np.arange(len(n)), n)
+                within = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
+                at = cut[seq] + within
+                here = lead[turn[content[own]]] == own  # the first of equal texts
+                first = here[seq] & (text[at] == turn[content[own]][seq]) & (window[at] == within)
+                of, a, length = _spans(seq, first, n)
+                found.append((own[of], a, length))
+        else:
+            seq, first = _first_flags(raw, count[lead], unit)
+            of, a, length = _spans(seq, first, count[lead])
+            found.append((lead[of], a, length))
+            later = np.setdiff1d(np.arange(len(content)), lead)
+            found.append((later, np.zeros(len(later), np.int64), count[later]))
+        own, a, length = (np.concatenate(x) for x in zip(*found, strict=True))
         bucket, data = [], []
-        for g, at in split_by(id_groups(did, buckets)):
-            at = at[np.lexsort((pos[at], rank[at], did[at]))]
+        of_bucket = np.repeat(table["bucket"].to_numpy(), [len(x) for x in counts])
+        for g, at in split_by(of_bucket[own]):
+            i = own[at]
+            at, i = (x[np.lexsort((pos[i] + a[at], rank[i], did[i]))] for x in (at, i))
             bucket.append(g)
-            data.append(pack(d_did=did[at], rank=rank[at], start=pos[at], length=n[at] + unit.window - 1))
+            data.append(pack(d_did=did[i], rank=rank[i], start=pos[i] + a[at], length=length[at] + unit.window - 1))
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
-    return rows.groupBy("shard").applyInArrow(run, "bucket int, data binary")
+    return rows.groupBy("key").applyInArrow(run, "bucket int, data binary")
 
 
 def _flags(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -277,9 +325,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, with_text: bool = True) -> DataF
     """
     docs, total = identified(docs)
     shards, buckets = groups_for(total), groups_for(total, 4 << 20)
-    packed = packed_documents(docs, buckets)
-    repeated = _repeated_rows(_anchor_rows(docs.select("did", "rank", "text"), unit, shards), buckets)
-    covered = _covered_rows(_text_rows(packed, repeated, unit), unit, buckets)
+    packed = packed_documents(docs, buckets).repartition(buckets, "bucket")
+    answers = _answered(_asked(packed, unit, shards), buckets)
+    covered = _covered_rows(_text_rows(packed, answers, unit, shards), unit)
     return _finished(packed, covered, unit, with_text)
-
-

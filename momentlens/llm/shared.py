@@ -59,6 +59,7 @@ def identified(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 _FAST = pa.ipc.IpcWriteOptions(compression="zstd")
+_SMALL = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
 
 def pack(**columns) -> bytes:
@@ -70,7 +71,7 @@ def pack(**columns) -> bytes:
         arrays[k] = v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v)
     table = pa.table(arrays)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_FAST) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=_SMALL if "text" in arrays else _FAST) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -88,6 +89,28 @@ def unpack(data) -> dict[str, np.ndarray]:
     return out
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Unsigned columns as one compressed binary without names: a byte of each number together, then the next byte."""
+    head = np.array([len(columns), *[x for c in columns for x in (c.dtype.itemsize, len(c))]], np.uint32)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes() for c in columns]
+    return head.tobytes() + _CODEC.compress(b"".join(planes), asbytes=True)
+
+
+def unpack_numbers(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    head = np.frombuffer(data, np.uint32, 2 * n, 4).reshape(-1, 2).astype(np.int64)
+    raw = _CODEC.decompress(data[4 + 8 * n :], int((head[:, 0] * head[:, 1]).sum()), asbytes=True)
+    out, at = [], 0
+    for size, count in head.tolist():
+        planes = np.frombuffer(raw, np.uint8, size * count, at).reshape(size, count)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{size}").reshape(-1))
+        at += size * count
+    return out
+
+
 def id_groups(did: np.ndarray, n: int) -> np.ndarray:
     from momentlens.llm.text import mix
 
@@ -98,8 +121,10 @@ def split_by(groups: np.ndarray):
     """(group, row numbers) for each group that occurs; rows keep their order."""
     if not len(groups):
         return
-    order = np.argsort(groups, kind="stable")
-    cut = np.flatnonzero(np.diff(groups[order], prepend=groups[order][:1] - 1))
+    small = 0 <= int(groups.min()) and int(groups.max()) < 1 << 16
+    order = np.argsort(groups.astype(np.uint16) if small else groups, kind="stable")  # 16 bits are sorted by digits
+    ordered = groups[order]
+    cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
         yield int(groups[order[a]]), order[a:b]
 
