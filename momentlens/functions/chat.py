@@ -38,9 +38,13 @@ def clean_message(s: Column) -> Column:
     return normalize_ws(F.regexp_replace(low, r"(?U)[^\w\s\x{10000}-\x{10FFFF}]", ""))
 
 
-def extract_emojis(s: Column, known: list[str]) -> Column:
-    """Single code points of a known set, in order, repeats kept."""
-    return F.filter(F.split(F.coalesce(s, F.lit("")), ""), lambda c: F.array_contains(F.array(*map(F.lit, known)), c))
+# Blocks of code points that are emojis: pictographs, transport, symbols, dingbats, stars.
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{2B55}]"
+
+
+def extract_emojis(s: Column) -> Column:
+    """Single code points that are emojis, in order, repeats kept; selectors, digits and signs aren't."""
+    return F.filter(F.split(F.coalesce(s, F.lit("")), ""), lambda c: c.rlike(EMOJI))
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +56,7 @@ def speech_rate(text: Column, start: Column, end: Column) -> Column:
 
 
 def speech_rate_norm(rate: Column) -> Column:
-    return F.least(rate / 6, F.lit(1.0))
+    return F.when(rate.isNotNull(), F.least(rate / 6, F.lit(1.0)))
 
 
 def parse_key_value_scores(reply: Column) -> dict[str, Column]:
@@ -93,6 +97,21 @@ def is_valid_vod_url(url: Column) -> Column:
     return url.rlike(r"^https?://(?:www\.)?twitch\.tv/videos/\d+/?(?:\?.*)?$")
 
 
+# The category of a kind of file.
+CATEGORIES = {"Video Files": ("video",), "Audio Files": ("audio",), "Transcript Files": ("segments", "words", "paragraphs"), "Chat Files": ("chat", "json"), "Waveform Files": ("waveform",)}
+
+
+def artifact_sizes(files: DataFrame) -> DataFrame:
+    """(category, files, bytes, megabytes, gigabytes) of files (kind, bytes), with a row ``total``; other kinds don't count."""
+    category = F
+    for name, kinds in CATEGORIES.items():
+        category = category.when(F.col("kind").isin(*kinds), name)
+    rows = files.withColumn("category", category.otherwise(None)).where("category IS NOT NULL AND bytes IS NOT NULL")
+    sums = rows.rollup("category").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    size = lambda n: F.col("bytes") / float(1 << n)
+    return sums.select(F.coalesce("category", F.lit("total")).alias("category"), "files", "bytes", size(20).alias("megabytes"), size(30).alias("gigabytes"))
+
+
 def route_artifact(path: Column) -> Column:
     low = F.lower(path)
     return F.when(low.rlike("transcript|paragraphs|words|segments"), "transcripts").when(low.contains("chat"), "chatlogs").otherwise("vods")

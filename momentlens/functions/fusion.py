@@ -15,6 +15,11 @@ BONUS = {"synchronized": 0.15, "positive_aligned": 0.10, "audience_positive": 0.
 CODES = {"synchronized": 5, "positive_aligned": 4, "audience_positive": 3, "mixed": 2, "audience_negative": 1, "negative_aligned": 0}
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """``x`` held between two bounds; null stays null (``least`` and ``greatest`` would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def cols(prefix: str = "", names=EMOTIONS) -> list[Column]:
     return [F.col(f"{prefix}{e}") for e in names]
 
@@ -55,7 +60,8 @@ def relationship_code(r: Column) -> Column:
 
 def enhanced_score(h: Column, ch: Column, align: Column, rel: Column) -> Column:
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BONUS.items() for x in kv]), rel), F.lit(0.0))
-    return F.least(F.lit(1.0), 0.6 * h + 0.4 * ch + bonus + 0.1 * align)
+    score = 0.6 * h + 0.4 * ch + bonus + 0.1 * align
+    return F.when(score.isNotNull(), F.least(F.lit(1.0), score))
 
 
 def blend_highlight(model: Column, sr_norm: Column, ri: Column, ai: Column, emotions: list[Column]) -> Column:
@@ -72,13 +78,13 @@ def weighted_emotion(e: Column, ai: Column) -> Column:
 
 
 def amplify(e: Column, ai: Column) -> Column:
-    return e * F.coalesce(F.greatest(F.lit(0.0), F.least(ai, F.lit(1.0))) + 0.5, F.lit(0.75))
+    return e * F.coalesce(clip(ai, 0.0, 1.0) + 0.5, F.lit(0.75))
 
 
 def cluster_scores(p: dict[str, Column]) -> dict[str, Column]:
     sentiment = p["excitement"] + p["happiness"] + p["funny"] - p["anger"] - p["sadness"]
     near = lambda v: F.round(v + 1e-9, 3) + 0.0  # noqa: E731  no negative zero
-    return {k: near(v) for k, v in p.items()} | {"sentiment": near(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sentiment)))}
+    return {k: near(v) for k, v in p.items()} | {"sentiment": near(clip(sentiment, -1.0, 1.0))}
 
 
 def format_mmss(s: Column) -> Column:

@@ -83,15 +83,24 @@ def loudness_smooth(frames: DataFrame, keys: list[str], order: list[str], value:
     by = Window.partitionBy(*keys).orderBy(*order)
     near = by.rowsBetween(-(width // 2), (width - 1) // 2)
     mean = F.when(F.count("*").over(near) == width, F.avg(F.abs(value)).over(near))
-    ahead = F.first("_m", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # a growing frame in descending order; one up to the last row would be run through again for each row
+    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    ahead = F.last("_m", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     back = F.last("_m", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     return frames.withColumn("_m", mean).withColumn("loudness", F.coalesce("_m", ahead, back)).drop("_m")
 
 
+def alert_counts(alerts: DataFrame) -> DataFrame:
+    """(level, n, active): alerts by level, and those that aren't resolved."""
+    return alerts.groupBy("level").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("resolved", F.lit(False))).alias("active"))
+
+
 def health_status(checks: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, status, issues): the worst level of the checks and those that are not well; a check's ``level`` may be null."""
+    """(keys, status, issues): the worst level of the checks and those that are not well; a check's ``level`` may be null.
+    A key without a named check is ``unknown``."""
     worst = F.max(F.when(F.col("level") == "critical", 2).when(F.col("level") == "warning", 1).otherwise(0))
     issue = F.when(F.col("level").isNotNull(), F.struct(F.col(name), F.col("level")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(issue)), lambda x: F.concat_ws(":", x[name].cast("string"), x["level"])), ",")
-    status = F.when(worst == 2, "critical").when(worst == 1, "warning").otherwise("healthy")
+    known = F.count(F.col(name))
+    status = F.when(known == 0, "unknown").when(worst == 2, "critical").when(worst == 1, "warning").otherwise("healthy")
     return checks.groupBy(*keys).agg(status.alias("status"), text.alias("issues"))

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, mode: str = "open") -> Column:
+    """Whether two intervals overlap: ``open`` (by more than an end), ``touching`` (ends count), or ``words``: a lies inside
+    b, reaches into it from either side, or spans it, where an end of a without length counts inside b."""
     if mode == "touching":
         return (a_start <= b_end) & (b_start <= a_end)
+    if mode == "words":
+        inside = (a_start >= b_start) & (a_end <= b_end)
+        into = (a_start < b_start) & (a_end > b_start) & (a_end <= b_end)
+        out_of = (a_start >= b_start) & (a_start < b_end) & (a_end > b_end)
+        return inside | into | out_of | ((a_start <= b_start) & (a_end >= b_end))
+    if mode != "open":
+        raise ValueError(f"unknown mode: {mode}")
     return (a_start < b_end) & (a_end > b_start)
 
 

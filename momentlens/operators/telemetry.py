@@ -36,7 +36,7 @@ ERROR_RULES = (
     ("(permission.*denied|access.*forbidden|unauthorized)", "PERMISSION_DENIED", "external_service_error", 0),
     ("(invalid.*format|unsupported.*format|format.*not.*supported)", "UNSUPPORTED_FORMAT", "invalid_video_url", 0),
 )
-# Tried first on messages of a transcription.
+# Tried first on messages of a transcription.
 TRANSCRIPTION_RULES = (
     ("(gpu.*memory|cuda.*memory)", "GPU_MEMORY_ERROR", "external_service_error", 180),
     ("(model.*loading|model.*download)", "MODEL_LOADING_ERROR", "external_service_error", 180),
@@ -44,6 +44,7 @@ TRANSCRIPTION_RULES = (
     ("(deepgram.*quota|deepgram.*limit)", "DEEPGRAM_QUOTA_ERROR", "external_service_error", 180),
     ("(hybrid.*split|hybrid.*merge)", "HYBRID_PROCESSING_ERROR", "external_service_error", 180),
 )
+# The share of the whole job that each stage covers.
 STAGES = {"queued": (0, 0), "downloading": (0, 20), "transcribing": (20, 50), "analyzing": (50, 80), "integrating": (80, 95), "uploading": (95, 100), "completed": (100, 100)}
 
 
@@ -54,6 +55,54 @@ def floor_index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[
     return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), F.col(value))).alias(name) for name, q in qs.items()])
 
 
+def overall_percentiles(df: DataFrame, value: str, qs: dict[str, float], bins: int = 1024) -> DataFrame:
+    """One row: sorted[int(n q)] of all values for each q, and ``n``. No task sorts them all: values fall into equal bins
+    between the extremes, and only the bin that holds a rank is ranked."""
+    ends = df.where(F.col(value).isNotNull()).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
+    place = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0)))
+    dealt = df.where(F.col(value).isNotNull()).select(value).crossJoin(F.broadcast(ends)).withColumn("bin", place.cast("int"))  # ends is one row
+    counts = dealt.groupBy("bin").agg(F.count("*").alias("m"))
+    before = counts.withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("bin")) - F.col("m"))  # at most ``bins`` rows
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in qs.items()])
+    ranks = before.crossJoin(F.broadcast(ends.select("n"))).withColumn("w", F.explode(wanted))
+    rank = F.floor(F.col("n") * F.col("w.q"))
+    here = ranks.where((rank >= F.col("before")) & (rank < F.col("before") + F.col("m"))).select("bin", F.col("w.name").alias("name"), (rank - F.col("before")).alias("rank"))
+    some = dealt.join(F.broadcast(here.select("bin").distinct()), "bin", "left_semi")  # a bin a percentile
+    equal = some.groupBy("bin", value).agg(F.count("*").alias("times"))
+    placed = equal.withColumn("row", F.sum("times").over(Window.partitionBy("bin").orderBy(value)) - F.col("times"))
+    found = placed.join(F.broadcast(here), "bin").where("row <= rank AND rank < row + times")
+    return found.agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in qs])
+
+
+def error_rate_alerts(stats: DataFrame, warn: float = THRESHOLDS["error_rate"][0], critical: float = THRESHOLDS["error_rate"][1]) -> DataFrame:
+    """(endpoint, error_rate, level) of the endpoints whose share of errors reaches a threshold."""
+    level = F.when(F.col("error_rate") >= critical, "critical").when(F.col("error_rate") >= warn, "warning")
+    return stats.select("endpoint", "error_rate", level.alias("level")).where("level IS NOT NULL")
+
+
+def latency_alert(requests: DataFrame, keys: list[str], *order: str, warn: float = THRESHOLDS["response_time_p95"][0], critical: float = THRESHOLDS["response_time_p95"][1], least: int = 20, last: int = 1000) -> DataFrame:
+    """(keys, n, p95, level) over the last requests (by ``order``) of each key; ``ok`` with fewer than ``least`` of them."""
+    recent = requests.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).where(F.col("_k") <= last)
+    p = floor_index_percentile(recent, keys, "duration", {"p95": 0.95}, *order).join(recent.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    enough = F.col("n") >= least
+    return p.select(*keys, "n", "p95", F.when(enough & (F.col("p95") >= critical), "critical").when(enough & (F.col("p95") >= warn), "warning").otherwise("ok").alias("level"))
+
+
+def results_report(results: DataFrame, critical: tuple[str, ...]) -> DataFrame:
+    """(category, total, passed, rate, status) of results (category, status), and a row ``all`` with the overall status.
+
+    A category passes if all its tests do. Overall: ready from 90 % on, ready with warnings from 80 % on, both without a
+    failure in a critical category; needs attention from 70 % on with two such failures at most; else not ready.
+    """
+    ok = F.col("status") == "PASS"
+    failed = F.sum((~ok & F.col("category").isin(*critical)).cast("long"))
+    sums = results.rollup("category").agg(F.count("*").alias("total"), F.sum(ok.cast("long")).alias("passed"), failed.alias("bad"))
+    rate = F.col("passed") / F.col("total")
+    overall = F.when((F.col("bad") == 0) & (rate >= 0.9), "PRODUCTION_READY").when((F.col("bad") == 0) & (rate >= 0.8), "READY_WITH_WARNINGS").when((F.col("bad") <= 2) & (rate >= 0.7), "NEEDS_ATTENTION").otherwise("NOT_READY")
+    one = F.when(F.col("passed") == F.col("total"), "PASS").otherwise("FAIL")
+    return sums.select(F.coalesce("category", F.lit("all")).alias("category"), "total", "passed", rate.alias("rate"), F.when(F.col("category").isNull(), overall).otherwise(one).alias("status"))
+
+
 def endpoint_stats(requests: DataFrame) -> DataFrame:
     return requests.groupBy("endpoint").agg(F.count("*").alias("requests"), F.avg("duration").alias("avg_time"), F.sum((~F.col("success")).cast("long")).alias("errors"), F.avg((~F.col("success")).cast("double")).alias("error_rate"))
 
@@ -104,6 +153,16 @@ def cost_analysis(records: DataFrame) -> DataFrame:
     return out.withColumns({"cost_per_hour": F.col("cost") / F.col("hours"), "baseline": F.col("hours") * 60 * 0.0045}).withColumn("savings", F.col("baseline") - F.col("cost"))
 
 
+def cost_totals(records: DataFrame, days: int = 30, budget: float = 1000.0) -> DataFrame:
+    """One row over the records of the last ``days`` before the last one: totals, savings against the service's price in
+    dollars and percent, the cost of 30 days at this pace and its share of the budget. No records, no row."""
+    now = records.agg(F.max("ts").alias("now"))
+    recent = records.crossJoin(F.broadcast(now)).where(F.col("ts") >= F.col("now") - F.expr(f"INTERVAL {days} DAYS")).drop("now")  # now is one row
+    sums = cost_analysis(recent).agg(F.sum("n").alias("n"), F.sum("hours").alias("hours"), F.sum("cost").alias("cost"), F.sum("baseline").alias("baseline"))
+    out = sums.where("n > 0").withColumns({"cost_per_hour": F.col("cost") / F.greatest(F.col("hours"), F.lit(0.001)), "savings": F.col("baseline") - F.col("cost"), "projection": F.col("cost") * 30.0 / days})
+    return out.withColumns({"savings_percent": F.when(F.col("baseline") > 0, F.col("savings") / F.col("baseline") * 100).otherwise(0.0), "budget_share": F.col("projection") / budget})
+
+
 def cost_recommendations(analysis: DataFrame, budget: float = 1000.0) -> DataFrame:
     """(method, advice) from a month's cost analysis: much of the budget used, a service dearer than twice the GPU, few
     successes of a method, savings under 80 % of the baseline; else that all is well. Advice on all methods is of ``all``."""
@@ -137,16 +196,22 @@ def method_by_duration(hours: Column, gpu: bool = True) -> Column:
 
 def performance_score(cpu: Column, mem: Column, p95: Column) -> Column:
     cut = lambda x, at, by, most: F.when(x > at, F.least(F.lit(most), (x - at) * by)).otherwise(0.0)
-    return F.greatest(F.lit(0.0), 100 - cut(cpu, 80, 2, 20.0) - cut(mem, 85, 2, 20.0) - cut(p95, 2, 10, 30.0))
+    known = cpu.isNotNull() & mem.isNotNull() & p95.isNotNull()
+    return F.when(known, F.greatest(F.lit(0.0), 100 - cut(cpu, 80, 2, 20.0) - cut(mem, 85, 2, 20.0) - cut(p95, 2, 10, 30.0)))
+
+
+def simple_performance_score(cpu: Column, mem: Column) -> Column:
+    over = lambda x, at: F.when(x > at, (x - at) * 0.5).otherwise(0.0)
+    return F.when(cpu.isNotNull() & mem.isNotNull(), F.bround(F.greatest(F.lit(0.0), 100 - over(cpu, 80) - over(mem, 85)), 1))
 
 
 def grade(score: Column) -> Column:
-    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+    return F.when(score.isNull(), None).when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
 
 def backoff_delay(attempt: Column, policy: str, base: float = 1.0) -> Column:
     delay = {"exponential": F.pow(F.lit(2.0), attempt - 1) * base, "linear": attempt * base, "fixed": F.lit(base), "immediate": F.lit(0.0)}[policy]
-    return F.least(delay.cast("double"), F.lit(60.0))
+    return F.when(attempt.isNotNull(), F.least(delay.cast("double"), F.lit(60.0)))
 
 
 def stage_progress(stage: Column, sub: Column) -> Column:
@@ -158,7 +223,8 @@ def stage_progress(stage: Column, sub: Column) -> Column:
 
 def eta_seconds(elapsed: Column, pct: Column, status: Column) -> Column:
     left = elapsed / (pct / 100) - elapsed
-    return F.when(status.isin("Completed", "Failed"), 0).when(pct <= 0, 3600).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(left, F.lit(7200.0))))).cast("long")
+    held = F.when(left.isNotNull(), F.floor(F.greatest(F.lit(0.0), F.least(left, F.lit(7200.0)))))
+    return F.when(status.isin("Completed", "Failed"), 0).when(pct <= 0, 3600).otherwise(held).cast("long")
 
 
 def threshold_alerts(latest: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
@@ -168,11 +234,48 @@ def threshold_alerts(latest: DataFrame, thresholds: dict[str, tuple[float, float
     return latest.withColumn("level", level.otherwise(None)).where("level IS NOT NULL")
 
 
-def queue_health(jobs: DataFrame) -> DataFrame:
-    done, failed = F.sum((F.col("status") == "Completed").cast("long")), F.sum((F.col("status") == "Failed").cast("long"))
-    out = jobs.groupBy("queue_key").agg(F.count("*").alias("jobs"), done.alias("processed"), failed.alias("failed"), F.avg("cost").alias("avg_cost"))
-    rate = F.col("processed") / F.nullif(F.col("processed") + F.col("failed"), F.lit(0))
-    return out.withColumns({"success_rate": rate, "issues": F.array_join(F.array_compact(F.array(F.when(rate < 0.95, "low_success"), F.when(F.col("jobs") > 300, "long_queue"))), ",")})
+def queue_health(jobs: DataFrame, workers: int = 4, most: int = 100) -> DataFrame:
+    """Per queue: lengths, what was done, failed and retried, mean seconds of what was done, success percent, shares of the
+    workers and of the queue in use, the worst issue's level and the issues: nearly full, jobs but nobody at work, and more failures than a tenth of what was done."""
+    count = lambda s: F.sum((F.col("status") == s).cast("long"))
+    done = F.col("status") == "Completed"
+    out = jobs.groupBy("queue_key").agg(F.count("*").alias("jobs"), count("Queued").alias("waiting"), count("Running").alias("active"), count("Completed").alias("processed"), count("Failed").alias("failed"), F.sum("retries").alias("retried"), F.avg(F.when(done, F.col("seconds"))).alias("avg_seconds"))
+    full, idle, bad = F.col("waiting") >= most * 0.9, (F.col("active") == 0) & (F.col("waiting") > 0), F.col("failed") > F.col("processed") * 0.1
+    issues = F.array_compact(F.array(F.when(full, "nearly_full"), F.when(idle, "no_workers"), F.when(bad, "many_failures")))
+    # the last rule that holds sets the level
+    status = F.when(bad, "warning").when(idle, "critical").when(full, "warning").otherwise("healthy")
+    percent = F.col("processed") / F.greatest(F.col("processed") + F.col("failed"), F.lit(1)) * 100
+    return out.withColumns({"success_percent": percent, "worker_percent": F.col("active") / workers * 100, "queue_percent": F.col("waiting") / most * 100, "status": status, "issues": F.array_join(issues, ",")})
+
+
+def availability(requests: DataFrame, least: float = 0.999, most_ms: float = 5000.0) -> DataFrame:
+    """Per endpoint: requests, those that went well and their share, milliseconds, and whether both thresholds are met."""
+    rate = F.avg(F.col("success").cast("double"))
+    ms = lambda f: f("duration") * 1000
+    out = requests.groupBy("endpoint").agg(F.count("*").alias("total"), F.sum(F.col("success").cast("long")).alias("ok"), rate.alias("availability"), ms(F.avg).alias("mean_ms"), ms(F.min).alias("fastest_ms"), ms(F.max).alias("slowest_ms"))
+    return out.withColumn("healthy", (F.col("availability") >= least) & (F.col("mean_ms") < most_ms)).withColumn("availability", F.round(F.col("availability") + 1e-9, 6))
+
+
+def cache_stats(log: DataFrame, ttl_hours: int) -> DataFrame:
+    """Per kind of an access log (kind, key, ts, hit): accesses, hits, misses, hit percent, distinct keys and those of them
+    that haven't been used for the time to live before the log's end."""
+    now = log.agg(F.max("ts").alias("now"))
+    keys = log.groupBy("kind", "key").agg(F.max("ts").alias("last"), F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    live = F.col("last") > F.col("now") - F.expr(f"INTERVAL {ttl_hours} HOURS")
+    out = keys.crossJoin(F.broadcast(now)).groupBy("kind").agg(F.sum("n").alias("accesses"), F.sum("hits").alias("hits"), F.count("*").alias("entries"), F.count_if(~live).alias("expired"))  # now is one row
+    return out.withColumns({"misses": F.col("accesses") - F.col("hits"), "hit_percent": F.col("hits") / F.col("accesses") * 100})
+
+
+def retry_stats(attempts: DataFrame) -> DataFrame:
+    """Per operation of a log (operation, event_id, ts, delay, code): attempts, summed delay, error codes in order, first and last time."""
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "code"))), lambda x: x["code"])
+    return attempts.groupBy("operation").agg(F.count("*").alias("attempts"), F.sum("delay").alias("delay"), F.array_join(codes, ",").alias("codes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def batch_summary(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Of batches (size, flag, used): mean size, number, percent flagged, peak use and the mean use in percent of it."""
+    percent = F.when(F.max("used") > 0, F.avg("used") / F.max("used") * 100).otherwise(0.0)
+    return batches.groupBy(*keys).agg(F.avg("size").alias("mean_batch"), F.count("*").alias("n"), F.avg(F.when(F.col("flag"), 100.0).otherwise(0.0)).alias("ok_percent"), F.max("used").alias("peak"), percent.alias("mean_of_peak_percent"))
 
 
 def priority_order(jobs: DataFrame, fifo: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,52 @@ def chunk_plan(df: DataFrame, keys: list[str], chunk: float, overlap: float) ->
     return rows.select(*keys, "chunk_id", (F.col("chunk_id") * step).alias("start_time"), F.least(F.col("chunk_id") * step + chunk, F.col("duration")).alias("end_time"))
 
 
-def rolling_zscore(df: DataFrame, keys: list[str], time: str, value: str, span: float = 600.0) -> Column:
-    """Scaled z-score over the last ``span`` seconds, itself included: (z clipped to 3 + 3) / 6."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-int(span), 0)
-    n, mean, var = F.count(value).over(w), F.avg(value).over(w), F.var_pop(value).over(w)
-    std = F.when((n < 5) | (var < 1e-10), 1.0).otherwise(F.sqrt(var))
-    z = (F.col(value) - F.when(n < 5, 0.0).otherwise(mean)) / std
-    return (F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)) + 3) / 6
+def trailing(df: DataFrame, keys: list[str], row: str, time: str, value: str, span: float) -> DataFrame:
+    """(keys, row, value, n, sum, squares) over the values of the last ``span`` of each row, itself and its peers included.
+
+    The timeline is cut into bins of ``span``, each with the rows of the bin before, so a key spreads over many tasks.
+    In a bin every row asks twice for the running sums, where its frame begins and where it ends; a frame is the
+    difference, so the work is linear in the rows. ``row`` must be unique.
+    """
+    t, b = F.col(time).cast("double"), F.floor(F.col(time) / span)
+    event = lambda where, at, kind, sign, x: F.struct(where.alias("_bin"), at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"), x.cast("double").alias("_x"))
+    x, none = F.col(value), F.lit(None)
+    events = F.array(event(b, t, 1, 0, x), event(b + 1, t, 1, 0, x), event(b, t - span, 0, -1, none), event(b, t, 2, 1, none))
+    every = df.select(*keys, F.col(row), F.col(value), F.explode(events).alias("_e")).select(*keys, row, value, "_e.*")
+    w = Window.partitionBy(*keys, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = every.withColumns({"_n": F.count("_x").over(w), "_s": F.coalesce(F.sum("_x").over(w), F.lit(0.0)), "_q": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))})
+    asked = sums.where("_sign <> 0").groupBy(*keys, "_bin", row)
+    part = lambda c: F.sum(F.col(c) * F.col("_sign"))
+    return asked.agg(F.first(value).alias(value), part("_n").alias("n"), part("_s").alias("sum"), part("_q").alias("squares")).drop("_bin")
+
+
+def rolling_zscore(df: DataFrame, keys: list[str], row: str, time: str, value: str, span: float = 600.0) -> DataFrame:
+    """(keys, row, z): scaled z-score over the last ``span`` seconds, itself included: (z clipped to 3 + 3) / 6; null of a null."""
+    x = trailing(df, keys, row, time, value, span)
+    mean = F.col("sum") / F.col("n")
+    var = F.col("squares") / F.col("n") - mean * mean
+    std = F.when((F.col("n") < 5) | (var < 1e-10), 1.0).otherwise(F.sqrt(var))
+    z = (F.col(value) - F.when(F.col("n") < 5, 0.0).otherwise(mean)) / std
+    return x.select(*keys, row, ((F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) + 3) / 6).alias("z"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums in ``order`` (by name, the row included) and, by ``before``, values of the row before.
+
+    ``piece`` numbers pieces of the timeline that follow each other in ``order``. Rows are summed inside their piece and
+    shifted by the pieces before it, so no task orders a whole key; the pieces' own sums are a small table.
+    """
+    before = before or {}
+    by = F.struct(*order)
+    cut = df.withColumns({"_piece": piece, **{f"_{k}": v for k, v in (*sums.items(), *before.items())}})
+    pieces = cut.groupBy(*keys, "_piece").agg(*[F.sum(f"_{k}").alias(f"_p{k}") for k in sums], *[F.max_by(f"_{k}", by).alias(f"_p{k}") for k in before])
+    line = Window.partitionBy(*keys).orderBy("_piece")
+    shift = pieces.withColumns({f"_p{k}": F.sum(f"_p{k}").over(line) - F.col(f"_p{k}") for k in sums} | {f"_p{k}": F.lag(f"_p{k}").over(line) for k in before})
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    out = {k: F.col(f"_p{k}") + F.sum(f"_{k}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for k in sums}
+    out |= {k: F.when(F.row_number().over(inside) == 1, F.col(f"_p{k}")).otherwise(F.lag(f"_{k}").over(inside)) for k in before}
+    made = [c for k in (*sums, *before) for c in (f"_{k}", f"_p{k}")]
+    return cut.join(shift, [*keys, "_piece"]).withColumns(out).drop("_piece", *made)
 
 
 def centered(value: str, keys: list[str], order: list[str], width: int = 5, std: bool = False) -> Column:
@@ -81,15 +121,26 @@ def smooth_savgol(df: DataFrame, keys: list[str], order: list[str], value: str,
     return mixed.withColumn("smoothed", F.when(F.col("_n") >= width, fitted).otherwise(F.col(value))).drop("_row", "_n", "_place", "_values")
 
 
-def smooth_exponential(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 15) -> DataFrame:
-    """Adds ``smoothed``, y = a x + (1 - a) y before, with a = 2 / (width + 1). A recursion, so one task per key."""
-    schema = T.StructType([*df.schema.fields, T.StructField("smoothed", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(smoothed=pdf[value].ewm(alpha=2 / (width + 1), adjust=False).mean())
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def smooth_exponential(df: DataFrame, keys: list[str], order: list[str], value: str, piece: Column, width: int = 15) -> DataFrame:
+    """Adds ``smoothed``, y = a x + (1 - a) y before, with a = 2 / (width + 1), from the first row on.
+
+    Rows are numbered by ``running`` (see there for ``piece``) and cut into blocks so long that what is left of a value after
+    a block is below the rounding of a double. A row is the weighted sum of its block's rows up to it and of what the two blocks
+    before it leave, so no task holds a series.
+    """
+    a = 2 / (width + 1)
+    size = max(1, math.ceil(-36.8 / math.log1p(-a))) if a < 1 else 1
+    keep = 1 - a
+    rows = running(df, keys, order, piece, {"_row": F.lit(1).cast("long")}).withColumns({"_block": F.floor((F.col("_row") - 1) / size), "_k": (F.col("_row") - 1) % size})
+    weight = F.when(F.col("_row") == 1, 1.0).otherwise(a)
+    lifted = F.col(value) * weight * F.pow(F.lit(keep), -F.col("_k")) if a < 1 else F.col(value)
+    inside = Window.partitionBy(*keys, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_y", F.sum(lifted).over(inside) * F.pow(F.lit(keep), F.col("_k")) if a < 1 else F.col(value))
+    ends = local.where(F.col("_k") == size - 1).select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_y").alias("_end"))
+    line = Window.partitionBy(*keys).orderBy("_block")
+    carried = ends.withColumn("_end", F.col("_end") + F.coalesce(F.lag("_end").over(line), F.lit(0.0)) * keep**size)
+    joined = local.join(carried, [*keys, "_block"], "left")
+    return joined.withColumn("smoothed", F.col("_y") + F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)).drop("_row", "_block", "_k", "_y", "_end")
 
 
 def threshold_regions(df: DataFrame, keys: list[str], time: str, value: str, threshold: float, least: float = 3.0) -> DataFrame:
@@ -119,31 +170,53 @@ def find_peaks(x: np.ndarray, height: float = -np.inf, distance: int = 1, promin
     peaks = (begin[inner] + end[inner]) // 2
     peaks = peaks[x[peaks] >= height]
     keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(peaks - peaks[i]) < distance
-            near[i] = False
-            keep &= ~near
+    for i in np.argsort(x[peaks], kind="stable")[::-1].tolist():
+        if keep[i]:  # neighbours only: those within the distance on either side
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(peaks) and abs(peaks[j] - peaks[i]) < distance:
+                    keep[j] = False
+                    j += step
     peaks = peaks[keep]
-    heights = []
-    for p in peaks:
-        left = np.flatnonzero(x[:p] > x[p])
-        right = np.flatnonzero(x[p + 1 :] > x[p])
-        a, b = (left[-1] + 1 if len(left) else 0), (p + 1 + right[0] if len(right) else n)
-        heights.append(x[p] - max(x[a : p + 1].min(), x[p:b].min()))
-    heights = np.array(heights, float)
+    level = x[begin]
+    at = np.searchsorted(begin, peaks, "right") - 1  # plateaus
+    low = np.maximum(_base(level)[at], _base(level[::-1])[::-1][at])
+    heights = x[peaks] - low if len(peaks) else np.zeros(0)
     ok = heights >= prominence
     return peaks[ok], heights[ok]
 
 
-def peak_moments(df: DataFrame, keys: list[str], time: str, value: str, distance: int = 15, height: float = 0.25, prominence: float = 0.35, k: int = 10) -> DataFrame:
-    """(keys, time, value, prominence, rank): the k highest peaks of each series. Greedy by nature, so one task per key."""
+def _base(x: np.ndarray) -> np.ndarray:
+    """For each value, the least one between it and the last greater one before it (or the beginning); one pass, a stack."""
+    out, stack = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((v, low))
+    return out
+
+
+#: (rows between peaks, prominence, height); the adaptive one takes a twentieth of the series and its 60th percentile, and
+#: the highest rows where there is no peak.
+PROFILES = {"precomputed": (15, 0.25, 0.35), "legacy": (20, 0.3, 0.4), "adaptive": (None, 0.1, None), "emotion_precomputed": (15, 0.15, 0.25), "emotion_legacy": (20, 0.2, 0.3)}
+
+
+def peak_moments(df: DataFrame, keys: list[str], time: str, value: str, profile: str | tuple = "precomputed", k: int = 10) -> DataFrame:
+    """(keys, time, value, prominence, rank): the k highest peaks of each series (rows without a value are left out).
+    Greedy by nature, so one task per key."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    gap, prominence, height = PROFILES[profile] if isinstance(profile, str) else profile
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time).reset_index(drop=True)
-        at, prom = find_peaks(pdf[value].to_numpy(float), height, distance, prominence)
-        top = np.lexsort((at, -pdf[value].to_numpy()[at]))[:k]
+        pdf = pdf.dropna(subset=[value]).sort_values(time, kind="stable").reset_index(drop=True)
+        x = pdf[value].to_numpy(float)
+        least = height if height is not None else float(np.percentile(x, 60)) if len(x) else 0.0
+        at, prom = find_peaks(x, least, gap or max(1, len(x) // 20), prominence)
+        if profile == "adaptive" and not len(at):
+            at, prom = np.arange(len(x)), np.full(len(x), np.nan)
+        top = np.lexsort((at, -x[at]))[:k]
         out = pdf.loc[at[top], [*keys, time, value]].reset_index(drop=True)
         return out.assign(prominence=prom[top], rank=np.arange(1, len(top) + 1))
 
@@ -161,12 +234,12 @@ def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0)
     """(keys, paragraph, start_time, end_time, words): a new paragraph when a word starts ``longest`` after the first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_time")
-        number, begin, out = -1, -np.inf, []
-        for s in pdf["start_time"]:
-            if number < 0 or s - begin >= longest:
-                number, begin = number + 1, s
-            out.append(number)
+        pdf = pdf.dropna(subset=["start_time"]).sort_values("start_time", kind="stable")
+        starts, at, cuts = pdf["start_time"].to_numpy(float), 0, []
+        while at < len(starts):  # a step a paragraph
+            cuts.append(at)
+            at = max(at + 1, int(np.searchsorted(starts, starts[at] + longest, "left")))
+        out = np.searchsorted(cuts, np.arange(len(starts)), "right") - 1
         g = pdf.assign(paragraph=out).groupby([*keys, "paragraph"], as_index=False)
         return g.agg(start_time=("start_time", "min"), end_time=("end_time", "max"), words=("word", "count"))
 
@@ -229,6 +302,39 @@ def meaningful_updates(updates: DataFrame, keys: list[str], order: str, step: fl
     return updates.groupBy(*keys).applyInPandas(run, updates.schema)
 
 
+def notifications(updates: DataFrame, keys: list[str], order: str, ends: tuple[str, ...]) -> DataFrame:
+    """Updates (percent, stage) worth telling by themselves: whole tens of percent, a stage other than before, an end."""
+    old = F.lag("stage").over(Window.partitionBy(*keys).orderBy(order))
+    told = (F.col("percent") % 10 == 0) | ~F.col("stage").eqNullSafe(F.col("_old")) | F.col("stage").isin(*ends)
+    return updates.withColumn("_old", old).where(told).drop("_old")
+
+
+def video_minmax(df: DataFrame, keys: list[str], value: str, name: str, constant: float | None = 0.5) -> DataFrame:
+    """Adds ``name``: the value between its key's extremes, as 0 to 1; a constant series gives ``constant``."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).when(F.col(value).isNotNull(), F.lit(constant).cast("double"))
+    return df.join(ends, keys).withColumn(name, x).drop("_lo", "_hi")
+
+
+def minute_summary(df: DataFrame, keys: list[str], start: str, score: str, means: list[str], q: float = 0.85, share: float = 0.8) -> DataFrame:
+    """(keys, minute, score, means, marked): means of each minute; marked where the score is above ``share`` of the key's
+    ``q`` percentile of all scores."""
+    threshold = df.groupBy(*keys).agg((F.percentile(score, q) * share).alias("_t"))
+    sums = df.groupBy(*keys, F.floor(F.col(start) / 60).alias("minute")).agg(F.avg(score).alias("score"), *[F.avg(m).alias(m) for m in means])
+    return sums.join(threshold, keys).withColumn("marked", F.col("score") > F.col("_t") + 1e-9).drop("_t")
+
+
+def cover_all(df: DataFrame, keys: list[str], score: str, order: str, labels: dict[str, str], ranked: tuple[str, ...], k: int) -> DataFrame:
+    """(keys, emotion, order, rank): the top k rows with the dominant of the ``ranked`` labels, and for each label that is
+    dominant in none of them the row where it is greatest (rank 0)."""
+    best = F.array_max(F.array(*[F.struct(F.col(labels[e]).alias("v"), F.lit(-i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(ranked)]))
+    top = top_k(df, keys, score, k, order).select(*keys, best["e"].alias("emotion"), order, F.col("rank").cast("long").alias("rank"))
+    long = df.select(*keys, order, F.explode(F.array(*[F.struct(F.lit(e).alias("emotion"), F.col(c).alias("v")) for e, c in labels.items()])).alias("_x")).select(*keys, order, "_x.*")
+    each = top_k(long, [*keys, "emotion"], "v", 1, order)
+    missing = each.join(top.select(*keys, "emotion").distinct(), [*keys, "emotion"], "left_anti")
+    return top.unionByName(missing.select(*keys, "emotion", order, F.lit(0).cast("long").alias("rank")))
+
+
 def top_k(df: DataFrame, keys: list[str], score: str, k: int, *ties: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -95,7 +95,10 @@ def _updates(events):
 @query()
 def r6_live_updates(spark, sf_dir):
     """The updates worth telling as a stream, run to its end."""
-    return V.drained(V.live_updates(_updates(V.events_stream(spark, sf_dir)), "job_id", "event_id"), "updates")
+    return r6(V.drained(V.live_updates(_updates(V.events_stream(spark, sf_dir)), "job_id", "event_id"), "updates"), "progress")
+
+
+SQL["r6_live_updates"] = SQL["w22_meaningful_updates"]
 
 
 @query("SELECT m.event_id, count(*) AS n FROM events AS m JOIN (SELECT user_id % 10 AS video_id, ts FROM events WHERE event_type = 'view') AS s ON m.user_id % 10 = s.video_id AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 315 SECOND GROUP BY 1")

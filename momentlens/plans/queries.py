@@ -13,6 +13,7 @@ from momentlens.operators import intervals as J
 from momentlens.operators import telemetry as M
 from momentlens.operators import windows as W
 from momentlens.sources import adapters as A
+from momentlens.sources import files as S
 from momentlens.sources.adapters import EMOTIONS
 
 QUERIES: dict = {}
@@ -71,23 +72,24 @@ _REASON = f"""CASE WHEN message IS NULL OR username IS NULL THEN 'missing' WHEN
  WHEN regexp_matches({_LOW}, '^(hi|hey|hello|sup)\\s+[\\p{{L}}\\p{{N}}_]+$') THEN 'greeting' WHEN regexp_matches(message, 'https?://') THEN 'link' END"""
 
 
-@query(f"SELECT doc_id, line_no, message FROM ({A.CHAT_SQL}) AS c WHERE ({_REASON}) IS NULL")
+@query(f"SELECT doc_id, line_no, message FROM ({A.NOISY_SQL}) AS c WHERE ({_REASON}) IS NULL")
 def p1_filter_chat(spark, sf_dir):
-    return C.filter_chat(A.chat_messages(spark, sf_dir)).select("doc_id", "line_no", "message")
+    return C.filter_chat(A.noisy_chat(spark, sf_dir)).select("doc_id", "line_no", "message")
 
 
-@query(f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM ({A.CHAT_SQL}) AS c GROUP BY 1")
+@query(f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM ({A.NOISY_SQL}) AS c GROUP BY 1")
 def p2_filter_reason(spark, sf_dir):
-    return A.chat_messages(spark, sf_dir).groupBy(F.coalesce(C.filter_reason(F.col("message"), F.col("username")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return A.noisy_chat(spark, sf_dir).groupBy(F.coalesce(C.filter_reason(F.col("message"), F.col("username")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT a.event_id AS a_id, b.event_id AS b_id, a.time <= b.time + 20 AND b.time <= a.time + 30 AS touching, a.time < b.time + 20 AND a.time + 30 > b.time AS open
+@query(f"""SELECT a.event_id AS a_id, b.event_id AS b_id, a.time <= b.time + 20 AND b.time <= a.time + 30 AS touching, a.time < b.time + 20 AND a.time + 30 > b.time AS open,
+ (a.time >= b.time AND a.time + 30 <= b.time + 20) OR (a.time < b.time AND a.time + 30 > b.time AND a.time + 30 <= b.time + 20) OR (a.time >= b.time AND a.time < b.time + 20 AND a.time + 30 > b.time + 20) OR (a.time <= b.time AND a.time + 30 >= b.time + 20) AS words
  FROM ({A.SCORED_SQL}) AS a JOIN ({A.SCORED_SQL}) AS b ON b.event_id = a.event_id + 1""")
 def p3_overlaps(spark, sf_dir):
     s = A.scored_chat(spark, sf_dir).select("event_id", "time")
     b = s.select((F.col("event_id") - 1).alias("event_id"), F.col("event_id").alias("b_id"), F.col("time").alias("b_time"))
     x = (F.col("time"), F.col("time") + 30, F.col("b_time"), F.col("b_time") + 20)
-    return s.join(b, "event_id").select(F.col("event_id").alias("a_id"), "b_id", J.overlaps(*x, "touching").alias("touching"), J.overlaps(*x).alias("open"))
+    return s.join(b, "event_id").select(F.col("event_id").alias("a_id"), "b_id", J.overlaps(*x, "touching").alias("touching"), J.overlaps(*x).alias("open"), J.overlaps(*x, "words").alias("words"))
 
 
 @query("SELECT video, regexp_extract(url, 'videos/(\\d+)', 1) AS video_id, regexp_matches(url, '^https?://(?:www\\.)?twitch\\.tv/videos/\\d+/?(?:\\?.*)?$') AS valid FROM (SELECT event_id AS video, CASE WHEN event_id % 3 = 0 THEN 'https://www.twitch.tv/videos/' ELSE 'https://example.org/videos/' END || event_id || CASE WHEN event_id % 2 = 0 THEN '?t=1' ELSE '/x' END AS url FROM events)")
@@ -103,11 +105,23 @@ def f1_clean_message(spark, sf_dir):
     return A.chat_messages(spark, sf_dir).select("doc_id", "line_no", C.clean_message(F.col("message")).alias("cleaned"), plain.alias("plain"), F.length(plain).cast("long").alias("message_length"))
 
 
-@query()
+_EMOJI_SQL = C.EMOJI.replace("\\", "\\")
+
+
+@query(f"SELECT doc_id, line_no, array_to_string(e, ',') AS emojis, CAST(len(e) AS BIGINT) AS emoji_count FROM (SELECT doc_id, line_no, regexp_extract_all(message, '{_EMOJI_SQL}') AS e FROM ({A.EMOTED_SQL}) AS c) AS z")
 def f3_emojis(spark, sf_dir):
-    known = ["é", "ñ", "ó", "!"]  # characters of these texts that stand for emojis
-    found = C.extract_emojis(F.col("message"), known)
-    return A.chat_messages(spark, sf_dir).select("doc_id", "line_no", found.alias("emojis"), F.size(found).alias("emoji_count"))
+    found = C.extract_emojis(F.col("message"))
+    return A.emoted_chat(spark, sf_dir).select("doc_id", "line_no", F.array_join(found, ",").alias("emojis"), F.size(found).cast("long").alias("emoji_count"))
+
+
+_LEXICON_ROWS = ", ".join(f"('{t.lower()}', '{m}')" for kind in sorted(S.DEFAULT_LEXICONS) for t, m in S.DEFAULT_LEXICONS[kind])
+
+
+@query(f"SELECT doc_id, line_no, count(*) AS hits, string_agg(DISTINCT meaning, ',' ORDER BY meaning) AS meanings FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(lower(message), '\\s+')) AS token FROM ({A.EMOTED_SQL}) AS c) AS t JOIN (VALUES {_LEXICON_ROWS}) AS l(token, meaning) ON t.token = l.token GROUP BY 1, 2")
+def s5_lexicons(spark, sf_dir):
+    """Chat with the meanings of its emotes, emojis and slang; the three lexicons are the defaults, as no file is given."""
+    lexicon = S.load_lexicon(spark, kind="emote").unionByName(S.load_lexicon(spark, kind="emoji")).unionByName(S.load_lexicon(spark, kind="slang"))
+    return C.annotate(A.emoted_chat(spark, sf_dir), lexicon, ["doc_id", "line_no"])
 
 
 @query(f"SELECT doc_id, line_no, count(*) AS hits, string_agg(DISTINCT meaning, ',' ORDER BY meaning) AS meanings FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(lower(message), '\\s+')) AS token FROM ({A.CHAT_SQL}) AS c) AS t JOIN (VALUES ('the', 'article'), ('of', 'preposition'), ('and', 'conjunction'), ('in', 'preposition')) AS l(token, meaning) ON t.token = l.token GROUP BY 1, 2")
@@ -130,23 +144,50 @@ def f8_parse_scores(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", *[_round(got[k], 6).alias(k) for k in ("sentiment", "funny", "anger")])
 
 
-@query(f"SELECT key, count(*) AS n FROM (SELECT 'm|' || substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 100) AS key FROM ({A.PARAGRAPHS_SQL}) AS p) AS k GROUP BY key")
+@query(f"""WITH k AS (SELECT video_id, ord, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 100) AS key FROM ({A.PARAGRAPHS_SQL}) AS p)
+SELECT video_id, ord, round(length(key) / 100.0e0, 6) AS highlight, CAST(count(*) OVER (PARTITION BY key) AS BIGINT) AS uses FROM k""")
 def j8_score_distinct(spark, sf_dir):
-    key = C.score_cache_key("m", F.col("text"))
-    return A.paragraphs(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    """Each distinct cache key is scored once (by its length) and the score joined back, with how many rows it serves."""
+    keyed = A.paragraphs(spark, sf_dir).select("video_id", "ord", C.score_cache_key("m", F.col("text")).alias("key"))
+    scored = keyed.groupBy("key").agg(F.count("*").alias("uses")).withColumn("highlight", (F.length("key") - 2) / 100.0)
+    return keyed.join(scored, "key").select("video_id", "ord", _round("highlight", 6).alias("highlight"), "uses")
+
+
+def _chat_lines(spark, sf_dir):
+    """Stamps of hours, of minutes and of seconds, and lines without a stamp, in turn."""
+    t, k = F.col("time"), (F.col("doc_id") + F.col("line_no")) % 4
+    part = lambda x: F.floor(x).cast("string")
+    hours = F.concat_ws(":", part(t / 3600), part(t / 60 % 60), part(t % 60))
+    stamp = F.when(k == 0, hours).when(k == 1, F.concat_ws(":", part(t / 60), part(t % 60))).otherwise(part(t))
+    rest = F.concat(F.col("username"), F.lit(": "), F.col("message"))
+    return A.chat_messages(spark, sf_dir).select("doc_id", "line_no", F.when(k == 3, rest).otherwise(F.concat(F.lit("["), stamp, F.lit("] "), rest)).alias("line"))
 
 
-@query(f"SELECT doc_id, line_no, CAST(floor(time / 60) AS BIGINT) * 60.0e0 + floor(time % 60) AS time, username, message FROM ({A.CHAT_SQL}) AS c WHERE doc_id < 1e9")
+@query(f"SELECT doc_id, line_no, CAST(floor(time) AS DOUBLE) AS time, username, message FROM ({A.CHAT_SQL}) AS c WHERE (doc_id + line_no) % 4 <> 3")
 def s2_parse_chat_text(spark, sf_dir):
-    m = F.floor(F.col("time") / 60).cast("string")
-    line = F.concat(F.lit("["), m, F.lit(":"), F.floor(F.col("time") % 60).cast("string"), F.lit("] "), F.col("username"), F.lit(": "), F.col("message"))
-    return C.parse_chat_text(A.chat_messages(spark, sf_dir).select("doc_id", "line_no", line.alias("line")))[0].select("doc_id", "line_no", "time", "username", "message")
+    return C.parse_chat_text(_chat_lines(spark, sf_dir))[0].select("doc_id", "line_no", "time", "username", "message")
 
 
-@query("SELECT dataset, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE WHEN event_type = 'view' THEN 'transcripts' WHEN event_type = 'click' THEN 'chatlogs' ELSE 'vods' END AS dataset, event_id AS size FROM events) AS x GROUP BY dataset")
+@query(f"SELECT doc_id, line_no, username || ': ' || message AS line FROM ({A.CHAT_SQL}) AS c WHERE (doc_id + line_no) % 4 = 3")
+def s2_lines_without_stamp(spark, sf_dir):
+    return C.parse_chat_text(_chat_lines(spark, sf_dir))[1]
+
+
+_KIND = "CASE event_id % 9 WHEN 0 THEN 'video' WHEN 1 THEN 'audio' WHEN 2 THEN 'segments' WHEN 3 THEN 'words' WHEN 4 THEN 'paragraphs' WHEN 5 THEN 'chat' WHEN 6 THEN 'json' WHEN 7 THEN 'waveform' ELSE 'other' END"
+_CATEGORY = "CASE WHEN kind = 'video' THEN 'Video Files' WHEN kind = 'audio' THEN 'Audio Files' WHEN kind IN ('segments', 'words', 'paragraphs') THEN 'Transcript Files' WHEN kind IN ('chat', 'json') THEN 'Chat Files' WHEN kind = 'waveform' THEN 'Waveform Files' END"
+
+
+@query(f"SELECT coalesce(category, 'total') AS category, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(bytes) / 1048576.0e0, 6) AS megabytes, round(sum(bytes) / 1073741824.0e0, 6) AS gigabytes FROM (SELECT {_CATEGORY} AS category, bytes FROM (SELECT {_KIND} AS kind, CAST(floor(value * 1000000) AS BIGINT) AS bytes FROM events) AS f) AS z WHERE category IS NOT NULL GROUP BY ROLLUP (category)")
 def s7_artifact_sizes(spark, sf_dir):
-    path = F.when(F.col("event_type") == "view", "out/Words_1.csv").when(F.col("event_type") == "click", "out/1_Chat.json").otherwise("out/a.mp4")
-    return A.table(spark, sf_dir, "events").groupBy(C.route_artifact(path).alias("dataset")).agg(F.count("*").alias("n"), F.sum("event_id").alias("bytes"))
+    files = A.table(spark, sf_dir, "events").select(F.expr(_KIND).alias("kind"), F.floor(F.col("value") * 1000000).cast("long").alias("bytes"))
+    return r6(C.artifact_sizes(files), "megabytes", "gigabytes")
+
+
+@query("SELECT dataset, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'transcripts' WHEN event_type = 'click' THEN 'chatlogs' ELSE 'vods' END AS dataset FROM events) AS x GROUP BY dataset")
+def s8_routed_artifacts(spark, sf_dir):
+    e = F.col("event_type")
+    path = F.when(e == "view", "out/Words_1.csv").when(e == "signup", "a/chat_Segments.csv").when(e == "error", "x/transcript.json").when(e == "click", "out/1_Chat.json").otherwise("out/a.mp4")
+    return A.table(spark, sf_dir, "events").groupBy(C.route_artifact(path).alias("dataset")).agg(F.count("*").alias("n"))
 
 
 _WIN = f"""x AS (SELECT video_id, max(end_time) AS last FROM ({A.WORDS_SQL}) AS w GROUP BY video_id),
@@ -179,13 +220,13 @@ def w3_sliding_pipeline(spark, sf_dir):
     return out.select("video_id", "window_id", F.col("r_start").alias("start_time"), F.col("r_end").alias("end_time"), count.alias("word_count"), _round(count / 60.0, 6).alias("speech_rate"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-_GRID = "(SELECT event_id, user_id % 10 AS video_id, date_diff('millisecond', timestamp '2024-01-01', ts) / 100000.0e0 AS start_time FROM events WHERE event_id % 20 = 0)"
+_GRID = "(SELECT event_id, user_id % 10 AS video_id, date_diff('millisecond', timestamp '2024-01-01', ts) / 100000.0e0 AS start_time FROM events)"
 
 
 @query(f"SELECT g.event_id, count(s.event_id) AS n, round(sum(s.highlight_score), 6) AS score FROM {_GRID} AS g JOIN ({A.SCORED_SQL}) AS s ON s.video_id = g.video_id AND s.time >= g.start_time AND s.time <= g.start_time + 60 + 15 GROUP BY 1")
 def j2_point_in_interval(spark, sf_dir):
     s = A.scored_chat(spark, sf_dir)
-    win = s.where("event_id % 20 = 0").select(F.col("event_id").alias("window_id"), "video_id", F.col("time").alias("start_time"), (F.col("time") + 60).alias("end_time"))  # windows of the query's definition
+    win = s.select(F.col("event_id").alias("window_id"), "video_id", F.col("time").alias("start_time"), (F.col("time") + 60).alias("end_time"))
     return J.point_in_interval_join(s, win, ["video_id"]).groupBy(F.col("window_id").alias("event_id")).agg(F.count("*").alias("n"), _round(F.sum("highlight_score"), 6).alias("score"))
 
 
@@ -259,26 +300,39 @@ def j7_integrate(spark, sf_dir):
     return r6(integrated(spark, sf_dir).select("video_id", "seg", "relationship", *_FUSED, "fused_sentiment", "alignment", "enhanced"), *_FUSED, "fused_sentiment", "alignment", "enhanced")
 
 
-@query(f"{_INTEGRATED} SELECT video_id, CAST(floor(start_time / 300) AS BIGINT) AS bucket, count(*) AS n, round(avg(enhanced), 6) AS score, round(avg(fused_anger), 6) AS anger, CAST(sum(CASE relationship WHEN 'synchronized' THEN 5 WHEN 'positive_aligned' THEN 4 WHEN 'audience_positive' THEN 3 WHEN 'audience_negative' THEN 1 WHEN 'negative_aligned' THEN 0 ELSE 2 END) AS BIGINT) AS codes FROM i GROUP BY 1, 2")
+_SMOOTHED = """sm AS (SELECT *, CASE WHEN n < 15 OR r <= 7 OR r > n - 7 THEN enhanced ELSE m END AS smooth FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY seg) AS r, avg(enhanced) OVER (PARTITION BY video_id ORDER BY seg ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM i) AS q),
+th AS (SELECT video_id, quantile_cont(smooth, 0.85) AS thr FROM sm GROUP BY 1)"""
+
+
+@query(f"""{_INTEGRATED}, {_SMOOTHED}, mi AS (SELECT video_id, CAST(floor(start_time / 60) AS BIGINT) AS minute, avg(smooth) AS score, {", ".join(f"avg({x}) AS {x}" for x in _FUSED)} FROM sm GROUP BY 1, 2)
+SELECT mi.video_id, minute, {_r("score", *_FUSED)}, {_dom("fused_")} AS dominant, score > 0.8e0 * thr + 1e-9 AS marked FROM mi JOIN th ON mi.video_id = th.video_id""")
 def a10_minute_summary(spark, sf_dir):
-    x = integrated(spark, sf_dir)
-    return x.groupBy("video_id", F.floor(F.col("start_time") / 300).alias("bucket")).agg(F.count("*").alias("n"), _round(F.avg("enhanced"), 6).alias("score"), _round(F.avg("fused_anger"), 6).alias("anger"), F.sum(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in U.CODES.items() for x in kv]), F.col("relationship")), F.lit(2))).alias("codes"))
+    x = integrated(spark, sf_dir).withColumn("smooth", W.smooth_moving_average("enhanced", ["video_id"], ["seg"]))
+    marked = W.minute_summary(x, ["video_id"], "start_time", "smooth", _FUSED)
+    return r6(marked.select("video_id", "minute", "score", *_FUSED, U.dominant(U.cols("fused_")).alias("dominant"), "marked"), "score", *_FUSED)
 
 
+_STAMP = "CASE WHEN {0} < 600 THEN '0' ELSE '' END || CAST(CAST(floor({0} / 60) AS BIGINT) AS VARCHAR) || ':00'"
 _TABLE = f"""e AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(enhanced, 9) DESC, start_time) AS rank FROM i),
-d AS (SELECT video_id, rank, round(enhanced, 6) AS score, CASE WHEN start_time < 600 THEN '0' ELSE '' END || CAST(CAST(floor(start_time / 60) AS BIGINT) AS VARCHAR) || ':00' AS starts, CASE WHEN greatest({", ".join(_FUSED)}) = 0 THEN 'neutral' ELSE {_dom("fused_")} END AS emotion, relationship AS reaction, round(greatest({", ".join(EMOTIONS[:5])}), 6) AS intensity FROM e WHERE rank <= 15)"""
+d AS (SELECT e.video_id, rank, start_time, start_time + 60 AS end_time, 60.0e0 AS duration, round(enhanced, 6) AS score, {_STAMP.format("start_time")} AS starts, {_STAMP.format("(start_time + 60)")} AS ends, CASE WHEN greatest({", ".join(_FUSED)}) = 0 THEN 'neutral' ELSE {_dom("fused_")} END AS emotion, relationship AS reaction, da AS streamer_emotion, round(greatest({", ".join(EMOTIONS[:5])}), 6) AS intensity,
+ CASE WHEN length(t.text) > 50 THEN substr(t.text, 1, 47) || '...' ELSE coalesce(t.text, '') END AS content FROM e LEFT JOIN (SELECT doc_id, text FROM documents) AS t ON t.doc_id = e.seg * 10 + e.video_id WHERE rank <= 15)"""
 
 
 @query(f"{_INTEGRATED}, {_TABLE} SELECT * FROM d")
 def t2_editor_table(spark, sf_dir):
+    """The fifteen best segments of each recording; a segment's content is the document of its number."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
     top = W.top_k(integrated(spark, sf_dir).withColumn("enhanced", F.round("enhanced", 9)), ["video_id"], "enhanced", 15, "start_time")
-    return top.select("video_id", F.col("rank").cast("long").alias("rank"), _round("enhanced", 6).alias("score"), U.format_mmss(F.col("start_time")).alias("starts"), U.dominant(U.cols("fused_"), default="neutral").alias("emotion"), F.col("relationship").alias("reaction"), _round(F.greatest(*EMOTIONS[:5]), 6).alias("intensity"))
+    whole = top.join(docs, F.col("doc_id") == F.col("seg") * 10 + F.col("video_id"), "left")
+    mmss = lambda c: U.format_mmss(F.col(c))
+    return whole.select("video_id", F.col("rank").cast("long").alias("rank"), "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), _round("enhanced", 6).alias("score"), mmss("start_time").alias("starts"), mmss("end_time").alias("ends"), U.dominant(U.cols("fused_"), default="neutral").alias("emotion"), F.col("relationship").alias("reaction"), U.dominant(U.cols()).alias("streamer_emotion"), _round(F.greatest(*EMOTIONS[:5]), 6).alias("intensity"), F.coalesce(U.truncate_text(F.col("text")), F.lit("")).alias("content"))
 
 
-@query(f"{_INTEGRATED}, u AS ({' UNION ALL '.join(f'''SELECT video_id, '{e}' AS emotion, fused_{e} AS v, seg FROM i''' for e in EMOTIONS)}), kk AS (SELECT *, row_number() OVER (PARTITION BY video_id, emotion ORDER BY round(v, 9) DESC, seg) AS n FROM u) SELECT video_id, emotion, seg, round(v, 6) AS v FROM kk WHERE n = 1")
+@query(f"""{_INTEGRATED}, e AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(enhanced, 9) DESC, start_time) AS rank FROM i), top AS (SELECT video_id, rank, seg, {_dom("fused_").replace("fused_neutral", "-1")} AS emotion FROM e WHERE rank <= 10),
+u AS ({' UNION ALL '.join(f"""SELECT video_id, '{e}' AS emotion, fused_{e} AS v, seg FROM i""" for e in EMOTIONS)}), kk AS (SELECT *, row_number() OVER (PARTITION BY video_id, emotion ORDER BY round(v, 9) DESC, seg) AS n FROM u)
+SELECT video_id, emotion, seg, CAST(rank AS BIGINT) AS rank FROM top UNION ALL SELECT video_id, emotion, seg, 0 FROM kk WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM top WHERE top.video_id = kk.video_id AND top.emotion = kk.emotion)""")
 def t3_cover_all_emotions(spark, sf_dir):
-    long = integrated(spark, sf_dir).unpivot(["video_id", "seg"], _FUSED, "emotion", "v").withColumns({"emotion": F.substring("emotion", 7, 20), "v": F.round("v", 9)})
-    return W.top_k(long, ["video_id", "emotion"], "v", 1, "seg").select("video_id", "emotion", "seg", _round("v", 6).alias("v"))
+    return W.cover_all(integrated(spark, sf_dir).withColumns({e: F.round(e, 9) for e in ("enhanced", *_FUSED)}), ["video_id"], "enhanced", "seg", {e: f"fused_{e}" for e in EMOTIONS}, EMOTIONS[:5], 10)
 
 
 _SEG = f"{_AUDIO}, sg AS (SELECT *, seg * 60.0e0 AS start_time, greatest({', '.join(EMOTIONS[:5])}) AS emo FROM au)"
@@ -295,7 +349,7 @@ def f21_weighted_highlight(spark, sf_dir):
 @query(f"""SELECT video_id, event_id, round((greatest(-3.0e0, least(3.0e0, (rms - CASE WHEN n < 5 THEN 0 ELSE m END) / CASE WHEN n < 5 OR v < 1e-10 THEN 1 ELSE sqrt(v) END)) + 3) / 6, 4) AS z FROM (
  SELECT *, count(*) OVER w AS n, avg(rms) OVER w AS m, var_pop(rms) OVER w AS v FROM ({A.FRAMES_SQL}) AS f WINDOW w AS (PARTITION BY video_id ORDER BY t RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)) AS q""")
 def w5_rolling_zscore(spark, sf_dir):
-    return A.frames(spark, sf_dir).select("video_id", "event_id", _round(W.rolling_zscore(None, ["video_id"], "t", "rms"), 4).alias("z"))
+    return W.rolling_zscore(A.frames(spark, sf_dir), ["video_id"], "event_id", "t", "rms").select("video_id", "event_id", _round("z", 4).alias("z"))
 
 
 _W5 = "WINDOW w AS (PARTITION BY video_id ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
@@ -312,31 +366,64 @@ def w8_moving_average(spark, sf_dir):
     return A.frames(spark, sf_dir).select("video_id", "event_id", _round(W.smooth_moving_average("rms", ["video_id"], ["t", "event_id"]), 6).alias("smooth"))
 
 
-@query()
+#: Pieces of a timeline of frames, an hour each.
+_HOUR = F.floor(F.col("t") / 3600)
+_NUMBERED = f"f AS (SELECT video_id, event_id, t, rms, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS r, count(*) OVER (PARTITION BY video_id) AS n FROM ({A.FRAMES_SQL}) AS z)"
+
+
+@query(f"WITH RECURSIVE {_NUMBERED}, y AS (SELECT video_id, event_id, r, rms AS y FROM f WHERE r = 1 UNION ALL SELECT f.video_id, f.event_id, f.r, 0.125e0 * f.rms + 0.875e0 * y.y FROM y JOIN f ON f.video_id = y.video_id AND f.r = y.r + 1) SELECT video_id, event_id, round(y, 6) AS smoothed FROM y")
 def w9_smooth_exponential(spark, sf_dir):
-    return W.smooth_exponential(A.frames(spark, sf_dir).select("video_id", "event_id", "t", "rms"), ["video_id"], ["t", "event_id"], "rms")
+    return W.smooth_exponential(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], "rms", _HOUR).select("video_id", "event_id", _round("smoothed", 6).alias("smoothed"))
 
 
-@query()
+_SAVGOL = ", ".join(f"({place}, {j}, {w!r}e0)" if "e" not in repr(w) else f"({place}, {j}, {w!r})" for place, row in enumerate(W.savgol_weights().tolist()) for j, w in enumerate(row))
+
+
+@query(f"WITH {_NUMBERED}, s AS (SELECT *, greatest(0, least(r - 8, n - 15)) AS at FROM f), w(place, j, w) AS (VALUES {_SAVGOL}) SELECT s.video_id, s.event_id, round(sum(CAST(w.w AS DOUBLE) * g.rms), 6) AS smoothed FROM s JOIN w ON w.place = s.r - 1 - s.at JOIN f AS g ON g.video_id = s.video_id AND g.r = s.at + w.j + 1 WHERE s.n >= 15 GROUP BY 1, 2 UNION ALL SELECT video_id, event_id, round(rms, 6) FROM s WHERE n < 15")
 def w10_smooth_savgol(spark, sf_dir):
-    return W.smooth_savgol(A.frames(spark, sf_dir).select("video_id", "event_id", "t", "rms"), ["video_id"], ["t", "event_id"], "rms")
+    return W.smooth_savgol(A.frames(spark, sf_dir).select("video_id", "event_id", "t", "rms"), ["video_id"], ["t", "event_id"], "rms").select("video_id", "event_id", _round("smoothed", 6).alias("smoothed"))
 
 
 @query()
 def w12_find_peaks(spark, sf_dir):
-    return W.peak_moments(A.frames(spark, sf_dir).select("video_id", "t", "rms"), ["video_id"], "t", "rms", k=1_000_000)
+    return W.peak_moments(A.frames(spark, sf_dir).select("video_id", "t", "rms"), ["video_id"], "t", "rms", (15, 0.35, 0.25), k=1_000_000)
+
+
+def _peaks(spark, sf_dir, profile):
+    x = A.frames(spark, sf_dir).withColumn("score", U.weighted_highlight(F.col("rms"), F.col("centroid"), F.col("rms"), F.col("centroid"), "legacy" if profile == "legacy" else "precomputed"))
+    return W.peak_moments(x.select("video_id", "t", "score"), ["video_id"], "t", "score", profile)
 
 
 @query()
 def w13_peak_moments(spark, sf_dir):
-    smooth = A.frames(spark, sf_dir).withColumn("score", W.smooth_moving_average("rms", ["video_id"], ["t", "event_id"]))
-    return W.peak_moments(smooth.select("video_id", "t", "score"), ["video_id"], "t", "score", 15, 0.1, 0.01)
+    return _peaks(spark, sf_dir, "precomputed")
+
+
+@query()
+def w13_legacy_peaks(spark, sf_dir):
+    return _peaks(spark, sf_dir, "legacy")
+
+
+@query()
+def w13_adaptive_peaks(spark, sf_dir):
+    return _peaks(spark, sf_dir, "adaptive")
+
+
+def _emotion_peaks(spark, sf_dir, profile):
+    s = A.scored_chat(spark, sf_dir)
+    strength = F.greatest(*EMOTIONS[:5])
+    rows = s.select("video_id", "time", *[U.weighted_emotion(F.col(e), strength).alias(e) for e in EMOTIONS[:5]]).unpivot(["video_id", "time"], list(EMOTIONS[:5]), "emotion", "v")
+    return W.peak_moments(rows, ["video_id", "emotion"], "time", "v", profile, 5)
 
 
 @query()
 def w14_emotion_peaks(spark, sf_dir):
-    long = _sides(spark, sf_dir)[0].unpivot(["video_id", "start_time"], list(EMOTIONS[:5]), "emotion", "v")
-    return W.peak_moments(long, ["video_id", "emotion"], "start_time", "v", 3, 0.05, 0.05, 5)
+    return _emotion_peaks(spark, sf_dir, "emotion_precomputed")
+
+
+@query()
+def w14_legacy_emotion_peaks(spark, sf_dir):
+    return _emotion_peaks(spark, sf_dir, "emotion_legacy")
 
 
 @query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t) AS r FROM ({A.FRAMES_SQL}) AS f), b AS (SELECT *, r - row_number() OVER (PARTITION BY video_id ORDER BY r) AS g FROM a WHERE rms > 0.1)
@@ -345,10 +432,15 @@ def w15_threshold_regions(spark, sf_dir):
     return r6(W.threshold_regions(A.frames(spark, sf_dir), ["video_id"], "t", "rms", 0.1), "region_start", "region_end", "peak")
 
 
-@query(f"""WITH a AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t) AS x, rms FROM ({A.FRAMES_SQL}) AS f), b AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY video_id ORDER BY x) <= 5 THEN 0 ELSE 1 END AS n FROM a WHERE rms > 0.2), c AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY x) AS g FROM b)
+@query(f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS x, avg(rms) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM ({A.FRAMES_SQL}) AS f), p AS (SELECT video_id, quantile_cont(rms, 0.95) * 0.5e0 AS thr FROM a GROUP BY 1),
+h AS (SELECT a.video_id, x FROM a JOIN p ON a.video_id = p.video_id WHERE round(CASE WHEN n < 15 OR x <= 7 OR x > n - 7 THEN rms ELSE m END - thr, 9) > 0), b AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY video_id ORDER BY x) <= 5 THEN 0 ELSE 1 END AS n FROM h), c AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY x) AS g FROM b)
 SELECT video_id, min(x) AS first, max(x) AS last, (min(x) + max(x)) // 2 AS middle FROM c GROUP BY video_id, g""")
 def w16_gap_islands(spark, sf_dir):
-    rows = A.frames(spark, sf_dir).withColumn("x", F.row_number().over(Window.partitionBy("video_id").orderBy("t")).cast("long")).where("rms > 0.2")
+    """Rows whose smoothed value is above half the 95th percentile (none is above all of it here), in groups."""
+    f = A.frames(spark, sf_dir)
+    order = Window.partitionBy("video_id").orderBy("t", "event_id")
+    smooth = f.withColumns({"x": F.row_number().over(order).cast("long"), "smooth": W.smooth_moving_average("rms", ["video_id"], ["t", "event_id"])})
+    rows = smooth.join(f.groupBy("video_id").agg((F.percentile("rms", 0.95) * 0.5).alias("thr")), "video_id").where(F.round(F.col("smooth") - F.col("thr"), 9) > 0)
     return W.gap_islands(rows, ["video_id"], "x")
 
 
@@ -358,7 +450,8 @@ def w17_sentences(spark, sf_dir):
     return W.paragraphs_every_n_sentences(A.words(spark, sf_dir), ["video_id"], "i")
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT video_id, start_time, end_time FROM ({A.WORDS_SQL}) AS z), p AS (SELECT video_id, 0 AS paragraph, min(start_time) AS s FROM w GROUP BY 1 UNION ALL SELECT p.video_id, p.paragraph + 1, (SELECT min(w.start_time) FROM w WHERE w.video_id = p.video_id AND w.start_time - p.s >= 60) FROM p WHERE EXISTS (SELECT 1 FROM w WHERE w.video_id = p.video_id AND w.start_time - p.s >= 60)),
+q AS (SELECT *, lead(s) OVER (PARTITION BY video_id ORDER BY paragraph) AS till FROM p) SELECT q.video_id, CAST(paragraph AS BIGINT) AS paragraph, min(w.start_time) AS start_time, max(w.end_time) AS end_time, count(*) AS words FROM q JOIN w ON w.video_id = q.video_id AND w.start_time >= q.s AND (till IS NULL OR w.start_time < till) GROUP BY 1, 2""")
 def w18_paragraphs_by_length(spark, sf_dir):
     return W.greedy_paragraphs(A.words(spark, sf_dir).select("video_id", "start_time", "end_time", "word"), ["video_id"])
 
@@ -374,7 +467,9 @@ def w19_paragraphs_by_pause(spark, sf_dir):
 def w20_chat_features(spark, sf_dir):
     o = Window.partitionBy("video_id").orderBy("time", "event_id")
     n = F.count("*").over(o.rowsBetween(-59, 0))
-    return A.scored_chat(spark, sf_dir).select("event_id", _round(F.col("time") - F.lag("time").over(o), 6).alias("time_diff"), F.when(n == 60, 60.0).alias("message_rate"), F.count("*").over(Window.partitionBy("video_id").orderBy("time").rangeBetween(-60, 0)).alias("last_minute"))
+    s = A.scored_chat(spark, sf_dir).select("video_id", "event_id", "time")
+    rows = s.select("event_id", _round(F.col("time") - F.lag("time").over(o), 6).alias("time_diff"), F.when(n == 60, 60.0).alias("message_rate"))
+    return rows.join(W.trailing(s, ["video_id"], "event_id", "time", "time", 60.0).select("event_id", F.col("n").alias("last_minute")), "event_id")
 
 
 @query("SELECT conv_id, turn, lag(role) OVER w || ' -> ' || role AS transition FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -383,22 +478,39 @@ def w21_status_transitions(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lag("role").over(o), F.lit(" -> "), F.col("role")).alias("transition"))
 
 
-@query()
+#: A step a row: the last update kept, and how many came since.
+_KEPT = """WITH RECURSIVE u AS (SELECT user_id % 50 AS job_id, event_id, value / 500 AS progress, event_type AS stage, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS r FROM events),
+k AS (SELECT job_id, r, event_id, progress AS p, stage AS s, 0 AS since, true AS kept FROM u WHERE r = 1
+ UNION ALL SELECT job_id, r, event_id, CASE WHEN ok THEN progress ELSE p END, CASE WHEN ok THEN stage ELSE s END, CASE WHEN ok THEN 0 ELSE since + 1 END, ok FROM (SELECT u.job_id, u.r, u.event_id, u.progress, u.stage, k.p, k.s, k.since, abs(u.progress - k.p) >= 0.1e0 - 1e-12 OR u.stage <> k.s OR k.since + 1 >= 10 AS ok FROM k JOIN u ON u.job_id = k.job_id AND u.r = k.r + 1) AS n)
+SELECT u.job_id, u.event_id, round(u.progress, 6) AS progress, u.stage FROM k JOIN u ON u.event_id = k.event_id WHERE kept"""
+
+
+@query(_KEPT)
 def w22_meaningful_updates(spark, sf_dir):
     u = A.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("job_id"), "event_id", (F.col("value") / 500).alias("progress"), F.col("event_type").alias("stage"))
-    return W.meaningful_updates(u, ["job_id"], "event_id")
+    return r6(W.meaningful_updates(u, ["job_id"], "event_id"), "progress")
+
 
+@query("SELECT event_id, stage FROM (SELECT event_id, event_type AS stage, CAST(floor(value) AS BIGINT) AS p, lag(event_type) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS old FROM events) AS u WHERE p % 10 = 0 OR old IS DISTINCT FROM stage OR stage = 'error'")
+def w22_notifications(spark, sf_dir):
+    """The stateless variant: whole tens of percent, another stage, or an end (here: errors)."""
+    u = A.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("job_id"), "event_id", F.floor("value").alias("percent"), F.col("event_type").alias("stage"))
+    return W.notifications(u, ["job_id"], "event_id", ("error",)).select("event_id", "stage")
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY epoch_ms(ts) / 1000.0e0 RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000) / 1000.0e0 RANGE BETWEEN 18000 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
 def w23_trailing_avg(spark, sf_dir):
     s = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)") / 1000.0
-    return A.table(spark, sf_dir, "events").withColumn("s", s).select("event_id", _round(F.avg("value").over(Window.partitionBy("event_type").orderBy("s").rangeBetween(-18000, 0)), 6).alias("mean"))
+    x = W.trailing(A.table(spark, sf_dir, "events").withColumn("s", s), ["event_type"], "event_id", "s", "value", 18000.0)
+    return x.select("event_id", _round(F.col("sum") / F.col("n"), 6).alias("mean"))
 
 
 @query("SELECT event_id, round((value - lag(value) OVER (PARTITION BY event_type ORDER BY event_id)) / 5, 6) AS rate, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id), 4) AS counter FROM events")
 def w24_rates_and_counters(spark, sf_dir):
-    o = Window.partitionBy("event_type").orderBy("event_id")
-    return A.table(spark, sf_dir, "events").select("event_id", _round((F.col("value") - F.lag("value").over(o)) / 5, 6).alias("rate"), _round(F.sum("value").over(o), 4).alias("counter"))
+    e = A.table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    x = W.running(e, ["event_type"], ["event_id"], F.floor(F.col("event_id") / 4096), {"counter": F.col("value")}, {"before": F.col("value")})
+    # a counter that falls has begun anew
+    return x.select("event_id", _round((F.col("value") - F.col("before")) / 5, 6).alias("rate"), _round("counter", 4).alias("counter"))
 
 
 @query("SELECT o_orderkey AS job, unnest(range(0, CAST(ceil(d / 540) AS BIGINT))) AS chunk_id, d FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 7000 + 1 AS d FROM orders)".replace("SELECT o_orderkey AS job,", "SELECT job, chunk_id, chunk_id * 540.0e0 AS start_time, least(chunk_id * 540.0e0 + 600, d) AS end_time FROM (SELECT o_orderkey AS job,", 1) + ") AS z")
@@ -407,11 +519,14 @@ def w4_chunk_plan(spark, sf_dir):
     return W.chunk_plan(d, ["job"], 600.0, 60.0).withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-@query(f"SELECT video_id, round((rms - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS x, event_id FROM (SELECT *, min(rms) OVER (PARTITION BY video_id) AS lo, max(rms) OVER (PARTITION BY video_id) AS hi FROM ({A.FRAMES_SQL}) AS f) AS q")
+_FLAT = f"(SELECT event_id, video_id, CASE WHEN video_id = 3 THEN 0.25e0 ELSE rms END AS rms FROM ({A.FRAMES_SQL}) AS f)"
+
+
+@query(f"SELECT video_id, round(CASE WHEN hi > lo THEN (rms - lo) / (hi - lo) ELSE 0.5e0 END, 6) AS x, event_id FROM (SELECT *, min(rms) OVER (PARTITION BY video_id) AS lo, max(rms) OVER (PARTITION BY video_id) AS hi FROM {_FLAT} AS f) AS q")
 def a7_minmax(spark, sf_dir):
-    f = A.frames(spark, sf_dir)
-    x = f.join(f.groupBy("video_id").agg(F.min("rms").alias("lo"), F.max("rms").alias("hi")), "video_id")
-    return x.select("video_id", "event_id", _round((F.col("rms") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0), 6).alias("x"))
+    """One of the recordings is made constant."""
+    f = A.frames(spark, sf_dir).withColumn("rms", F.when(F.col("video_id") == 3, 0.25).otherwise(F.col("rms")))
+    return W.video_minmax(f, ["video_id"], "rms", "x").select("video_id", "event_id", _round("x", 6).alias("x"))
 
 
 @query(f"""WITH f AS ({A.FRAMES_SQL}), r AS (SELECT video_id, min(rms) AS a, max(rms) AS b, min(centroid) AS c, max(centroid) AS d FROM f GROUP BY 1)
@@ -466,23 +581,24 @@ def a16_cost_recommendations(spark, sf_dir):
 _HYBRID = "CASE WHEN d <= 9000 THEN d / 3600 * (0.45e0 / 40) + 0.02e0 ELSE 2.5e0 * (0.45e0 / 40) + 0.02e0 + (d / 3600 - 2.5e0) * 0.27e0 END"
 
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, duration AS d FROM ({A.TRANSCRIPTIONS_SQL}) AS t), c AS (SELECT *, d / 3600 * 0.27e0 AS c1, d / 3600 * (0.45e0 / 40) + 0.02e0 AS c2, {_HYBRID} AS c3 FROM t), s AS (SELECT *, c1 + 0.01e0 + 0.1e0 * c1 AS s1, c2 + d / 40 * 0.001e0 + 0.1e0 * c2 AS s2, c3 + least(d / 40, 225) * 0.001e0 + 0.1e0 * c3 AS s3 FROM c)
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, duration AS d FROM ({A.TRANSCRIPTIONS_SQL}) AS t), c AS (SELECT *, d / 3600 * 0.27e0 AS c1, d / 3600 * (0.45e0 / 40) + 0.02e0 AS c2, {_HYBRID} AS c3 FROM t), s AS (SELECT *, c1 + 0.01e0 + (1 - 0.99e0) * c1 AS s1, c2 + d / 40 * 0.001e0 + (1 - 0.2e0) * c2 AS s2, c3 + least(d / 40, 225) * 0.001e0 + 0.1e0 * c3 AS s3 FROM c)
 SELECT l_orderkey, l_linenumber, CASE WHEN s1 <= s2 AND s1 <= s3 THEN 'deepgram' WHEN s3 < s2 THEN 'hybrid' ELSE 'parakeet_gpu' END AS method, round(least(s1, s2, s3), 6) AS score FROM s""")
 def a17_choose_method(spark, sf_dir):
     t = A.transcriptions(spark, sf_dir).select("l_orderkey", "l_linenumber", "duration")
-    return M.choose_method(t, {}).select("l_orderkey", "l_linenumber", "method", _round("score", 6).alias("score"))
+    return M.choose_method(t, {"deepgram": 0.99, "parakeet_gpu": 0.2}).select("l_orderkey", "l_linenumber", "method", _round("score", 6).alias("score"))
 
 
-@query(f"SELECT queue_key AS webhook_id, count(*) AS total, CAST(sum(CASE WHEN status = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS delivered, CAST(sum(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN status = 'Queued' THEN 1 ELSE 0 END) AS BIGINT) AS pending FROM ({A.JOBS_SQL}) AS j GROUP BY 1")
+@query(f"SELECT queue_key AS webhook_id, count(*) AS total, CAST(sum(CASE WHEN status = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS delivered, CAST(sum(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN status = 'Queued' THEN 1 ELSE 0 END) AS BIGINT) AS pending, round(avg(CASE WHEN status = 'Completed' THEN 100.0e0 ELSE 0.0e0 END), 6) AS success_percent FROM ({A.JOBS_SQL}) AS j GROUP BY 1")
 def a18_delivery_stats(spark, sf_dir):
     n = lambda s: F.sum((F.col("status") == s).cast("long"))
-    return A.jobs(spark, sf_dir).groupBy(F.col("queue_key").alias("webhook_id")).agg(F.count("*").alias("total"), n("Completed").alias("delivered"), n("Failed").alias("failed"), n("Queued").alias("pending"))
+    return A.jobs(spark, sf_dir).groupBy(F.col("queue_key").alias("webhook_id")).agg(F.count("*").alias("total"), n("Completed").alias("delivered"), n("Failed").alias("failed"), n("Queued").alias("pending"), _round(F.avg(F.when(F.col("status") == "Completed", 100.0).otherwise(0.0)), 6).alias("success_percent"))
 
 
-@query("SELECT event_type AS kind, count(*) AS accesses, CAST(sum(CASE WHEN value >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN value >= 100 THEN 100.0e0 ELSE 0.0e0 END), 6) AS hit_percent FROM events GROUP BY 1")
+@query("SELECT event_type AS kind, count(*) AS accesses, CAST(sum(CASE WHEN value >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN value < 100 THEN 1 ELSE 0 END) AS BIGINT) AS misses, round(avg(CASE WHEN value >= 100 THEN 100.0e0 ELSE 0.0e0 END), 6) AS hit_percent, count(DISTINCT user_id) AS entries, count(DISTINCT user_id) - count(DISTINCT CASE WHEN ts > now - INTERVAL 1 DAY THEN user_id END) AS expired FROM (SELECT *, max(ts) OVER () AS now FROM events) AS e GROUP BY 1")
 def a19_cache_stats(spark, sf_dir):
-    hit = F.col("value") >= 100
-    return A.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("accesses"), F.sum(hit.cast("long")).alias("hits"), _round(F.avg(F.when(hit, 100.0).otherwise(0.0)), 6).alias("hit_percent"))
+    """Users stand for cached keys; a key that wasn't used in the last day is expired."""
+    log = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("key"), "ts", (F.col("value") >= 100).alias("hit"))
+    return M.cache_stats(log, 24).withColumn("hit_percent", _round("hit_percent", 6))
 
 
 def _verdict(rules, field: int, other) -> str:
@@ -512,10 +628,16 @@ def f28_transcription_errors(spark, sf_dir):
     return _classified(spark, sf_dir, M.TRANSCRIPTION_RULES + M.ERROR_RULES)
 
 
-@query("SELECT event_type AS operation, count(*) AS attempts, round(sum(least(pow(2.0e0, user_id % 8), 60.0e0)), 6) AS delay, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+_POLICY = "CASE user_id % 4 WHEN 0 THEN least(pow(2.0e0, user_id % 8), 60.0e0) WHEN 1 THEN least((user_id % 8 + 1) * 1.0e0, 60.0e0) WHEN 2 THEN 1.0e0 ELSE 0.0e0 END"
+
+
+@query(f"SELECT operation, count(*) AS attempts, round(sum(delay), 6) AS delay, string_agg(code, ',' ORDER BY ts, event_id) AS codes, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM (SELECT user_id AS operation, event_id, ts, {_POLICY} AS delay, event_type AS code FROM events) AS x GROUP BY 1")
 def a20_retry_stats(spark, sf_dir):
-    d = M.backoff_delay(F.col("user_id") % 8 + 1, "exponential")
-    return A.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("attempts"), _round(F.sum(d), 6).alias("delay"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    k, n = F.col("user_id") % 4, F.col("user_id") % 8 + 1
+    delay = F.when(k == 0, M.backoff_delay(n, "exponential")).when(k == 1, M.backoff_delay(n, "linear")).when(k == 2, M.backoff_delay(n, "fixed")).otherwise(M.backoff_delay(n, "immediate"))
+    log = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("operation"), "event_id", "ts", delay.alias("delay"), F.col("event_type").alias("code"))
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {c})")
+    return M.retry_stats(log).select("operation", "attempts", _round("delay", 6).alias("delay"), "codes", micros("first").alias("first"), micros("last").alias("last"))
 
 
 @query(f"SELECT event_id % 3 AS method, code, count(*) AS n, max(event_id) AS last FROM (SELECT event_id, {_CODE} AS code FROM ({A.ERRORS_SQL}) AS e) AS x GROUP BY 1, 2")
@@ -523,26 +645,41 @@ def a21_failure_counts(spark, sf_dir):
     return A.error_messages(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("method"), M.classify(F.col("message"))["code"].alias("code")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-@query(f"SELECT coalesce(CAST(endpoint AS VARCHAR), 'all') AS category, count(*) AS total, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS passed, CASE WHEN avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END) >= 0.8e0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({A.REQUESTS_SQL}) AS r GROUP BY ROLLUP (endpoint)")
+_TESTS = f"(SELECT CAST(endpoint AS VARCHAR) AS category, CASE WHEN success THEN 'PASS' WHEN event_id % 2 = 0 THEN 'FAIL' ELSE 'ERROR' END AS status FROM ({A.REQUESTS_SQL}) AS r WHERE endpoint <> 3 OR success)"
+
+
+@query(f"""WITH s AS (SELECT category, count(*) AS total, sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN status <> 'PASS' AND category IN ('0', '3') THEN 1 ELSE 0 END) AS bad FROM {_TESTS} AS t GROUP BY ROLLUP (category))
+SELECT coalesce(category, 'all') AS category, total, CAST(passed AS BIGINT) AS passed, round(passed / total, 6) AS rate, CASE WHEN category IS NOT NULL THEN CASE WHEN passed = total THEN 'PASS' ELSE 'FAIL' END WHEN bad = 0 AND passed >= 0.9 * total THEN 'PRODUCTION_READY' WHEN bad = 0 AND passed >= 0.8 * total THEN 'READY_WITH_WARNINGS' WHEN bad <= 2 AND passed >= 0.7 * total THEN 'NEEDS_ATTENTION' ELSE 'NOT_READY' END AS status FROM s""")
 def a22_test_report(spark, sf_dir):
-    r = A.requests(spark, sf_dir).rollup("endpoint").agg(F.count("*").alias("total"), F.sum(F.col("success").cast("long")).alias("passed"), F.avg(F.col("success").cast("double")).alias("rate"))
-    return r.select(F.coalesce(F.col("endpoint").cast("string"), F.lit("all")).alias("category"), "total", "passed", F.when(F.col("rate") >= 0.8, "PASS").otherwise("FAIL").alias("status"))
+    """Requests as tests of their endpoints; 0 and 3 are critical, and 3 never fails."""
+    r = A.requests(spark, sf_dir).where("endpoint <> 3 OR success")
+    status = F.when(F.col("success"), "PASS").when(F.col("event_id") % 2 == 0, "FAIL").otherwise("ERROR")
+    return r6(M.results_report(r.select(F.col("endpoint").cast("string").alias("category"), status.alias("status")), ("0", "3")), "rate")
 
 
-@query(f"SELECT endpoint, round(avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END), 6) AS availability, min(duration) AS fastest, max(duration) AS slowest, avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END) >= 0.75e0 AS ok FROM ({A.REQUESTS_SQL}) AS r GROUP BY 1")
+@query(f"SELECT endpoint, count(*) AS total, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS ok, round(avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END), 6) AS availability, round(avg(duration) * 1000, 3) AS mean_ms, min(duration) * 1000 AS fastest_ms, max(duration) * 1000 AS slowest_ms, avg(CASE WHEN success THEN 1.0e0 ELSE 0.0e0 END) >= 0.75e0 AND avg(duration) < 5 AS healthy FROM ({A.REQUESTS_SQL}) AS r GROUP BY 1")
 def a23_availability(spark, sf_dir):
-    rate = F.avg(F.col("success").cast("double"))
-    return A.requests(spark, sf_dir).groupBy("endpoint").agg(_round(rate, 6).alias("availability"), F.min("duration").alias("fastest"), F.max("duration").alias("slowest"), (rate >= 0.75).alias("ok"))
+    return M.availability(A.requests(spark, sf_dir), 0.75, 5000.0).withColumn("mean_ms", _round("mean_ms", 3))
+
+
+_QUEUE = f"(SELECT queue_key, CASE WHEN status = 'Queued' AND job_id % 7 = 0 THEN 'Running' ELSE status END AS status, job_id % 3 AS retries, cost / 1000 AS seconds FROM ({A.JOBS_SQL}) AS j WHERE queue_key <> 1 OR status <> 'Failed')"
 
 
-@query(f"""SELECT queue_key, jobs, processed, failed, round(avg_cost, 4) AS avg_cost, round(sr, 6) AS success_rate, CASE WHEN sr < 0.95 AND jobs > 300 THEN 'low_success,long_queue' WHEN sr < 0.95 THEN 'low_success' WHEN jobs > 300 THEN 'long_queue' ELSE '' END AS issues FROM (SELECT *, processed * 1.0e0 / nullif(processed + failed, 0) AS sr FROM (SELECT queue_key, count(*) AS jobs, CAST(sum(CASE WHEN status = 'Completed' THEN 1 ELSE 0 END) AS BIGINT) AS processed, CAST(sum(CASE WHEN status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, avg(cost) AS avg_cost FROM ({A.JOBS_SQL}) AS j GROUP BY 1) AS a) AS b""")
+@query(f"""SELECT queue_key, jobs, waiting, active, processed, failed, retried, round(avg_seconds, 6) AS avg_seconds, round(processed * 100.0e0 / greatest(processed + failed, 1), 6) AS success_percent, round(active / 4.0e0 * 100, 6) AS worker_percent, round(waiting / 100.0e0 * 100, 6) AS queue_percent, CASE WHEN failed > processed * 0.1 THEN 'warning' WHEN active = 0 AND waiting > 0 THEN 'critical' WHEN waiting >= 90 THEN 'warning' ELSE 'healthy' END AS status,
+ array_to_string(list_filter([CASE WHEN waiting >= 90 THEN 'nearly_full' END, CASE WHEN active = 0 AND waiting > 0 THEN 'no_workers' END, CASE WHEN failed > processed * 0.1 THEN 'many_failures' END], lambda x: x IS NOT NULL), ',') AS issues
+ FROM (SELECT queue_key, count(*) AS jobs, count(*) FILTER (WHERE status = 'Queued') AS waiting, count(*) FILTER (WHERE status = 'Running') AS active, count(*) FILTER (WHERE status = 'Completed') AS processed, count(*) FILTER (WHERE status = 'Failed') AS failed, CAST(sum(retries) AS BIGINT) AS retried, avg(CASE WHEN status = 'Completed' THEN seconds END) AS avg_seconds FROM {_QUEUE} AS q GROUP BY 1) AS a""")
 def a24_queue_health(spark, sf_dir):
-    return M.queue_health(A.jobs(spark, sf_dir)).withColumns({"avg_cost": _round("avg_cost", 4), "success_rate": _round("success_rate", 6)})
+    j = A.jobs(spark, sf_dir).where("queue_key <> 1 OR status <> 'Failed'")
+    running = F.when((F.col("status") == "Queued") & (F.col("job_id") % 7 == 0), "Running").otherwise(F.col("status"))
+    rows = j.select("queue_key", running.alias("status"), (F.col("job_id") % 3).alias("retries"), (F.col("cost") / 1000).alias("seconds"))
+    return r6(M.queue_health(rows), "avg_seconds", "success_percent", "worker_percent", "queue_percent")
 
 
-@query(f"SELECT method, round(avg(processing), 6) AS mean_batch, count(*) AS n, round(avg(CASE WHEN success THEN 100.0e0 ELSE 0.0e0 END), 6) AS ok_percent, max(duration) AS peak FROM ({A.TRANSCRIPTIONS_SQL}) AS t GROUP BY 1")
+@query(f"SELECT method, round(avg(processing), 6) AS mean_batch, count(*) AS n, round(avg(CASE WHEN success THEN 100.0e0 ELSE 0.0e0 END), 6) AS ok_percent, max(duration) AS peak, round(avg(duration) / max(duration) * 100, 6) AS mean_of_peak_percent FROM ({A.TRANSCRIPTIONS_SQL}) AS t GROUP BY 1")
 def a25_batch_perf_summary(spark, sf_dir):
-    return A.transcriptions(spark, sf_dir).groupBy("method").agg(_round(F.avg("processing"), 6).alias("mean_batch"), F.count("*").alias("n"), _round(F.avg(F.when(F.col("success"), 100.0).otherwise(0.0)), 6).alias("ok_percent"), F.max("duration").alias("peak"))
+    """The minutes of a record stand for the size of a batch, its duration for the memory in use."""
+    t = A.transcriptions(spark, sf_dir).select("method", F.col("processing").alias("size"), F.col("success").alias("flag"), F.col("duration").alias("used"))
+    return r6(M.batch_summary(t, ["method"]), "mean_batch", "ok_percent", "mean_of_peak_percent")
 
 
 @query("SELECT name, value, level FROM (SELECT event_type AS name, arg_max(value, event_id) AS value, CASE WHEN arg_max(value, event_id) >= 60 THEN 'critical' WHEN arg_max(value, event_id) >= 10 THEN 'warning' END AS level FROM events GROUP BY 1) AS z WHERE level IS NOT NULL")
@@ -551,17 +688,40 @@ def l1_threshold_alerts(spark, sf_dir):
     return M.threshold_alerts(last, dict.fromkeys(("click", "view", "purchase", "signup", "error"), (10.0, 60.0)))
 
 
-@query(f"SELECT endpoint, CASE WHEN r >= 0.22e0 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT endpoint, avg(CASE WHEN success THEN 0.0e0 ELSE 1.0e0 END) AS r FROM ({A.REQUESTS_SQL}) AS q GROUP BY 1) AS z WHERE r >= 0.18e0")
+# Durations times three and fewer errors, so that requests fall on both sides of the thresholds.
+_STRESSED = f"(SELECT event_id, ts, endpoint, duration * 3 AS duration, success OR event_id % 3 <> 0 AS success FROM ({A.REQUESTS_SQL}) AS r)"
+
+
+def _stressed(spark, sf_dir):
+    return A.requests(spark, sf_dir).withColumns({"duration": F.col("duration") * 3, "success": F.col("success") | (F.col("event_id") % 3 != 0)})
+
+
+@query(f"SELECT endpoint, round(r, 6) AS error_rate, CASE WHEN r >= 0.1e0 THEN 'critical' ELSE 'warning' END AS level FROM (SELECT endpoint, avg(CASE WHEN success THEN 0.0e0 ELSE 1.0e0 END) AS r FROM {_STRESSED} AS q GROUP BY 1) AS z WHERE r >= 0.05e0")
 def l2_error_rate_alerts(spark, sf_dir):
-    s = M.endpoint_stats(A.requests(spark, sf_dir))
-    return s.where("error_rate >= 0.18D").select("endpoint", F.when(F.col("error_rate") >= 0.22, "critical").otherwise("warning").alias("level"))
+    return r6(M.error_rate_alerts(M.endpoint_stats(_stressed(spark, sf_dir))), "error_rate")
 
 
-@query(f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY duration, event_id) - 1 AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM ({A.REQUESTS_SQL}) AS r), p AS (SELECT endpoint, n, max(CASE WHEN k = floor(n * 0.95e0) THEN duration END) AS p95 FROM t GROUP BY 1, 2) SELECT endpoint, p95, CASE WHEN n >= 20 AND p95 >= 2 THEN 'critical' WHEN n >= 20 AND p95 >= 1.5e0 THEN 'warning' ELSE 'ok' END AS level FROM p")
+@query(f"WITH l AS (SELECT * FROM {_STRESSED} AS r QUALIFY row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, event_id DESC) <= 1000), t AS (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY duration, ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM l), p AS (SELECT endpoint, n, max(CASE WHEN k = floor(n * 0.95e0) THEN duration END) AS p95 FROM t GROUP BY 1, 2) SELECT endpoint, n, p95, CASE WHEN n >= 20 AND p95 >= 10 THEN 'critical' WHEN n >= 20 AND p95 >= 5 THEN 'warning' ELSE 'ok' END AS level FROM p")
 def l3_latency_alert(spark, sf_dir):
-    r = A.requests(spark, sf_dir)
-    p = M.floor_index_percentile(r, ["endpoint"], "duration", {"p95": 0.95}, "event_id").join(r.groupBy("endpoint").agg(F.count("*").alias("n")), "endpoint")
-    return p.select("endpoint", "p95", F.when((F.col("n") >= 20) & (F.col("p95") >= 2), "critical").when((F.col("n") >= 20) & (F.col("p95") >= 1.5), "warning").otherwise("ok").alias("level"))
+    return M.latency_alert(_stressed(spark, sf_dir), ["endpoint"], "ts", "event_id")
+
+
+@query(f"WITH t AS (SELECT duration, row_number() OVER (ORDER BY duration) - 1 AS k, count(*) OVER () AS n FROM ({A.REQUESTS_SQL}) AS r) SELECT max(CASE WHEN k = floor(n * 0.5e0) THEN duration END) AS p50, max(CASE WHEN k = floor(n * 0.95e0) THEN duration END) AS p95, max(CASE WHEN k = floor(n * 0.99e0) THEN duration END) AS p99 FROM t")
+def a13_global_percentiles(spark, sf_dir):
+    return M.overall_percentiles(A.requests(spark, sf_dir), "duration", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query(f"""WITH z AS (SELECT count(*) AS n, sum(duration) / 3600 AS hours, sum(CASE WHEN coalesce(actual_cost, 0) <> 0 THEN actual_cost ELSE estimated_cost END) AS cost FROM ({A.TRANSCRIPTIONS_SQL}) AS t WHERE ts >= (SELECT max(ts) FROM ({A.TRANSCRIPTIONS_SQL}) AS u) - INTERVAL 90 DAY)
+SELECT n, round(hours, 4) AS hours, round(cost, 4) AS cost, round(hours * 0.27e0, 4) AS baseline, round(cost / hours, 4) AS cost_per_hour, round(hours * 0.27e0 - cost, 4) AS savings, round((hours * 0.27e0 - cost) / (hours * 0.27e0) * 100, 4) AS savings_percent, round(cost / 3, 4) AS projection, round(cost / 3 / 1000, 4) AS budget_share FROM z WHERE n > 0""")
+def a15_cost_totals(spark, sf_dir):
+    found = M.cost_totals(A.transcriptions(spark, sf_dir), 90)
+    return found.withColumns({c: _round(c, 4) for c in found.columns if c != "n"})
+
+
+@query("""SELECT event_id, round(greatest(0.0e0, 100 - CASE WHEN c > 80 THEN (c - 80) * 0.5e0 ELSE 0 END - CASE WHEN c > 85 THEN (c - 85) * 0.5e0 ELSE 0 END), 1) AS score FROM (SELECT *, CAST(user_id % 101 AS DOUBLE) AS c FROM events) AS e""".replace(", 1)", ", 6)"))
+def f33_simple_score(spark, sf_dir):
+    c = (F.col("user_id") % 101).cast("double")
+    return A.table(spark, sf_dir, "events").select("event_id", _round(M.simple_performance_score(c, c), 6).alias("score"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
@@ -613,14 +773,13 @@ def f11_cluster_scores(spark, sf_dir):
     return A.scored_chat(spark, sf_dir).select("event_id", got["excitement"].alias("excitement"), got["sentiment"].alias("sentiment"))
 
 
-@query(f"""SELECT g.event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v FROM (
- SELECT w.event_id, w.t, max(f.t) FILTER (WHERE f.t <= w.t) AS t0, arg_max(f.rms, f.t) FILTER (WHERE f.t <= w.t) AS v0, min(f.t) FILTER (WHERE f.t >= w.t) AS t1, arg_min(f.rms, f.t) FILTER (WHERE f.t >= w.t) AS v1
- FROM (SELECT event_id, video_id, t + 0.5e0 AS t FROM ({A.FRAMES_SQL}) AS z WHERE event_id % 50 = 1) AS w JOIN (SELECT video_id, t, max(rms) AS rms FROM ({A.FRAMES_SQL}) AS y GROUP BY 1, 2) AS f ON f.video_id = w.video_id GROUP BY 1, 2) AS g""")
+@query(f"""WITH f AS (SELECT video_id, t, max(centroid) AS c FROM ({A.FRAMES_SQL}) AS y GROUP BY 1, 2), w AS (SELECT event_id, video_id, t + 0.25e0 AS t FROM ({A.FRAMES_SQL}) AS z)
+SELECT w.event_id, round(CASE WHEN a.t IS NULL THEN b.c WHEN b.t IS NULL OR b.t = a.t THEN a.c ELSE a.c + (b.c - a.c) * (w.t - a.t) / (b.t - a.t) END, 6) AS v FROM w ASOF LEFT JOIN f AS a ON w.video_id = a.video_id AND w.t >= a.t ASOF LEFT JOIN f AS b ON w.video_id = b.video_id AND w.t <= b.t""")
 def j5_interp_join(spark, sf_dir):
     f = A.frames(spark, sf_dir)
-    want = f.where("event_id % 50 = 1").select("event_id", "video_id", (F.col("t") + 0.5).alias("t"))  # the times that the query asks for
-    got = J.interp_join(want.select("video_id", "t").distinct(), f.groupBy("video_id", "t").agg(F.max("rms").alias("rms")), ["video_id"], "rms")
-    return want.join(got, ["video_id", "t"]).select("event_id", _round("rms", 6).alias("v"))
+    want = f.select("event_id", "video_id", (F.col("t") + 0.25).alias("t"))
+    got = J.interp_join(want.select("video_id", "t").distinct(), f.groupBy("video_id", "t").agg(F.max("centroid").alias("c")), ["video_id"], "c")
+    return want.join(got, ["video_id", "t"]).select("event_id", _round("c", 6).alias("v"))
 
 
 @query(f"""WITH f AS (SELECT video_id, t, max(rms) AS rms FROM ({A.FRAMES_SQL}) AS y GROUP BY 1, 2), w AS (SELECT event_id, video_id, t + 0.5e0 AS t FROM ({A.FRAMES_SQL}) AS z)

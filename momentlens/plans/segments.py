@@ -123,8 +123,9 @@ def a9_downsample(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS name, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
 def a14_counter_running_total(spark, sf_dir):
-    o = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return A.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), _round(F.sum("value").over(o), 4).alias("total"))
+    e = A.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), "ts", "value")
+    day = F.expr("timestampdiff(DAY, timestamp_ntz'1970-01-01', ts)")
+    return W.running(e, ["name"], ["ts", "event_id"], day, {"total": F.col("value")}).select("event_id", "name", _round("total", 4).alias("total"))
 
 
 _ALERTS = f"SELECT endpoint, CASE WHEN r >= 0.22e0 THEN 'critical' WHEN r >= 0.18e0 THEN 'warning' END AS level FROM (SELECT endpoint, avg(CASE WHEN success THEN 0.0e0 ELSE 1.0e0 END) AS r FROM ({A.REQUESTS_SQL}) AS q GROUP BY 1) AS z"
@@ -135,14 +136,19 @@ def _alerts(spark, sf_dir):
     return s.select("endpoint", F.when(F.col("error_rate") >= 0.22, "critical").when(F.col("error_rate") >= 0.18, "warning").alias("level"))
 
 
-@query(f"SELECT level, count(*) AS n FROM ({_ALERTS}) AS a WHERE level IS NOT NULL GROUP BY 1")
+@query(f"SELECT level, count(*) AS n, count(*) FILTER (WHERE endpoint % 3 <> 0) AS active FROM ({_ALERTS}) AS a WHERE level IS NOT NULL GROUP BY 1")
 def a26_alert_counts(spark, sf_dir):
-    return _alerts(spark, sf_dir).where("level IS NOT NULL").groupBy("level").agg(F.count("*").alias("n"))
+    """Alerts of every third endpoint are resolved."""
+    return S.alert_counts(_alerts(spark, sf_dir).where("level IS NOT NULL").withColumn("resolved", F.col("endpoint") % 3 == 0))
 
 
-@query(f"SELECT endpoint % 5 AS service, CASE WHEN count(level) FILTER (WHERE level = 'critical') > 0 THEN 'critical' WHEN count(level) > 0 THEN 'warning' ELSE 'healthy' END AS status, coalesce(string_agg(CAST(endpoint AS VARCHAR) || ':' || level, ',' ORDER BY endpoint) FILTER (WHERE level IS NOT NULL), '') AS issues FROM ({_ALERTS}) AS a GROUP BY 1")
+@query(f"""SELECT service, CASE WHEN count(endpoint) = 0 THEN 'unknown' WHEN count(level) FILTER (WHERE level = 'critical') > 0 THEN 'critical' WHEN count(level) > 0 THEN 'warning' ELSE 'healthy' END AS status, coalesce(string_agg(CAST(endpoint AS VARCHAR) || ':' || level, ',' ORDER BY endpoint) FILTER (WHERE level IS NOT NULL), '') AS issues
+ FROM (SELECT DISTINCT user_id % 7 AS service FROM events) AS s LEFT JOIN (SELECT *, endpoint % 5 AS of FROM ({_ALERTS}) AS a) AS a ON a.of = service GROUP BY 1""")
 def l4_health_status(spark, sf_dir):
-    return S.health_status(_alerts(spark, sf_dir).withColumn("service", F.col("endpoint") % 5), ["service"], "endpoint")
+    """Seven services, of which two have no endpoints."""
+    services = A.table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("service")).distinct()
+    checks = _alerts(spark, sf_dir).withColumn("service", F.col("endpoint") % 5)
+    return S.health_status(services.join(checks, "service", "left"), ["service"], "endpoint")
 
 
 @query(f"WITH {_TUMBLE}, m AS (SELECT video_id, start_time, {', '.join(f'avg_{x} * message_count AS w_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM cw), s AS (SELECT *, count(*) OVER w AS n, {', '.join(f'avg(w_{x}) OVER w AS m_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM m WINDOW w AS (PARTITION BY video_id ORDER BY start_time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT video_id, round(start_time, 6) AS start_time, {', '.join(f'CASE WHEN n = 5 THEN round(m_{x}, 6) END AS mean_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM s")
@@ -166,7 +172,7 @@ def t6_simple_top_highlights(spark, sf_dir):
     return W.top_k(s, ["video_id"], "s", 10, "seg").select("video_id", F.col("rank").cast("long").alias("rank"), "seg", _round("s", 6).alias("score"))
 
 
-_LIVE = "(SELECT user_id % 10 AS video_id, ts, value, event_type, epoch_ms(ts) AS ms FROM events)"
+_LIVE = "(SELECT user_id % 10 AS video_id, ts, value, event_type, epoch_us(ts) // 1000 AS ms FROM events)"
 
 
 def _live(spark, sf_dir):

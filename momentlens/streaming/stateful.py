@@ -63,8 +63,11 @@ def live_updates(updates: DataFrame, key: str, order: str, step: float = 0.1) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="momentlens-")).rstrip("/")
+    """The folder that all executors share; where the session names none, a temporary one of a local session (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="momentlens-")).rstrip("/")
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
