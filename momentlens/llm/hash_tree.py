@@ -94,18 +94,53 @@ def assign_shards(docs: DataFrame, shards: int = 24, weights: Sequence[float] |
     before the shuffle, so copies of one row don't meet in one task; a bucket's offset is the sum of the buckets before.
     """
     weights = list(weights or [1.0] * shards)
-    planned = len(weights) if planned is None else planned
-    grown = [*weights, sum(weights) / len(weights)]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
+    rows = docs.select("doc_id", *_sizes(F.col("text")))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    bucket = F.pmod(F.xxhash64(key, F.lit("slot"), "text_crc32"), F.lit(ORDER_BUCKETS)).cast("int")
-    placed = rows.withColumns({"shard": shard_of(key, weights, planned).cast("int"), "grown_shard": shard_of(key, grown, planned).cast("int"), "bucket": bucket})
+    placed = rows.withColumns(_placed(F.col("doc_id"), weights, planned))
     inside = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    counts = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
-    before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    first = placed.withColumn("at", F.sum("copies").over(inside) - F.col("copies")).join(before, ["shard", "bucket"])
+    first = placed.withColumn("at", F.sum("copies").over(inside) - F.col("copies")).join(_before(placed, F.sum("copies")), ["shard", "bucket"])
     runs = first.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(_RUN))))
     each = runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + _RUN, F.col("copies")) - 1)))
     return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
+
+
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, planned: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with their columns and those of ``assign_shards``, by the same rules.
+
+    A column of ``docs`` that has the name of one of ADDED is replaced. Rows are dealt by shard and bucket, as they are
+    to be written; of rows equal in id and text the order is that of all their columns.
+    """
+    weights = list(weights or [1.0] * shards)
+    names = [c for c in docs.columns if c not in ADDED]
+    inner = [f"c{i}" for i in range(len(names))]
+    at = dict(zip(names, inner, strict=True))
+    doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
+    rows = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*inner)
+    sized = rows.select("*", *_sizes(text))
+    placed = sized.withColumns(_placed(doc_id, weights, planned))
+    order = Window.partitionBy("shard", "bucket").orderBy(doc_id.asc_nulls_first(), "size", "text_crc32", F.to_json(F.struct(*inner)))
+    numbered = placed.withColumn("at", F.row_number().over(order) - 1).join(_before(placed, F.count("*")), ["shard", "bucket"])
+    found = numbered.select(*inner, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("at")).cast("long").alias("slot"), "grown_shard")
+    return found.toDF(*names, *ADDED)
+
+
+def _sizes(text: Column) -> list[Column]:
+    whole = F.coalesce(text, F.lit(""))
+    return [(F.octet_length(whole).cast("long") + 8).alias("size"), F.crc32(whole.cast("binary")).cast("long").alias("text_crc32")]
+
+
+def _placed(doc_id: Column, weights: list[float], planned: int | None) -> dict[str, Column]:
+    planned = len(weights) if planned is None else planned
+    key = F.coalesce(doc_id.cast("string"), F.lit(""))
+    grown = [*weights, sum(weights) / len(weights)]
+    bucket = F.pmod(F.xxhash64(key, F.lit("slot"), "text_crc32"), F.lit(ORDER_BUCKETS)).cast("int")
+    return {"shard": shard_of(key, weights, planned).cast("int"), "grown_shard": shard_of(key, grown, planned).cast("int"), "bucket": bucket}
+
+
+def _before(placed: DataFrame, n: Column) -> DataFrame:
+    """(shard, bucket, before): the rows of a shard in the buckets before; at most ORDER_BUCKETS rows a shard."""
+    counts = placed.groupBy("shard", "bucket").agg(n.alias("n"))
+    return counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))

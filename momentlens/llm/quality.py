@@ -109,11 +109,21 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, rules=RULES) -> DataFrame:
-    """One row per row of ``docs``: counts, the base verdict, the rules broken and whether the document is kept."""
+    """One row per row of ``docs``: counts, the base verdict, the rules broken and whether the document is kept.
+
+    A null text counts as an empty one; repeated rows get a row each; other columns of ``docs`` aren't looked at.
+    """
     counts = [F.col(f"_m.{c}").alias(c) for c in _COUNTS]
     return judge(docs.select("doc_id", "text"), rules).select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_failed").alias("failed_rules"), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
-    return judge(docs, rules).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that pass, with the columns they came with, whatever these are called.
+
+    A null or empty text has no words and fails, like every text of fewer than 50. Each of repeated rows is judged
+    alike; an empty table gives no rows. A text in a language whose function words aren't among STOP_WORDS fails
+    ``stop_words_per_word``.
+    """
+    names = docs.columns
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    return judge(docs.toDF(*inner), rules).where("_kept").select(*inner).toDF(*names)

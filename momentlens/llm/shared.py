@@ -18,18 +18,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local session (tests) takes a temporary one;
+    on a cluster that is an error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="momentlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    The table is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +68,7 @@ def identified(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 _FAST = pa.ipc.IpcWriteOptions(compression="zstd")
-_SMALL = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+_SMALL = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))
 
 
 def pack(**columns) -> bytes:

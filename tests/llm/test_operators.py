@@ -316,5 +316,87 @@ def test_merged_orders_equal_a_sort():
                 i = int(follows[i])
             return out
 
-        order = bwt_merge.merge_orders(symbols, follows, tuple(blocks), depth)
-        assert sorted(order.tolist()) == list(range(n)) and [head(i) for i in order] == sorted(map(head, range(n)))
+        order, common = bwt_merge.merge_orders(symbols, follows, tuple(blocks), depth)
+        heads = [head(i) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and heads == sorted(map(head, range(n)))
+        for a, b, k in zip(heads[:-1], heads[1:], common[1:].tolist(), strict=True):
+            shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert shared - 1 <= k and (k <= shared or k == depth == shared)
+
+
+CLASHES = ("_kept", "_m", "_failed", "_base_failed", "_x", "_tokens", "_topic", "_source", "_did", "_th", "_n", "tokens", "topic", "draw", "c0", "c1", "did", "th", "size", "slot", "row", "matches", "n_hit")
+
+
+def test_columns_of_any_name_come_through(spark, bench):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"the word{i} of {j} and a cat{i * j}" for j in range(20)), "en", f"s{i % 3}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in CLASHES})
+    from momentlens.llm import near_copies
+
+    for keep in (quality.keep_good, simhash.keep_one, near_copies.keep_one, mixing.sample_mix, lambda d: decontaminate.remove_contaminated(d, bench)):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert all(r[c] == c for c in CLASHES) and r.text == rows[r.doc_id][1]
+    placed = hash_tree.shard_documents(docs)
+    assert sorted(placed.columns) == sorted({*docs.columns, *hash_tree.ADDED}) and placed.count() == len(rows)
+    ids = sorted(map(repr, hash_tree.assign_shards(docs).collect()))
+    assert sorted(map(repr, placed.select("doc_id", *hash_tree.ADDED).collect())) == ids
+
+
+def test_of_equal_texts_the_least_row_stays(spark):
+    rows = [(1, "same text here", "b"), (1, "same text here", "a"), (2, "same text here", "a"), (None, None, "x"), (None, "", "y")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == [(1, "same text here", "a"), (None, "", "y")] or sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == [(1, "same text here", "a"), (None, None, "x")]
+
+
+def test_very_long_texts(spark, bench):
+    """A text of some megabytes, far above the chunks that texts are handled in, next to an empty one."""
+    long = " ".join(f"w{i * 7919 % 50021}" for i in range(700_000))
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "", "en", "a"), (3, long[: len(long) // 2], "en", "a")], "doc_id long, text string, lang string, source string")
+    for name in ("op1", "op2", "op3", "op5", "op6", "op8", "op9", "op10"):
+        assert OPERATORS[name](docs, bench).count() == 3
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs, repeats.WORDS).collect()}
+    half = long[: len(long) // 2].split()
+    assert got[3].n_removed >= len(half) - 1 and got[2].n_units == 0
+
+
+def test_equal_windows_of_many_items_in_many_places(spark):
+    window = " ".join(f"q{i}" for i in range(10))
+    items = spark.createDataFrame([(i, f"{window} tail{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{'pad ' * i}{window} x {window}") for i in range(300)], "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, items).collect()
+    assert all(r.n_hit == 20 and r.n_items == 300 and len(r.matches) == 2 for r in got)
+
+
+def test_an_empty_benchmark_finds_nothing(spark, docs, bench):
+    got = decontaminate.find_contamination(docs, bench.limit(0)).collect()
+    assert len(got) == len(ROWS) and not any(r.contaminated for r in got)
+
+
+def test_merged_transforms_find_first_windows():
+    rng = np.random.default_rng(2)
+    alphabet = np.frombuffer(b"abcdef .,05zqQ\xc3\xa9XY", np.uint8)
+    for _ in range(12):
+        bases = [rng.choice(alphabet, int(n)).tobytes() for n in rng.integers(150, 500, 4)]
+        texts = [t for t in (b"".join(bases[i][a : a + n] for i, a, n in zip(rng.integers(0, 4, 2), rng.integers(0, 100, 2), rng.integers(100, 400, 2), strict=True)) for _ in range(8)) if len(t) >= 100] + [b"a" * 300]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        seen, want = set(), []
+        for t in texts:
+            for i in range(len(t) - 99):
+                want.append(t[i : i + 100] not in seen)
+                seen.add(t[i : i + 100])
+        for block in (1 << 20, 500):  # one block, then several merged two by two
+            _, first = bwt_merge.first_windows(np.frombuffer(b"".join(texts), np.uint8), offsets, np.array([len(t) - 99 for t in texts]), 100, block)
+            assert first.tolist() == want
+
+
+def test_numbers_survive_packing():
+    from momentlens.llm.shared import pack_numbers, unpack_numbers
+
+    columns = [np.array([], np.uint64), np.array([1, 2**63], np.uint64), np.array([7], np.uint8), np.array([300, 4, 65535], np.uint16)]
+    got = unpack_numbers(pack_numbers(*columns))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(columns, got, strict=True))
