@@ -9,23 +9,28 @@ from momentlens.llm.shared import materialize, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the threshold table rejects go (null, empty and short texts among them)."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group of near copies, the one of smallest doc_id; texts without words are one group."""
     return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose margins by source, language and topic meet their targets; texts without words stay."""
     return mixing.sample_mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hash_tree.assign_shards(docs)
+    """All documents with their columns, dealt by shard, and their places; repeated rows have places of their own."""
+    return hash_tree.shard_documents(docs)
 
 
 STAGES = [
