@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from momentlens.functions.chat import SCORE_KEYS, parse_key_value_scores, word_count
+from momentlens.functions.fusion import cluster_scores
+from momentlens.sources.adapters import EMOTIONS
 
 # The scores of a text that no model answers for, in the order of SCORE_KEYS.
 UNANSWERED = (0.5, 0.2, 0.1, 0.2, 0.1, 0.1, 0.7, 0.2)
@@ -28,6 +30,32 @@ def rule_scores(text: Column, lexicon: dict[str, tuple[str, ...]]) -> dict[str,
     return {name: F.when(F.size(low) > 0, hits(known) / F.size(low)).otherwise(0.0) for name, known in lexicon.items()}
 
 
+# The score that a lexicon entry's meaning speaks for; other meanings speak for none.
+MEANINGS = {"excitement": "excitement", "laughter": "funny", "extreme laughter": "funny", "happiness": "happiness", "love": "happiness", "approval": "happiness", "sadness": "sadness", "crying": "sadness", "anger": "anger", "disgust": "anger", "disapproval": "anger"}
+
+
+def lexicon_scores(chat: DataFrame, lexicon: DataFrame, keys: list[str], meanings: dict[str, str] = MEANINGS) -> DataFrame:
+    """(keys, excitement, funny, happiness, anger, sadness, neutral) of every message: the share of its tokens whose lexicon
+    meaning speaks for each; neutral is what is left. A message without tokens is neutral. The lexicon (token, meaning) is
+    a table of a few entries and joins by hash."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in meanings.items() for x in kv]), F.col("meaning"))
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col("message"), F.lit(""))), r"\s+"), "")
+    tokens = chat.select(*keys, F.size(words).alias("_n"), F.explode_outer(words).alias("token"))
+    told = tokens.join(lexicon.withColumn("_kind", kind).where("_kind IS NOT NULL").select("token", "_kind").distinct(), "token", "left")
+    names = sorted(set(meanings.values()))
+    share = {k: F.count_if(F.col("_kind") == k) / F.greatest(F.max("_n"), F.lit(1)) for k in names}
+    out = told.groupBy(*keys).agg(*[v.alias(k) for k, v in share.items()])
+    return out.withColumn("neutral", F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(k) for k in names), F.lit(0.0))))
+
+
+def prompt_of(text: Column, speech_rate: Column, absolute: Column, relative: Column) -> Column:
+    """What an outside model is asked: the keys it is to answer with, the measures of the segment, and its text."""
+    number = lambda x: F.coalesce(F.bround(x, 2).cast("decimal(20,2)").cast("string"), F.lit("unknown"))
+    head = "Score the segment. Answer one line for each key, as key: value. sentiment is from -1 to 1, all others from 0 to 1.\nKeys: " + ", ".join(SCORE_KEYS)
+    measures = F.concat(F.lit("Words a second: "), number(speech_rate), F.lit("; loudness: "), number(absolute), F.lit("; loudness against the last minutes: "), number(relative))
+    return F.concat_ws("\n", F.lit(head), measures, F.concat(F.lit("Text: "), F.coalesce(text, F.lit(""))))
+
+
 def fit_classifier(labelled: DataFrame, label: str = "label", text: str = "text", features: int = 1 << 14, most_rows: int = 200_000) -> PipelineModel:
     """Logistic regression over TF-IDF of hashed words; rows without a label are left out, a null text has no words.
 
@@ -53,6 +81,18 @@ def classify(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataF
     return found.select(*rows.columns, vector_to_array("_p").alias("probabilities"))
 
 
+def emotion_scores(probabilities: Column) -> dict[str, Column]:
+    """The six emotions and the sentiment from the probabilities of six classes in the order of EMOTIONS."""
+    p = {e: F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0)) for i, e in enumerate(EMOTIONS)}
+    found = cluster_scores({e: p[e] for e in EMOTIONS[:5]})
+    return found | {"neutral": F.round(p["neutral"] + 1e-9, 3)}
+
+
+def highlight_score(probabilities: Column, classes: int = 4) -> Column:
+    """The expected class, 0 to 3, of the highlight classifier."""
+    return sum((F.coalesce(F.get(probabilities, F.lit(k)), F.lit(0.0)) * k for k in range(classes)), F.lit(0.0))
+
+
 def ask_models(rows: DataFrame, asks: Sequence[tuple[str, Ask]], prompt: str = "text", batch: int = 32) -> DataFrame:
     """The columns of ``rows``, ``model`` and ``reply``: the first model that answers, and what it says; null if none does.
 

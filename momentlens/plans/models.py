@@ -10,7 +10,7 @@ from momentlens.functions.chat import score_cache_key
 from momentlens.operators import scorers as R
 from momentlens.operators import windows as W
 from momentlens.operators import intervals as J
-from momentlens.plans.queries import _AUDIO, _AVGS, _TUMBLE, SQL, _r, _round, _sides, chat_windows, query, r6
+from momentlens.plans.queries import _AUDIO, _AVGS, _LEXICON_ROWS, _TUMBLE, SQL, _r, _round, _sides, chat_windows, query, r6
 from momentlens.sources import adapters as A
 from momentlens.sources import files as S
 from momentlens.streaming import live
@@ -27,6 +27,51 @@ def u1_classifier(spark, sf_dir):
     return p.select("doc_id", _round(of(2, 3), 4).alias("quality"), _round(of(1, 3), 4).alias("toxic"))
 
 
+def _labelled(spark, sf_dir, label):
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return docs.join(A.table(spark, sf_dir, "labels"), "doc_id").select("text", F.expr(label).alias("label"))
+
+
+#: Six and four classes from what is labelled here: quality, toxic, and whether a text is long.
+EMOTION_LABEL = "3 * quality + toxic + CAST(n_chars > 1500 AS INT)"
+HIGHLIGHT_LABEL = "2 * quality + toxic"
+
+
+@query()
+def u1_emotion_scores(spark, sf_dir):
+    """Every document by a classifier of six classes, and the sentiment that follows from them."""
+    model = R.fit_classifier(_labelled(spark, sf_dir, EMOTION_LABEL))
+    p = R.classify(model, A.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return p.select("doc_id", *[v.alias(k) for k, v in R.emotion_scores(F.col("probabilities")).items()])
+
+
+@query()
+def u1_highlight_scores(spark, sf_dir):
+    """Every document by a classifier of its own for the highlight score, 0 to 3."""
+    model = R.fit_classifier(_labelled(spark, sf_dir, HIGHLIGHT_LABEL))
+    p = R.classify(model, A.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return p.select("doc_id", _round(R.highlight_score(F.col("probabilities")), 4).alias("highlight"))
+
+
+@query(f"SELECT video_id, ord, 'Score the segment. Answer one line for each key, as key: value. sentiment is from -1 to 1, all others from 0 to 1.' || chr(10) || 'Keys: sentiment, excitement, funny, happiness, anger, sadness, neutral, highlight' || chr(10) || 'Words a second: 2.50; loudness: ' || CASE WHEN ord % 4 = 0 THEN 'unknown' ELSE '0.' || (ord % 4) || '0' END || '; loudness against the last minutes: 0.50' || chr(10) || 'Text: ' || text AS prompt FROM ({A.PARAGRAPHS_SQL}) AS p")
+def u2_prompts(spark, sf_dir):
+    loud = F.when(F.col("ord") % 4 != 0, F.col("ord") % 4 / 10.0)
+    return A.paragraphs(spark, sf_dir).select("video_id", "ord", R.prompt_of(F.col("text"), F.lit(2.5), loud, F.lit(0.5)).alias("prompt"))
+
+
+_MEANT = "CASE meaning " + " ".join(f"WHEN '{m}' THEN '{k}'" for m, k in R.MEANINGS.items()) + " END"
+_SPOKEN = sorted(set(R.MEANINGS.values()))
+
+
+@query(f"""WITH t AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(message), '\\s+'), lambda x: x <> '') AS w FROM ({A.EMOTED_SQL}) AS c), u AS (SELECT doc_id, line_no, unnest(w) AS token FROM t),
+k AS (SELECT doc_id, line_no, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS {x}" for x in _SPOKEN)} FROM u JOIN (SELECT DISTINCT token, {_MEANT} AS kind FROM (VALUES {_LEXICON_ROWS}) AS l(token, meaning)) AS l ON u.token = l.token WHERE kind IS NOT NULL GROUP BY 1, 2)
+SELECT t.doc_id, t.line_no, {', '.join(f'round(coalesce(k.{x}, 0) * 1.0e0 / greatest(len(w), 1), 6) AS {x}' for x in _SPOKEN)}, round(1 - ({' + '.join(f'coalesce(k.{x}, 0)' for x in _SPOKEN)}) * 1.0e0 / greatest(len(w), 1), 6) AS neutral FROM t LEFT JOIN k ON t.doc_id = k.doc_id AND t.line_no = k.line_no""")
+def u3_lexicon_scores(spark, sf_dir):
+    lexicon = S.load_lexicon(spark, kind="emote").unionByName(S.load_lexicon(spark, kind="emoji")).unionByName(S.load_lexicon(spark, kind="slang"))
+    scores = R.lexicon_scores(A.emoted_chat(spark, sf_dir), lexicon, ["doc_id", "line_no"])
+    return r6(scores, *_SPOKEN, "neutral")
+
+
 def _down(texts: list[str]) -> list[str | None]:
     raise ConnectionError("no answer")
 
@@ -144,3 +189,31 @@ def s6_segment_files(spark, sf_dir):
     S.write_segments(chat_windows(spark, sf_dir), path, "csv")
     names = {"start_time": "double", "end_time": "double", "message_count": "long"} | dict.fromkeys(_AVGS, "double")
     return r6(S.read_interval_csv(spark, path, names, r"video_id=(\d+)/"), "start_time", "end_time", *_AVGS)
+
+
+@query(f"SELECT video_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, CASE WHEN i % 3 = 0 THEN word || ',' ELSE word END AS word FROM ({A.WORDS_SQL}) AS w")
+def s4_transcript_words(spark, sf_dir):
+    """The words of each document as one transcript JSON, read back from it; every third has a punctuated form."""
+    w = A.words(spark, sf_dir)
+    part = F.struct(F.col("word"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.when(F.col("i") % 3 == 0, F.concat("word", F.lit(","))).alias("punctuated_word"))
+    best = w.groupBy("video_id").agg(F.struct(F.lit("").alias("transcript"), F.collect_list(part).alias("words")).alias("best"))
+    text = F.to_json(F.struct(F.struct(F.array(F.struct(F.array("best").alias("alternatives"))).alias("channels")).alias("results")))
+    found = S.parse_transcript(best.select("video_id", F.from_json(text, S.TRANSCRIPT_SCHEMA).alias("x")).select("video_id", "x.results"), ["video_id"])[0]
+    return r6(found, "start_time", "end_time")
+
+
+@query(SQL["s6_segment_files"])
+def s6_segment_json(spark, sf_dir):
+    """Chat windows written as JSON records by video and read back."""
+    path = f"{V.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    windows = chat_windows(spark, sf_dir)
+    S.write_segments(windows, path, "json")
+    back = spark.read.schema(windows.select(F.col("video_id").cast("string"), *[c for c in windows.columns if c != "video_id"]).schema).json(path)
+    return r6(back.select(*windows.columns), "start_time", "end_time", *_AVGS)
+
+
+@query("SELECT endpoint, CAST(us // 3600000000 * 3600 AS BIGINT) AS start_second, count(*) AS n, min(duration) AS least, max(duration) AS most, round(avg(duration), 6) AS mean, count(*) FILTER (WHERE NOT success) AS errors, CASE WHEN avg(CASE WHEN success THEN 0.0e0 ELSE 1.0e0 END) >= 0.1e0 THEN 'critical' WHEN avg(CASE WHEN success THEN 0.0e0 ELSE 1.0e0 END) >= 0.05e0 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT user_id % 20 AS endpoint, epoch_us(ts) AS us, value / 100.0e0 AS duration, event_type <> 'error' AS success FROM events) AS x GROUP BY 1, 2")
+def r5_live_requests(spark, sf_dir):
+    """Statistics and error level of each endpoint by the hour; the same operator takes a stream."""
+    r = A.requests(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return r6(live.second(live.live_requests(r, "1 hour")), "mean")

@@ -366,14 +366,12 @@ def w8_moving_average(spark, sf_dir):
     return A.frames(spark, sf_dir).select("video_id", "event_id", _round(W.smooth_moving_average("rms", ["video_id"], ["t", "event_id"]), 6).alias("smooth"))
 
 
-#: Pieces of a timeline of frames, an hour each.
-_HOUR = F.floor(F.col("t") / 3600)
 _NUMBERED = f"f AS (SELECT video_id, event_id, t, rms, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS r, count(*) OVER (PARTITION BY video_id) AS n FROM ({A.FRAMES_SQL}) AS z)"
 
 
 @query(f"WITH RECURSIVE {_NUMBERED}, y AS (SELECT video_id, event_id, r, rms AS y FROM f WHERE r = 1 UNION ALL SELECT f.video_id, f.event_id, f.r, 0.125e0 * f.rms + 0.875e0 * y.y FROM y JOIN f ON f.video_id = y.video_id AND f.r = y.r + 1) SELECT video_id, event_id, round(y, 6) AS smoothed FROM y")
 def w9_smooth_exponential(spark, sf_dir):
-    return W.smooth_exponential(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], "rms", _HOUR).select("video_id", "event_id", _round("smoothed", 6).alias("smoothed"))
+    return W.smooth_exponential(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], "rms", F.floor(F.col("t") / 3600)).select("video_id", "event_id", _round("smoothed", 6).alias("smoothed"))
 
 
 _SAVGOL = ", ".join(f"({place}, {j}, {w!r}e0)" if "e" not in repr(w) else f"({place}, {j}, {w!r})" for place, row in enumerate(W.savgol_weights().tolist()) for j, w in enumerate(row))

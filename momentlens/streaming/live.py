@@ -21,6 +21,14 @@ def live_alerts(points: DataFrame, size: str, warn: float, critical: float, name
     return sums.where(F.col("most") >= warn).withColumn("level", F.when(F.col("most") >= critical, "critical").otherwise("warning"))
 
 
+def live_requests(requests: DataFrame, size: str, warn: float = 0.05, critical: float = 0.1, lateness: str = LATENESS) -> DataFrame:
+    """Windows of each endpoint's requests: number, extremes and mean of the durations, errors, and the error rate's level."""
+    failed = F.when(F.col("success"), 0.0).otherwise(1.0)
+    sums = requests.withWatermark("ts", lateness).groupBy("endpoint", F.window("ts", size).alias("window"))
+    out = sums.agg(F.count("*").alias("n"), F.min("duration").alias("least"), F.max("duration").alias("most"), F.avg("duration").alias("mean"), F.count_if(~F.col("success")).alias("errors"), F.avg(failed).alias("rate"))
+    return out.withColumn("level", F.when(F.col("rate") >= critical, "critical").when(F.col("rate") >= warn, "warning").otherwise("ok")).drop("rate")
+
+
 def chat_bursts(messages: DataFrame, gap: str, keys=("video_id",), lateness: str = LATENESS) -> DataFrame:
     """(keys, session, message_count, total): runs of messages with less than ``gap`` between neighbours."""
     return messages.withWatermark("ts", lateness).groupBy(*keys, F.session_window("ts", gap).alias("session")).agg(F.count("*").alias("message_count"), F.sum("value").alias("total"))

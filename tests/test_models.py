@@ -88,3 +88,21 @@ def test_reactions_of_two_streams_equal_the_batch(spark, in_parts):
 
     got, want = V.drained(joined(in_parts), "r"), joined(spark.read.parquet(f"{SF}/events.parquet"))
     assert want.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_classifiers_are_better_than_the_commonest_class_on_rows_held_out(spark):
+    from momentlens.plans import models
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    for label in (models.EMOTION_LABEL, models.HIGHLIGHT_LABEL, "quality"):
+        rows = docs.select("doc_id", "text", F.expr(label).alias("label")).where("label IS NOT NULL")
+        held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+        model = R.fit_classifier(rows.where(~held))
+        found = R.classify(model, rows.where(held)).select("label", F.expr("array_position(probabilities, array_max(probabilities)) - 1").alias("got")).toPandas()
+        assert len(found) > 50 and (found.label == found.got).mean() > found.label.value_counts(normalize=True).max()
+
+
+def test_prompts_name_the_keys_and_unknown_measures(spark):
+    null = F.lit(None).cast("double")
+    text = spark.range(1).select(R.prompt_of(F.lit("so it is"), null, F.lit(0.125), F.lit(1.0)).alias("p")).first().p
+    assert text.endswith("Text: so it is") and "Words a second: unknown; loudness: 0.12; " in text and "highlight" in text

@@ -9,31 +9,34 @@ from momentlens.operators import intervals as J
 from momentlens.operators import telemetry as M
 from momentlens.operators import windows as W
 
-NULL = F.lit(None).cast("double")
-ONE = F.lit(1.0)
-CASES = {
-    "amplify": (U.amplify(ONE, NULL), 0.75),
-    "amplify a null": (U.amplify(NULL, ONE), None),
-    "enhanced": (U.enhanced_score(NULL, ONE, ONE, F.lit("mixed")), None),
-    "enhanced without relationship": (U.enhanced_score(ONE, ONE, ONE, F.lit(None).cast("string")), 1.0),
-    "rate": (C.speech_rate_norm(NULL), None),
-    "cluster": (U.cluster_scores({e: NULL for e in ("excitement", "funny", "happiness", "anger", "sadness")})["sentiment"], None),
-    "backoff": (M.backoff_delay(NULL, "exponential"), None),
-    "eta": (M.eta_seconds(NULL, F.lit(50.0), F.lit("Running")), None),
-    "eta of a share": (M.eta_seconds(ONE, NULL, F.lit("Running")), None),
-    "eta done": (M.eta_seconds(NULL, NULL, F.lit("Completed")), 0),
-    "performance": (M.performance_score(NULL, ONE, ONE), None),
-    "simple performance": (M.simple_performance_score(NULL, ONE), None),
-    "grade": (M.grade(NULL), None),
-    "clip": (U.clip(NULL, 0.0, 1.0), None),
-    "mmss": (U.format_mmss(NULL), "00:00"),
-    "weighted": (U.weighted_highlight(NULL, ONE, ONE, ONE, "legacy"), None),
-}
+
+
+def _cases():
+    null, one = F.lit(None).cast("double"), F.lit(1.0)
+    return {
+        "amplify": (U.amplify(one, null), 0.75),
+        "amplify a null": (U.amplify(null, one), None),
+        "enhanced": (U.enhanced_score(null, one, one, F.lit("mixed")), None),
+        "enhanced without relationship": (U.enhanced_score(one, one, one, F.lit(None).cast("string")), 1.0),
+        "rate": (C.speech_rate_norm(null), None),
+        "cluster": (U.cluster_scores({e: null for e in ("excitement", "funny", "happiness", "anger", "sadness")})["sentiment"], None),
+        "backoff": (M.backoff_delay(null, "exponential"), None),
+        "eta": (M.eta_seconds(null, F.lit(50.0), F.lit("Running")), None),
+        "eta of a share": (M.eta_seconds(one, null, F.lit("Running")), None),
+        "eta done": (M.eta_seconds(null, null, F.lit("Completed")), 0),
+        "performance": (M.performance_score(null, one, one), None),
+        "simple performance": (M.simple_performance_score(null, one), None),
+        "grade": (M.grade(null), None),
+        "clip": (U.clip(null, 0.0, 1.0), None),
+        "mmss": (U.format_mmss(null), "00:00"),
+        "weighted": (U.weighted_highlight(null, one, one, one, "legacy"), None),
+    }
 
 
 def test_functions_of_nulls(spark):
-    got = spark.range(1).select(*[v.alias(k) for k, (v, _) in CASES.items()]).first().asDict()
-    assert got == {k: want for k, (_, want) in CASES.items()}
+    cases = _cases()
+    got = spark.range(1).select(*[v.alias(k) for k, (v, _) in cases.items()]).first().asDict()
+    assert got == {k: want for k, (_, want) in cases.items()}
 
 
 @pytest.mark.parametrize("policy", ["exponential", "linear", "fixed", "immediate"])
@@ -48,9 +51,9 @@ def test_zscore_of_a_null_is_null(spark):
     assert len(got) == 12 and got[3] is None and all(z is not None and 0 <= z <= 1 for i, z in got.items() if i != 3)
 
 
-def test_an_unknown_overlap_mode_is_an_error():
+def test_an_unknown_overlap_mode_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown mode"):
-        J.overlaps(ONE, ONE, ONE, ONE, "nearly")
+        J.overlaps(*[F.lit(1.0)] * 4, "nearly")
 
 
 def test_words_overlap_counts_a_word_without_length_inside(spark):

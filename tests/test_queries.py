@@ -54,3 +54,13 @@ def test_query_without_sql_runs(spark, name):
 def test_interval_joins_have_no_nested_loop(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_the_entry_is_read_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
