@@ -14,7 +14,8 @@ from momentlens.llm.shared import _LAST_ID, materialize
 from momentlens.llm.text import LOWER, chunks, utf8
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
-#: Segments of the grid: the 32 two-bit segments are dealt into this many groups of neighbours.
+#: Segments of the grid: the 32 two-bit segments are dealt into this many groups of neighbours (more, if rows are very
+#: many; every grid finds the same links).
 GRID_GROUPS = 6
 _LOWER = LOWER.tobytes()
 _HALVES = 0x5555555555555555
@@ -144,7 +145,10 @@ def links(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     unary = embed(F.col("fp"))
-    cells = [F.xxhash64(unary.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(grid_masks())]
+    # a cell fixes two groups of six, three of seven or four of eight: 21, 27 or 32 bits, so that cells stay small
+    n = nodes.count()
+    groups = GRID_GROUPS + (n > 1 << 27) + (n > 1 << 33)
+    cells = [F.xxhash64(unary.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(grid_masks(groups))]
     grid = nodes.select("fp", F.explode(F.array(*cells)).alias("key"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = grid.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key")
