@@ -175,24 +175,46 @@ def _text_rows(docs: DataFrame, answers: DataFrame, unit: Unit, shards: int) ->
     return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, "key int, bucket int, texts binary, places binary")
 
 
-def _first_by_words(raw: list[bytes], parts: list[list[bytes]], unit: Unit):
-    """For the texts of each part, which come as a stream: the text of ``raw`` (in order of first occurrence) and the window
-    in it where each of their windows occurs first."""
+#: Bytes of text that are streamed through an index at a time.
+STREAM_BYTES = 2 << 20
 
-    def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+class _WordShard:
+    """The index of a shard's texts (in order of first occurrence), through which documents' texts are streamed."""
+
+    def __init__(self, raw: list[bytes], unit: Unit):
+        self.unit = unit
+        hashes, at = self._hashed(raw)
+        self.index = fm_index.WordIndex(hashes, at, unit.window)
+        self.begin = at + np.arange(len(at))  # with a separator after each text
+
+    @staticmethod
+    def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         starts, ends, at = words(buf, offsets)
         return span_hashes(prefix_sums(buf), starts, ends), at
 
-    hashes, at = hashed(raw)
-    index = fm_index.WordIndex(hashes, at, unit.window)
-    begin = at + np.arange(len(at))  # with a separator after each text
-    for texts in parts:
-        hashes, cut = hashed(texts)
-        place = index.first_places(hashes, cut)
-        text = np.searchsorted(begin, place, "right") - 1
-        yield text, place - begin[text], cut
+    def first(self, texts: list[bytes], numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, is first) of each window of streamed texts, which are those of the given numbers in the index."""
+        hashes, cut = self._hashed(texts)
+        place = self.index.first_places(hashes, cut)
+        seq = np.repeat(np.arange(len(counts)), counts)
+        within = np.arange(len(seq)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return seq, place[cut[seq] + within] == self.begin[numbers[seq]] + within
+
+
+def _streamed(sizes: list[int]):
+    """Runs of parts with STREAM_BYTES together or so."""
+    run, total = [], 0
+    for i, n in enumerate(sizes):
+        run.append(i)
+        total += n
+        if total >= STREAM_BYTES:
+            yield run
+            run, total = [], 0
+    if run:
+        yield run
 
 
 def _first_flags(raw: list[bytes], count: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
@@ -238,27 +260,26 @@ def _covered_rows(rows: DataFrame, unit: Unit) -> DataFrame:
         distinct = list(number)
         raw = [distinct[i] for i in by_place.tolist()]
         lead = lead[by_place]
-        found, start = [], 0
+        found = []
+        later = np.setdiff1d(np.arange(len(content)), lead)  # texts that stand somewhere earlier
+        found.append((later, np.zeros(len(later), np.int64), count[later]))
         if unit.words:
-            # each bucket's documents are streamed through the index: a window is first where it stands itself
-            turn = np.empty(len(lead), np.int64)
-            turn[by_place] = np.arange(len(lead))
-            for (text, window, cut), n in zip(_first_by_words(raw, parts, unit), counts, strict=True):
-                own = np.arange(start, start + len(n))
-                start += len(n)
-                seq = np.repeat(np.arange(len(n)), n)
-                within = np.arange(len(seq)) - np.repeat(np.cumsum(n) - n, n)
-                at = cut[seq] + within
-                here = lead[turn[content[own]]] == own  # the first of equal texts
-                first = here[seq] & (text[at] == turn[content[own]][seq]) & (window[at] == within)
-                of, a, length = _spans(seq, first, n)
-                found.append((own[of], a, length))
+            # the buckets' documents are streamed through the index; a window is first if its earliest place is its own
+            shard = _WordShard(raw, unit)
+            turn = np.full(len(content), -1)
+            turn[lead] = np.arange(len(lead))
+            begin = np.cumsum([0, *map(len, parts)])
+            for run in _streamed([sum(map(len, x)) for x in parts]):
+                mine = np.arange(begin[run[0]], begin[run[-1] + 1])
+                mine = mine[turn[mine] >= 0]
+                if len(mine):
+                    seq, first = shard.first([raw[i] for i in turn[mine].tolist()], turn[mine], count[mine])
+                    of, a, length = _spans(seq, first, count[mine])
+                    found.append((mine[of], a, length))
         else:
             seq, first = _first_flags(raw, count[lead], unit)
             of, a, length = _spans(seq, first, count[lead])
             found.append((lead[of], a, length))
-            later = np.setdiff1d(np.arange(len(content)), lead)
-            found.append((later, np.zeros(len(later), np.int64), count[later]))
         own, a, length = (np.concatenate(x) for x in zip(*found, strict=True))
         bucket, data = [], []
         of_bucket = np.repeat(table["bucket"].to_numpy(), [len(x) for x in counts])
