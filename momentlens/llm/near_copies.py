@@ -1,7 +1,7 @@
 """Near copies: documents whose sets of 5-word runs have a Jaccard similarity of at least 0.8, and one of each group.
 
-SimHash links come first: fingerprints of the runs, joined on the grid of op 5, each link checked by the exact sets. At
-similarity 0.8 two fingerprints differ in 10 of 64 bits or so, which no grid finds, so the rest of the pairs come from
+SimHash classes come first: fingerprints of the runs, linked by the grid of op 5, each member checked against the least by
+the exact sets. At similarity 0.8 two fingerprints differ in 10 of 64 bits or so, which no grid finds, so the rest of the pairs come from
 bands of MinHash values (BANDS of ROWS each: a pair of similarity 0.8 shares none with probability 3e-6). A cell whose
 nodes are in one group already is done; in the others nodes are tried against a head of the cell first, and then all
 pairs of different groups that the sets' parity bitmaps leave possible. Every pair is checked by the exact sets.
@@ -146,14 +146,13 @@ def _may(a: str, b: str, n: str, m: str):
 
 
 def _by_simhash(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) that fingerprints suggest: equal ones by the least node, others by the grid's links."""
-    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    equal = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v"))
-    linked = links(heads.select("fp")).join(heads.toDF("u", "a"), "u").join(heads.toDF("v", "b"), "v")
-    pairs = equal.union(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sizes = nodes.select("node", "n")
-    both = pairs.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
-    return both.where(_near(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
+    """Pairs (u, v): the least node of each class of linked fingerprints with every other node of the class."""
+    prints = materialize(nodes.select("fp").distinct(), "fingerprints")
+    roots = materialize(components(links(prints)), "roots")
+    placed = nodes.join(roots.toDF("fp", "root"), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("root"))
+    heads = materialize(placed.groupBy("root").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1"), "heads")
+    each = placed.join(heads, "root").where((F.col("node") != F.col("head.node")) & _near(F.col("n"), F.col("head.n")))
+    return each.select(F.col("head.node").alias("u"), F.col("node").alias("v"))
 
 
 def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
