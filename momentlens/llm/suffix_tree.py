@@ -1,11 +1,11 @@
 """LM scoring with a probabilistic suffix tree over words: contexts of up to four words on a smoothed unigram root.
 
-The tree is never in one place. A shard holds all that follows its contexts (of a very frequent context, a part), and the
+The tree is never in one place. A shard holds what follows its contexts (of a very frequent context, a part), and the
 documents, dealt into buckets, ask the shards level by level:
 
-1. a bucket asks for the counts of its words, which make the root;
-2. for each level k it asks for the pairs (context of k words, next word) that it holds: once each, with their training
-   count here and the expected count by the state so far. A context is asked for if it occurs LEAST times or more in
+1. a bucket asks for the counts of its words, which make the root, and of its pairs of words;
+2. for each longer context of k words it asks for the pairs (context, next word) that it holds: once each, with their
+   training count here and the expected count by the state so far. A context is asked for if it occurs LEAST times or more in
    training and none of its suffixes has a single continuation (then it could not predict anything else);
 3. the context's shard adds the counts up, tests whether the context's next words diverge from those of the shorter
    state, and answers counts and verdicts in the order asked, from which the bucket computes the next level.
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlens.llm.shared import groups_for, pack, packed_documents, split_by, unpack, unpack_table
+from momentlens.llm.shared import groups_for, materialize, pack_numbers, packed_documents, split_by, unpack_numbers, unpack_table
 from momentlens.llm.text import LOWER, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
 
-#: Contexts have up to DEPTH words, and at least LEAST occurrences in training.
+#: Contexts have up to DEPTH words, and at least LEAST occurrences in training. Those of one word are all kept.
 DEPTH, LEAST = 4, 2
-#: Nats by which a context's next words must diverge from the shorter state's, over all its occurrences, to be kept.
+#: Nats by which a longer context's next words must diverge from the shorter state's, over all its occurrences, to be kept.
 LEAST_DIVERGENCE = 4.0
 #: A context of more occurrences than this is kept untested (that is a divergence of 1e-4 nats an occurrence) and its next
 #: words are dealt over several shards.
@@ -34,11 +34,13 @@ MANY = 32_768
 PRIOR = 32.0
 _U = np.uint64
 _END = _U(0x5BD1E995A3C59AC3)
-#: A key is 36 bits of the context's hash and 28 of the next word's; a shard holds a bounded number of either.
-_WORD_BITS = _U(28)
+#: A key is 32 bits of the context's hash and 24 of the next word's; a shard holds a bounded number of either.
+_CONTEXT_BITS, _WORD_BITS = _U(32), _U(24)
 #: Expected counts are sent as a byte: steps of 1/8 nat from _LEAST_LOG on; _KEEP marks a context that is kept untested.
 _STEPS, _LEAST_LOG, _KEEP = 8, 165, 255
-_KEPT, _SINGLE = 1, 2
+#: A word that makes up more than this share of the tokens has its pairs dealt over several shards: at most 4096 words.
+_FREQUENT = 1 / 4096
+_PART = _U(0xD6E8FEB86659FD93)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -46,6 +48,16 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the number of each value, by a hash table: for values that repeat much."""
+    coded = pa.array(x).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], rank[coded.indices.to_numpy()]
+
+
 class Tokens:
     """The symbols of a bucket's documents (an end before the first, one after each) and what is known of each place."""
 
@@ -69,33 +81,57 @@ class Tokens:
         self.symbols[inside] = h
         self.train = np.concatenate([[False], ~self.docs["held_out"].to_numpy()[self.doc]])
         #: how many symbols before a place belong to its document, the end before it included
-        self.behind = np.concatenate([[0], np.arange(1, len(self.symbols)) - self.first[self.doc] + 1])
+        self.behind = np.concatenate([[0], np.arange(1, len(self.symbols)) - self.first[self.doc] + 1]).astype(np.int32)
+        self.places = np.arange(1, len(self.symbols))
+        self.code = np.zeros(len(self.places), _U)
 
     def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.symbols, return_inverse=True)
+        return _distinct(self.symbols)
 
     def start(self, counts: np.ndarray, tokens: int, distinct: int) -> None:
         """The root: counts of each place's word."""
         self.known = counts > 0
-        self.p = self.base = (counts + 1) / (tokens + distinct + 1)
-        self.code = np.zeros(len(self.symbols), _U)
+        self.base = (counts + 1) / (tokens + distinct + 1)
+        self.p = self.base.copy()
         self.before = np.concatenate([[0], counts[:-1]])  # occurrences of the context
-        self.final = np.zeros(len(self.symbols), bool)  # a suffix of the context has one continuation,
-        self.expected = self.final.copy()  # and it is the word here
+        self.expected = np.zeros(len(counts), bool)  # a suffix of the context has one continuation, the word here
+
+    def extend(self, k: int, some: np.ndarray) -> None:
+        """Keep only some of the places asked for last, and make their contexts k words long. Longer contexts are rarer,
+        so no place comes back."""
+        self.places = self.places[some]
+        self.code = mix(self.code[some] * _U(0x9E3779B97F4A7C15) + self.symbols[self.places - k] + _U(k))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys, the key of each of ``places``), the same in whatever order documents come."""
+        word = self.symbols[self.places] >> (_U(64) - _WORD_BITS)
+        return np.unique((self.code >> (_U(64) - _CONTEXT_BITS) << _WORD_BITS) | word, return_inverse=True)
+
+    def pairs(self, shards: int, frequent: dict[int, int]) -> tuple[np.ndarray, ...]:
+        """(keys, key of each place, shard of each key) of level 1: every word with the word before."""
+        self.extend(1, np.flatnonzero(self.behind[self.places] >= 1))
+        keys, of = self.keys()
+        part = np.zeros(len(keys), _U)
+        for word, parts in frequent.items():
+            code = mix(np.array([word], _U) + _U(1))[0] >> (_U(64) - _CONTEXT_BITS)  # as ``extend`` makes it
+            at = slice(*np.searchsorted(keys, [code << _WORD_BITS, (code + _U(1)) << _WORD_BITS]))
+            part[at] = keys[at] % _U(parts)
+        return keys, of, self._shard(keys, part, shards)
 
     def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
-        """(keys, the key of each of ``places``, shard of each key) of level k, the same in whatever order documents come."""
-        at = np.arange(k, len(self.symbols))
-        code = np.zeros(len(self.symbols), _U)
-        code[at] = mix(self.code[at] * _U(0x9E3779B97F4A7C15) + self.symbols[at - k] + _U(k))
-        self.code = code
-        self.places = places = np.flatnonzero((self.before >= LEAST) & ~self.final & (self.behind >= k))
-        context, word = self.code[places], self.symbols[places]
-        part = word % (self.before[places] // MANY + 1).astype(_U)
-        keys, of = np.unique((context >> _WORD_BITS << _WORD_BITS) | (word >> (_U(64) - _WORD_BITS)), return_inverse=True)
-        shard = np.full(len(keys), shards, np.int32)  # two contexts of one key are asked for as one
-        np.minimum.at(shard, of, (mix(context + part * _U(0xD6E8FEB86659FD93)) % _U(shards)).astype(np.int32))
-        return keys, of, shard
+        """(keys, key of each place, shard of each key) of level k from 2 on."""
+        at = self.places
+        self.extend(k, np.flatnonzero((self.before[at] >= LEAST) & ~self.final & (self.behind[at] >= k)))
+        keys, of = self.keys()
+        part = np.zeros(len(keys), _U)
+        n = self.before[self.places]
+        many = np.flatnonzero(n > MANY)
+        np.maximum.at(part, of[many], self.symbols[self.places[many]] % (n[many] // MANY + 1).astype(_U))
+        return keys, of, self._shard(keys, part, shards)
+
+    @staticmethod
+    def _shard(keys: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+        return (mix((keys >> _WORD_BITS) + part * _PART) % _U(shards)).astype(np.int32)
 
     def hints(self, of: np.ndarray, n: int) -> np.ndarray:
         """Expected counts of the n pairs asked for, as bytes."""
@@ -105,146 +141,197 @@ class Tokens:
         np.maximum.at(out, of, np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8))
         return out
 
-    def learn(self, counts: np.ndarray, verdict: np.ndarray) -> None:
+    def learn(self, counts: np.ndarray, kept: np.ndarray) -> None:
         """Take in the answers for the places asked for and move on to the next level."""
         places = self.places
-        kept = (verdict & _KEPT) > 0
-        self.p = self.p.copy()
-        at = places[kept]
-        self.p[at] = (counts[kept] + PRIOR * self.p[at]) / (self.before[at] + PRIOR)
-        # a pair whose suffix has one continuation is known without asking
+        n = self.before[places]
+        at, n_at = places[kept], n[kept]
+        self.p[at] = (counts[kept] + PRIOR * self.p[at]) / (n_at + PRIOR)
+        # the pair of a longer context: as asked, or known where a suffix has the word here for its one continuation
         longer = np.where(self.expected, self.before, 0)
         longer[places] = counts
-        one = places[(verdict & _SINGLE) > 0]
-        self.final[one] = True
-        self.expected[one] = longer[one] > 0
+        self.final = (counts == n) & (n >= LEAST) & (n <= MANY)
+        self.expected[places[self.final]] = True
         self.before = np.concatenate([[0], longer[:-1]])
 
 
-def _requests(keys: np.ndarray, shard: np.ndarray, **columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _requests(keys: np.ndarray, shard: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A row for each shard: its sorted keys as differences, and their columns."""
     groups, rows = [], []
     for g, at in split_by(shard):
+        mine = keys[at]
         groups.append(g)
-        rows.append(pack(d_key=keys[at].view(np.int64), **{c: x[at] for c, x in columns.items()}))
+        rows.append(pack_numbers(np.concatenate([mine[:1], np.diff(mine)]), *[x[at] for x in columns]))
     return groups, rows
 
 
-def _answers(table: pa.Table | None) -> dict[int, dict[int, dict[str, np.ndarray]]]:
-    """level -> shard -> columns."""
-    out: dict[int, dict[int, dict[str, np.ndarray]]] = {}
-    if table is not None:
-        for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
-            out.setdefault(level, {})[shard] = unpack(data)
+def _answers(table: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
+    """level -> shard -> counts and, from level 2 on, verdicts."""
+    out: dict[int, dict[int, list[np.ndarray]]] = {}
+    for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
+        out.setdefault(level, {})[shard] = unpack_numbers(data)
     return out
 
 
-def _aligned(parts: dict[int, dict[str, np.ndarray]], shard: np.ndarray, column: str) -> np.ndarray:
-    out = np.zeros(len(shard), np.int64)
+def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, column: int = 0) -> np.ndarray:
+    """The answers for the keys asked for."""
+    out = np.zeros(len(shard), np.int64 if not column else bool)
     for g, at in split_by(shard):
         out[at] = parts[g][column]
     return out
 
 
-def _replayed(left: pa.Table, right: pa.Table | None, level: int, shards: int, totals: tuple[int, int]) -> tuple:
+def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int, totals: tuple) -> tuple:
     """The bucket's tokens after all levels before ``level`` are answered, and the keys it asks at this level (if any) with
     the shard and the columns of each."""
     tokens, answers = Tokens(left), _answers(right)
-    keys, of = tokens.word_keys()
-    shard = (keys % _U(shards)).astype(np.int32)
-    if level == 0:
-        return tokens, keys, shard, {"n": _small(np.bincount(of, tokens.train, len(keys)).astype(np.int64))}
-    tokens.start(_aligned(answers[0], shard, "n")[of], *totals)
-    for k in range(1, min(level, DEPTH) + 1):
+    words_, of_word = tokens.word_keys()
+    tokens.start(_aligned(answers[0], (words_ % _U(shards)).astype(np.int32))[of_word], *totals[:2])
+    keys, of, shard = tokens.pairs(shards, totals[2])
+    counts = _aligned(answers.get(1, {}), shard)[of]
+    tokens.learn(counts, tokens.before[tokens.places] >= LEAST)
+    for k in range(2, min(level, DEPTH) + 1):
         keys, of, shard = tokens.ask(k, shards)
         if k == level:
             n = np.bincount(of, tokens.train[tokens.places], len(keys)).astype(np.int64)
-            return tokens, keys, shard, {"n": _small(n), "hint": tokens.hints(of, len(keys))}
+            return tokens, keys, shard, [_small(n), tokens.hints(of, len(keys))]
         parts = answers.get(k, {})
-        tokens.learn(_aligned(parts, shard, "n")[of], _aligned(parts, shard, "verdict")[of])
-    return tokens, keys, shard, {}
+        tokens.learn(_aligned(parts, shard)[of], _aligned(parts, shard, 1)[of])
+    return tokens, keys, shard, []
 
 
-def _asked(docs: DataFrame, answers: DataFrame | None, level: int, shards: int, totals: tuple[int, int]) -> DataFrame:
-    """(shard, bucket, data): the keys of a level that each bucket asks each shard for."""
+_ASKED = "shard int, bucket int, level int, data binary"
 
-    def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
-        groups, rows = [], []
-        if left.num_rows:
-            _, keys, shard, columns = _replayed(left, right, level, shards, totals)
-            groups, rows = _requests(keys, shard, **columns)
-        bucket = left["bucket"][0].as_py() if left.num_rows else 0
-        return pa.table({"shard": pa.array(groups, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
 
-    schema = "shard int, bucket int, data binary"
-    if answers is None:
-        return docs.groupBy("bucket").applyInArrow(lambda table: run(table), schema)
-    return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda left, right: run(left, right), schema)
+def _rows(bucket: int, found: list[tuple[int, list[int], list[bytes]]]) -> pa.Table:
+    """Requests of (level, shards, data) as a table of _ASKED."""
+    shard, level, data = ([x for _, groups, _ in found for x in groups], [n for n, groups, _ in found for _ in groups], [x for _, _, rows in found for x in rows])
+    return pa.table({"shard": pa.array(shard, pa.int32()), "bucket": pa.array([bucket] * len(shard), pa.int32()), "level": pa.array(level, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _asked_first(docs: DataFrame, shards: int, frequent: dict[int, int]) -> DataFrame:
+    """The words and the pairs that each bucket asks each shard for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens = Tokens(table)
+        count = lambda of, places, n: _small(np.bincount(of, tokens.train[places], n).astype(np.int64))
+        words_, of_word = tokens.word_keys()
+        root = _requests(words_, (words_ % _U(shards)).astype(np.int32), count(of_word, slice(None), len(words_)))
+        keys, of, shard = tokens.pairs(shards, frequent)
+        return _rows(table["bucket"][0].as_py(), [(0, *root), (1, *_requests(keys, shard, count(of, tokens.places, len(keys))))])
+
+    return docs.groupBy("bucket").applyInArrow(run, _ASKED)
+
+
+def _asked(docs: DataFrame, answers: DataFrame, level: int, shards: int, totals: tuple) -> DataFrame:
+    """The keys of a level from 2 on that each bucket asks each shard for."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _rows(0, [])
+        _, keys, shard, columns = _replayed(left, right, level, shards, totals)
+        return _rows(left["bucket"][0].as_py(), [(level, *_requests(keys, shard, *columns))])
+
+    return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _ASKED)
 
 
 def verdicts(keys: np.ndarray, counts: np.ndarray, hints: np.ndarray) -> np.ndarray:
-    """For sorted distinct keys, whether their context is kept and whether it has a single continuation."""
+    """For sorted distinct keys, whether their context is kept."""
+    if not len(keys):
+        return np.zeros(0, bool)
     context = keys >> _WORD_BITS
-    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
     seen = counts > 0
     gain = np.zeros(len(keys))
     gain[seen] = counts[seen] * (np.log(counts[seen]) - (hints[seen].astype(np.float64) - _LEAST_LOG) / _STEPS)
-    size = np.diff(np.append(begin, len(keys)))
-    untested = np.maximum.reduceat(hints, begin) == _KEEP if len(begin) else np.zeros(0, bool)
-    kept = untested | (np.add.reduceat(gain, begin) >= LEAST_DIVERGENCE) if len(begin) else untested
-    single = ~untested & (np.add.reduceat(seen.astype(np.int64), begin) == 1) if len(begin) else untested
-    return np.repeat(kept * _KEPT + single * _SINGLE, size).astype(np.uint8)
+    kept = (np.maximum.reduceat(hints, begin) == _KEEP) | (np.add.reduceat(gain, begin) >= LEAST_DIVERGENCE)
+    return np.repeat(kept, np.diff(np.append(begin, len(keys))))
 
 
-def _answered(asked: DataFrame, level: int, buckets: int) -> DataFrame:
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
     """(bucket, level, shard, data): training counts and verdicts, in the order in which each bucket asked."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in table["data"].to_pylist()]
-        keys, of = np.unique(np.concatenate([p["d_key"].view(_U) for p in parts]), return_inverse=True)
-        counts = np.bincount(of, np.concatenate([p["n"] for p in parts]), len(keys)).astype(np.int64)
-        verdict = None
-        if level:
-            hints = np.zeros(len(keys), np.uint8)
-            np.maximum.at(hints, of, np.concatenate([p["hint"] for p in parts]))
-            verdict = verdicts(keys, counts, hints)
-        rows, begin = [], 0
-        for p in parts:
-            mine = of[begin : begin + len(p["d_key"])]
-            begin += len(mine)
-            rows.append(pack(n=_small(counts[mine]), **({} if verdict is None else {"verdict": verdict[mine]})))
-        n = len(rows)
-        return pa.table({"bucket": table["bucket"], "level": pa.array([level] * n, pa.int32()), "shard": table["shard"], "data": pa.array(rows, pa.binary())})
+        levels, out = table["level"].to_numpy(), [b""] * table.num_rows
+        for level in np.unique(levels).tolist():
+            rows = np.flatnonzero(levels == level).tolist()
+            parts = [unpack_numbers(table["data"][i].as_py()) for i in rows]
+            keys, of = np.unique(np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts]), return_inverse=True)
+            counts = np.bincount(of, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+            found = [counts]
+            if level > 1:
+                hints = np.zeros(len(keys), np.uint8)
+                np.maximum.at(hints, of, np.concatenate([p[2] for p in parts]))
+                found.append(verdicts(keys, counts, hints).astype(np.uint8))
+            begin = 0
+            for i, p in zip(rows, parts, strict=True):
+                mine = of[begin : begin + len(p[0])]
+                begin += len(mine)
+                out[i] = pack_numbers(_small(counts[mine]), *[x[mine] for x in found[1:]])
+        return pa.table({"bucket": table["bucket"], "level": table["level"], "shard": table["shard"], "data": pa.array(out, pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "bucket int, level int, shard int, data binary").repartition(buckets, "bucket")
 
 
-def _totals(docs: DataFrame, shards: int) -> tuple[int, int]:
-    """Tokens (ends included) and distinct tokens of the training rows."""
+#: Distinct words that a task of the totals gathers before it sends them.
+_GATHERED = 2_000_000
+
+
+def _totals(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
+    """Tokens (ends included) and distinct tokens of the training rows, and the parts in which to deal frequent words' pairs."""
+
+    def sent(found: list[np.ndarray], tokens: int, often: dict[int, int]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(found))
+        groups, rows = _requests(keys, (keys % _U(shards)).astype(np.int32))
+        hot = np.array([x for kv in often.items() for x in kv], _U)
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (n - 1), pa.int64()), pa.array(rows, pa.binary()), pa.array([hot.tobytes()] + [None] * (n - 1), pa.binary())], ["shard", "tokens", "data", "hot"])
 
     def count(batches):
+        found, tokens, often, size = [], 0, {}, 0
         for batch in small_batches(batches):
-            if not batch.num_rows:
-                continue
-            found, n = [np.array([_END])], [np.array([batch.num_rows])]
+            found.append(np.array([_END]))
+            n = batch.num_rows
             for _, _, b, o in chunks(*utf8(batch["text"])):
                 low = LOWER[b]
                 starts, ends, _ = words(low, o)
-                h, times = np.unique(span_hashes(prefix_sums(low), starts, ends), return_counts=True)
-                found.append(h)
-                n.append(times)
-            h = np.concatenate(found)
-            keys = np.unique(h)
-            tokens = sum(int(x.sum()) for x in n)
-            groups, rows = _requests(keys, (keys % _U(shards)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (len(rows) - 1), pa.int64()), pa.array(rows, pa.binary())], ["shard", "tokens", "data"])
+                h = pa.array(span_hashes(prefix_sums(low), starts, ends)).value_counts()
+                values, times = h.field(0).to_numpy(), h.field(1).to_numpy()
+                found.append(values)
+                n += len(starts)
+                top = np.flatnonzero(times > max(32, len(starts) * _FREQUENT))
+                for w, k in zip(values[top].tolist(), times[top].tolist(), strict=True):
+                    often[w] = often.get(w, 0) + k
+            tokens, size = tokens + n, size + sum(len(x) for x in found[1:])
+            if sum(map(len, found)) > 2 * _GATHERED:
+                found = [np.unique(np.concatenate(found))]
+            if len(found[0]) > _GATHERED:
+                yield sent(found, tokens, often)
+                found, tokens, often = [], 0, {}
+        if found:
+            yield sent(found, tokens, often)
 
     def total(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpack(x)["d_key"] for x in table["data"].to_pylist()]))
-        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64())})
+        keys = np.unique(np.concatenate([np.cumsum(unpack_numbers(x)[0], dtype=_U) for x in table["data"].to_pylist()]))
+        hot: dict[int, int] = {}
+        for x in table["hot"].to_pylist():
+            for w, k in np.frombuffer(x or b"", _U).reshape(-1, 2).tolist():
+                hot[w] = hot.get(w, 0) + k
+        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64()), "hot": pa.array([np.array([x for kv in hot.items() for x in kv], _U).tobytes()], pa.binary())})
+
+    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary, hot binary")
+    sums = materialize(rows.groupBy("shard").applyInArrow(total, "tokens long, keys long, hot binary"), "totals")
+    tokens, distinct = map(int, sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first())
+
+    def above(batches):
+        for batch in batches:
+            pairs = np.concatenate([np.zeros((0, 2), _U), *[np.frombuffer(x, _U).reshape(-1, 2) for x in batch["hot"].to_pylist()]])
+            pairs = pairs[pairs[:, 1] > tokens * _FREQUENT]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["word", "n"])
 
-    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary")
-    sums = rows.groupBy("shard").applyInArrow(total, "tokens long, keys long")
-    return sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()
+    # a word is in one shard; those above the share are 4096 at most
+    hot = sums.select("hot").mapInArrow(above, "word long, n long").collect()
+    return tokens, distinct, {r.word % (1 << 64): int(r.n / tokens / _FREQUENT) + 1 for r in hot}
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -259,12 +346,11 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     rows = docs.select(F.xxhash64("doc_id", "text").alias("did"), "doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = buckets = groups_for(size)
-    totals = tuple(map(int, _totals(rows, shards)))
+    totals = _totals(rows, shards)
     dealt = packed_documents(rows, buckets).repartition(buckets, "bucket")
-    answers = None
-    for level in range(DEPTH + 1):
-        found = _answered(_asked(dealt, answers, level, shards, totals), level, buckets)
-        answers = found if answers is None else answers.unionByName(found)
+    answers = _answered(_asked_first(dealt, shards, totals[2]), buckets)
+    for level in range(2, DEPTH + 1):
+        answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards, totals), buckets))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
