@@ -221,7 +221,7 @@ def _brute_tree(texts, depth=suffix_tree.DEPTH):
         if x not in kept:
             n = sum(grams[g] for g in after.get(x, ()))
             hint = lambda g: (min(max(round(8 * math.log(n * p(g[1:]))) + 165, 0), 254) - 165) / 8
-            kept[x] = asked(x) and sum(grams[g] * (math.log(grams[g]) - hint(g)) for g in after[x]) >= suffix_tree.LEAST_DIVERGENCE
+            kept[x] = n >= suffix_tree.LEAST if len(x) == 1 else asked(x) and sum(grams[g] * (math.log(grams[g]) - hint(g)) for g in after[x]) >= suffix_tree.LEAST_DIVERGENCE
         return kept[x]
 
     def p(g):
