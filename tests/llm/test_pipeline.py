@@ -114,13 +114,13 @@ def _mixed(rows, topics):
                 have, free = defaultdict(float), defaultdict(float)
                 for c, x in weight.items():
                     have[c[d]] += x
-                    free[c[d]] += x if x < cells[c] else 0
+                    free[c[d]] += x if x < cells[c] * (1 - mixing._FULL) else 0
                 off = max([off, *(abs(have[v] - t) / max(t, 1) for v, t in target[d].items())])
                 for c, x in weight.items():
                     h, t = have[c[d]], target[d][c[d]]
                     if h > t:
                         weight[c] = x * t / h
-                    elif x < cells[c]:
+                    elif x < cells[c] * (1 - mixing._FULL):
                         weight[c] = min(cells[c], x * (1 + (t - h) / free[c[d]]))
         if off <= mixing.TOLERANCE or off > worst * mixing.STALLED:
             break
