@@ -36,7 +36,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _repeat_words() -> str:
     """Words that lie in 3-word windows found twice or more. The windows are sorted only where some do repeat."""
-    runs = "transform(sequence(0, size(w) - 3), i -> concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))"
+    runs = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
     ordered = "array_sort(transform(t, (k, i) -> struct(k AS k, i AS i)))"
     repeated = (
         "array_sort(array_remove(transform(s, (x, j) -> IF((j > 0 AND x.k = get(s, j - 1).k) "
