@@ -163,7 +163,9 @@ def find_peaks(x: np.ndarray, height: float = -np.inf, distance: int = 1, promin
     """Positions and prominences of strict local maxima (the middle of a plateau), filtered by height, then distance
     (highest first, the later of equal ones), then prominence."""
     n = len(x)
-    change = np.flatnonzero(np.diff(x)) + 1 if n else np.zeros(0, int)
+    if n < 3:
+        return np.zeros(0, np.int64), np.zeros(0)
+    change = np.flatnonzero(np.diff(x)) + 1
     begin, end = np.concatenate([[0], change]), np.concatenate([change, [n]]) - 1
     inner = np.arange(1, len(begin) - 1)
     inner = inner[(x[begin[inner]] > x[begin[inner - 1]]) & (x[begin[inner]] > x[begin[inner + 1]])]
