@@ -295,7 +295,7 @@ class Counter:
         at = np.flatnonzero((buf & 0xC0) != 0x80)  # first bytes of characters
         points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
         begin = at[split_ends(points, np.searchsorted(at, cuts), self.table)]
-        end = np.append(begin[1:], len(buf))
+        end = np.append(begin[1:], len(buf))[: len(begin)]  # none where all texts are empty
         part = np.searchsorted(cuts, begin, "right") - 1
         n = np.fromiter(map(self.seen.__getitem__, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), np.int64, len(begin))
         n[~mine[part]] = 0
