@@ -100,26 +100,28 @@ NAMES = {
     "ZPL-2.1": ("zope public license version 2 1", "zope public license zpl version 2 1"),
     "Zlib": ("zlib license", "zlib libpng license"),
 }
-#: How a notice says that it is under a licence of that name; identifiers stand in a line of their own.
-SAYINGS = tuple(f"{what}{verb} under the {{}}" for what in ("", "this work is ", "this file is ", "this code is ", "this software is ", "this program is ", "this project is ", "this package is ", "this library is ") for verb in ("licensed", "released", "distributed", "available", "made available"))
-TAG = "spdx license identifier {}"
-
-
-def _named() -> dict[str, str]:
-    """Sentences that name a licence, as normalised text -> identifier of the sentence (the licence's, as a name)."""
-    out = {}
-    for licence, names in NAMES.items():
-        plain = licence.lower().replace("-", " ").replace(".", " ")
-        for tag in (plain, *(f"{plain} {x}" for x in ("only", "or later") if "GPL" in licence or "GFDL" in licence)):
-            out[TAG.format(tag)] = f"tag:{licence}"
-        for name in names:
-            for saying in SAYINGS:
-                out[saying.format(name)] = f"name:{licence}"
-                if licence.startswith("CC-") and "the" in saying:
-                    out[saying.replace(" the {}", " a {}").format(name)] = f"name:{licence}"
-                if " version " in name and "GPL" in licence:
-                    out[f"{saying.format(name)} or at your option any later version"] = f"name:{licence}"
-    return out
+# How a notice says that it is under a licence of that name (normalised); an identifier stands in a line of its own.
+SAYING = (
+    "^(?:this (?:work|file|code|software|program|project|package|library) is )?(?:licensed|released|distributed|available|made available)"
+    " under (?:the|a) (.+?)(?: or at your option any later version)?$"
+)
+TAG = "spdx license identifier "
+
+
+def _plain(licence: str) -> str:
+    return licence.lower().replace("-", " ").replace(".", " ")
+
+
+def _named() -> str:
+    """The identifier of a sentence ``x`` that names a licence (name:MIT, tag:MIT), as SQL; only such sentences are looked at
+    closely."""
+    tags = {f"{_plain(x)}{more}": x for x in NAMES for more in ("", *((" only", " or later") if "GPL" in x or "GFDL" in x else ()))}
+    names = {n: x for x, ns in NAMES.items() for n in ns}
+    table = lambda entries: "map(" + ", ".join(f"{_text(k)}, {_text(v)}" for k, v in entries.items()) + ")"
+    return (
+        f"CASE WHEN startswith(x, '{TAG}') THEN concat('tag:', try_element_at({table(tags)}, substr(x, {len(TAG) + 1}))) "
+        f"WHEN contains(x, ' under the ') OR contains(x, ' under a ') OR startswith(x, 'available under ') THEN concat('name:', try_element_at({table(names)}, regexp_extract(x, '{SAYING}', 1))) END"
+    )
 
 
 #: Licence rules: the sentence identifiers that must occur in this order, with any sentences between them.
@@ -211,9 +213,7 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     the names whose rule's identifiers occur in order, both comma-joined (empty if none). Null and empty texts have no
     sentences; repeated rows get a row each. Built-in expressions only, no shuffle.
     """
-    known = {v: k for k, v in (sentences or SENTENCES).items()}
-    if not sentences:
-        known = _named() | known | WHOLE
+    known = {v: k for k, v in (sentences or SENTENCES).items()} | ({} if sentences else WHOLE)
     rules = RULES + WHOLE_RULES if rules is None else rules
     table = "map(" + ", ".join(f"{_text(v)}, {_text(k)}" for v, k in known.items()) + ")"
     lengths = ", ".join(str(n) for n in sorted({len(v) for v in known}))
@@ -224,6 +224,8 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     plain = "trim(regexp_replace({}, '[^a-z0-9]+', ' '))"
     # only a sentence as long as a known one is looked up
     find = f"IF(length(x) IN ({lengths}), try_element_at({table}, x), CAST(NULL AS STRING))"
+    if not sentences:
+        find = f"coalesce({find}, {_named()})"
     ids = f"filter(transform(p, x -> {find}), y -> y IS NOT NULL)"
     whole = f"transform(array(regexp_replace({plain.format('s')}, '^[0-9]{{1,2}} ', '')), x -> {find})[0]"
     one = f"transform(array(filter(transform({pieces}, q -> {plain.format('q')}), x -> x != '')), p -> struct(CAST(size(p) AS BIGINT) AS n, IF(size(p) > 1 AND w IS NOT NULL, array(w), {ids}) AS ids))[0]"
