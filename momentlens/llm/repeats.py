@@ -4,7 +4,8 @@ Both operators share one dataflow in which no task sees more than a shard, and n
 
 1. documents are dealt into buckets by id; each is cut into runs of windows that share an anchor (the least hashed gram
    of the window). A bucket asks the anchors' shards, once for each, which occur twice or more: windows of the others
-   can't repeat;
+   can't repeat. Runs of an anchor that occurs very often are cut again by a second anchor (a longer gram), so that what
+   surrounds a frequent passage goes to many shards;
 2. a bucket sends the text of the remaining runs to the anchor's shard, each distinct text once, with its first place in
    the bucket; its later places there are covered whole. Equal windows have equal anchors, so they meet in one shard;
 3. a shard indexes its distinct runs in order of first occurrence and tells for each window sent whether it is the first;
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from momentlens.llm import bwt_merge, fm_index
 from momentlens.llm.shared import groups_for, identified, pack, pack_numbers, packed_documents, split_by, unpack, unpack_numbers, unpack_table
-from momentlens.llm.text import anchors, chunks, existing_windows, gram_hashes, prefix_sums, span_hashes, utf8, words
+from momentlens.llm.text import anchors, chunks, existing_windows, gram_hashes, mix, prefix_sums, span_hashes, utf8, words
 
 @dataclass(frozen=True)
 class Unit:
@@ -32,6 +33,11 @@ class Unit:
     words: bool
     window: int
     gram: int
+    second: bool = False
+
+    def again(self) -> Unit:
+        """The same windows with anchors of longer grams, by which runs of a frequent anchor are cut."""
+        return Unit(self.words, self.window, self.window * 4 // 5, True)
 
     def runs(self, buf: np.ndarray, offsets: np.ndarray):
         """(document, first window, windows, anchor hash) of a chunk's runs."""
@@ -42,6 +48,8 @@ class Unit:
             at = offsets
             i = np.arange(max(0, len(buf) - self.gram + 1))
             grams = span_hashes(prefix_sums(buf), i, i + self.gram)
+        if self.second:  # another order of the grams
+            grams = mix(grams ^ np.uint64(0xA0761D6478BD642F))
         n = int(at[-1])
         first, count, value = anchors(grams, self.window - self.gram + 1, existing_windows(at, n, self.window))
         doc = np.searchsorted(at, first, "right") - 1
@@ -50,6 +58,8 @@ class Unit:
 
 WORDS = Unit(True, 20, 8)
 BYTES = Unit(False, 100, 32)
+#: An anchor that occurs more often than this is frequent (of a bucket's occurrences at most 255 count).
+FREQUENT = 2048
 
 
 class _Bucket:
@@ -93,7 +103,7 @@ class _Bucket:
 
 
 def _asked(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
-    """(shard, bucket, data): the anchors of a bucket, and which of them it has twice or more."""
+    """(shard, bucket, data): the anchors of a bucket, and how often it has each."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, n = np.unique(_Bucket(table).runs(unit)[3], return_counts=True)
@@ -101,28 +111,50 @@ def _asked(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
         for g, at in split_by((keys % np.uint64(shards)).astype(np.int32)):
             mine = keys[at]
             groups.append(g)
-            rows.append(pack_numbers(np.concatenate([mine[:1], np.diff(mine)]), (n[at] > 1).astype(np.uint8)))
+            rows.append(pack_numbers(np.concatenate([mine[:1], np.diff(mine)]), np.minimum(n[at], 255).astype(np.uint8)))
         return pa.table({"shard": pa.array(groups, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
 
     return docs.groupBy("bucket").applyInArrow(run, "shard int, bucket int, data binary")
 
 
-def _answered(asked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, data): which anchors occur twice or more, in the order in which each bucket asked."""
+def _answered(asked: DataFrame, buckets: int, frequent: int) -> DataFrame:
+    """(bucket, shard, data): which anchors occur twice or more (1) or are frequent (2), in the order in which each bucket asked."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack_numbers(x) for x in table["data"].to_pylist()]
         keys, of = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts]), return_inverse=True)
-        again = np.bincount(of, np.concatenate([1 + m.astype(np.int64) for _, m in parts]), len(keys)) > 1
+        times = np.bincount(of, np.concatenate([n for _, n in parts]), len(keys))
+        again = (times > 1).astype(np.uint8) + (times > frequent)
         rows, begin = [], 0
         for k, _ in parts:
-            rows.append(pack_numbers(again[of[begin : begin + len(k)]].astype(np.uint8)))
+            rows.append(pack_numbers(again[of[begin : begin + len(k)]].astype(np.uint8)))  # in the order asked
             begin += len(k)
         return pa.table({"bucket": table["bucket"], "shard": table["shard"], "data": pa.array(rows, pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "bucket int, shard int, data binary").repartition(buckets, "bucket")
 
 
+def _cut(bucket: _Bucket, unit: Unit, row: np.ndarray, pos: np.ndarray, count: np.ndarray, value: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, shard) of the pieces of runs of frequent anchors: a window's shard follows from both of
+    its anchors, so equal windows still meet."""
+    if not len(row):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.int32)
+    at = words(bucket.buf, bucket.offsets)[2] if unit.words else bucket.offsets
+    row2, pos2, count2, value2 = bucket.runs(unit.again())
+    begin2 = at[row2] + pos2
+    order = np.argsort(begin2, kind="stable")
+    begin2, end2, value2 = begin2[order], (begin2 + count2)[order], value2[order]
+    begin = at[row] + pos
+    lo, hi = np.searchsorted(end2, begin, "right"), np.searchsorted(begin2, begin + count, "left")
+    n = hi - lo
+    run = np.repeat(np.arange(len(row)), n)
+    piece = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + lo[run]
+    a, b = np.maximum(begin[run], begin2[piece]), np.minimum(begin[run] + count[run], end2[piece])
+    shard = (mix(value[run] ^ mix(value2[piece])) % np.uint64(shards)).astype(np.int32)
+    return row[run], a - at[row[run]], b - a, shard
+
+
 def _text_rows(docs: DataFrame, answers: DataFrame, unit: Unit, shards: int) -> DataFrame:
     """(key, bucket, texts, places): the runs' text, each distinct one once, and its first place in the bucket, for a
     shard (key >= 0); and for the bucket itself (key < 0) the places that are covered whole."""
@@ -135,13 +167,15 @@ def _text_rows(docs: DataFrame, answers: DataFrame, unit: Unit, shards: int) ->
             row, pos, count, value = bucket.runs(unit)
             # the answers come in the order of the sorted anchors of each shard
             anchors_, of = np.unique(value, return_inverse=True)
-            again = np.zeros(len(anchors_), bool)
+            again = np.zeros(len(anchors_), np.uint8)
             answer = dict(zip(right["shard"].to_pylist(), right["data"].to_pylist(), strict=True))
             shard = (anchors_ % np.uint64(shards)).astype(np.int32)
             for g, at in split_by(shard):
-                again[at] = unpack_numbers(answer[g])[0] > 0
-            mine = np.flatnonzero(again[of])
-            row, pos, count, shard = row[mine], pos[mine], count[mine].astype(np.int64), shard[of[mine]]
+                again[at] = unpack_numbers(answer[g])[0]
+            verdict, shard = again[of], shard[of]
+            some, often = np.flatnonzero(verdict == 1), np.flatnonzero(verdict == 2)
+            whole = (row[some], pos[some], count[some].astype(np.int64), shard[some])
+            row, pos, count, shard = (np.concatenate(x) for x in zip(whole, _cut(bucket, unit, row[often], pos[often], count[often], value[often], shards), strict=True))
             did, rank = bucket.did[row], bucket.rank[row]
             if unit.words:
                 starts, ends, at = words(bucket.buf, bucket.offsets)
@@ -336,7 +370,7 @@ def _finished(docs: DataFrame, covered: DataFrame, unit: Unit, with_text: bool)
     return docs.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(run, columns)
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: Unit, with_text: bool = True, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256, kept_text for every row of ``docs``.
 
     A unit is removed if a window that covers it also starts earlier: in a document of smaller doc_id, or earlier in the
@@ -347,6 +381,6 @@ def remove_repeats(docs: DataFrame, unit: Unit, with_text: bool = True) -> DataF
     docs, total = identified(docs)
     shards, buckets = groups_for(total), groups_for(total, 4 << 20)
     packed = packed_documents(docs, buckets).repartition(buckets, "bucket")
-    answers = _answered(_asked(packed, unit, shards), buckets)
+    answers = _answered(_asked(packed, unit, shards), buckets, frequent)
     covered = _covered_rows(_text_rows(packed, answers, unit, shards), unit)
     return _finished(packed, covered, unit, with_text)
