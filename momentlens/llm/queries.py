@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from momentlens.llm import decontaminate, hash_tree, license_scan, mixing, quality, repeats, simhash, suffix_tree, token_counts
+from pyspark.sql import functions as F
+
+from momentlens.llm import conversations, decontaminate, discriminant, fill_middle, hash_tree, license_scan, mixing, quality, repeats, simhash, suffix_tree, token_counts
 from momentlens.llm.shared import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,8 +59,30 @@ def op10_suffix_tree(spark, sf_dir):
     return suffix_tree.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    report, turns = conversations.repair(conversations.damage(rows))
+    hashes = conversations.digests(turns, F.concat("role", F.lit(":"), "text"))
+    every = rows.groupBy("conv_id").agg(F.lit(1).alias("one"))
+    # a conversation that lost all of its turns is in neither table, one that lost the rest in the repair has no lines
+    found = every.join(report, every["conv_id"].eqNullSafe(report["conv_id"]), "left").join(hashes, every["conv_id"].eqNullSafe(hashes["conv_id"]), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(every["conv_id"], *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    return discriminant.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    made = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(whole).alias("restored_sha256"))
+
+
 def queries():
-    found = (op1_token_counts, op2_mixing, op3_substring_dedup, op4_license_scan, op5_simhash, op6_suffix_dedup, op7_quality_rules, op8_decontamination, op9_sharding, op10_suffix_tree)
+    found = (op1_token_counts, op2_mixing, op3_substring_dedup, op4_license_scan, op5_simhash, op6_suffix_dedup, op7_quality_rules, op8_decontamination, op9_sharding, op10_suffix_tree, op11_conversation_repair, op12_quality_classifier, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
@@ -130,5 +154,17 @@ FROM a LEFT JOIN c ON a.id = c.id LEFT JOIN s ON a.id = s.id WHERE a.k = 'd'
 """
 
 
+_OP13 = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || k[1:8] AS BIGINT) AS h1, CAST('0x' || k[9:16] AS BIGINT) AS h2, CAST('0x' || k[17:24] AS BIGINT) AS h3, CAST('0x' || k[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, left(t, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql():
-    return {"op3_substring_dedup": _OP3, "op4_license_scan": _op4(), "op7_quality_rules": _op7(), "op8_decontamination": _OP8}
+    return {"op13_fill_in_middle": _OP13, "op3_substring_dedup": _OP3, "op4_license_scan": _op4(), "op7_quality_rules": _op7(), "op8_decontamination": _OP8}
