@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlens.operators.windows import running
+
 from momentlens.sources.adapters import EMOTIONS
 
 # Parts of a message that tell a failure, in order of trial, and the order of methods to fall back to.
@@ -57,37 +59,41 @@ def even_word_times(df: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "i", "word", (F.col("_s") + F.col("i") * F.col("_d")).alias("start_time"), (F.col("_s") + (F.col("i") + 1) * F.col("_d")).alias("end_time"))
 
 
-def stream_weights(audio: DataFrame, messages: DataFrame, keys: list[str], chat_intensity: float = 0.5) -> DataFrame:
-    """(keys, audio_weight, chat_weight): busy chat and strong audio emotions shift the weights from 0.6 and 0.4."""
+def stream_weights(audio: DataFrame, messages: DataFrame, keys: list[str], chat_intensity: float = 0.5, compat: bool = True) -> DataFrame:
+    """(keys, audio_weight, chat_weight): busy chat and strong audio emotions shift the weights from 0.6 and 0.4.
+
+    ``messages`` has the keys and ``messages``, their number. With ``compat`` the chat's own emotions count as
+    ``chat_intensity``, and busy chat weighs for the audio, strong audio emotions for the chat; without it both shifts go
+    the other way, as meant, and ``messages`` has ``chat_strength``, the mean of the strongest emotion of its windows.
+    """
     clip = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
     a = audio.groupBy(*keys).agg((F.max("end_time") - F.min("start_time")).alias("span"), F.avg(F.greatest(*EMOTIONS[:5])).alias("strength"))
     x = a.join(messages, keys, "left")
     rate = F.when(F.col("span") > 0, F.coalesce("messages", F.lit(0)) / (F.col("span") / 60)).otherwise(0.0)
     activity = clip((rate - 10) / 100, 0.0, 1.0)
-    emotion = F.when(F.col("strength") > 0, clip((F.col("strength") / chat_intensity - 0.5) / 2, 0.0, 1.0)).otherwise(0.5)
-    wa, wc = clip(0.6 + activity * 0.2 - emotion * 0.2, 0.4, 0.8), clip(0.4 - activity * 0.2 + emotion * 0.2, 0.2, 0.6)
+    chat = F.lit(chat_intensity) if compat else F.coalesce("chat_strength", F.lit(chat_intensity))
+    emotion = F.when((F.col("strength") > 0) & (chat > 0), clip((F.col("strength") / chat - 0.5) / 2, 0.0, 1.0)).otherwise(0.5)
+    shift = (activity - emotion) * (0.2 if compat else -0.2)
+    wa, wc = clip(0.6 + shift, 0.4, 0.8), clip(0.4 - shift, 0.2, 0.6)
     return x.select(*keys, (wa / (wa + wc)).alias("audio_weight"), (wc / (wa + wc)).alias("chat_weight"))
 
 
-def downsample(samples: DataFrame, keys: list[str], order: list[str], value: str, n: int) -> DataFrame:
+def downsample(samples: DataFrame, keys: list[str], order: list[str], piece: Column, value: str, n: int) -> DataFrame:
     """(keys, i, v): ``n`` evenly spaced rows of each series (repeated if it has fewer), over its greatest magnitude."""
-    part = Window.partitionBy(*keys)
-    placed = samples.withColumn("_x", F.row_number().over(part.orderBy(*order)).cast("long") - 1)
+    placed = running(samples, keys, order, piece, {"_x": F.lit(1).cast("long")}).withColumn("_x", F.col("_x") - 1)
     size = samples.groupBy(*keys).agg((F.count("*") - 1).alias("_last"), F.max(F.abs(value)).alias("_top"))
     wanted = size.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("_x", F.expr(f"i * _last DIV {n - 1}"))
     return placed.join(wanted, [*keys, "_x"]).select(*keys, "i", (F.col(value) / F.nullif(F.col("_top"), F.lit(0.0))).alias("v"))
 
 
-def loudness_smooth(frames: DataFrame, keys: list[str], order: list[str], value: str, width: int = 50) -> DataFrame:
-    """Adds ``loudness``: the centred mean of magnitudes, its edges filled from the nearest whole window."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    near = by.rowsBetween(-(width // 2), (width - 1) // 2)
-    mean = F.when(F.count("*").over(near) == width, F.avg(F.abs(value)).over(near))
-    # a growing frame in descending order; one up to the last row would be run through again for each row
-    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    ahead = F.last("_m", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.last("_m", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return frames.withColumn("_m", mean).withColumn("loudness", F.coalesce("_m", ahead, back)).drop("_m")
+def block_means(samples: DataFrame, keys: list[str], order: list[str], piece: Column, value: str, n: int) -> DataFrame:
+    """(keys, block, v): mean magnitudes of ``n`` blocks of equally many rows of each series, over the greatest of them; what
+    is left after the last whole block doesn't count."""
+    placed = running(samples, keys, order, piece, {"_x": F.lit(1).cast("long")})
+    size = samples.groupBy(*keys).agg(F.expr(f"greatest(1, count(*) DIV {n})").alias("_each"))
+    blocks = placed.join(size, keys).withColumn("block", F.expr("(_x - 1) DIV _each")).where(F.col("block") < n).groupBy(*keys, "block").agg(F.avg(F.abs(value)).alias("v"))
+    top = blocks.groupBy(*keys).agg(F.max("v").alias("_top"))
+    return blocks.join(top, keys).select(*keys, "block", (F.col("v") / F.nullif(F.col("_top"), F.lit(0.0))).alias("v"))
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

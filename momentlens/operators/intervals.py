@@ -59,20 +59,54 @@ def overlap_weighted_avg(left: DataFrame, right: DataFrame, keys: list[str], id_
     return weighed.groupBy(*keys, id_col).agg(F.lit(True).alias("matched"), *[F.coalesce(F.sum(F.col(m) * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0)), F.lit(0.0)).alias(m) for m in metrics])
 
 
-def interp_join(target: DataFrame, series: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Linear interpolation of (t, value) at the target's times ``t``, clamped at the ends: a two-sided as-of join by window."""
-    both = target.select(*keys, "t", F.lit(None).cast("double").alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_want")).unionByName(series.select(*keys, "t", F.col("t").alias("_t"), F.col(value).alias("_v"), F.lit(False).alias("_want")))
-    # both sides as growing frames, which take a step a row; a frame up to the last row is run through again for each row
-    back, ahead = (Window.partitionBy(*keys).orderBy(t).rangeBetween(Window.unboundedPreceding, 0) for t in (F.col("t"), F.col("t").desc()))
-    x = both.withColumns({"_t0": F.max("_t").over(back), "_v0": F.max_by("_v", "_t").over(back), "_t1": F.min("_t").over(ahead), "_v1": F.min_by("_v", "_t").over(ahead)})
-    line = F.when(F.col("_t0").isNull(), F.col("_v1")).when(F.col("_t1").isNull() | (F.col("_t1") == F.col("_t0")), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
-    return x.where("_want").select(*keys, "t", line.alias(value))
+def neighbours(df: DataFrame, keys: list[str], at: str, value: str, size: float) -> DataFrame:
+    """Adds ``before`` and ``after``: (at, value) of the last row at or before each row that has a value, and of the first at or after it.
+
+    A timeline is cut into bins of ``size``; a bin knows the last value before it and the first after it from a table of bins,
+    over empty ones too, so no task orders a whole key. Of values at one time ``before`` has the greatest, ``after`` the least.
+    """
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
+    rows = df.withColumns({"_bin": F.floor(F.col(at) / size), "_point": point})
+    ends = rows.groupBy(*keys, "_bin").agg(F.max("_point").alias("_last"), F.min("_point").alias("_first"))
+    line = Window.partitionBy(*keys)
+    # both sides as frames that grow by a row; a frame up to the last row is run through again for each row
+    upto = lambda c: line.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bin", F.last("_last", True).over(upto(F.col("_bin"))).alias("_carried"), F.last("_first", True).over(upto(F.col("_bin").desc())).alias("_coming"))
+    inside = Window.partitionBy(*keys, "_bin")
+    back, ahead = (inside.orderBy(c).rangeBetween(Window.unboundedPreceding, 0) for c in (F.col(at), F.col(at).desc()))
+    found = rows.withColumns({"before": F.max("_point").over(back), "after": F.min("_point").over(ahead)}).join(carried, [*keys, "_bin"])
+    return found.withColumns({"before": F.coalesce("before", "_carried"), "after": F.coalesce("after", "_coming")}).drop("_bin", "_point", "_carried", "_coming")
+
+
+def interp_join(target: DataFrame, series: DataFrame, keys: list[str], value: str, size: float = 600.0) -> DataFrame:
+    """Linear interpolation of (t, value) at the target's times ``t``, clamped at the ends: a two-sided as-of join by bins of
+    ``size``. Of values at one time the greatest counts at that time and after it, the least before it."""
+    none = F.lit(None).cast("double")
+    both = target.select(*keys, "t", none.alias("_v"), F.lit(True).alias("_want")).unionByName(series.select(*keys, "t", F.col(value).cast("double").alias("_v"), F.lit(False).alias("_want")))
+    x = neighbours(both, keys, "t", "_v", size).where("_want")
+    t0, v0, t1, v1 = (F.col(side)[c] for side in ("before", "after") for c in ("at", "value"))
+    line = F.when(t0.isNull(), v1).when(t1.isNull() | (t1 == t0), v0).otherwise(v0 + (v1 - v0) * (F.col("t") - t0) / (t1 - t0))
+    return x.select(*keys, "t", line.alias(value))
 
 
 def latest(series: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     return series.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def offset_merge(parts: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Part-local times plus each part's start; offsets are one row a part and join by hash."""
-    return parts.join(offsets, "part_id").withColumns({c: F.col(c) + F.col("offset") for c in ("start_time", "end_time")}).drop("offset")
+def offset_merge(parts: DataFrame, offsets: DataFrame, keys: list[str] | None = None, dedup_overlap: bool = False) -> DataFrame:
+    """Part-local times plus each part's start; offsets (part_id, offset) are one row a part and join by hash.
+
+    With ``dedup_overlap`` parts may overlap: offsets have the ``keys`` of the recording and a ``duration``, and a row stays only in
+    the part whose centre is nearest to its own middle, the later one of two as near, so that what two parts say is said once.
+    """
+    if not dedup_overlap:
+        return parts.join(offsets.select("part_id", "offset"), "part_id").withColumns({c: F.col(c) + F.col("offset") for c in ("start_time", "end_time")}).drop("offset")
+    # a part owns the time up to half way to the centres of the parts beside it; the parts of a recording are a small table
+    line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_centre", "part_id")
+    centred = offsets.withColumn("_centre", F.col("offset") + F.col("duration") / 2)
+    half = lambda c: (F.col("_centre") + c) / 2
+    owned = centred.select("part_id", "offset", half(F.lag("_centre").over(line)).alias("_from"), half(F.lead("_centre").over(line)).alias("_till"))
+    moved = parts.join(owned, "part_id").withColumns({c: F.col(c) + F.col("offset") for c in ("start_time", "end_time")})
+    middle = (F.col("start_time") + F.col("end_time")) / 2
+    mine = (F.col("_from").isNull() | (middle >= F.col("_from"))) & (F.col("_till").isNull() | (middle < F.col("_till")))
+    return moved.where(mine).drop("offset", "_from", "_till")

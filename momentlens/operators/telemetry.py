@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlens.operators.selection import FEW, floor_index
+
 # Rates in dollars, speeds in times real time, reliabilities, and the error rules in order of trial.
 RATES = {"deepgram": (0.0045 * 60, 0.0), "parakeet_gpu": (0.45 / 40, 0.02), "parakeet_cpu": (0.10 / 2, 0.01)}
 SPLIT_SECONDS = 2.5 * 3600
@@ -48,30 +50,9 @@ TRANSCRIPTION_RULES = (
 STAGES = {"queued": (0, 0), "downloading": (0, 20), "transcribing": (20, 50), "analyzing": (50, 80), "integrating": (80, 95), "uploading": (95, 100), "completed": (100, 100)}
 
 
-def floor_index_percentile(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], *ties: str) -> DataFrame:
-    """sorted[int(n q)] for each q, by rank; no list of values is gathered."""
-    part = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_r": F.row_number().over(part.orderBy(value, *ties)) - 1, "_n": F.count("*").over(part)})
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), F.col(value))).alias(name) for name, q in qs.items()])
-
-
-def overall_percentiles(df: DataFrame, value: str, qs: dict[str, float], bins: int = 1024) -> DataFrame:
-    """One row: sorted[int(n q)] of all values for each q, and ``n``. No task sorts them all: values fall into equal bins
-    between the extremes, and only the bin that holds a rank is ranked."""
-    ends = df.where(F.col(value).isNotNull()).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
-    place = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0)))
-    dealt = df.where(F.col(value).isNotNull()).select(value).crossJoin(F.broadcast(ends)).withColumn("bin", place.cast("int"))  # ends is one row
-    counts = dealt.groupBy("bin").agg(F.count("*").alias("m"))
-    before = counts.withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("bin")) - F.col("m"))  # at most ``bins`` rows
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in qs.items()])
-    ranks = before.crossJoin(F.broadcast(ends.select("n"))).withColumn("w", F.explode(wanted))
-    rank = F.floor(F.col("n") * F.col("w.q"))
-    here = ranks.where((rank >= F.col("before")) & (rank < F.col("before") + F.col("m"))).select("bin", F.col("w.name").alias("name"), (rank - F.col("before")).alias("rank"))
-    some = dealt.join(F.broadcast(here.select("bin").distinct()), "bin", "left_semi")  # a bin a percentile
-    equal = some.groupBy("bin", value).agg(F.count("*").alias("times"))
-    placed = equal.withColumn("row", F.sum("times").over(Window.partitionBy("bin").orderBy(value)) - F.col("times"))
-    found = placed.join(F.broadcast(here), "bin").where("row <= rank AND rank < row + times")
-    return found.agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in qs])
+def overall_percentiles(df: DataFrame, value: str, qs: dict[str, float], few: int = FEW) -> DataFrame:
+    """One row: sorted[int(n q)] of all values for each q. No task sorts them all."""
+    return floor_index(df, [], value, qs, few).drop("n")
 
 
 def error_rate_alerts(stats: DataFrame, warn: float = THRESHOLDS["error_rate"][0], critical: float = THRESHOLDS["error_rate"][1]) -> DataFrame:
@@ -83,7 +64,7 @@ def error_rate_alerts(stats: DataFrame, warn: float = THRESHOLDS["error_rate"][0
 def latency_alert(requests: DataFrame, keys: list[str], *order: str, warn: float = THRESHOLDS["response_time_p95"][0], critical: float = THRESHOLDS["response_time_p95"][1], least: int = 20, last: int = 1000) -> DataFrame:
     """(keys, n, p95, level) over the last requests (by ``order``) of each key; ``ok`` with fewer than ``least`` of them."""
     recent = requests.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).where(F.col("_k") <= last)
-    p = floor_index_percentile(recent, keys, "duration", {"p95": 0.95}, *order).join(recent.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    p = floor_index(recent, keys, "duration", {"p95": 0.95}, max(last, 1))  # no more than ``last`` values a key
     enough = F.col("n") >= least
     return p.select(*keys, "n", "p95", F.when(enough & (F.col("p95") >= critical), "critical").when(enough & (F.col("p95") >= warn), "warning").otherwise("ok").alias("level"))
 
@@ -112,7 +93,7 @@ def metric_summary(points: DataFrame, minutes: int) -> DataFrame:
     now = points.agg(F.max("ts").alias("now"))
     recent = points.crossJoin(F.broadcast(now)).where(F.expr(f"ts > now - INTERVAL {minutes} MINUTES"))  # now is one row
     sums = recent.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("current"))
-    return sums.join(floor_index_percentile(recent, ["name"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "event_id"), "name")
+    return sums.join(floor_index(recent, ["name"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("n"), "name")
 
 
 def classify(message: Column, rules=ERROR_RULES) -> Column:

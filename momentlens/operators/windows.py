@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from momentlens.operators.intervals import neighbours
+from momentlens.operators.selection import quantiles
+from momentlens.sources.shared import written
+
+#: Rows of a block; a frame sees those that it needs of the blocks beside.
+BLOCK = 4096
 
 
 def tumbling_assign(df: DataFrame, keys: list[str], time: str = "time", size: float = 30.0) -> DataFrame:
@@ -19,14 +26,24 @@ def tumbling_assign(df: DataFrame, keys: list[str], time: str = "time", size: fl
     return df.join(span, keys).withColumn("start_time", start).where("start_time < _t1").withColumn("end_time", F.col("start_time") + size).drop("_t0", "_t1")
 
 
-def sliding_windows(extent: DataFrame, keys: list[str], size: int = 60, step: int = 30) -> DataFrame:
-    """(keys, window_id, start_time, end_time) up to each key's ``last``; windows of less than half the size are dropped."""
+def sliding_windows(extent: DataFrame, keys: list[str], size: int = 60, step: int = 30, cover_tail: bool = False) -> DataFrame:
+    """(keys, window_id, start_time, end_time) up to each key's ``last``; windows of less than half the size are dropped.
+
+    The last windows end before ``last`` where less than a step is left, and a short recording has none; with ``cover_tail`` one more
+    window of the full size, or as long as the recording, ends at ``last``.
+    """
     grid = extent.where(F.col("last") >= size).select(*keys, "last", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - size) / step).cast("int"))).alias("window_id"))
     placed = grid.select(*keys, F.col("window_id").cast("long").alias("window_id"), (F.col("window_id") * F.lit(float(step))).alias("start_time"), "last")
     extra = extent.where((F.col("last") >= size) & ((F.col("last") - size + 1) > (F.floor((F.col("last") - size) / step) + 1) * step)).select(*keys, (F.floor((F.col("last") - size) / step) + 1).cast("long").alias("window_id"), ((F.floor((F.col("last") - size) / step) + 1) * F.lit(float(step))).alias("start_time"), "last")
     short = extent.where((F.col("last") < size) & (F.col("last") > size - 1)).select(*keys, F.lit(0).cast("long").alias("window_id"), F.lit(0.0).alias("start_time"), "last")
     every = placed.unionByName(extra).unionByName(short)
-    return every.withColumn("end_time", F.least(F.col("start_time") + size, F.col("last"))).where(F.col("end_time") - F.col("start_time") >= size / 2).drop("last")
+    found = every.withColumn("end_time", F.least(F.col("start_time") + size, F.col("last"))).where(F.col("end_time") - F.col("start_time") >= size / 2).drop("last")
+    if not cover_tail:
+        return found
+    done = found.groupBy(*keys).agg(F.max("end_time").alias("_till"), F.max("window_id").alias("_id"))
+    left = extent.join(done, keys, "left").where((F.col("last") > 0) & (F.coalesce("_till", F.lit(0.0)) < F.col("last")))
+    tail = left.select(*keys, (F.coalesce("_id", F.lit(-1)) + 1).cast("long").alias("window_id"), F.greatest(F.lit(0.0), F.col("last") - size).alias("start_time"), F.col("last").alias("end_time"))
+    return found.unionByName(tail)
 
 
 def chunk_plan(df: DataFrame, keys: list[str], chunk: float, overlap: float) -> DataFrame:
@@ -37,31 +54,35 @@ def chunk_plan(df: DataFrame, keys: list[str], chunk: float, overlap: float) ->
 
 
 def trailing(df: DataFrame, keys: list[str], row: str, time: str, value: str, span: float) -> DataFrame:
-    """(keys, row, value, n, sum, squares) over the values of the last ``span`` of each row, itself and its peers included.
+    """(keys, row, value, n, sum, squares, mean, var) over the values of the last ``span`` of each row, itself and its peers included.
 
     The timeline is cut into bins of ``span``, each with the rows of the bin before, so a key spreads over many tasks.
     In a bin every row asks twice for the running sums, where its frame begins and where it ends; a frame is the
-    difference, so the work is linear in the rows. ``row`` must be unique.
+    difference, so the work is linear in the rows. Sums are of the distance from the bin's mean, so that a large offset
+    doesn't cancel out a small variance. ``row`` must be unique.
     """
     t, b = F.col(time).cast("double"), F.floor(F.col(time) / span)
     event = lambda where, at, kind, sign, x: F.struct(where.alias("_bin"), at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"), x.cast("double").alias("_x"))
     x, none = F.col(value), F.lit(None)
     events = F.array(event(b, t, 1, 0, x), event(b + 1, t, 1, 0, x), event(b, t - span, 0, -1, none), event(b, t, 2, 1, none))
     every = df.select(*keys, F.col(row), F.col(value), F.explode(events).alias("_e")).select(*keys, row, value, "_e.*")
-    w = Window.partitionBy(*keys, "_bin").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    sums = every.withColumns({"_n": F.count("_x").over(w), "_s": F.coalesce(F.sum("_x").over(w), F.lit(0.0)), "_q": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))})
+    whole = Window.partitionBy(*keys, "_bin")
+    w = whole.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    centred = every.withColumn("_c", F.coalesce(F.avg("_x").over(whole), F.lit(0.0))).withColumn("_x", F.col("_x") - F.col("_c"))
+    sums = centred.withColumns({"_n": F.count("_x").over(w), "_s": F.coalesce(F.sum("_x").over(w), F.lit(0.0)), "_q": F.coalesce(F.sum(F.col("_x") * F.col("_x")).over(w), F.lit(0.0))})
     asked = sums.where("_sign <> 0").groupBy(*keys, "_bin", row)
     part = lambda c: F.sum(F.col(c) * F.col("_sign"))
-    return asked.agg(F.first(value).alias(value), part("_n").alias("n"), part("_s").alias("sum"), part("_q").alias("squares")).drop("_bin")
+    found = asked.agg(F.first(value).alias(value), F.first("_c").alias("_c"), part("_n").alias("n"), part("_s").alias("_s"), part("_q").alias("_q"))
+    n, c, s, q = (F.col(k) for k in ("n", "_c", "_s", "_q"))
+    mean = s / F.nullif(n, F.lit(0))
+    return found.select(*keys, row, value, "n", (s + n * c).alias("sum"), (q + 2 * c * s + n * c * c).alias("squares"), (c + mean).alias("mean"), F.greatest(F.lit(0.0), q / F.nullif(n, F.lit(0)) - mean * mean).alias("var"))
 
 
 def rolling_zscore(df: DataFrame, keys: list[str], row: str, time: str, value: str, span: float = 600.0) -> DataFrame:
     """(keys, row, z): scaled z-score over the last ``span`` seconds, itself included: (z clipped to 3 + 3) / 6; null of a null."""
     x = trailing(df, keys, row, time, value, span)
-    mean = F.col("sum") / F.col("n")
-    var = F.col("squares") / F.col("n") - mean * mean
-    std = F.when((F.col("n") < 5) | (var < 1e-10), 1.0).otherwise(F.sqrt(var))
-    z = (F.col(value) - F.when(F.col("n") < 5, 0.0).otherwise(mean)) / std
+    std = F.when((F.col("n") < 5) | (F.col("var") < 1e-10), 1.0).otherwise(F.sqrt("var"))
+    z = (F.col(value) - F.when(F.col("n") < 5, 0.0).otherwise(F.col("mean"))) / std
     return x.select(*keys, row, ((F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) + 3) / 6).alias("z"))
 
 
@@ -84,18 +105,56 @@ def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sum
     return cut.join(shift, [*keys, "_piece"]).withColumns(out).drop("_piece", *made)
 
 
-def centered(value: str, keys: list[str], order: list[str], width: int = 5, std: bool = False) -> Column:
-    half = width // 2
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return F.when(F.count(value).over(w) == width, (F.stddev_samp if std else F.avg)(value).over(w))
+def in_blocks(df: DataFrame, keys: list[str], order: list[str], piece: Column, before: int, after: int, made: Callable[[WindowSpec], dict[str, Column]], size: int = BLOCK) -> DataFrame:
+    """Adds ``_row``, the number of a row in ``order`` (from 1), and columns over frames of rows around it.
+
+    ``made`` gets a window, ordered by row, that holds ``before`` rows before each row and ``after`` after it at least, or
+    all there are. Rows are numbered by ``running`` (see there for ``piece``) and cut into blocks; the rows next to a
+    block's ends are copied into it, so no task orders a whole key and no frame is cut.
+    """
+    rows = running(df, keys, order, piece, {"_row": F.lit(1).cast("long")})
+    block = lambda shift: F.floor((F.col("_row") - 1 + shift) / size)
+    spread = F.sequence(F.greatest(F.lit(0), block(-after)), block(before))
+    copies = rows.withColumn("_block", F.explode(spread))
+    w = Window.partitionBy(*keys, "_block").orderBy("_row")
+    return copies.withColumns(made(w)).where(F.col("_block") == block(0)).drop("_block")
+
+
+def centered(df: DataFrame, keys: list[str], order: list[str], piece: Column, values: dict[str, Column], width: int = 5, size: int = BLOCK) -> DataFrame:
+    """Adds mean_ and std_ of each of ``values`` (by name) over ``width`` rows around a row, null where one is missing."""
+    half, named = width // 2, {f"_v_{k}": v for k, v in values.items()}
 
+    def made(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-half, half)
+        full = lambda k, f: F.when(F.count(f"_v_{k}").over(w) == width, f(f"_v_{k}").over(w))
+        return {f"mean_{k}": full(k, F.avg) for k in values} | {f"std_{k}": full(k, F.stddev_samp) for k in values}
 
-def smooth_moving_average(value: str, keys: list[str], order: list[str], width: int = 15) -> Column:
+    return in_blocks(df.withColumns(named), keys, order, piece, half, half, made, size).drop("_row", *named)
+
+
+def smooth_moving_average(df: DataFrame, keys: list[str], order: list[str], piece: Column, value: str, width: int = 15, size: int = BLOCK) -> DataFrame:
+    """Adds ``smoothed``, the mean of ``width`` rows around a row; the rows next to the series' ends keep their values."""
     half = width // 2
-    part = Window.partitionBy(*keys)
-    row, n = F.row_number().over(part.orderBy(*order)), F.count("*").over(part)
-    edge = (n < width) | (row <= half) | (row > n - half)
-    return F.when(edge, F.col(value)).otherwise(F.avg(value).over(part.orderBy(*order).rowsBetween(-half, half if width % 2 else half - 1)))
+
+    def made(w: WindowSpec) -> dict[str, Column]:
+        edge = (F.col("_row") <= half) | (F.count("*").over(w.rowsBetween(1, half)) < half) if half else F.lit(False)
+        return {"smoothed": F.when(edge, F.col(value)).otherwise(F.avg(value).over(w.rowsBetween(-half, half if width % 2 else half - 1)))}
+
+    return in_blocks(df, keys, order, piece, half, half, made, size).drop("_row")
+
+
+def loudness_smooth(df: DataFrame, keys: list[str], order: list[str], piece: Column, value: str, width: int = 50, size: int = BLOCK) -> DataFrame:
+    """Adds ``loudness``: the mean of the absolute values of ``width`` rows around a row, the row itself the first after the
+    middle; where one of them is missing, that of the next row that has one, or else of the last before."""
+    x = df.withColumn("_abs", F.abs(F.col(value)))
+
+    def made(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-(width // 2), width - width // 2 - 1)
+        return {"_mean": F.when(F.count("_abs").over(w) == width, F.avg("_abs").over(w))}
+
+    rows = neighbours(in_blocks(x, keys, order, piece, width // 2, width, made, size), keys, "_row", "_mean", float(size))
+    found = F.coalesce(F.col("_mean"), F.col("after")["value"], F.col("before")["value"])
+    return rows.withColumn("loudness", found).drop("_row", "_abs", "_mean", "before", "after")
 
 
 def savgol_weights(width: int = 15, degree: int = 3) -> np.ndarray:
@@ -104,21 +163,24 @@ def savgol_weights(width: int = 15, degree: int = 3) -> np.ndarray:
     return x @ np.linalg.pinv(x)
 
 
-def smooth_savgol(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 15) -> DataFrame:
-    """Adds ``smoothed``: cubic least-squares smoothing; at the ends the polynomial of the first or last window."""
+def smooth_savgol(df: DataFrame, keys: list[str], order: list[str], piece: Column, value: str, width: int = 15, size: int = BLOCK) -> DataFrame:
+    """Adds ``smoothed``: cubic least-squares smoothing; at the ends the polynomial of the first or last window. A series
+    shorter than the window, which is made odd, stays as it is."""
     width += 1 - width % 2
     half, weights = width // 2, savgol_weights(width)
-    part = Window.partitionBy(*keys)
-    rows = df.withColumns({"_row": F.row_number().over(part.orderBy(*order)) - 1, "_n": F.count("*").over(part)})
-    # the window's first row: centred, but held inside the series
-    at = F.greatest(F.lit(0), F.least(F.col("_row") - half, F.col("_n") - width))
-    place = F.col("_row") - at
-    frame = F.collect_list(value).over(part.orderBy(*order).rowsBetween(-(width - 1), width - 1))
-    first = at - F.greatest(F.lit(0), F.col("_row") - (width - 1))
     table = F.array(*[F.array(*map(F.lit, r.tolist())) for r in weights])
-    mixed = rows.withColumns({"_place": place, "_values": F.slice(frame, (first + 1).cast("int"), width)})
-    fitted = F.aggregate(F.zip_with(F.get(table, F.col("_place").cast("int")), "_values", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return mixed.withColumn("smoothed", F.when(F.col("_n") >= width, fitted).otherwise(F.col(value))).drop("_row", "_n", "_place", "_values")
+
+    def made(w: WindowSpec) -> dict[str, Column]:
+        near = w.rowsBetween(-(width - 1), width - 1)
+        return {"_values": F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).over(near), "_later": F.count("*").over(w.rowsBetween(1, half)) if half else F.lit(0).cast("long")}
+
+    rows = in_blocks(df, keys, order, piece, width - 1, width - 1, made, size)
+    # the row's place in its window: the middle, but the window is held inside the series
+    place = F.when(F.col("_row") <= half, F.col("_row") - 1).when(F.col("_later") < half, width - 1 - F.col("_later")).otherwise(half)
+    first = F.least(F.col("_row") - 1, F.lit(width - 1)) - place
+    cut = rows.withColumns({"_place": place.cast("int"), "_long": F.size("_values") >= width}).withColumn("_values", F.slice("_values", (first + 1).cast("int"), width))
+    fitted = F.aggregate(F.zip_with(F.get(table, F.col("_place")), "_values", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return cut.withColumn("smoothed", F.when(F.col("_long"), F.nanvl(fitted, F.lit(None).cast("double"))).otherwise(F.col(value))).drop("_row", "_values", "_later", "_place", "_long")
 
 
 def smooth_exponential(df: DataFrame, keys: list[str], order: list[str], value: str, piece: Column, width: int = 15) -> DataFrame:
@@ -143,144 +205,37 @@ def smooth_exponential(df: DataFrame, keys: list[str], order: list[str], value:
     return joined.withColumn("smoothed", F.col("_y") + F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)).drop("_row", "_block", "_k", "_y", "_end")
 
 
-def threshold_regions(df: DataFrame, keys: list[str], time: str, value: str, threshold: float, least: float = 3.0) -> DataFrame:
+def threshold_regions(df: DataFrame, keys: list[str], time: str, value: str, threshold: float, piece: Column, least: float = 3.0) -> DataFrame:
     """(keys, start, end, peak, rows): longest runs of rows above a threshold that last ``least`` at least."""
-    part = Window.partitionBy(*keys)
-    above = df.withColumn("_row", F.row_number().over(part.orderBy(time))).where(F.col(value) > threshold)
-    island = above.withColumn("_island", F.col("_row") - F.row_number().over(part.orderBy("_row")))
+    over = F.coalesce(F.col(value) > threshold, F.lit(False))
+    # rows and high rows before a row: their difference stays the same inside a run
+    rows = running(df, keys, [time, value], piece, {"_row": F.lit(1).cast("long"), "_above": over.cast("long")})
+    island = rows.where(over).withColumn("_island", F.col("_row") - F.col("_above"))
     return island.groupBy(*keys, "_island").agg(F.min(time).alias("region_start"), F.max(time).alias("region_end"), F.max(value).alias("peak"), F.count("*").alias("n")).where(F.col("region_end") - F.col("region_start") >= least).drop("_island")
 
 
-def gap_islands(df: DataFrame, keys: list[str], index: str, gap: int = 5) -> DataFrame:
+def gap_islands(df: DataFrame, keys: list[str], index: str, gap: int = 5, size: int = BLOCK) -> DataFrame:
     """(keys, first, last, middle): groups of indexes that lie at most ``gap`` apart."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    new = F.coalesce((F.col(index) - F.lag(index).over(w) > gap).cast("int"), F.lit(1))
-    grouped = df.withColumn("_new", new).withColumn("_group", F.sum("_new").over(w))
+    piece = F.floor(F.col(index) / size)
+    beside = running(df, keys, [index], piece, {}, {"_old": F.col(index)})
+    new = F.coalesce((F.col(index) - F.col("_old") > gap).cast("int"), F.lit(1)).cast("long")
+    grouped = running(beside, keys, [index], piece, {"_group": new})
     return grouped.groupBy(*keys, "_group").agg(F.min(index).alias("first"), F.max(index).alias("last")).withColumn("middle", F.expr("(first + last) DIV 2")).drop("_group")
 
 
-def find_peaks(x: np.ndarray, height: float = -np.inf, distance: int = 1, prominence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and prominences of strict local maxima (the middle of a plateau), filtered by height, then distance
-    (highest first, the later of equal ones), then prominence."""
-    n = len(x)
-    if n < 3:
-        return np.zeros(0, np.int64), np.zeros(0)
-    change = np.flatnonzero(np.diff(x)) + 1
-    begin, end = np.concatenate([[0], change]), np.concatenate([change, [n]]) - 1
-    inner = np.arange(1, len(begin) - 1)
-    inner = inner[(x[begin[inner]] > x[begin[inner - 1]]) & (x[begin[inner]] > x[begin[inner + 1]])]
-    peaks = (begin[inner] + end[inner]) // 2
-    peaks = peaks[x[peaks] >= height]
-    keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1].tolist():
-        if keep[i]:  # neighbours only: those within the distance on either side
-            for step in (-1, 1):
-                j = i + step
-                while 0 <= j < len(peaks) and abs(peaks[j] - peaks[i]) < distance:
-                    keep[j] = False
-                    j += step
-    peaks = peaks[keep]
-    level = x[begin]
-    at = np.searchsorted(begin, peaks, "right") - 1  # plateaus
-    low = np.maximum(_base(level)[at], _base(level[::-1])[::-1][at])
-    heights = x[peaks] - low if len(peaks) else np.zeros(0)
-    ok = heights >= prominence
-    return peaks[ok], heights[ok]
-
-
-def _base(x: np.ndarray) -> np.ndarray:
-    """For each value, the least one between it and the last greater one before it (or the beginning); one pass, a stack."""
-    out, stack = np.empty(len(x)), []
-    for i, v in enumerate(x.tolist()):
-        low = v
-        while stack and stack[-1][0] <= v:
-            low = min(low, stack.pop()[1])
-        out[i] = low
-        stack.append((v, low))
-    return out
-
-
-#: (rows between peaks, prominence, height); the adaptive one takes a twentieth of the series and its 60th percentile, and
-#: the highest rows where there is no peak.
-PROFILES = {"precomputed": (15, 0.25, 0.35), "legacy": (20, 0.3, 0.4), "adaptive": (None, 0.1, None), "emotion_precomputed": (15, 0.15, 0.25), "emotion_legacy": (20, 0.2, 0.3)}
-
-
-def peak_moments(df: DataFrame, keys: list[str], time: str, value: str, profile: str | tuple = "precomputed", k: int = 10) -> DataFrame:
-    """(keys, time, value, prominence, rank): the k highest peaks of each series (rows without a value are left out).
-    Greedy by nature, so one task per key."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    gap, prominence, height = PROFILES[profile] if isinstance(profile, str) else profile
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values(time, kind="stable").reset_index(drop=True)
-        x = pdf[value].to_numpy(float)
-        least = height if height is not None else float(np.percentile(x, 60)) if len(x) else 0.0
-        at, prom = find_peaks(x, least, gap or max(1, len(x) // 20), prominence)
-        if profile == "adaptive" and not len(at):
-            at, prom = np.arange(len(x)), np.full(len(x), np.nan)
-        top = np.lexsort((at, -x[at]))[:k]
-        out = pdf.loc[at[top], [*keys, time, value]].reset_index(drop=True)
-        return out.assign(prominence=prom[top], rank=np.arange(1, len(top) + 1))
-
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, {time} double, {value} double, prominence double, rank long")
-
-
-def paragraphs_every_n_sentences(words: DataFrame, keys: list[str], order: str, n: int = 3) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("word").rlike("[.!?]").cast("int")
-    numbered = words.withColumn("sentence", F.coalesce(F.sum(end).over(w), F.lit(0))).withColumn("paragraph", F.floor(F.col("sentence") / n))
+def paragraphs_every_n_sentences(words: DataFrame, keys: list[str], order: str, n: int = 3, size: int = BLOCK) -> DataFrame:
+    """(keys, paragraph, start_time, end_time, text) of ``n`` sentences each, the last of what is left."""
+    end = F.coalesce(F.col("word").rlike("[.!?]"), F.lit(False)).cast("long")
+    numbered = running(words, keys, [order], F.floor(F.col(order) / size), {"_ends": end}).withColumn("paragraph", F.floor((F.col("_ends") - end) / n))
     return numbered.groupBy(*keys, "paragraph").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), " ").alias("text"))
 
 
-def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0) -> DataFrame:
-    """(keys, paragraph, start_time, end_time, words): a new paragraph when a word starts ``longest`` after the first."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["start_time"]).sort_values("start_time", kind="stable")
-        starts, at, cuts = pdf["start_time"].to_numpy(float), 0, []
-        while at < len(starts):  # a step a paragraph
-            cuts.append(at)
-            at = max(at + 1, int(np.searchsorted(starts, starts[at] + longest, "left")))
-        out = np.searchsorted(cuts, np.arange(len(starts)), "right") - 1
-        g = pdf.assign(paragraph=out).groupby([*keys, "paragraph"], as_index=False)
-        return g.agg(start_time=("start_time", "min"), end_time=("end_time", "max"), words=("word", "count"))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*keys).schema)
-    return words.groupBy(*keys).applyInPandas(run, f"{fields}, paragraph long, start_time double, end_time double, words long")
-
-
-def paragraphs_by_pause(segments: DataFrame, keys: list[str], pause: float = 0.8) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start_time")
-    new = F.coalesce((F.col("start_time") - F.lag("end_time").over(w) >= pause).cast("int"), F.lit(1))
-    return segments.withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(w)).groupBy(*keys, "paragraph").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("segments"))
-
-
-# Words that open another topic, and those that do after a question.
-CUES = ("now let's", "moving on", "speaking of", "by the way", "anyway", "meanwhile", "however", "on the other hand", "in other news", "next up", "switching gears")
-OPENERS = ("alright", "okay", "well", "so")
-
-
-def paragraphs_by_rules(segments: DataFrame, keys: list[str], pause: float = 0.8, longest: float = 20.0, most: int = 6) -> DataFrame:
-    """(keys, paragraph, start_time, end_time, segments, text): blank segments are left out; a paragraph begins after a
-    pause, where it would reach ``longest`` seconds, after ``most`` segments, at a cue, or at an opener after a question.
-    Each rule looks at the paragraph so far, so one task per key."""
-    cues = tuple(c + mark for c in CUES for mark in " ,")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(text=pdf["text"].fillna("").str.strip()).sort_values("start_time", kind="stable")
-        pdf = pdf[pdf["text"] != ""]
-        number, begin, end, n, asked, numbers = -1, 0.0, 0.0, 0, False, []
-        for s, e, text in zip(pdf["start_time"], pdf["end_time"], pdf["text"], strict=True):
-            low = text.lower()
-            if number < 0 or s - end >= pause or e - begin >= longest or n >= most or low.startswith(cues) or (asked and low.startswith(OPENERS)):
-                number, begin, n = number + 1, s, 0
-            end, n, asked = e, n + 1, text.endswith("?")
-            numbers.append(number)
-        g = pdf.assign(paragraph=numbers).groupby([*keys, "paragraph"], as_index=False)
-        return g.agg(start_time=("start_time", "first"), end_time=("end_time", "last"), segments=("text", "count"), text=("text", " ".join))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.select(*keys).schema)
-    return segments.groupBy(*keys).applyInPandas(run, f"{fields}, paragraph long, start_time double, end_time double, segments long, text string")
+def paragraphs_by_pause(segments: DataFrame, keys: list[str], piece: Column, pause: float = 0.8) -> DataFrame:
+    """(keys, paragraph, start_time, end_time, segments): a new one after a pause."""
+    order = ["start_time", "end_time"]
+    beside = running(segments, keys, order, piece, {}, {"_old": F.col("end_time")})
+    new = F.coalesce((F.col("start_time") - F.col("_old") >= pause).cast("int"), F.lit(1)).cast("long")
+    return running(beside, keys, order, piece, {"paragraph": new}).groupBy(*keys, "paragraph").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("*").alias("segments"))
 
 
 def keep_updates(progress: pd.Series, stage: pd.Series, step: float, last: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -294,16 +249,6 @@ def keep_updates(progress: pd.Series, stage: pd.Series, step: float, last: tuple
     return np.array(keep, bool), last
 
 
-def meaningful_updates(updates: DataFrame, keys: list[str], order: str, step: float = 0.1) -> DataFrame:
-    """Updates whose progress moved ``step`` since the last kept one, whose stage changed, or every tenth."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[keep_updates(pdf["progress"], pdf["stage"], step, None)[0]]
-
-    return updates.groupBy(*keys).applyInPandas(run, updates.schema)
-
-
 def notifications(updates: DataFrame, keys: list[str], order: str, ends: tuple[str, ...]) -> DataFrame:
     """Updates (percent, stage) worth telling by themselves: whole tens of percent, a stage other than before, an end."""
     old = F.lag("stage").over(Window.partitionBy(*keys).orderBy(order))
@@ -321,7 +266,8 @@ def video_minmax(df: DataFrame, keys: list[str], value: str, name: str, constant
 def minute_summary(df: DataFrame, keys: list[str], start: str, score: str, means: list[str], q: float = 0.85, share: float = 0.8) -> DataFrame:
     """(keys, minute, score, means, marked): means of each minute; marked where the score is above ``share`` of the key's
     ``q`` percentile of all scores."""
-    threshold = df.groupBy(*keys).agg((F.percentile(score, q) * share).alias("_t"))
+    df = written(df.select(*keys, start, score, *means), "minutes")  # read by each round of the selection
+    threshold = quantiles(df, keys, score, {"_t": q}).withColumn("_t", F.col("_t") * share)
     sums = df.groupBy(*keys, F.floor(F.col(start) / 60).alias("minute")).agg(F.avg(score).alias("score"), *[F.avg(m).alias(m) for m in means])
     return sums.join(threshold, keys).withColumn("marked", F.col("score") > F.col("_t") + 1e-9).drop("_t")
 

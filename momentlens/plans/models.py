@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from momentlens.functions.chat import score_cache_key
 from momentlens.operators import scorers as R
-from momentlens.operators import windows as W
+from momentlens.operators import chains as K
 from momentlens.operators import intervals as J
-from momentlens.plans.queries import _AUDIO, _AVGS, _LEXICON_ROWS, _TUMBLE, SQL, _r, _round, _sides, chat_windows, query, r6
+from momentlens.plans.queries import _AUDIO, _AVGS, _LEXICON_ROWS, _STRESSED, _TUMBLE, SQL, _r, _round, _sides, _stressed, chat_windows, query, r6
 from momentlens.sources import adapters as A
+from momentlens.functions import chat as C
 from momentlens.sources import files as S
-from momentlens.streaming import live
+from momentlens.sources.shared import new_folder
+from momentlens.streaming import latency, live
 from momentlens.streaming import stateful as V
 
 
@@ -117,15 +117,24 @@ def u3_rule_scorer(spark, sf_dir):
     return A.paragraphs(spark, sf_dir).select("video_id", "ord", *[_round(v, 6).alias(k) for k, v in scores.items()])
 
 
-@query()
+#: A step a segment: the paragraph's first start, its segments so far, the end of the last one and whether that asked.
+_RULED = f"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time, text) AS r, regexp_matches(lower(text), '^({"|".join(f"{c}[ ,]" for c in K.CUES).replace("'", "''")})') AS cue, regexp_matches(lower(text), '^({"|".join(K.OPENERS)})') AS opener, text LIKE '%?' AS asked FROM (SELECT video_id, start_time, end_time, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM ({A.PARAGRAPHS_SQL}) AS p) AS t WHERE text <> ''),
+k AS (SELECT video_id, r, start_time AS b, end_time AS e, asked AS q, 1 AS n, 0 AS paragraph FROM u WHERE r = 1
+ UNION ALL SELECT video_id, r, CASE WHEN new THEN s ELSE b END, e2, a2, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN paragraph + 1 ELSE paragraph END FROM (SELECT u.video_id, u.r, u.start_time AS s, u.end_time AS e2, u.asked AS a2, k.b, k.n, k.paragraph, u.start_time - k.e >= 0.8e0 OR u.end_time - k.b >= 20 OR k.n >= 6 OR u.cue OR (k.q AND u.opener) AS new FROM k JOIN u ON u.video_id = k.video_id AND u.r = k.r + 1) AS z)
+SELECT k.video_id, CAST(paragraph AS BIGINT) AS paragraph, min(u.start_time) AS start_time, arg_max(u.end_time, u.r) AS end_time, count(*) AS segments, string_agg(u.text, ' ' ORDER BY u.r) AS text FROM k JOIN u ON u.video_id = k.video_id AND u.r = k.r GROUP BY 1, 2"""
+
+
+@query(_RULED)
 def w19_paragraphs_by_rules(spark, sf_dir):
-    return W.paragraphs_by_rules(A.paragraphs(spark, sf_dir).select("video_id", "start_time", "end_time", "text"), ["video_id"])
+    return K.paragraphs_by_rules(A.paragraphs(spark, sf_dir).select("video_id", "start_time", "end_time", "text"), ["video_id"])
 
 
 @query()
 def r3_live_zscores(spark, sf_dir):
     """The rolling z-scores as a stream, run to its end; its SQL is that of the same windows over the whole table."""
     frames = A.frames_of(V.events_stream(spark, sf_dir))
+    # the stream's time of a frame: 100 seconds of the events are one of the recording
+    frames = frames.withColumn("ts", F.timestamp_millis((F.lit(1704067200000) + F.round(F.col("t") * 100000)).cast("long")))
     got = V.drained(V.live_zscores(frames, "video_id", "t", "rms", "event_id"), "zscores")
     return got.select("video_id", "event_id", _round("z", 4).alias("z"))
 
@@ -134,7 +143,7 @@ SQL["r3_live_zscores"] = SQL["w5_rolling_zscore"]
 
 
 def _updates(events):
-    return events.select((F.col("user_id") % 50).alias("job_id"), "event_id", (F.col("value") / 500).alias("progress"), F.col("event_type").alias("stage"))
+    return events.select((F.col("user_id") % 50).alias("job_id"), "event_id", (F.col("value") / 500).alias("progress"), F.col("event_type").alias("stage"), "ts")
 
 
 @query()
@@ -149,9 +158,21 @@ SQL["r6_live_updates"] = SQL["w22_meaningful_updates"]
 @query("SELECT m.event_id, count(*) AS n FROM events AS m JOIN (SELECT user_id % 10 AS video_id, ts FROM events WHERE event_type = 'view') AS s ON m.user_id % 10 = s.video_id AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 315 SECOND GROUP BY 1")
 def r4_reactions(spark, sf_dir):
     """Messages within five minutes and the lag of what was viewed; the same join takes two streams."""
+    return live.reactions(*_reacting(spark, sf_dir, 300)).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+def _reacting(spark, sf_dir, seconds):
     e = A.table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 10).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
-    seen = e.where("event_type = 'view'").select("video_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("end_ts"))
-    return live.reactions(e.drop("event_type"), seen).groupBy("event_id").agg(F.count("*").alias("n"))
+    seen = e.where("event_type = 'view'").select("video_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end_ts"))
+    return e.drop("event_type"), seen.distinct()
+
+
+@query("SELECT s.video_id, epoch_us(s.ts) AS start_us, count(m.event_id) AS n FROM (SELECT DISTINCT user_id % 10 AS video_id, ts FROM events WHERE event_type = 'view') AS s LEFT JOIN events AS m ON m.user_id % 10 = s.video_id AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 1515 SECOND AND m.event_type = 'purchase' GROUP BY 1, 2")
+def r4_all_segments(spark, sf_dir):
+    """Purchases within 25 minutes and the lag of each view, of views without one too; a segment comes in three slices."""
+    messages, seen = _reacting(spark, sf_dir, 1500)
+    bought = messages.join(A.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id"), "event_id", "left_semi").select("video_id", "event_id", "ts")
+    return live.reactions(bought, seen, how="left").groupBy("video_id", F.unix_micros("start_ts").alias("start_us")).agg(F.count("event_id").alias("n"))
 
 
 @query(f"WITH {_AUDIO} SELECT au.video_id, au.seg, count(*) AS frames, round(avg(f.rms), 6) AS rms FROM au JOIN ({A.FRAMES_SQL}) AS f ON f.video_id = au.video_id AND f.t >= au.seg * 60.0e0 AND f.t < au.seg * 60.0e0 + 60 GROUP BY 1, 2")
@@ -185,7 +206,7 @@ def s4_transcript_json(spark, sf_dir):
 @query(f"WITH {_TUMBLE} SELECT CAST(video_id AS VARCHAR) AS video_id, message_count, {_r('start_time', 'end_time', *_AVGS)} FROM cw")
 def s6_segment_files(spark, sf_dir):
     """Chat windows written as CSV by video and read back as an interval table."""
-    path = f"{V.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    path = f"{new_folder(spark, 'segments')}/csv"
     S.write_segments(chat_windows(spark, sf_dir), path, "csv")
     names = {"start_time": "double", "end_time": "double", "message_count": "long"} | dict.fromkeys(_AVGS, "double")
     return r6(S.read_interval_csv(spark, path, names, r"video_id=(\d+)/"), "start_time", "end_time", *_AVGS)
@@ -205,7 +226,7 @@ def s4_transcript_words(spark, sf_dir):
 @query(SQL["s6_segment_files"])
 def s6_segment_json(spark, sf_dir):
     """Chat windows written as JSON records by video and read back."""
-    path = f"{V.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    path = f"{new_folder(spark, 'segments')}/json"
     windows = chat_windows(spark, sf_dir)
     S.write_segments(windows, path, "json")
     back = spark.read.schema(windows.select(F.col("video_id").cast("string"), *[c for c in windows.columns if c != "video_id"]).schema).json(path)
@@ -217,3 +238,52 @@ def r5_live_requests(spark, sf_dir):
     """Statistics and error level of each endpoint by the hour; the same operator takes a stream."""
     r = A.requests(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     return r6(live.second(live.live_requests(r, "1 hour")), "mean")
+
+
+_FLOORS = "max(CASE WHEN k = floor(n * 0.5e0) THEN v END) AS p50, max(CASE WHEN k = floor(n * 0.9e0) THEN v END) AS p90, max(CASE WHEN k = floor(n * 0.95e0) THEN v END) AS p95, max(CASE WHEN k = floor(n * 0.99e0) THEN v END) AS p99"
+
+
+def _summary_sql(key: str, rows: str, seconds: int) -> str:
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {key}, s ORDER BY v, event_id) - 1 AS k, count(*) OVER (PARTITION BY {key}, s) AS n FROM (SELECT event_id, {key}, v, CAST(epoch_us(ts) // {seconds * 1_000_000} * {seconds} AS BIGINT) AS s FROM {rows} AS r) AS q"
+    sums = f"SELECT {key}, s AS start_second, n, min(v) AS least, max(v) AS most, avg(v) AS mean, {_FLOORS} FROM ({ranked}) AS z GROUP BY {key}, s, n"
+    return f"SELECT {key}, start_second, n, {', '.join(f'round({c}, 6) AS {c}' for c in ('least', 'most', 'mean', 'p50', 'p90', 'p95', 'p99'))}, CASE WHEN n >= 20 AND round(p95, 9) >= 10 THEN 'critical' WHEN n >= 20 AND round(p95, 9) >= 5 THEN 'warning' ELSE 'ok' END AS level FROM ({sums}) AS y"
+
+
+def _live_summary(stream, name, key, value, seconds):
+    path = new_folder(stream.sparkSession, name)
+    latency.live_latency(stream, path, key, value, seconds, available_now=True).awaitTermination()
+    return r6(latency.latency_levels(stream.sparkSession, path), "least", "most", "mean", *latency.PERCENTILES)
+
+
+@query(_summary_sql("endpoint", f"(SELECT event_id, ts, endpoint, duration AS v FROM {_STRESSED} AS x)", 6 * 3600))
+def r5_live_latency(spark, sf_dir):
+    """Percentiles and latency level of each endpoint's requests in windows of six hours, as a stream, run to its end."""
+    requests = V.events_stream(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 20).alias("endpoint"), (F.col("value") / 100 * 3).alias("duration"))
+    return _live_summary(requests, "latency", "endpoint", "duration", 6 * 3600)
+
+
+@query(_summary_sql("name", "(SELECT event_id, ts, event_type AS name, value AS v FROM events)", 12 * 3600))
+def r5_live_metrics(spark, sf_dir):
+    """The summary of each metric in windows of twelve hours, as a stream, run to its end."""
+    points = V.events_stream(spark, sf_dir).select("event_id", "ts", F.col("event_type").alias("name"), "value")
+    return _live_summary(points, "metrics", "name", "value", 12 * 3600)
+
+
+@query("WITH b AS (SELECT event_type, epoch_us(ts) // 60000000 AS minute FROM events), m AS (SELECT event_type, max(minute) AS last FROM b GROUP BY 1) SELECT b.event_type, CAST(any_value(last) * 60 AS DOUBLE) AS as_of, count(*) AS n FROM b JOIN m ON b.event_type = m.event_type AND b.minute > last - 10080 GROUP BY 1")
+def l5_live_retained(spark, sf_dir):
+    """How many events of each type are retained for a week, as a stream with a state that forgets, run to its end."""
+    counts = V.drained(V.live_retained(V.events_stream(spark, sf_dir).select("event_type", "ts"), "event_type", 7 * 86400.0), "retained")
+    last = counts.groupBy("event_type").agg(F.max_by(F.struct("as_of", "n"), F.struct("as_of", "n")).alias("x"))
+    return last.select("event_type", "x.*")
+
+
+@query("SELECT coalesce(category, 'total') AS category, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT CASE user_id % 5 WHEN 0 THEN 'Transcript Files' WHEN 1 THEN 'Chat Files' WHEN 2 THEN 'Waveform Files' WHEN 3 THEN 'Transcript Files' END AS category, octet_length(encode(s)) AS bytes FROM (SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_id) || chr(10) AS s FROM events GROUP BY 1) AS x) AS z WHERE category IS NOT NULL GROUP BY ROLLUP (category)")
+def s7_file_sizes(spark, sf_dir):
+    """The events of each user written as a file whose name tells its kind; sizes are read from the files' metadata."""
+    e = A.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    kind = F.element_at(F.array(*map(F.lit, ("1_words.csv", "1_Chat.json", "waveform.json", "1_Segments.csv", "notes.txt"))), (F.col("user_id") % 5 + 1).cast("int"))
+    path = f"{new_folder(spark, 'artifacts')}/files"
+    named = e.withColumn("file", F.concat(F.col("user_id").cast("string"), F.lit("-"), kind))
+    named.repartition("file").sortWithinPartitions("file", "event_id").select("event_type", "file").write.partitionBy("file").option("compression", "none").text(path)
+    found = S.file_sizes(spark, path, {k: rf"file={v}" for k, v in {"words": "[0-9]+-1_words", "json": "[0-9]+-1_Chat", "waveform": "[0-9]+-waveform", "segments": "[0-9]+-1_Segments"}.items()}, "*.txt", of=-2)
+    return C.artifact_sizes(found.select("kind", "bytes")).select("category", "files", "bytes")

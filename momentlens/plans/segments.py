@@ -11,7 +11,7 @@ from momentlens.functions import scores as S
 from momentlens.operators import intervals as J
 from momentlens.operators import telemetry as M
 from momentlens.operators import windows as W
-from momentlens.plans.queries import _AUDIO, _AVGS, _METRICS, _NEG, _POS, _TUMBLE, _dom, _round, _sides, chat_windows, query, r6
+from momentlens.plans.queries import hour, _AUDIO, _AVGS, _METRICS, _NEG, _POS, _TUMBLE, _dom, _round, _sides, chat_windows, query, r6
 from momentlens.sources import adapters as A
 from momentlens.sources.adapters import EMOTIONS
 from momentlens.streaming import live as V
@@ -115,10 +115,20 @@ def a6_stream_weights(spark, sf_dir):
     return r6(S.stream_weights(_sides(spark, sf_dir)[0], chat, ["video_id"]), "audio_weight", "chat_weight")
 
 
+@query(f"""WITH {_AUDIO}, {_TUMBLE}, x AS (SELECT video_id, max(seg * 60.0e0 + 60) - min(seg * 60.0e0) AS span, avg({_TOP5}) AS ai FROM au GROUP BY 1), y AS (SELECT video_id, sum(message_count) AS n, avg(greatest({', '.join(f'avg_{e}' for e in EMOTIONS[:5])})) AS ci FROM cw GROUP BY 1),
+f AS (SELECT x.video_id, greatest(0.0e0, least(1.0e0, (coalesce(n, 0) / (span / 60) - 10) / 100)) AS act, CASE WHEN ai > 0 AND coalesce(ci, 0.5e0) > 0 THEN greatest(0.0e0, least(1.0e0, (ai / coalesce(ci, 0.5e0) - 0.5e0) / 2)) ELSE 0.5e0 END AS emo FROM x LEFT JOIN y ON x.video_id = y.video_id),
+w AS (SELECT video_id, least(0.8e0, greatest(0.4e0, 0.6e0 - act * 0.2e0 + emo * 0.2e0)) AS a, least(0.6e0, greatest(0.2e0, 0.4e0 + act * 0.2e0 - emo * 0.2e0)) AS c FROM f) SELECT video_id, round(a / (a + c), 6) AS audio_weight, round(c / (a + c), 6) AS chat_weight FROM w""")
+def a6_stream_weights_as_meant(spark, sf_dir):
+    """With the chat's own emotions, and both shifts the way that is meant."""
+    strength = F.avg(F.greatest(*[f"avg_{e}" for e in EMOTIONS[:5]]))
+    chat = chat_windows(spark, sf_dir).groupBy("video_id").agg(F.sum("message_count").alias("messages"), strength.alias("chat_strength"))
+    return r6(S.stream_weights(_sides(spark, sf_dir)[0], chat, ["video_id"], compat=False), "audio_weight", "chat_weight")
+
+
 @query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS x, count(*) OVER (PARTITION BY video_id) AS n, max(abs(rms)) OVER (PARTITION BY video_id) AS top FROM ({A.FRAMES_SQL}) AS f)
 SELECT video_id, k AS i, round(rms / top, 6) AS v FROM f JOIN (SELECT unnest(range(0, 100)) AS k) AS g ON x = k * (n - 1) // 99""")
 def a9_downsample(spark, sf_dir):
-    return r6(S.downsample(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], "rms", 100), "v")
+    return r6(S.downsample(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], hour(), "rms", 100), "v")
 
 
 @query("SELECT event_id, event_type AS name, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
@@ -154,14 +164,15 @@ def l4_health_status(spark, sf_dir):
 @query(f"WITH {_TUMBLE}, m AS (SELECT video_id, start_time, {', '.join(f'avg_{x} * message_count AS w_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM cw), s AS (SELECT *, count(*) OVER w AS n, {', '.join(f'avg(w_{x}) OVER w AS m_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM m WINDOW w AS (PARTITION BY video_id ORDER BY start_time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT video_id, round(start_time, 6) AS start_time, {', '.join(f'CASE WHEN n = 5 THEN round(m_{x}, 6) END AS mean_{x}' for x in ('sentiment_score', 'highlight_score', *EMOTIONS[:5]))} FROM s")
 def w7_weighted_metrics(spark, sf_dir):
     names = [m[4:] for m in _AVGS if m != "avg_neutral"]
-    x = chat_windows(spark, sf_dir).withColumns({f"w_{m}": F.col(f"avg_{m}") * F.col("message_count") for m in names})
-    return x.select("video_id", _round("start_time", 6).alias("start_time"), *[_round(W.centered(f"w_{m}", ["video_id"], ["start_time"]), 6).alias(f"mean_{m}") for m in names])
+    weighted = {m: F.col(f"avg_{m}") * F.col("message_count") for m in names}
+    x = W.centered(chat_windows(spark, sf_dir), ["video_id"], ["start_time"], F.floor(F.col("start_time") / 3600), weighted)
+    return x.select("video_id", _round("start_time", 6).alias("start_time"), *[_round(f"mean_{m}", 6).alias(f"mean_{m}") for m in names])
 
 
 @query(f"""WITH a AS (SELECT *, count(*) OVER w AS n, avg(abs(rms)) OVER w AS m0 FROM ({A.FRAMES_SQL}) AS f WINDOW w AS (PARTITION BY video_id ORDER BY t, event_id ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)), b AS (SELECT *, CASE WHEN n = 50 THEN m0 END AS m FROM a)
 SELECT video_id, event_id, round(coalesce(m, first_value(m IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(m IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS loudness FROM b""")
 def w11_loudness_smooth(spark, sf_dir):
-    return A.frames(spark, sf_dir).transform(S.loudness_smooth, ["video_id"], ["t", "event_id"], "rms").select("video_id", "event_id", _round("loudness", 6).alias("loudness"))
+    return W.loudness_smooth(A.frames(spark, sf_dir), ["video_id"], ["t", "event_id"], hour(), "rms").select("video_id", "event_id", _round("loudness", 6).alias("loudness"))
 
 
 @query(f"WITH {_AUDIO}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(s, 9) DESC, seg) AS rank FROM (SELECT video_id, seg, 0.8e0 * highlight_score + 0.2e0 * {_TOP5} AS s FROM au) AS z) SELECT video_id, rank, seg, round(s, 6) AS score FROM k WHERE rank <= 10")

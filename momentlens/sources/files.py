@@ -82,3 +82,21 @@ def write_segments(df: DataFrame, path: str, form: str = "parquet") -> None:
     ordered = df.select("video_id", *times, *rest, *[c for c in ("text",) if c in df.columns])
     writer = ordered.write.mode("error").partitionBy("video_id").format(form)
     (writer.option("header", True) if form == "csv" else writer).save(path)
+
+
+def file_sizes(spark: SparkSession, path: str, kinds: dict[str, str], pattern: str = "*", of: int = -1) -> DataFrame:
+    """(path, kind, bytes) of the files under a folder; ``kinds`` names a kind by a regular expression on the file's name (or,
+    with ``of`` -2, on that of its folder), the first that fits.
+
+    Only the metadata of the files is read, never what they hold. The source passes over empty files, which add no bytes.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), of)
+    kind = F
+    for k, expression in kinds.items():
+        kind = kind.when(name.rlike(expression), k)
+    return found.select("path", kind.otherwise(None).alias("kind"), "bytes")
+
+
+# How the artifacts of a recording are named, the more special names first.
+ARTIFACT_NAMES = {"words": "(?i)_words[.]", "paragraphs": "(?i)_paragraphs[.]", "segments": "(?i)_segments[.]", "chat": "(?i)_chat.*[.]csv$", "json": "(?i)_chat.*[.]json$", "waveform": "(?i)waveform", "video": "(?i)[.]mp4$", "audio": "(?i)[.](mp3|wav)$"}

@@ -34,18 +34,28 @@ def chat_bursts(messages: DataFrame, gap: str, keys=("video_id",), lateness: str
     return messages.withWatermark("ts", lateness).groupBy(*keys, F.session_window("ts", gap).alias("session")).agg(F.count("*").alias("message_count"), F.sum("value").alias("total"))
 
 
-def reactions(messages: DataFrame, segments: DataFrame, lag: str = LATENESS, lateness: str = LATENESS, longest: int = 600) -> DataFrame:
-    """Messages with the segments (video_id, start_ts, end_ts) that they may react to; both sides may be streams.
-
-    A message comes at most ``longest`` seconds after a segment's start, which bounds the state kept. Both sides are
-    dealt by bins of that length, so that a long recording spreads over many keys.
+def reactions(messages: DataFrame, segments: DataFrame, lag_seconds: int = 15, lateness: str = LATENESS, longest: int = 600, how: str = "inner") -> DataFrame:
+    """Segments (video_id, start_ts, end_ts) with the messages that may react to them: from the start to ``lag_seconds`` after the
+    end. Both sides may be streams. The columns of the messages, start_ts and end_ts.
+
+    A segment longer than ``longest`` seconds is joined in slices of that length, so that the state kept is bounded and
+    no message of a long segment is lost. Both sides are dealt by bins, so that a long recording spreads over many keys: a slice
+    has one bin, a message is in that of its time and the one before. With ``how`` left, a slice without a message comes
+    once, with nulls, as soon as the watermark has passed all that it could have got.
     """
-    bin_of = lambda c: F.floor(F.unix_timestamp(c) / longest)
-    m = messages.withWatermark("ts", lateness).withColumn("_bin", bin_of("ts")).alias("m")
-    both = F.explode(F.array(bin_of("start_ts"), bin_of("start_ts") + 1))
-    s = segments.withWatermark("start_ts", lateness).withColumn("_bin", both).alias("s")
-    near = F.expr(f"m.video_id = s.video_id AND m._bin = s._bin AND m.ts >= s.start_ts AND m.ts <= s.end_ts + INTERVAL {lag} AND m.ts <= s.start_ts + INTERVAL {longest} SECONDS")
-    return m.join(s, near).select("m.*", "s.start_ts", "s.end_ts").drop("_bin")
+    reach = longest + lag_seconds
+    bin_of = lambda c: F.floor(F.unix_timestamp(c) / reach)
+    long_ = F.unix_micros("end_ts") - F.unix_micros("start_ts")
+    slices = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((long_ - 1) / (longest * 1_000_000))).cast("long"))
+    cut = segments.where("start_ts IS NOT NULL AND end_ts >= start_ts").withColumn("_slice", F.explode(slices))
+    cut = cut.withColumn("_from", F.timestamp_micros(F.unix_micros("start_ts") + F.col("_slice") * (longest * 1_000_000)))
+    ends = F.timestamp_micros(F.unix_micros("end_ts") + lag_seconds * 1_000_000)
+    s = cut.withColumn("_last", F.col("_slice") >= F.size(slices) - 1).withColumn("_till", F.when(F.col("_last"), ends).otherwise(F.timestamp_micros(F.unix_micros("_from") + longest * 1_000_000)))
+    s = s.select("video_id", "start_ts", "end_ts", "_from", "_till", "_last").withWatermark("_from", lateness).withColumn("_bin", bin_of("_from")).alias("s")
+    m = messages.withWatermark("ts", lateness).withColumn("_bin", F.explode(F.array(bin_of("ts"), bin_of("ts") - 1))).alias("m")
+    near = F.expr(f"m.video_id = s.video_id AND m._bin = s._bin AND m.ts >= s._from AND m.ts <= s._from + INTERVAL {reach} SECONDS AND (m.ts < s._till OR (s._last AND m.ts = s._till))")
+    rest = [F.col(f"m.{c}") for c in messages.columns if c != "video_id"]
+    return s.join(m, near, {"inner": "inner", "left": "leftOuter"}[how]).select("s.video_id", *rest, "s.start_ts", "s.end_ts")
 
 
 def second(windows: DataFrame) -> DataFrame:

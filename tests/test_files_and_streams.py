@@ -42,6 +42,16 @@ def test_lexicon_and_segments(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["start_time", "end_time", "score", "text", "video_id"]
 
 
+def test_file_sizes_without_their_content(spark, tmp_path):
+    for name, text in {"1_Words.csv": "ab", "1_Chat.csv": "é", "sub/2_Chat.json": "{}", "v.MP4": "x" * 10, "a.wav": "yy", "other.txt": "zzz"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = files.file_sizes(spark, str(tmp_path), files.ARTIFACT_NAMES)
+    got = {r.path.rsplit("/", 1)[-1]: (r.kind, r.bytes) for r in found.collect()}
+    assert got == {"1_Words.csv": ("words", 2), "1_Chat.csv": ("chat", 2), "2_Chat.json": ("json", 2), "v.MP4": ("video", 10), "a.wav": ("audio", 2), "other.txt": (None, 3)}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 OPERATORS = {
     "tumbling": lambda d: live.live_windows(d, "6 hours"),
     "sliding": lambda d: live.live_windows(d, "12 hours", "6 hours"),

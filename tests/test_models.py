@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from momentlens import catalog
 from momentlens.operators import scorers as R
 from momentlens.operators import telemetry as M
-from momentlens.operators import windows as W
+from momentlens.operators import chains as K
 from momentlens.streaming import stateful as V
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_paragraphs_begin_where_a_rule_says(spark):
     texts = [(0, 1, "one"), (1, 2, " "), (1.5, 3, "two?"), (3, 4, "So three"), (5, 6, "four"), (6, 7, "However, five"), (7, 26.5, "six"), (26.5, 27, None), (26.6, 26.9, "so seven")]
     rows = spark.createDataFrame([("v", float(a), float(b), t) for a, b, t in texts] + [("w", float(i), i + 1.0, f"s{i}") for i in range(8)], "k string, start_time double, end_time double, text string")
-    got = {(r.k, r.paragraph): r.text for r in W.paragraphs_by_rules(rows, ["k"]).collect()}
+    got = {(r.k, r.paragraph): r.text for r in K.paragraphs_by_rules(rows, ["k"]).collect()}
     assert got == {("v", 0): "one two?", ("v", 1): "So three", ("v", 2): "four", ("v", 3): "However, five", ("v", 4): "six so seven", ("w", 0): "s0 s1 s2 s3 s4 s5", ("w", 1): "s6 s7"}
 
 
@@ -53,7 +53,8 @@ def in_parts(spark, tmp_path_factory):
 def test_live_zscores_over_many_batches_equal_the_window(spark, in_parts):
     from momentlens.sources import adapters as A
 
-    got = V.drained(V.live_zscores(A.frames_of(in_parts), "video_id", "t", "rms", "event_id"), "z")
+    frames = A.frames_of(in_parts).withColumn("ts", F.timestamp_millis((F.lit(1704067200000) + F.round(F.col("t") * 100000)).cast("long")))
+    got = V.drained(V.live_zscores(frames, "video_id", "t", "rms", "event_id"), "z")
     want = catalog.queries()["w5_rolling_zscore"](spark, SF)
     both = got.join(want.withColumnRenamed("z", "w"), ["video_id", "event_id"])
     assert both.count() == want.count() and both.where("abs(z - w) > 1e-3").count() == 0
@@ -72,6 +73,74 @@ def test_live_updates_equal_the_batch(spark, in_parts):
     assert got.count() > 0
 
 
+def test_the_state_of_an_ended_recording_goes(spark, tmp_path):
+    """Three recordings, of which two end; rows of state after each batch, and a recording that comes again begins anew."""
+    batches = [[("a", i, i / 1.0, 1.0 + i, 0) for i in range(6)] + [("b", 100, 3.0, 1.0, 1), ("c", 101, 3.0, 1.0, 1)], [("c", 200, 5000.0, 2.0, 5000)], [("c", 201, 9000.0, 2.0, 9000)], [("c", 300, 9001.0, 2.0, 9001), ("a", 301, 9001.0, 7.0, 9001)]]
+    schema = "k string, id long, t double, x double, at long"
+    src = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.timestamp_seconds(F.col("at") + 86400))
+    with V.state_store(spark):
+        live = V.live_zscores(stream, "k", "t", "x", "id", 600.0, "10 seconds", ttl=1000.0)
+        q = live.writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    got = {r.id: r.z for r in spark.table("ended").collect()}
+    assert len(got) == sum(map(len, batches))
+    # with rows of a, b and c there is more state than when only c goes on
+    assert held[-1] < held[0] and min(held) < held[0]
+    # a row of a recording that had ended is scored as a first one: 7 is clipped to 3
+    assert got[301] == 1.0
+
+
+def test_counts_within_a_time_to_live(spark, tmp_path):
+    schema = "k string, at long"
+    src = str(tmp_path / "in")
+    for rows in ([("a", 0), ("a", 30), ("b", 10)], [("a", 400), ("a", 410)], [("a", 1000)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.timestamp_seconds(F.col("at") + 86400))
+    got = V.drained(V.live_retained(stream, "k", 600.0), "retained").collect()
+    assert sorted((r.k, r.as_of - 86400, r.n) for r in got) == [("a", 0.0, 2), ("a", 360.0, 4), ("a", 960.0, 1), ("b", 0.0, 1)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, in_parts, tmp_path):
+    """Six batches equal one, and a batch that comes again with the same id leaves what was there."""
+    from momentlens.streaming import latency
+
+    def rows(events):
+        return events.select("ts", (F.col("user_id") % 20).alias("endpoint"), (F.col("value") / 100 * 3).alias("duration"))
+
+    many, one = f"file://{tmp_path}/many", f"file://{tmp_path}/one"
+    latency.live_latency(rows(in_parts), many, seconds=6 * 3600, available_now=True).awaitTermination(300)
+    whole = rows(spark.read.parquet(f"{SF}/events.parquet"))
+    latency._batch_into(one, "endpoint", "duration", 6 * 3600, latency.GRID)(whole, 0)
+    table = lambda path: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in latency.latency_levels(spark, path).collect())
+    want = table(one)
+    assert len(want) > 50 and table(many) == want
+    first = spark.read.parquet(f"{many}/histograms").agg(F.sum("n")).first()[0]
+    assert first == whole.where("duration IS NOT NULL").count()
+    latency._batch_into(one, "endpoint", "duration", 6 * 3600, latency.GRID)(whole, 0)
+    assert table(one) == want and spark.read.parquet(f"{one}/histograms").agg(F.sum("n")).first()[0] == first
+
+
+def test_percentiles_of_merged_histograms_are_by_floor_index(spark):
+    import numpy as np
+
+    from momentlens.streaming import latency
+
+    rng = np.random.default_rng(2)
+    data = {k: (rng.integers(0, 50_000, n) / 10_000).tolist() for k, n in (("one", 1), ("two", 2), ("some", 20), ("many", 700))}
+    rows = spark.createDataFrame([(k, v, 5) for k, x in data.items() for v in x] + [("many", None, 5), ("many", 1.0, None)], "name string, v double, at long").withColumn("ts", F.timestamp_seconds("at"))
+    halves = [latency.histogram(rows.where(F.expr(w)), "name", "v", 60) for w in ("v < 2.5", "v >= 2.5")]
+    got = {r.name: r for r in latency.latency_level(latency.window_summary(halves[0].unionByName(halves[1]), "name"), 4.0, 4.9).collect()}
+    for k, x in data.items():
+        x = sorted(x)
+        want = [x[int(len(x) * q)] for q in (0.5, 0.9, 0.95, 0.99)]
+        assert np.allclose([got[k].p50, got[k].p90, got[k].p95, got[k].p99], want) and got[k].n == len(x) and np.isclose(got[k].mean, np.mean(x))
+        assert got[k].level == ("ok" if len(x) < 20 or want[2] < 4 else "critical" if want[2] >= 4.9 else "warning")
+
+
 def test_hybrid_methods(spark):
     rows = spark.createDataFrame([(3600.0,), (9000.0,), (18000.0,)], "d double")
     got = rows.select(M.transcription_cost(F.col("d"), F.lit("hybrid")).alias("c"), M.processing_time(F.col("d"), F.lit("hybrid")).alias("t")).collect()
@@ -90,6 +159,31 @@ def test_reactions_of_two_streams_equal_the_batch(spark, in_parts):
     assert want.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_segments_without_reactions_come_when_the_watermark_passes(spark, in_parts):
+    """The outer join of two streams against the left join of whole tables, of segments that the last watermark has passed."""
+    from momentlens.streaming import live
+
+    def sides(events):
+        e = events.select("event_id", "event_type", (F.col("user_id") % 10).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+        seen = e.where("event_type = 'view'").select("video_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 25 MINUTES")).alias("end_ts"))
+        return e.where("event_type = 'purchase'").select("video_id", "event_id", "ts"), seen
+
+    got = V.drained(live.reactions(*sides(in_parts), how="left"), "r").groupBy("video_id", "start_ts").agg(F.count("event_id").alias("n"), F.count("*").alias("rows"))
+    m, s = sides(spark.read.parquet(f"{SF}/events.parquet"))
+    near = (m.video_id == s.video_id) & (m.ts >= s.start_ts) & (m.ts <= s.end_ts + F.expr("INTERVAL 15 SECONDS"))
+    want = s.join(m, near, "left").groupBy(s.video_id, "start_ts").agg(F.count("event_id").alias("n"))
+    last = spark.read.parquet(f"{SF}/events.parquet").agg(F.max("ts")).first()[0]
+    have = {(r.video_id, r.start_ts): (r.n, r.rows) for r in got.collect()}
+    wanted = {(r.video_id, r.start_ts): r.n for r in want.collect()}
+    passed = {k: n for k, n in wanted.items() if (last - k[1]).total_seconds() > 7200}
+    assert sum(n == 0 for n in passed.values()) > 20 and any(passed.values())
+    assert {k: have[k][0] for k in passed} == passed
+    assert all(have[k][1] >= 3 for k in passed)  # three slices each
+    # a message at the border of two slices is in one of them, and long segments lose none
+    batch = live.reactions(m, s).groupBy("video_id", "start_ts").agg(F.count("*").alias("n"))
+    assert {(r.video_id, r.start_ts): r.n for r in batch.collect()} == {k: n for k, n in wanted.items() if n}
+
+
 def test_classifiers_tell_classes_apart_on_rows_held_out(spark):
     """The mean recall of the classes, where most rows are of one class, against that of a guess."""
     from momentlens.plans import models

@@ -6,8 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from momentlens import catalog
+from momentlens.operators import chains as K
+from momentlens.operators import intervals as J
+from momentlens.operators import peaks as P
+from momentlens.operators import selection as Q
 from momentlens.operators import telemetry as M
 from momentlens.operators import windows as W
+from momentlens.streaming import stateful as V
 
 RNG = np.random.default_rng(11)
 
@@ -85,49 +91,239 @@ def _peaks(x, height, distance, prominence):
     return out
 
 
-@pytest.mark.parametrize("trial", range(40))
-def test_peaks_equal_the_definitions(trial):
-    rng = np.random.default_rng(trial)
-    x = rng.integers(0, 8, rng.integers(0, 60)) / 4.0
-    distance, height, prominence = int(rng.integers(1, 9)), float(rng.choice([-9, 0.5])), float(rng.choice([0, 0.5]))
-    at, prom = W.find_peaks(x, height, distance, prominence)
-    assert list(zip(at.tolist(), prom.tolist(), strict=True)) == _peaks(x.tolist(), height, distance, prominence)
+@pytest.mark.parametrize(("size", "chunk", "fan"), [(3, 2, 2), (16, 1, 4), (4096, 256, 256)])
+def test_peaks_equal_the_definitions_over_many_chunks(spark, size, chunk, fan):
+    """Plateaus over block ends, rising chains over chunk ends, prominences over several levels of the tree."""
+    rng = np.random.default_rng(size)
+    series = {k: (rng.integers(0, 8, rng.integers(0, 90)) / 4.0).tolist() for k in range(12)}
+    series[20] = [float(i % 2 * (1 + i)) for i in range(120)]  # ever higher peaks
+    series[21] = [0.0, *[1.0] * 50, 0.0, 2.0, 2.0]
+    series[22] = [float(v) for v in np.abs(np.sin(np.arange(100) / 3)).round(1)]
+    df = spark.createDataFrame([(k, float(i), v) for k, x in series.items() for i, v in enumerate(x)], "k int, t double, v double")
+    distance, height, prominence = 4, 0.5, 0.5
+    got = P.peak_moments(df, ["k"], "t", "v", (distance, prominence, height), None, F.floor(F.col("t") / 10), size, chunk, fan).collect()
+    want = {(k, float(p), round(prom, 9)) for k, x in series.items() for p, prom in _peaks(x, height, distance, prominence)}
+    assert len(got) == len(want) and {(r.k, r.t, round(r.prominence, 9)) for r in got} == want
 
 
-@pytest.mark.parametrize("profile", W.PROFILES)
+@pytest.mark.parametrize("profile", P.PROFILES)
 def test_peak_profiles(spark, profile):
     x = np.abs(RNG.normal(size=300)).round(3)
-    df = spark.createDataFrame([("a", float(i), float(v)) for i, v in enumerate(x)] + [("flat", float(i), 1.0) for i in range(9)] + [("null", 0.0, None)], "k string, t double, v double")
-    got = [(r.t, r.prominence) for r in W.peak_moments(df, ["k"], "t", "v", profile).where("k = 'a'").orderBy("rank").collect()]
-    gap, prominence, height = W.PROFILES[profile]
+    df = spark.createDataFrame([("a", float(i), float(v)) for i, v in enumerate(x)] + [("flat", float(i), 1.0) for i in range(9)] + [("null", 0.0, None), (None, 0.0, 1.0)], "k string, t double, v double")
+    found = P.peak_moments(df, ["k"], "t", "v", profile, piece=F.floor(F.col("t") / 40), size=32, chunk=2, fan=8).orderBy("rank").collect()
+    got = [(r.t, r.prominence) for r in found if r.k == "a"]
+    gap, prominence, height = P.PROFILES[profile]
     want = _peaks(x.tolist(), float(np.percentile(x, 60)) if height is None else height, gap or 15, prominence)
     want = sorted(want, key=lambda p: (-x[p[0]], p[0]))[:10]
     assert [t for t, _ in got] == [float(p) for p, _ in want] and np.allclose([p for _, p in got], [p for _, p in want])
-    flat = W.peak_moments(df, ["k"], "t", "v", profile).where("k = 'flat'").count()
-    assert flat == (9 if profile == "adaptive" else 0)
+    assert sum(r.k == "flat" for r in found) == (9 if profile == "adaptive" else 0) and {r.k for r in found} <= {"a", "flat"}
 
 
-def test_greedy_paragraphs(spark):
-    starts = np.sort(RNG.integers(0, 2000, 300) / 2).tolist()
-    df = spark.createDataFrame([("a", s, s + 0.4, "w") for s in starts], "k string, start_time double, end_time double, word string")
-    want, begin = [], None
-    for s in starts:
-        if begin is None or s - begin >= 60:
-            begin = s
-            want.append([s, 0])
-        want[-1][1] += 1
-    got = W.greedy_paragraphs(df, ["k"]).orderBy("paragraph").collect()
-    assert [[r.start_time, r.words] for r in got] == want
+def test_no_rows_have_no_peaks(spark):
+    df = spark.createDataFrame([], "k string, t double, v double")
+    assert P.peak_moments(df, ["k"], "t", "v").count() == 0 and P.peak_moments(df, ["k"], "t", "v", "adaptive").count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(("name", "gap", "prominence", "height", "k"), [("w12_find_peaks", 15, 0.35, 0.25, None), ("w13_peak_moments", 15, 0.25, 0.35, 10), ("w13_legacy_peaks", 20, 0.3, 0.4, 10), ("w13_adaptive_peaks", None, 0.1, None, 10), ("w14_emotion_peaks", 15, 0.15, 0.25, 5), ("w14_legacy_emotion_peaks", 20, 0.2, 0.3, 5)])
+def test_peak_queries_equal_the_definitions_on_whole_tables(spark, name, gap, prominence, height, k):
+    """Every recording of the table, from the events on."""
+    series = {}
+    for e in spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "user_id", "event_type", "value", "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01', ts) AS ms").collect():
+        v, t, video = e.value / 500, e.ms / 100000.0, e.user_id % 10
+        c = (e.event_id * 37) % 1000 / 1000
+        if name.startswith("w14"):
+            score = min(v, 1.0)
+            kind = {"purchase": "excitement", "click": "funny", "signup": "happiness", "error": "anger", "view": "sadness"}[e.event_type]
+            of = {x: score if x == kind else 0.1 * score for x in ("excitement", "funny", "happiness", "anger", "sadness")}
+            for x, y in of.items():
+                series.setdefault((video, x), []).append((t, 0.7 * y + 0.3 * max(of.values())))
+        elif name == "w12_find_peaks":
+            series.setdefault((video,), []).append((t, v))
+        else:
+            legacy = 0.5 * v + 0.2 * c + 0.1 * abs(v) + 0.2 * c
+            series.setdefault((video,), []).append((t, legacy if "legacy" in name else 0.95 * v + 0.05 * c))
+    want = set()
+    for key, rows in series.items():
+        rows.sort()
+        x = [v for _, v in rows]
+        found = _peaks(x, float(np.percentile(x, 60)) if height is None else height, gap or max(1, len(x) // 20), prominence)
+        for p, prom in sorted(found, key=lambda p: (-x[p[0]], p[0]))[:k]:
+            want.add((*key, round(rows[p][0], 6), round(prom, 6)))
+    got = catalog.queries()[name](spark, SF).collect()
+    assert want and len(got) == len(want) and {(*r[:-4], round(r[-4], 6), round(r.prominence, 6)) for r in got} == want
+
+
+@pytest.mark.parametrize("size", [2, 7, 4096])
+def test_greedy_paragraphs(spark, size):
+    data, want = [], []
+    for k in ("a", "b"):
+        starts, begin = np.sort(RNG.integers(0, 2000, 300) / 2).tolist(), None
+        data += [(k, s, s + 0.4, "w") for s in starts]
+        for s in starts:
+            if begin is None or s - begin >= 60:
+                begin = s
+                want.append([k, s, 0])
+            want[-1][2] += 1
+    df = spark.createDataFrame([*data, ("a", None, 1.0, "w"), ("c", 1.0, 2.0, "w")], "k string, start_time double, end_time double, word string")
+    got = K.greedy_paragraphs(df, ["k"], size=size).orderBy("k", "paragraph").collect()
+    assert [[r.k, r.start_time, r.words] for r in got] == [*want, ["c", 1.0, 1]]
+
+
+@pytest.mark.parametrize("size", [2, 5, 64])
+def test_chains_over_many_pieces_and_levels(spark, size):
+    """Random steps, most of them short, some over whole pieces; the same rows as walking takes."""
+    steps, want = [], set()
+    for k in range(4):
+        to = {i: min(i + int(RNG.choice([1, 1, 2, 3, 40])), 400) for i in range(400)}
+        steps += [(k, i, t if t < 400 else None) for i, t in to.items()]
+        i = 0
+        while i < 400:
+            want.add((k, i))
+            i = to[i]
+    got = K.reached(spark.createDataFrame(steps, "k int, row long, to long"), ["k"], size, 2).collect()
+    assert len(got) == len(want) and {(r.k, r.row) for r in got} == want
+
+
+@pytest.mark.parametrize("size", [3, 4096])
+def test_updates_are_kept_as_one_by_one(spark, size):
+    rows = [(int(k), i, None if p < 0.03 else float(p), str(s)) for i, (k, p, s) in enumerate(zip(RNG.integers(0, 2, 300), RNG.random(300).round(2), RNG.choice(["x", "y"], 300, p=[0.9, 0.1]), strict=True))]
+    want, last = set(), {}
+    for k, i, p, s in rows:
+        old = last.get(k)
+        moved = old is not None and p is not None and old[0] is not None and abs(p - old[0]) >= 0.1 - 1e-12
+        if old is None or moved or s != old[1] or old[2] + 1 >= 10:
+            want.add(i)
+            last[k] = (p, s, 0)
+        else:
+            last[k] = (old[0], old[1], old[2] + 1)
+    got = K.meaningful_updates(spark.createDataFrame(rows, "k int, id int, progress double, stage string"), ["k"], "id", size=size).collect()
+    assert len(got) == len(want) and {r.id for r in got} == want
+
+
+@pytest.mark.parametrize("few", [1, 7, 4096])
+@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "wide"])
+def test_ranks_by_selection(spark, kind, few):
+    rng = np.random.default_rng(3)
+    draw = {"even": lambda n: rng.random(n), "skewed": lambda n: np.where(rng.random(n) < 0.01, 1e12, rng.random(n) ** 9), "ties": lambda n: rng.integers(0, 3, n) / 1.0, "wide": lambda n: np.exp(rng.normal(size=n) * 90) * rng.choice([-1, 1], n)}[kind]
+    data = {k: draw(n).tolist() for k, n in enumerate((1, 2, 20, 999))}
+    rows = [(k, v) for k, x in data.items() for v in x] + [(0, None), (1, float("nan")), (9, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r.k: r for r in Q.floor_index(df, ["k"], "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}, few).collect()}
+    assert set(got) == set(data)
+    for k, x in data.items():
+        x = sorted(x)
+        at = lambda q: x[min(int(len(x) * q), len(x) - 1)]
+        assert (got[k].n, got[k].a, got[k].b, got[k].c, got[k].d) == (len(x), at(0.0), at(0.5), at(0.95), at(1.0))
+    lines = {r.k: r for r in Q.quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.95}, few).collect()}
+    assert all(np.allclose([lines[k].a, lines[k].b], np.percentile(x, [25, 95])) for k, x in data.items())
+
+
+def test_ranks_of_infinite_values_and_of_null_keys(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(None, v) for v in (-inf, -1.0, 0.0, 5.0, inf)] * 3, "k int, v double")
+    got = Q.floor_index(df, ["k"], "v", {"a": 0.5}, 1).collect()
+    assert [(r.k, r.n, r.a) for r in got] == [(None, 15, 0.0)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 20, 999])
 def test_overall_percentiles_are_by_floor_index(spark, n):
     values = [float(v) for v in RNG.integers(0, 40, n)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-    got = M.overall_percentiles(df, "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99}, bins=16).first()
+    got = M.overall_percentiles(df, "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99}, few=16).first()
     assert tuple(got) == tuple(sorted(values)[int(n * q)] for q in (0.0, 0.5, 0.95, 0.99))
 
 
+@pytest.mark.parametrize("size", [8, 50, 4096])
+def test_frames_in_blocks(rows, size):
+    data, df = rows
+    piece = F.floor(F.col("t") / 100)
+    mean = {r.id: r for r in W.centered(df, ["k"], ["t", "id"], piece, {"v": F.col("v")}, 5, size).collect()}
+    smooth = {r.id: r.smoothed for r in W.smooth_moving_average(df, ["k"], ["t", "id"], piece, "v", 15, size).collect()}
+    fitted = {r.id: r.smoothed for r in W.smooth_savgol(df, ["k"], ["t", "id"], piece, "v", 15, size).collect()}
+    loud = {r.id: r.loudness for r in W.loudness_smooth(df, ["k"], ["t", "id"], piece, "v", 50, size).collect()}
+    weights = W.savgol_weights()
+    for k in (0, 1):
+        mine = sorted((x for x in data if x[0] == k), key=lambda x: (x[2], x[1]))
+        v, n = np.array([x[3] for x in mine]), len(mine)
+        means = [np.abs(v[i - 25 : i + 25]).mean() if 25 <= i <= n - 25 else None for i in range(n)]
+        for i, x in enumerate(mine):
+            whole = v[i - 2 : i + 3] if 2 <= i < n - 2 else None
+            assert mean[x[1]].mean_v is None if whole is None else np.allclose([mean[x[1]].mean_v, mean[x[1]].std_v], [whole.mean(), whole.std(ddof=1)])
+            assert math.isclose(smooth[x[1]], v[i - 7 : i + 8].mean() if 7 <= i < n - 7 else v[i], abs_tol=1e-9)
+            at = max(0, min(i - 7, n - 15))
+            assert math.isclose(fitted[x[1]], weights[i - at] @ v[at : at + 15], abs_tol=1e-9)
+            assert math.isclose(loud[x[1]], means[min(max(i, 25), n - 25)], abs_tol=1e-9)
+
+
+def test_zscores_keep_small_deviations_beside_a_large_offset(spark):
+    v = RNG.normal(size=200)
+    both = [(k, 1000 * k + i, float(i), float(x + offset)) for k, offset in ((0, 0.0), (1, 1e8)) for i, x in enumerate(v)]
+    got = {r.id: r.z for r in W.rolling_zscore(spark.createDataFrame(both, "k int, id int, t double, v double"), ["k"], "id", "t", "v", 50.0).collect()}
+    # fewer than five values are measured against 0
+    assert max(abs(got[i] - got[1000 + i]) for i in range(4, 200)) < 1e-5
+    live = V.scaled_zscores(np.arange(200.0), v + 1e8, 0, 50.0)
+    assert max(abs(got[i] - live[i]) for i in range(4, 200)) < 1e-5
+
+
+@pytest.mark.parametrize("size", [1.0, 9.0, 1e6])
+def test_interpolation_over_empty_bins(spark, size):
+    series = [(k, float(t), float(v)) for k in (0, 1) for t, v in zip(np.unique(RNG.integers(0, 900, 40)), RNG.normal(size=40), strict=False)] + [(2, 5.0, 1.0), (3, 7.0, None)]
+    target = [(k, float(t) / 2) for k in (0, 1, 2, 3) for t in range(-20, 2000, 7)]
+    got = {(r.k, r.t): r.v for r in J.interp_join(spark.createDataFrame(target, "k int, t double"), spark.createDataFrame(series, "k int, t double, v double"), ["k"], "v", size).collect()}
+    assert len(got) == len(target)
+    for k, t in target:
+        xy = [(a, b) for c, a, b in series if c == k and b is not None]
+        want = np.interp(t, [a for a, _ in xy], [b for _, b in xy]) if xy else None
+        assert got[k, t] is None if want is None else math.isclose(got[k, t], want, abs_tol=1e-9)
+
+
+def test_values_at_one_time(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 1.0, 3.0), ("a", 2.0, None), ("a", 2.0, 7.0)], "k string, t double, v double")
+    got = {(r.t, r.v): (r.before["value"], r.after["value"]) for r in J.neighbours(df, ["k"], "t", "v", 1.0).collect()}
+    assert got == {(1.0, 5.0): (5.0, 3.0), (1.0, 3.0): (5.0, 3.0), (2.0, None): (7.0, 7.0), (2.0, 7.0): (7.0, 7.0)}
+
+
+@pytest.mark.parametrize("size", [2, 4096])
+def test_islands_over_blocks(spark, size):
+    index = np.flatnonzero(RNG.random(400) < 0.15).tolist()
+    want = []
+    for i in index:
+        if want and i - want[-1][1] <= 5:
+            want[-1][1] = i
+        else:
+            want.append([i, i])
+    got = W.gap_islands(spark.createDataFrame([("a", i) for i in index], "k string, x long"), ["k"], "x", 5, size).orderBy("first").collect()
+    assert [[r.first, r.last] for r in got] == want and all(r.middle == (r.first + r.last) // 2 for r in got)
+
+
+def test_words_of_overlapping_parts_are_kept_once(spark):
+    """Parts of several lengths; no word twice, none lost, each in the part whose centre is nearest."""
+    words = [(v, i, i * 0.7, i * 0.7 + 0.5) for v in (1, 2) for i in range(200)]
+    parts = [(v, 10 * v + k, 20.0 * k, 20.0 + 3 * k + 6) for v in (1, 2) for k in range(7)]
+    heard = [(p, i, s - off, e - off) for v, i, s, e in words for pv, p, off, d in parts if pv == v and s < off + d and e > off]
+    offsets = spark.createDataFrame(parts, "video int, part_id int, offset double, duration double")
+    got = J.offset_merge(spark.createDataFrame(heard, "part_id int, i int, start_time double, end_time double"), offsets, ["video"], dedup_overlap=True).collect()
+    centre = {p: off + d / 2 for _, p, off, d in parts}
+    assert len({(r.part_id // 10, r.i) for r in got}) == len(got) == len({(p // 10, i) for p, i, _, _ in heard})
+    for r in got:
+        middle = (r.start_time + r.end_time) / 2
+        assert abs(centre[r.part_id] - middle) <= min(abs(c - middle) for p, c in centre.items() if p // 10 == r.part_id // 10) + 1e-9
+    one = spark.createDataFrame([(1, 0.0, 1.0)], "part_id int, start_time double, end_time double")
+    assert J.offset_merge(one, spark.createDataFrame([(1, 5.0)], "part_id int, offset double")).first()["start_time"] == 5.0
+
+
+def test_windows_to_the_end(spark):
+    ends = [("a", 58.0), ("b", 60.0), ("c", 89.0), ("d", 100.0), ("e", 120.0), ("f", 0.0)]
+    got = W.sliding_windows(spark.createDataFrame(ends, "k string, last double"), ["k"], cover_tail=True).collect()
+    last = {}
+    for r in got:
+        last[r.k] = max(last.get(r.k, 0.0), r.end_time)
+    assert last == {k: e for k, e in ends if e} and len({(r.k, r.window_id) for r in got}) == len(got)
+
+
 def test_a_constant_series_is_in_the_middle(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", None)], "k string, v double")
     assert sorted((r.k, r.x if r.x is not None else -1.0) for r in W.video_minmax(df, ["k"], "v", "x").collect()) == [("a", 0.5), ("a", 0.5), ("b", -1.0), ("b", 0.0), ("b", 1.0)]

@@ -1,21 +1,14 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from momentlens.operators import intervals as J
 from momentlens.operators import windows as W
 
 
-def test_find_peaks_plateau_distance_and_prominence():
-    at, prom = W.find_peaks(np.array([0, 1, 1, 1, 0, 2, 0.0]))
-    assert at.tolist() == [2, 5] and prom.tolist() == [1, 2]
-    assert W.find_peaks(np.array([0, 3, 0, 3, 0.0]), distance=3)[0].tolist() == [3]
-    assert W.find_peaks(np.arange(5.0))[0].tolist() == [] and W.find_peaks(np.ones(4))[0].tolist() == []
-    assert W.find_peaks(np.array([]))[0].tolist() == []
-
-
 def test_savgol_keeps_a_cubic(spark):
     data = [("a", i, float(i**3 - 5 * i)) for i in range(40)] + [("b", i, 1.0 * i) for i in range(5)]
-    out = W.smooth_savgol(spark.createDataFrame(data, "k string, i int, v double"), ["k"], ["i"], "v").toPandas()
+    out = W.smooth_savgol(spark.createDataFrame(data, "k string, i int, v double"), ["k"], ["i"], F.floor(F.col("i") / 8), "v").toPandas()
     assert np.allclose(out.smoothed, out.v, atol=1e-6)
 
 
