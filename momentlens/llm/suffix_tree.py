@@ -8,7 +8,10 @@ documents, dealt into buckets, ask the shards level by level:
    training count here and the expected count by the state so far. A context is asked for if it occurs LEAST times or more in
    training and none of its suffixes has a single continuation (then it could not predict anything else);
 3. the context's shard adds the counts up, tests whether the context's next words diverge from those of the shorter
-   state, and answers counts and verdicts in the order asked, from which the bucket computes the next level.
+   state, and answers counts, verdicts and the pairs' numbers in the order asked, from which the bucket computes the next level.
+
+Words are told apart by 64-bit hashes. The words and pairs of a shard are numbered, and a longer context is known by the
+number of the pair that it is, so contexts are never confused, whatever the corpus.
 
 No threshold depends on the corpus, and each pair is sent once a bucket however often it occurs.
 """
@@ -34,8 +37,8 @@ MANY = 32_768
 PRIOR = 32.0
 _U = np.uint64
 _END = _U(0x5BD1E995A3C59AC3)
-#: A key is 32 bits of the context's hash and 24 of the next word's; a shard holds a bounded number of either.
-_CONTEXT_BITS, _WORD_BITS = _U(32), _U(24)
+#: Numbers of pairs carry their level in so many bits.
+_LEVEL_BITS = _U(3)
 #: Expected counts are sent as a byte: steps of 1/8 nat from _LEAST_LOG on; _KEEP marks a context that is kept untested.
 _STEPS, _LEAST_LOG, _KEEP = 8, 165, 255
 #: A word that makes up more than this share of the tokens has its pairs dealt over several shards: at most 4096 words.
@@ -83,55 +86,43 @@ class Tokens:
         #: how many symbols before a place belong to its document, the end before it included
         self.behind = np.concatenate([[0], np.arange(1, len(self.symbols)) - self.first[self.doc] + 1]).astype(np.int32)
         self.places = np.arange(1, len(self.symbols))
-        self.code = np.zeros(len(self.places), _U)
 
     def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
         return _distinct(self.symbols)
 
-    def start(self, counts: np.ndarray, tokens: int, distinct: int) -> None:
-        """The root: counts of each place's word."""
+    def start(self, counts: np.ndarray, numbers: np.ndarray, tokens: int, distinct: int) -> None:
+        """The root: counts of each place's word, and its number."""
         self.known = counts > 0
         self.base = (counts + 1) / (tokens + distinct + 1)
         self.p = self.base.copy()
+        self.word = numbers
         self.before = np.concatenate([[0], counts[:-1]])  # occurrences of the context
+        self.context = np.zeros(len(counts), _U)  # its number, from two words on
         self.expected = np.zeros(len(counts), bool)  # a suffix of the context has one continuation, the word here
 
-    def extend(self, k: int, some: np.ndarray) -> None:
-        """Keep only some of the places asked for last, and make their contexts k words long. Longer contexts are rarer,
-        so no place comes back."""
-        self.places = self.places[some]
-        self.code = mix(self.code[some] * _U(0x9E3779B97F4A7C15) + self.symbols[self.places - k] + _U(k))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys, the key of each of ``places``), the same in whatever order documents come."""
-        word = self.symbols[self.places] >> (_U(64) - _WORD_BITS)
-        return np.unique((self.code >> (_U(64) - _CONTEXT_BITS) << _WORD_BITS) | word, return_inverse=True)
-
-    def pairs(self, shards: int, frequent: dict[int, int]) -> tuple[np.ndarray, ...]:
-        """(keys, key of each place, shard of each key) of level 1: every word with the word before."""
-        self.extend(1, np.flatnonzero(self.behind[self.places] >= 1))
-        keys, of = self.keys()
-        part = np.zeros(len(keys), _U)
-        for word, parts in frequent.items():
-            code = mix(np.array([word], _U) + _U(1))[0] >> (_U(64) - _CONTEXT_BITS)  # as ``extend`` makes it
-            at = slice(*np.searchsorted(keys, [code << _WORD_BITS, (code + _U(1)) << _WORD_BITS]))
-            part[at] = keys[at] % _U(parts)
-        return keys, of, self._shard(keys, part, shards)
+    def pairs(self, shards: int, frequent: dict[int, int], words_: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(word before, word, pair of each place, shard of each pair) of level 1: indexes of the bucket's words."""
+        self.places = self.places[self.behind[self.places] >= 1]
+        keys, of = np.unique(of_word[self.places - 1] * len(words_) + of_word[self.places], return_inverse=True)
+        one, two = keys // len(words_), keys % len(words_)
+        parts = np.ones(len(words_), _U)
+        for word, n in frequent.items():
+            at = int(np.searchsorted(words_, _U(word)))
+            if at < len(words_) and words_[at] == _U(word):
+                parts[at] = n
+        part = mix(words_[two]) % parts[one]
+        return one, two, of, (mix(words_[one] + part * _PART) % _U(shards)).astype(np.int32)
 
     def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
-        """(keys, key of each place, shard of each key) of level k from 2 on."""
+        """(context, word, pair of each place, shard of each pair) of level k from 2 on: numbers, in order."""
         at = self.places
-        self.extend(k, np.flatnonzero((self.before[at] >= LEAST) & ~self.final & (self.behind[at] >= k)))
-        keys, of = self.keys()
-        part = np.zeros(len(keys), _U)
-        n = self.before[self.places]
+        self.places = at = at[(self.before[at] >= LEAST) & ~self.final & (self.behind[at] >= k)]
+        context, word, of = _distinct_pairs(self.context[at], self.word[at])
+        part = np.zeros(len(context), _U)
+        n = self.before[at]
         many = np.flatnonzero(n > MANY)
-        np.maximum.at(part, of[many], self.symbols[self.places[many]] % (n[many] // MANY + 1).astype(_U))
-        return keys, of, self._shard(keys, part, shards)
-
-    @staticmethod
-    def _shard(keys: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
-        return (mix((keys >> _WORD_BITS) + part * _PART) % _U(shards)).astype(np.int32)
+        np.maximum.at(part, of[many], self.symbols[at[many]] % (n[many] // MANY + 1).astype(_U))
+        return context, word, of, (mix(context * _U(0x9E3779B97F4A7C15) + part * _PART + _U(k)) % _U(shards)).astype(np.int32)
 
     def hints(self, of: np.ndarray, n: int) -> np.ndarray:
         """Expected counts of the n pairs asked for, as bytes."""
@@ -141,63 +132,103 @@ class Tokens:
         np.maximum.at(out, of, np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8))
         return out
 
-    def learn(self, counts: np.ndarray, kept: np.ndarray) -> None:
+    def learn(self, counts: np.ndarray, kept: np.ndarray, numbers: np.ndarray | None) -> None:
         """Take in the answers for the places asked for and move on to the next level."""
         places = self.places
         n = self.before[places]
         at, n_at = places[kept], n[kept]
         self.p[at] = (counts[kept] + PRIOR * self.p[at]) / (n_at + PRIOR)
-        # the pair of a longer context: as asked, or known where a suffix has the word here for its one continuation
-        longer = np.where(self.expected, self.before, 0)
+        # the pair of a longer context: as asked, or known where a suffix has the word here for its one continuation; such
+        # a pair occurs wherever its context does, so it keeps the context's number
+        longer, pair = np.where(self.expected, self.before, 0), np.where(self.expected, self.context, _U(0))
         longer[places] = counts
+        if numbers is not None:
+            pair[places] = numbers
         self.final = (counts == n) & (n >= LEAST) & (n <= MANY)
         self.expected[places[self.final]] = True
-        self.before = np.concatenate([[0], longer[:-1]])
+        self.before, self.context = np.concatenate([[0], longer[:-1]]), np.concatenate([np.zeros(1, _U), pair[:-1]])
+
+
+def _distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of two columns, sorted, and the pair of each row; packed into one number where that has the bits."""
+    bits = int(two.max(initial=0)).bit_length()
+    if int(one.max(initial=0)).bit_length() + bits <= 64:
+        keys, of = np.unique((one << _U(bits)) | two, return_inverse=True)
+        return keys >> _U(bits), keys & _U((1 << bits) - 1), of
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return a[new], b[new], of
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences, in the narrowest type."""
+    return _small(np.concatenate([sorted_[:1], np.diff(sorted_)]))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=_U)
 
 
-def _requests(keys: np.ndarray, shard: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """A row for each shard: its sorted keys as differences, and their columns."""
+def _requests(shard: np.ndarray, encode) -> tuple[list[int], list[bytes]]:
+    """A row for each shard: what ``encode`` makes of the rows that go there."""
     groups, rows = [], []
     for g, at in split_by(shard):
-        mine = keys[at]
         groups.append(g)
-        rows.append(pack_numbers(np.concatenate([mine[:1], np.diff(mine)]), *[x[at] for x in columns]))
+        rows.append(pack_numbers(*encode(at)))
     return groups, rows
 
 
+def _dictionary(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, of = np.unique(values, return_inverse=True)
+    return _steps(found), _small(of)
+
+
 def _answers(table: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
-    """level -> shard -> counts and, from level 2 on, verdicts."""
+    """level -> shard -> counts, numbers (but of the last level) and, from level 2 on, verdicts."""
     out: dict[int, dict[int, list[np.ndarray]]] = {}
     for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
         out.setdefault(level, {})[shard] = unpack_numbers(data)
     return out
 
 
-def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, column: int = 0) -> np.ndarray:
-    """The answers for the keys asked for."""
-    out = np.zeros(len(shard), np.int64 if not column else bool)
+def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, column: int = 0, kind=np.int64) -> np.ndarray:
+    """The answers for the rows asked for."""
+    out = np.zeros(len(shard), kind)
     for g, at in split_by(shard):
         out[at] = parts[g][column]
     return out
 
 
-def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int, totals: tuple) -> tuple:
-    """The bucket's tokens after all levels before ``level`` are answered, and the keys it asks at this level (if any) with
-    the shard and the columns of each."""
+def _numbers(parts: dict[int, list[np.ndarray]], shard: np.ndarray, shards: int, level: int) -> np.ndarray:
+    """The numbers, of all shards and levels, of the rows asked for: the place in the shard, the shard, the level."""
+    out = np.zeros(len(shard), _U)
+    for g, at in split_by(shard):
+        out[at] = _sums(parts[g][1]) * _U(shards) + _U(g)
+    return out if level == 0 else (out << _LEVEL_BITS) | _U(level)
+
+
+def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int, totals: tuple):
+    """The bucket's tokens after all levels before ``level`` are answered, and (if any) the contexts, words, training counts,
+    expected counts and shards that it asks for at this level."""
     tokens, answers = Tokens(left), _answers(right)
     words_, of_word = tokens.word_keys()
-    tokens.start(_aligned(answers[0], (words_ % _U(shards)).astype(np.int32))[of_word], *totals[:2])
-    keys, of, shard = tokens.pairs(shards, totals[2])
-    counts = _aligned(answers.get(1, {}), shard)[of]
-    tokens.learn(counts, tokens.before[tokens.places] >= LEAST)
+    shard = (words_ % _U(shards)).astype(np.int32)
+    tokens.start(_aligned(answers[0], shard)[of_word], _numbers(answers[0], shard, shards, 0)[of_word], *totals[:2])
+    _, _, of, shard = tokens.pairs(shards, totals[2], words_, of_word)
+    parts = answers.get(1, {})
+    tokens.learn(_aligned(parts, shard)[of], tokens.before[tokens.places] >= LEAST, _numbers(parts, shard, shards, 1)[of])
     for k in range(2, min(level, DEPTH) + 1):
-        keys, of, shard = tokens.ask(k, shards)
+        context, word, of, shard = tokens.ask(k, shards)
         if k == level:
-            n = np.bincount(of, tokens.train[tokens.places], len(keys)).astype(np.int64)
-            return tokens, keys, shard, [_small(n), tokens.hints(of, len(keys))]
+            n = np.bincount(of, tokens.train[tokens.places], len(context)).astype(np.int64)
+            return tokens, context, word, _small(n), tokens.hints(of, len(context)), shard
         parts = answers.get(k, {})
-        tokens.learn(_aligned(parts, shard)[of], _aligned(parts, shard, 1)[of])
-    return tokens, keys, shard, []
+        numbers = _numbers(parts, shard, shards, k)[of] if k < DEPTH else None
+        tokens.learn(_aligned(parts, shard)[of], _aligned(parts, shard, -1, bool)[of], numbers)
+    return tokens
 
 
 _ASKED = "shard int, bucket int, level int, data binary"
@@ -210,64 +241,89 @@ def _rows(bucket: int, found: list[tuple[int, list[int], list[bytes]]]) -> pa.Ta
 
 
 def _asked_first(docs: DataFrame, shards: int, frequent: dict[int, int]) -> DataFrame:
-    """The words and the pairs that each bucket asks each shard for."""
+    """The words and the pairs that each bucket asks each shard for. A pair is two places in lists of words' hashes, which a
+    request holds once each."""
 
     def run(table: pa.Table) -> pa.Table:
         tokens = Tokens(table)
         count = lambda of, places, n: _small(np.bincount(of, tokens.train[places], n).astype(np.int64))
         words_, of_word = tokens.word_keys()
-        root = _requests(words_, (words_ % _U(shards)).astype(np.int32), count(of_word, slice(None), len(words_)))
-        keys, of, shard = tokens.pairs(shards, frequent)
-        return _rows(table["bucket"][0].as_py(), [(0, *root), (1, *_requests(keys, shard, count(of, tokens.places, len(keys))))])
+        n = count(of_word, slice(None), len(words_))
+        root = _requests((words_ % _U(shards)).astype(np.int32), lambda at: (_steps(words_[at]), n[at]))
+        one, two, of, shard = tokens.pairs(shards, frequent, words_, of_word)
+        m = count(of, tokens.places, len(one))
+
+        def encode(at: np.ndarray) -> tuple[np.ndarray, ...]:
+            return (*_dictionary(words_[one[at]]), *_dictionary(words_[two[at]]), m[at])
+
+        return _rows(table["bucket"][0].as_py(), [(0, *root), (1, *_requests(shard, encode))])
 
     return docs.groupBy("bucket").applyInArrow(run, _ASKED)
 
 
 def _asked(docs: DataFrame, answers: DataFrame, level: int, shards: int, totals: tuple) -> DataFrame:
-    """The keys of a level from 2 on that each bucket asks each shard for."""
+    """The pairs of a level from 2 on that each bucket asks each shard for."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(0, [])
-        _, keys, shard, columns = _replayed(left, right, level, shards, totals)
-        return _rows(left["bucket"][0].as_py(), [(level, *_requests(keys, shard, *columns))])
+        _, context, word, n, hints, shard = _replayed(left, right, level, shards, totals)
+        return _rows(left["bucket"][0].as_py(), [(level, *_requests(shard, lambda at: (_steps(context[at]), _small(word[at]), n[at], hints[at])))])
 
     return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _ASKED)
 
 
-def verdicts(keys: np.ndarray, counts: np.ndarray, hints: np.ndarray) -> np.ndarray:
-    """For sorted distinct keys, whether their context is kept."""
-    if not len(keys):
+def verdicts(contexts: np.ndarray, counts: np.ndarray, hints: np.ndarray) -> np.ndarray:
+    """For sorted distinct pairs, whether their context is kept."""
+    if not len(contexts):
         return np.zeros(0, bool)
-    context = keys >> _WORD_BITS
-    begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    begin = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
     seen = counts > 0
-    gain = np.zeros(len(keys))
+    gain = np.zeros(len(contexts))
     gain[seen] = counts[seen] * (np.log(counts[seen]) - (hints[seen].astype(np.float64) - _LEAST_LOG) / _STEPS)
     kept = (np.maximum.reduceat(hints, begin) == _KEEP) | (np.add.reduceat(gain, begin) >= LEAST_DIVERGENCE)
-    return np.repeat(kept, np.diff(np.append(begin, len(keys))))
+    return np.repeat(kept, np.diff(np.append(begin, len(contexts))))
+
+
+def _gathered(level: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context of each distinct row, the distinct row of each row asked for, how many each request asks for)."""
+    if level == 0:
+        asked = [_sums(p[0]) for p in parts]
+        found, of = np.unique(np.concatenate(asked), return_inverse=True)
+        return found, of, np.array([len(x) for x in asked])
+    if level == 1:
+        # words by their places in a list of all of them, so that a pair is one number
+        lists = [[_sums(p[i]) for p in parts] for i in (0, 2)]
+        whole = [np.unique(np.concatenate(x)) for x in lists]
+        one, two = (np.concatenate([np.searchsorted(whole[i], x)[p[2 * i + 1]] for x, p in zip(lists[i], parts, strict=True)]) for i in (0, 1))
+        keys, of = np.unique(one * max(1, len(whole[1])) + two, return_inverse=True)
+        return keys, of, np.array([len(p[1]) for p in parts])
+    context, _, of = _distinct_pairs(np.concatenate([_sums(p[0]) for p in parts]), np.concatenate([p[1].astype(_U) for p in parts]))
+    return context, of, np.array([len(p[1]) for p in parts])
 
 
 def _answered(asked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, level, shard, data): training counts and verdicts, in the order in which each bucket asked."""
+    """(bucket, level, shard, data): training counts, numbers and verdicts, in the order in which each bucket asked."""
 
     def run(table: pa.Table) -> pa.Table:
         levels, out = table["level"].to_numpy(), [b""] * table.num_rows
         for level in np.unique(levels).tolist():
             rows = np.flatnonzero(levels == level).tolist()
             parts = [unpack_numbers(table["data"][i].as_py()) for i in rows]
-            keys, of = np.unique(np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts]), return_inverse=True)
-            counts = np.bincount(of, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-            found = [counts]
+            n_at = {0: 1, 1: 4}.get(level, 2)
+            contexts, of, asked_for = _gathered(level, parts)
+            counts = np.bincount(of, np.concatenate([p[n_at] for p in parts]), len(contexts)).astype(np.int64)
+            kept = None
             if level > 1:
-                hints = np.zeros(len(keys), np.uint8)
-                np.maximum.at(hints, of, np.concatenate([p[2] for p in parts]))
-                found.append(verdicts(keys, counts, hints).astype(np.uint8))
+                hints = np.zeros(len(contexts), np.uint8)
+                np.maximum.at(hints, of, np.concatenate([p[3] for p in parts]))
+                kept = verdicts(contexts, counts, hints).astype(np.uint8)
             begin = 0
-            for i, p in zip(rows, parts, strict=True):
-                mine = of[begin : begin + len(p[0])]
-                begin += len(mine)
-                out[i] = pack_numbers(_small(counts[mine]), *[x[mine] for x in found[1:]])
+            for i, n in zip(rows, asked_for.tolist(), strict=True):
+                mine = of[begin : begin + n]
+                begin += n
+                numbers = [_steps(mine.astype(_U))] if level < DEPTH else []
+                out[i] = pack_numbers(_small(counts[mine]), *numbers, *([kept[mine]] if kept is not None else []))
         return pa.table({"bucket": table["bucket"], "level": table["level"], "shard": table["shard"], "data": pa.array(out, pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "bucket int, level int, shard int, data binary").repartition(buckets, "bucket")
@@ -282,7 +338,7 @@ def _totals(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
 
     def sent(found: list[np.ndarray], tokens: int, often: dict[int, int]) -> pa.RecordBatch:
         keys = np.unique(np.concatenate(found))
-        groups, rows = _requests(keys, (keys % _U(shards)).astype(np.int32))
+        groups, rows = _requests((keys % _U(shards)).astype(np.int32), lambda at: (_steps(keys[at]),))
         hot = np.array([x for kv in often.items() for x in kv], _U)
         n = len(rows)
         return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (n - 1), pa.int64()), pa.array(rows, pa.binary()), pa.array([hot.tobytes()] + [None] * (n - 1), pa.binary())], ["shard", "tokens", "data", "hot"])
@@ -312,7 +368,7 @@ def _totals(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
             yield sent(found, tokens, often)
 
     def total(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.cumsum(unpack_numbers(x)[0], dtype=_U) for x in table["data"].to_pylist()]))
+        keys = np.unique(np.concatenate([_sums(unpack_numbers(x)[0]) for x in table["data"].to_pylist()]))
         hot: dict[int, int] = {}
         for x in table["hot"].to_pylist():
             for w, k in np.frombuffer(x or b"", _U).reshape(-1, 2).tolist():
@@ -356,7 +412,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not left.num_rows:
             return schema.empty_table()
-        tokens = _replayed(left, right, DEPTH + 1, shards, totals)[0]
+        tokens = _replayed(left, right, DEPTH + 1, shards, totals)
+        if len(tokens.p) > 1 and tokens.p[1:].max() > 1:
+            raise ValueError("a probability above 1: a context's count is less than that of a pair")
         per_doc = lambda x: np.add.reduceat(x[1:], tokens.first - 1)
         n = len(tokens.count)
         return pa.Table.from_arrays([tokens.docs["doc_id"].cast(pa.int64()), tokens.docs["held_out"], pa.array(tokens.count + 1), pa.array(per_doc(tokens.known.astype(np.int64))), pa.array(np.full(n, totals[0])), pa.array(per_doc(np.log10(tokens.base))), pa.array(per_doc(np.log10(tokens.p)))], schema=schema)

@@ -202,6 +202,26 @@ def test_scores(docs):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("bits", [3, 40])
+def test_pairs_are_distinct_whether_they_fit_one_number_or_not(bits):
+    rng = np.random.default_rng(bits)
+    one, two = (rng.integers(0, 9, 400).astype(np.uint64) << np.uint64(bits) for _ in range(2))
+    a, b, of = suffix_tree._distinct_pairs(one, two)
+    assert sorted(set(zip(one.tolist(), two.tolist(), strict=True))) == list(zip(a.tolist(), b.tolist(), strict=True))
+    assert (a[of] == one).all() and (b[of] == two).all()
+
+
+def test_contexts_of_one_shard_are_never_one(spark, monkeypatch):
+    """All contexts and words in one shard: as the tree over a thousand shards."""
+    data = [(i, " ".join(f"w{(i * i + j * (1 + i % 3)) % 17}" for j in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = []
+    for n in (1, 7):
+        monkeypatch.setattr(suffix_tree, "groups_for", lambda size, n=n: n)
+        found.append(sorted((r.doc_id, round(r.score, 9)) for r in suffix_tree.score_documents(docs).collect()))
+    assert found[0] == found[1]
+
+
 def _brute_tree(texts, depth=suffix_tree.DEPTH):
     """(probability of a token after the tokens before it, vocabulary, training tokens) by plain dictionaries."""
     end, c, grams = "\0end", Counter(), Counter()
