@@ -27,6 +27,37 @@ _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_
 _MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("item_start", "doc_start", "length")]]))
 
 
+def _matches(docs: int, ids: pa.Array, doc: np.ndarray, item: np.ndarray, start: np.ndarray, there: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The matches of each text, from the windows found in it: windows that follow each other in the text and in their item
+    are one longer match."""
+    by = np.lexsort((start, there - start, length, item, doc))
+    doc, item, start, there, length = doc[by], item[by], start[by], there[by], length[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(length) != 0) | (np.diff(there - start) != 0) | (np.diff(start) != 1)
+    begin = np.flatnonzero(new)
+    length = length[begin] + np.diff(np.append(begin, len(new))) - 1
+    doc, item, start, there = doc[begin], item[begin], start[begin], there[begin]
+    found = pa.StructArray.from_arrays([ids.take(pa.array(item)), pa.array(start), pa.array(there), pa.array(length)], fields=list(_MATCH))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)), found)
+
+
+def renamed(matches: pa.Array) -> pa.Array:
+    """The matches of texts by several blocks as those by one: each window is named by the least item of all."""
+    docs, lists = len(matches), matches.value_lengths().fill_null(0).to_numpy()
+    flat = matches.flatten()
+    names, item = np.unique(np.array(flat.field("item_id").to_pylist(), object), return_inverse=True) if len(flat) else (np.zeros(0, object), _NONE)
+    start, there, length = (flat.field(c).to_numpy() for c in ("item_start", "doc_start", "length"))
+    doc, size = np.repeat(np.arange(docs), lists), np.minimum(length, WINDOW)
+    n = length - size + 1  # windows of a match
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, item, start, there, size = np.repeat(doc, n), np.repeat(item, n), np.repeat(start, n) + step, np.repeat(there, n) + step, np.repeat(size, n)
+    by = np.lexsort((start, item, size, there, doc))
+    doc, item, start, there, size = doc[by], item[by], start[by], there[by], size[by]
+    first = np.ones(len(doc), bool)
+    first[1:] = (np.diff(doc) != 0) | (np.diff(there) != 0) | (np.diff(size) != 0)
+    return _matches(docs, pa.array(names.tolist(), pa.string()), doc[first], item[first], start[first], there[first], size[first])
+
+
 def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Ranks of the pairs (a[i], b[i])."""
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
@@ -77,7 +108,8 @@ class TestSuffixes:
             some = length > j
             keys[some, j] = self.text.hashes[place[some] + j]
         item = np.array([number[x or ""] for x in ids], np.int64)[self.text.doc[place]] if len(place) else _NONE
-        order = np.lexsort((place, item))  # the first place of a window is in the least item
+        start = place - self.text.at[self.text.doc[place]] if len(place) else _NONE
+        order = np.lexsort((start, item))  # the first place of a window is in the least item, where it comes first
         where, of = np.unique(keys[order], axis=0, return_index=True, return_inverse=True)[1:] if len(place) else (_NONE, _NONE)
         self.keys, self.length = keys[order][where, :WINDOW], length[order][where]
         self.place, self.item = place[order][where], item[order][where]
@@ -155,19 +187,9 @@ class TestSuffixes:
         np.add.at(step, at, 1)
         np.add.at(step, at + self.length[window], -1)
         hits = np.bincount(text.doc[np.cumsum(step[:-1]) > 0], minlength=docs)
-        # windows that follow each other in both texts are one longer match
-        doc, item, start, there = text.doc[at], self.item[window], self.place[window], at - text.at[text.doc[at]]
-        by = np.lexsort((start, there - start, item, doc))
-        doc, item, start, there, length = doc[by], item[by], start[by], there[by], self.length[window][by]
-        new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(there - start) != 0) | (np.diff(start) != 1)
-        begin = np.flatnonzero(new)
-        length = length[begin] + np.diff(np.append(begin, len(new))) - 1
-        doc, item, start, there = doc[begin], item[begin], start[begin], there[begin]
         ids = pa.array(self.ids, pa.string())
-        matches = pa.StructArray.from_arrays([ids.take(pa.array(item)), pa.array(start - self.text.at[self.text.doc[start]]), pa.array(there), pa.array(length)], fields=list(_MATCH))
+        lists = _matches(docs, ids, text.doc[at], self.item[window], self.start[window], at - text.at[text.doc[at]], self.length[window])
         at_doc = lambda x: pa.array(np.searchsorted(x, np.arange(docs + 1)).astype(np.int32))
-        lists = pa.ListArray.from_arrays(at_doc(doc), matches)
         # items: of the distinct windows of each text
         width = max(1, len(self.place))
         pair = np.unique(text.doc[at] * width + window)
@@ -256,7 +278,13 @@ def _all_blocks(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
         parts.append(_by_block(arrays, block))
         block.unpersist()
     found = reduce(DataFrame.unionByName, parts)
-    return found.groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    sets = found.groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["row"], renamed(batch["matches"]), batch["item_ids"]], ["row", "matches", "item_ids"])
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 _SPANS = "array_sort(transform(matches, m -> struct(m.doc_start AS a, m.doc_start + m.length AS b)))"

@@ -153,6 +153,27 @@ def test_decontamination_equals_brute_force(docs, bench):
         assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == sorted(want)
 
 
+def test_matches_are_named_alike_whatever_the_blocks(spark):
+    """One window in thirty items, longer matches over them, short items, and equal windows at several places of one item."""
+    line = " ".join(f"q{i}" for i in range(14))
+    items = [(f"item{i:02d}", f"own{i} words{i} {line if i % 2 else line[:29]} tail{i}") for i in range(30)]
+    items += [("short", "q3 q4"), ("short2", "Q3 q4"), ("twice", f"{line} x {line}"), ("item05", f"{line} another text of one id"), (None, line)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"a {line} b {line[:29]} c q3 q4"), (2, line), (3, "nothing"), (4, None), (2, line), (5, f"own3 words3 {line} tail3")], "doc_id long, text string")
+    found = []
+    for size in (40, 300, 4 << 20):
+        decontaminate.BLOCK_BYTES, old = size, decontaminate.BLOCK_BYTES
+        try:
+            found.append(sorted(repr((r.doc_id, r.n_hit, r.n_items, r.items_sha256, [tuple(m) for m in r.matches])) for r in decontaminate.find_contamination(docs, bench).collect()))
+        finally:
+            decontaminate.BLOCK_BYTES = old
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    whole = {r.doc_id: [tuple(m) for m in r.matches] for r in decontaminate.find_contamination(docs, bench).collect()}
+    # the item without an id is the least; a document's own longer match begins and ends in item03
+    assert whole[2] == [("", 0, 0, 14), ("short", 0, 3, 2)] and whole[3] == whole[4] == []
+    assert ("item03", 0, 0, 11) in whole[5] and ("", 0, 2, 14) in whole[5] and all(m[0] in ("", "item03", "short") for m in whole[5])
+
+
 def test_shards_have_gapless_slots_and_growth_only_fills_the_new_one(docs):
     got = hash_tree.assign_shards(docs).collect()
     by = {}
