@@ -3,8 +3,8 @@
 The tree is never in one place. A shard holds what follows its contexts (of a very frequent context, a part), and the
 documents, dealt into buckets, ask the shards level by level:
 
-1. a bucket asks for the counts of its words, which make the root, and of its pairs of words;
-2. for each longer context of k words it asks for the pairs (context, next word) that it holds: once each, with their
+1. a bucket asks for the counts of its words, which make the root, and for their numbers;
+2. for each context of k words it asks for the pairs (context, next word) that it holds: once each, with their
    training count here and the expected count by the state so far. A context is asked for if it occurs LEAST times or more in
    training and none of its suffixes has a single continuation (then it could not predict anything else);
 3. the context's shard adds the counts up, tests whether the context's next words diverge from those of the shorter
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlens.llm.shared import groups_for, materialize, pack_numbers, packed_documents, split_by, unpack_numbers, unpack_table
+from momentlens.llm.shared import groups_for, pack_numbers, packed_documents, split_by, unpack_numbers, unpack_table
 from momentlens.llm.text import LOWER, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
 
 #: Contexts have up to DEPTH words, and at least LEAST occurrences in training. Those of one word are all kept.
@@ -41,8 +41,6 @@ _END = _U(0x5BD1E995A3C59AC3)
 _LEVEL_BITS = _U(3)
 #: Expected counts are sent as a byte: steps of 1/8 nat from _LEAST_LOG on; _KEEP marks a context that is kept untested.
 _STEPS, _LEAST_LOG, _KEEP = 8, 165, 255
-#: A word that makes up more than this share of the tokens has its pairs dealt over several shards: at most 4096 words.
-_FREQUENT = 1 / 4096
 _PART = _U(0xD6E8FEB86659FD93)
 
 
@@ -97,24 +95,12 @@ class Tokens:
         self.p = self.base.copy()
         self.word = numbers
         self.before = np.concatenate([[0], counts[:-1]])  # occurrences of the context
-        self.context = np.zeros(len(counts), _U)  # its number, from two words on
+        self.context = np.concatenate([np.zeros(1, _U), numbers[:-1]])  # its number
+        self.final = np.zeros(len(self.places), bool)
         self.expected = np.zeros(len(counts), bool)  # a suffix of the context has one continuation, the word here
 
-    def pairs(self, shards: int, frequent: dict[int, int], words_: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(word before, word, pair of each place, shard of each pair) of level 1: indexes of the bucket's words."""
-        self.places = self.places[self.behind[self.places] >= 1]
-        keys, of = np.unique(of_word[self.places - 1] * len(words_) + of_word[self.places], return_inverse=True)
-        one, two = keys // len(words_), keys % len(words_)
-        parts = np.ones(len(words_), _U)
-        for word, n in frequent.items():
-            at = int(np.searchsorted(words_, _U(word)))
-            if at < len(words_) and words_[at] == _U(word):
-                parts[at] = n
-        part = mix(words_[two]) % parts[one]
-        return one, two, of, (mix(words_[one] + part * _PART) % _U(shards)).astype(np.int32)
-
     def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
-        """(context, word, pair of each place, shard of each pair) of level k from 2 on: numbers, in order."""
+        """(context, word, pair of each place, shard of each pair) of level k: numbers, in order."""
         at = self.places
         self.places = at = at[(self.before[at] >= LEAST) & ~self.final & (self.behind[at] >= k)]
         context, word, of = _distinct_pairs(self.context[at], self.word[at])
@@ -181,11 +167,6 @@ def _requests(shard: np.ndarray, encode) -> tuple[list[int], list[bytes]]:
     return groups, rows
 
 
-def _dictionary(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, of = np.unique(values, return_inverse=True)
-    return _steps(found), _small(of)
-
-
 def _answers(table: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
     """level -> shard -> counts, numbers (but of the last level) and, from level 2 on, verdicts."""
     out: dict[int, dict[int, list[np.ndarray]]] = {}
@@ -216,18 +197,17 @@ def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int, totals:
     tokens, answers = Tokens(left), _answers(right)
     words_, of_word = tokens.word_keys()
     shard = (words_ % _U(shards)).astype(np.int32)
-    tokens.start(_aligned(answers[0], shard)[of_word], _numbers(answers[0], shard, shards, 0)[of_word], *totals[:2])
-    _, _, of, shard = tokens.pairs(shards, totals[2], words_, of_word)
-    parts = answers.get(1, {})
-    tokens.learn(_aligned(parts, shard)[of], tokens.before[tokens.places] >= LEAST, _numbers(parts, shard, shards, 1)[of])
-    for k in range(2, min(level, DEPTH) + 1):
+    tokens.start(_aligned(answers[0], shard)[of_word], _numbers(answers[0], shard, shards, 0)[of_word], *totals)
+    for k in range(1, min(level, DEPTH) + 1):
         context, word, of, shard = tokens.ask(k, shards)
         if k == level:
             n = np.bincount(of, tokens.train[tokens.places], len(context)).astype(np.int64)
             return tokens, context, word, _small(n), tokens.hints(of, len(context)), shard
         parts = answers.get(k, {})
         numbers = _numbers(parts, shard, shards, k)[of] if k < DEPTH else None
-        tokens.learn(_aligned(parts, shard)[of], _aligned(parts, shard, -1, bool)[of], numbers)
+        # contexts of one word are all kept
+        kept = _aligned(parts, shard, -1, bool)[of] if k > 1 else np.ones(len(of), bool)
+        tokens.learn(_aligned(parts, shard)[of], kept, numbers)
     return tokens
 
 
@@ -240,35 +220,26 @@ def _rows(bucket: int, found: list[tuple[int, list[int], list[bytes]]]) -> pa.Ta
     return pa.table({"shard": pa.array(shard, pa.int32()), "bucket": pa.array([bucket] * len(shard), pa.int32()), "level": pa.array(level, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def _asked_first(docs: DataFrame, shards: int, frequent: dict[int, int]) -> DataFrame:
-    """The words and the pairs that each bucket asks each shard for. A pair is two places in lists of words' hashes, which a
-    request holds once each."""
+def _asked_words(docs: DataFrame, shards: int) -> DataFrame:
+    """The words that each bucket asks each shard for."""
 
     def run(table: pa.Table) -> pa.Table:
         tokens = Tokens(table)
-        count = lambda of, places, n: _small(np.bincount(of, tokens.train[places], n).astype(np.int64))
         words_, of_word = tokens.word_keys()
-        n = count(of_word, slice(None), len(words_))
-        root = _requests((words_ % _U(shards)).astype(np.int32), lambda at: (_steps(words_[at]), n[at]))
-        one, two, of, shard = tokens.pairs(shards, frequent, words_, of_word)
-        m = count(of, tokens.places, len(one))
-
-        def encode(at: np.ndarray) -> tuple[np.ndarray, ...]:
-            return (*_dictionary(words_[one[at]]), *_dictionary(words_[two[at]]), m[at])
-
-        return _rows(table["bucket"][0].as_py(), [(0, *root), (1, *_requests(shard, encode))])
+        n = _small(np.bincount(of_word, tokens.train, len(words_)).astype(np.int64))
+        return _rows(table["bucket"][0].as_py(), [(0, *_requests((words_ % _U(shards)).astype(np.int32), lambda at: (_steps(words_[at]), n[at])))])
 
     return docs.groupBy("bucket").applyInArrow(run, _ASKED)
 
 
 def _asked(docs: DataFrame, answers: DataFrame, level: int, shards: int, totals: tuple) -> DataFrame:
-    """The pairs of a level from 2 on that each bucket asks each shard for."""
+    """The pairs of a level that each bucket asks each shard for, with the expected counts from level 2 on."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(0, [])
         _, context, word, n, hints, shard = _replayed(left, right, level, shards, totals)
-        return _rows(left["bucket"][0].as_py(), [(level, *_requests(shard, lambda at: (_steps(context[at]), _small(word[at]), n[at], hints[at])))])
+        return _rows(left["bucket"][0].as_py(), [(level, *_requests(shard, lambda at: (_steps(context[at]), _small(word[at]), n[at], *([hints[at]] if level > 1 else []))))])
 
     return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _ASKED)
 
@@ -291,13 +262,6 @@ def _gathered(level: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np
         asked = [_sums(p[0]) for p in parts]
         found, of = np.unique(np.concatenate(asked), return_inverse=True)
         return found, of, np.array([len(x) for x in asked])
-    if level == 1:
-        # words by their places in a list of all of them, so that a pair is one number
-        lists = [[_sums(p[i]) for p in parts] for i in (0, 2)]
-        whole = [np.unique(np.concatenate(x)) for x in lists]
-        one, two = (np.concatenate([np.searchsorted(whole[i], x)[p[2 * i + 1]] for x, p in zip(lists[i], parts, strict=True)]) for i in (0, 1))
-        keys, of = np.unique(one * max(1, len(whole[1])) + two, return_inverse=True)
-        return keys, of, np.array([len(p[1]) for p in parts])
     context, _, of = _distinct_pairs(np.concatenate([_sums(p[0]) for p in parts]), np.concatenate([p[1].astype(_U) for p in parts]))
     return context, of, np.array([len(p[1]) for p in parts])
 
@@ -310,7 +274,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
         for level in np.unique(levels).tolist():
             rows = np.flatnonzero(levels == level).tolist()
             parts = [unpack_numbers(table["data"][i].as_py()) for i in rows]
-            n_at = {0: 1, 1: 4}.get(level, 2)
+            n_at = 2 if level else 1
             contexts, of, asked_for = _gathered(level, parts)
             counts = np.bincount(of, np.concatenate([p[n_at] for p in parts]), len(contexts)).astype(np.int64)
             kept = None
@@ -333,61 +297,39 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
 _GATHERED = 2_000_000
 
 
-def _totals(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
-    """Tokens (ends included) and distinct tokens of the training rows, and the parts in which to deal frequent words' pairs."""
+def _totals(docs: DataFrame, shards: int) -> tuple[int, int]:
+    """Tokens (ends included) and distinct tokens of the training rows."""
 
-    def sent(found: list[np.ndarray], tokens: int, often: dict[int, int]) -> pa.RecordBatch:
+    def sent(found: list[np.ndarray], tokens: int) -> pa.RecordBatch:
         keys = np.unique(np.concatenate(found))
         groups, rows = _requests((keys % _U(shards)).astype(np.int32), lambda at: (_steps(keys[at]),))
-        hot = np.array([x for kv in often.items() for x in kv], _U)
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (n - 1), pa.int64()), pa.array(rows, pa.binary()), pa.array([hot.tobytes()] + [None] * (n - 1), pa.binary())], ["shard", "tokens", "data", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (len(rows) - 1), pa.int64()), pa.array(rows, pa.binary())], ["shard", "tokens", "data"])
 
     def count(batches):
-        found, tokens, often, size = [], 0, {}, 0
+        found, tokens = [], 0
         for batch in small_batches(batches):
             found.append(np.array([_END]))
-            n = batch.num_rows
+            tokens += batch.num_rows
             for _, _, b, o in chunks(*utf8(batch["text"])):
                 low = LOWER[b]
                 starts, ends, _ = words(low, o)
-                h = pa.array(span_hashes(prefix_sums(low), starts, ends)).value_counts()
-                values, times = h.field(0).to_numpy(), h.field(1).to_numpy()
-                found.append(values)
-                n += len(starts)
-                top = np.flatnonzero(times > max(32, len(starts) * _FREQUENT))
-                for w, k in zip(values[top].tolist(), times[top].tolist(), strict=True):
-                    often[w] = often.get(w, 0) + k
-            tokens, size = tokens + n, size + sum(len(x) for x in found[1:])
+                found.append(pa.array(span_hashes(prefix_sums(low), starts, ends)).unique().to_numpy())
+                tokens += len(starts)
             if sum(map(len, found)) > 2 * _GATHERED:
                 found = [np.unique(np.concatenate(found))]
             if len(found[0]) > _GATHERED:
-                yield sent(found, tokens, often)
-                found, tokens, often = [], 0, {}
+                yield sent(found, tokens)
+                found, tokens = [], 0
         if found:
-            yield sent(found, tokens, often)
+            yield sent(found, tokens)
 
     def total(table: pa.Table) -> pa.Table:
         keys = np.unique(np.concatenate([_sums(unpack_numbers(x)[0]) for x in table["data"].to_pylist()]))
-        hot: dict[int, int] = {}
-        for x in table["hot"].to_pylist():
-            for w, k in np.frombuffer(x or b"", _U).reshape(-1, 2).tolist():
-                hot[w] = hot.get(w, 0) + k
-        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64()), "hot": pa.array([np.array([x for kv in hot.items() for x in kv], _U).tobytes()], pa.binary())})
-
-    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary, hot binary")
-    sums = materialize(rows.groupBy("shard").applyInArrow(total, "tokens long, keys long, hot binary"), "totals")
-    tokens, distinct = map(int, sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first())
-
-    def above(batches):
-        for batch in batches:
-            pairs = np.concatenate([np.zeros((0, 2), _U), *[np.frombuffer(x, _U).reshape(-1, 2) for x in batch["hot"].to_pylist()]])
-            pairs = pairs[pairs[:, 1] > tokens * _FREQUENT]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["word", "n"])
+        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64())})
 
-    # a word is in one shard; those above the share are 4096 at most
-    hot = sums.select("hot").mapInArrow(above, "word long, n long").collect()
-    return tokens, distinct, {r.word % (1 << 64): int(r.n / tokens / _FREQUENT) + 1 for r in hot}
+    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary")
+    sums = rows.groupBy("shard").applyInArrow(total, "tokens long, keys long")
+    return tuple(map(int, sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()))
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -404,8 +346,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     shards = buckets = groups_for(size)
     totals = _totals(rows, shards)
     dealt = packed_documents(rows, buckets).repartition(buckets, "bucket")
-    answers = _answered(_asked_first(dealt, shards, totals[2]), buckets)
-    for level in range(2, DEPTH + 1):
+    answers = _answered(_asked_words(dealt, shards), buckets)
+    for level in range(1, DEPTH + 1):
         answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards, totals), buckets))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
