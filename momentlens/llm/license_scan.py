@@ -102,10 +102,17 @@ NAMES = {
 }
 # How a notice says that it is under a licence of that name (normalised); an identifier stands in a line of its own.
 SAYING = (
-    "^(?:this (?:work|file|code|software|program|project|package|library) is )?(?:licensed|released|distributed|available|made available)"
-    " under (?:the|a) (.+?)(?: or at your option any later version)?$"
+    "^(?:(?:this|the) (?:work|file|code|source code|software|program|project|package|library|repository|module|data|dataset) is )?"
+    "(?:licensed|released|distributed|available|made available|published|provided)(?: to you)?"
+    " under (?:the terms of )?(?:(?:the|a|an) )?(.+?)(?: or at your option any later version| (?:please )?see .+| as (?:found|described|given) in .+| the license)?$"
 )
+LABEL = "^(?:software )?licen[cs]e (?:is )?(?:the )?(.+)$"
 TAG = "spdx license identifier "
+#: The third clause of a BSD licence, whoever is named in it.
+ENDORSE = (
+    "^(?:neither the names? .+ may be used|the names? of .+ may not be used) to endorse or promote products derived from th(?:is|e) software"
+    " without (?:specific )?prior written permission(?: from .+)?$"
+)
 
 
 def _plain(licence: str) -> str:
@@ -113,14 +120,20 @@ def _plain(licence: str) -> str:
 
 
 def _named() -> str:
-    """The identifier of a sentence ``x`` that names a licence (name:MIT, tag:MIT), as SQL; only such sentences are looked at
-    closely."""
+    """The identifier of a sentence ``x`` that names a licence (name:MIT, tag:MIT; several of an expression, comma-joined), as
+    SQL; only such sentences are looked at closely."""
     tags = {f"{_plain(x)}{more}": x for x in NAMES for more in ("", *((" only", " or later") if "GPL" in x or "GFDL" in x else ()))}
     names = {n: x for x, ns in NAMES.items() for n in ns}
     table = lambda entries: "map(" + ", ".join(f"{_text(k)}, {_text(v)}" for k, v in entries.items()) + ")"
+    both = table(tags | names)
+    # "A OR B", "A AND B", "A WITH an exception"; brackets are gone with all other marks
+    parts = f"transform(split(substr(x, {len(TAG) + 1}), ' (?:or(?! later)|and) '), y -> try_element_at({table(tags)}, regexp_replace(y, ' with .*$', '')))"
+    tagged = f"nullif(array_join(transform(filter({parts}, y -> y IS NOT NULL), y -> concat('tag:', y)), ','), '')"
     return (
-        f"CASE WHEN startswith(x, '{TAG}') THEN concat('tag:', try_element_at({table(tags)}, substr(x, {len(TAG) + 1}))) "
-        f"WHEN contains(x, ' under the ') OR contains(x, ' under a ') OR startswith(x, 'available under ') THEN concat('name:', try_element_at({table(names)}, regexp_extract(x, '{SAYING}', 1))) END"
+        f"CASE WHEN startswith(x, '{TAG}') THEN {tagged} "
+        f"WHEN contains(x, ' under ') THEN concat('name:', try_element_at({both}, regexp_extract(x, '{SAYING}', 1))) "
+        f"WHEN length(x) < 80 AND x RLIKE '^(?:software )?licen[cs]e ' THEN concat('name:', try_element_at({both}, regexp_extract(x, '{LABEL}', 1))) "
+        f"WHEN contains(x, ' to endorse or promote ') AND x RLIKE '{ENDORSE}' THEN 'bsd_endorse' END"
     )
 
 
@@ -171,6 +184,17 @@ WHOLE = {
     "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1_terms",
     "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl_copy",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0",
+    "to the extent possible under law the author s have waived all copyright and related or neighboring rights to this work": "cc0",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1": "bsd_grant",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2_copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2_copy",
+    "the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2_header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2_only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2_only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "gpl2_only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3_only",
     "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license": "mpl11_header",
     "this font software is licensed under the sil open font license version 1 1": "ofl_font",
     "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql_grant",
@@ -179,6 +203,8 @@ WHOLE = {
 WHOLE_RULES = (
     ("Apache-2.0", ("apache2_header", "apache2_copy")),
     ("GPL-2.0", ("gpl2_free", "gpl_hope")),
+    ("GPL-2.0", ("gpl2_only",)),
+    ("GPL-3.0", ("gpl3_only",)),
     ("AGPL-3.0", ("agpl3_free", "gpl_hope")),
     ("LGPL-2.1", ("lgpl21_free", "lgpl_hope")),
     ("LGPL-3.0", ("lgpl3_free", "lgpl_hope")),
@@ -217,9 +243,9 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     rules = RULES + WHOLE_RULES if rules is None else rules
     table = "map(" + ", ".join(f"{_text(v)}, {_text(k)}" for v, k in known.items()) + ")"
     lengths = ", ".join(str(n) for n in sorted({len(v) for v in known}))
-    # sentences end at \u0001, which is taken out of the text before; "v. 2.0" goes on
+    # sentences end at \u0001, which is taken out of the text before; "v. 2.0" and "Inc. nor" go on
     low = r"translate(lower(coalesce(text, '')), '\u0001', '-')"
-    ends = rf"regexp_replace({low}, '(?<! v)[.!?](?:[ \t\r]*\n|[ \t\r]+)|:[ \t\r]*(?=\n)|\n[^a-z0-9\n]*+(?=\n)', '$0\u0001')"
+    ends = rf"regexp_replace({low}, '(?<! v| inc| ltd| llc| corp| co)[.!?](?:[ \t\r]*\n|[ \t\r]+)|:[ \t\r]*(?=\n)|\n[^a-z0-9\n]*+(?=\n)', '$0\u0001')"
     pieces = r"split(regexp_replace(s, '([.!?])[ \t\r]+', '$1\n'), '\n', -1)"
     plain = "trim(regexp_replace({}, '[^a-z0-9]+', ' '))"
     # only a sentence as long as a known one is looked up
@@ -231,7 +257,7 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     one = f"transform(array(filter(transform({pieces}, q -> {plain.format('q')}), x -> x != '')), p -> struct(CAST(size(p) AS BIGINT) AS n, IF(size(p) > 1 AND w IS NOT NULL, array(w), {ids}) AS ids))[0]"
     body = f"transform(split({ends}, '\u0001', -1), s -> transform(array({whole}), w -> {one})[0])"
     parts = docs.select("doc_id", F.explode(F.array(F.expr(body))).alias("_p"))
-    found = parts.select("doc_id", F.expr("struct(aggregate(_p.n, CAST(0 AS BIGINT), (a, b) -> a + b) AS n, flatten(_p.ids) AS ids)").alias("_f"))
+    found = parts.select("doc_id", F.expr("struct(aggregate(_p.n, CAST(0 AS BIGINT), (a, b) -> a + b) AS n, flatten(transform(flatten(_p.ids), y -> split(y, ','))) AS ids)").alias("_f"))
     chain = F.concat(F.lit(","), F.array_join("_f.ids", ","), F.lit(","))
     # rules of one sentence are looked up by their sentence, longer ones matched against the sequence
     one = {w[0]: name for name, w in rules if len(w) == 1} | ({} if sentences else {f"{kind}:{x}": x for x in NAMES for kind in ("name", "tag")})

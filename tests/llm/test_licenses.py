@@ -101,3 +101,69 @@ def test_every_licence_is_found_by_its_names_and_its_tag(spark):
     rows += [("GPL-2.0/later", "SPDX-License-Identifier: GPL-2.0-or-later"), ("CC-BY-4.0/a", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert len(license_scan.NAMES) >= 50 and [(r.doc_id, r.licenses) for r in got if r.licenses != r.doc_id.split("/")[0]] == []
+
+
+BSD3_NAMED = BSD + """3. Neither the name of Google Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+BSD3_AUTHOR = BSD + """3. The name of the author may not be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide. This software is distributed without any warranty.
+"""
+MORE = {
+    BSD3_NAMED: "BSD-3-Clause",
+    BSD3_AUTHOR: "BSD-3-Clause",
+    ASF: "Apache-2.0",
+    GPL2_ONLY: "GPL-2.0",
+    CC0: "CC0-1.0",
+    "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+    "The software is released under the terms of the Apache License, Version 2.0.": "Apache-2.0",
+    "License: MIT": "MIT",
+    "Licence: Apache-2.0": "Apache-2.0",
+    "Software License: BSD 3-Clause License": "BSD-3-Clause",
+    "SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0,MIT",
+    "SPDX-License-Identifier: (MIT AND Zlib)": "MIT,Zlib",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MPL-2.0": "GPL-2.0,MPL-2.0",
+    "License terms vary with the licensee.": "",
+    "They met under the MIT dome.": "",
+    "SPDX-License-Identifier: Unknown-1.0": "",
+}
+
+
+@pytest.mark.parametrize("shape", ["plain", "commented", "hashed", "one line"])
+def test_common_notices(spark, shape):
+    """Each as it stands, behind two kinds of comment marks, and with all its lines joined."""
+    def shaped(text):
+        if shape == "one line":
+            return " ".join(text.split())
+        mark = {"plain": "", "commented": " * ", "hashed": "# "}[shape]
+        return "\n".join(f"{mark}{line}".rstrip() for line in text.split("\n"))
+
+    texts = list(MORE)
+    rows = [(i, f"some code\n\n{shaped(t)}\n\nmore code here") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == MORE
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    rows = [(1, "plain words here. " * 120_000 + "\n\nLicense: MIT\n"), (2, "a line of words\n" * 100_000 + ASF)]
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("MIT", 120_001) and got[2][0] == "Apache-2.0"
