@@ -228,7 +228,7 @@ def w3_sliding_pipeline(spark, sf_dir):
     win = _windows(spark, sf_dir).withColumnsRenamed({"start_time": "r_start", "end_time": "r_end"})
     cut = F.least("end_time", "r_end") - F.greatest("start_time", "r_start")
     share = lambda x: cut >= x * (F.col("end_time") - F.col("start_time"))
-    n = J.interval_join(A.words(spark, sf_dir), win, ["video_id"]).where(share(0.5)).groupBy("video_id", "window_id").agg(F.count("*").alias("n"))
+    n = W.counts_on_grid(A.words(spark, sf_dir), ["video_id"])
     t = J.interval_join(A.paragraphs(spark, sf_dir), win, ["video_id"]).where(share(0.3)).groupBy("video_id", "window_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
     out = win.join(n, ["video_id", "window_id"], "left").join(t, ["video_id", "window_id"], "left")
     count = F.coalesce("n", F.lit(0))
