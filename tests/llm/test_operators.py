@@ -316,6 +316,27 @@ def test_raked_margins_meet_their_targets(spark):
     assert (got.weight <= got.tokens).all() and (got.residual <= mixing.TOLERANCE).all() and np.isclose(got.weight.sum(), 0.4 * got.tokens.sum(), rtol=2e-3)
 
 
+@pytest.mark.parametrize("share", [0.4, 0.7])
+def test_few_and_many_cells_are_raked_alike_and_meet_their_targets(spark, monkeypatch, share):
+    """Topics that follow the languages, a large source and rare values: our own targets contradict each other and are moved."""
+    rng = np.random.default_rng(8)
+    data = [(f"s{i}", f"l{j}", f"t{(j + (k > 3)) % 3}{k % 2}", int(rng.pareto(1) * 50 * (30 if i == 0 else 1)) + 1) for i in range(9) for j in range(3) for k in range(5)]
+    cells = spark.createDataFrame(data, "source string, language string, topic string, n long").groupBy("source", "language", "topic").agg({"n": "sum"}).toDF("source", "language", "topic", "tokens")
+    key = list(mixing.DIMENSIONS)
+    few = mixing.rake(cells, share=share).toPandas().sort_values(key).reset_index(drop=True)
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 0)
+    many = mixing.rake(cells, share=share).toPandas().sort_values(key).reset_index(drop=True)
+    assert (few[key] == many[key]).all().all() and np.allclose(few.weight, many.weight, rtol=1e-6) and np.allclose(few.moved, many.moved, rtol=1e-6)
+    assert (few.residual <= mixing.TOLERANCE).all() and (few.weight <= few.tokens * (1 + 1e-12)).all() and np.isclose(few.weight.sum(), share * few.tokens.sum(), rtol=0.02)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_registered_mix_meets_its_targets(spark, sf):
+    got = mixing.mix_report(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).agg({"residual": "max", "moved": "max"}).first()
+    print(sf, got)
+    assert got["max(residual)"] < 1e-3
+
+
 def test_margins_that_contradict_each_other_end_with_their_error(spark):
     data = [("a", "x", "t", 100), ("b", "y", "t", 100)]  # source and language are the same, their targets aren't
     cells = spark.createDataFrame(data, "source string, language string, topic string, tokens long")
