@@ -68,11 +68,10 @@ def identified(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 _FAST = pa.ipc.IpcWriteOptions(compression="zstd")
-_SMALL = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))
 
 
-def pack(**columns) -> bytes:
-    """Columns of equal length as one compressed binary; sorted integers are stored as differences."""
+def pack(_level: int = 4, **columns) -> bytes:
+    """Columns of equal length as one compressed binary; sorted integers are stored as differences, texts at a level of zstd."""
     arrays = {}
     for k, v in columns.items():
         if isinstance(v, np.ndarray) and k.startswith("d_") and len(v):
@@ -80,7 +79,7 @@ def pack(**columns) -> bytes:
         arrays[k] = v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v)
     table = pa.table(arrays)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_SMALL if "text" in arrays else _FAST) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", _level)) if "text" in arrays else _FAST) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -138,7 +137,7 @@ def split_by(groups: np.ndarray):
         yield int(groups[order[a]]), order[a:b]
 
 
-def packed_documents(docs: DataFrame, n: int) -> DataFrame:
+def packed_documents(docs: DataFrame, n: int, level: int = 4) -> DataFrame:
     """(bucket, data): the identified documents, many to a compressed row, dealt by a hash of their id."""
 
     def run(batches):
@@ -151,7 +150,7 @@ def packed_documents(docs: DataFrame, n: int) -> DataFrame:
             for g, at in split_by(id_groups(did, n)):
                 part = table.take(pa.array(at))
                 buckets.append(g)
-                rows.append(pack(**{c: part[c] for c in part.column_names}))
+                rows.append(pack(level, **{c: part[c] for c in part.column_names}))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "data"])
 
     return docs.mapInArrow(run, "bucket int, data binary")

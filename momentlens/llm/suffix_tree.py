@@ -184,7 +184,8 @@ def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, column: int
 
 
 def _numbers(parts: dict[int, list[np.ndarray]], shard: np.ndarray, shards: int, level: int) -> np.ndarray:
-    """The numbers, of all shards and levels, of the rows asked for: the place in the shard, the shard, the level."""
+    """The numbers, of all shards and levels, of the rows asked for: the place in the shard, the shard, the level. They tell
+    words apart, and pairs of LEAST occurrences or more."""
     out = np.zeros(len(shard), _U)
     for g, at in split_by(shard):
         out[at] = _sums(parts[g][1]) * _U(shards) + _U(g)
@@ -286,7 +287,9 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
             for i, n in zip(rows, asked_for.tolist(), strict=True):
                 mine = of[begin : begin + n]
                 begin += n
-                numbers = [_steps(mine.astype(_U))] if level < DEPTH else []
+                # a pair that can't be a context gets no number of its own
+                own = mine if level == 0 else np.maximum.accumulate(np.where(counts[mine] >= LEAST, mine, 0)) if n else mine
+                numbers = [_steps(own.astype(_U))] if level < DEPTH else []
                 out[i] = pack_numbers(_small(counts[mine]), *numbers, *([kept[mine]] if kept is not None else []))
         return pa.table({"bucket": table["bucket"], "level": table["level"], "shard": table["shard"], "data": pa.array(out, pa.binary())})
 
@@ -345,7 +348,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = buckets = groups_for(size)
     totals = _totals(rows, shards)
-    dealt = packed_documents(rows, buckets).repartition(buckets, "bucket")
+    dealt = packed_documents(rows, buckets, 9).repartition(buckets, "bucket")
     answers = _answered(_asked_words(dealt, shards), buckets)
     for level in range(1, DEPTH + 1):
         answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards, totals), buckets))
