@@ -348,7 +348,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = buckets = groups_for(size)
     totals = _totals(rows, shards)
-    dealt = packed_documents(rows, buckets, 9).repartition(buckets, "bucket")
+    dealt = packed_documents(rows, buckets, 6).repartition(buckets, "bucket")
     answers = _answered(_asked_words(dealt, shards), buckets)
     for level in range(1, DEPTH + 1):
         answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards, totals), buckets))
