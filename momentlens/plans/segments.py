@@ -142,8 +142,10 @@ _ALERTS = f"SELECT endpoint, CASE WHEN r >= 0.22e0 THEN 'critical' WHEN r >= 0.1
 
 
 def _alerts(spark, sf_dir):
+    """Every endpoint with its error level, by limits on both sides of which endpoints lie here."""
     s = M.endpoint_stats(A.requests(spark, sf_dir))
-    return s.select("endpoint", F.when(F.col("error_rate") >= 0.22, "critical").when(F.col("error_rate") >= 0.18, "warning").alias("level"))
+    found = M.error_rate_alerts(s, warn=0.18, critical=0.22).select("endpoint", "level")
+    return s.select("endpoint").join(found, "endpoint", "left")
 
 
 @query(f"SELECT level, count(*) AS n, count(*) FILTER (WHERE endpoint % 3 <> 0) AS active FROM ({_ALERTS}) AS a WHERE level IS NOT NULL GROUP BY 1")
