@@ -104,7 +104,7 @@ def _first_of(conditions: list[Column], row: str = "row") -> Column:
 
 
 def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0, size: int = PIECE) -> DataFrame:
-    """(keys, paragraph, start_time, end_time, words): a new paragraph when a word starts ``longest`` after the first.
+    """(keys, paragraph, start_time, end_time, words): a new paragraph when a word starts ``longest`` (above 0) after the first.
 
     Words without a start are left out, and so is a null key. The first word that starts so late is the next row of a timeline
     that holds all starts and all ends of paragraphs that could be.
@@ -115,10 +115,8 @@ def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0,
     starts = rows.select(*keys, F.col("start_time").alias("t"), F.col("row").alias("next"), F.lit(None).cast("long").alias("row"))
     ends = rows.select(*keys, (F.col("start_time") + longest).alias("t"), F.lit(None).cast("long").alias("next"), "row")
     near = neighbours(starts.unionByName(ends), keys, "t", "next", max(longest, 1.0)).where("row IS NOT NULL")
-    after = near.select(*keys, "row", F.when(F.col("after").isNotNull(), F.greatest(F.col("after")["value"], F.col("row") + 1)).alias("to"))
-    last = rows.groupBy(*keys).agg(F.max("row").alias("_last"))
-    steps = rows.join(after, [*keys, "row"]).join(last, keys).withColumn("to", F.when(F.col("to") <= F.col("_last"), F.col("to"))).drop("_last")
-    out = chained(steps, keys, size)
+    after = near.select(*keys, "row", F.col("after")["value"].alias("to"))
+    out = chained(rows.join(after, [*keys, "row"]), keys, size)
     return out.groupBy(*keys, F.col("part").alias("paragraph")).agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("word").alias("words"))
 
 
