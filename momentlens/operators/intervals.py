@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pieces of a timeline that make one of the next level.
+FAN = 1024
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, mode: str = "open") -> Column:
     """Whether two intervals overlap: ``open`` (by more than an end), ``touching`` (ends count), or ``words``: a lies inside
@@ -59,6 +62,24 @@ def overlap_weighted_avg(left: DataFrame, right: DataFrame, keys: list[str], id_
     return weighed.groupBy(*keys, id_col).agg(F.lit(True).alias("matched"), *[F.coalesce(F.sum(F.col(m) * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0)), F.lit(0.0)).alias(m) for m in metrics])
 
 
+def _over_empty(ends: DataFrame, keys: list[str], levels: int = 1) -> DataFrame:
+    """Adds to bins with their ``_first`` and ``_last`` point the last point of all bins before and the first of all after.
+
+    Bins are looked at in groups of ``FAN``, which are carried over in the same way, as often as there are ``levels``.
+    """
+    line = Window.partitionBy(*keys, "_group") if levels else Window.partitionBy(*keys)
+    # both sides as frames that grow by a row; a frame up to the last row is run through again for each row
+    upto = lambda c: line.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    sides = {"_carried": F.max("_last").over(upto(F.col("_bin"))), "_coming": F.min("_first").over(upto(F.col("_bin").desc()))}
+    if not levels:
+        return ends.withColumns(sides)
+    grouped = ends.withColumn("_group", F.floor(F.col("_bin") / FAN))
+    groups = grouped.groupBy(*keys, F.col("_group").alias("_bin")).agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    outer = _over_empty(groups, keys, levels - 1).select(*keys, F.col("_bin").alias("_group"), F.col("_carried").alias("_past"), F.col("_coming").alias("_future"))
+    found = grouped.withColumns(sides).join(outer, [*keys, "_group"])
+    return found.withColumns({"_carried": F.coalesce("_carried", "_past"), "_coming": F.coalesce("_coming", "_future")}).drop("_group", "_past", "_future")
+
+
 def neighbours(df: DataFrame, keys: list[str], at: str, value: str, size: float) -> DataFrame:
     """Adds ``before`` and ``after``: (at, value) of the last row at or before each row that has a value, and of the first at or after it.
 
@@ -68,10 +89,7 @@ def neighbours(df: DataFrame, keys: list[str], at: str, value: str, size: float)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("value")))
     rows = df.withColumns({"_bin": F.floor(F.col(at) / size), "_point": point})
     ends = rows.groupBy(*keys, "_bin").agg(F.max("_point").alias("_last"), F.min("_point").alias("_first"))
-    line = Window.partitionBy(*keys)
-    # both sides as frames that grow by a row; a frame up to the last row is run through again for each row
-    upto = lambda c: line.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_bin", F.last("_last", True).over(upto(F.col("_bin"))).alias("_carried"), F.last("_first", True).over(upto(F.col("_bin").desc())).alias("_coming"))
+    carried = _over_empty(ends, keys).select(*keys, "_bin", "_carried", "_coming")
     inside = Window.partitionBy(*keys, "_bin")
     back, ahead = (inside.orderBy(c).rangeBetween(Window.unboundedPreceding, 0) for c in (F.col(at), F.col(at).desc()))
     found = rows.withColumns({"before": F.max("_point").over(back), "after": F.min("_point").over(ahead)}).join(carried, [*keys, "_bin"])

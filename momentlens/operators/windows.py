@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from momentlens.operators.intervals import neighbours
+from momentlens.operators.intervals import FAN, neighbours
 from momentlens.operators.selection import quantiles
 from momentlens.sources.shared import written
 
@@ -97,23 +97,41 @@ def rolling_zscore(df: DataFrame, keys: list[str], row: str, time: str, value: s
     return x.select(*keys, row, ((F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) + 3) / 6).alias("z"))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
-    """Adds running sums in ``order`` (by name, the row included) and, by ``before``, values of the row before.
+def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column], levels: int = 1) -> DataFrame:
+    """Adds, by name, sums of the rows before each row in ``order`` (null before the first value) and values of the row before.
 
-    ``piece`` numbers pieces of the timeline that follow each other in ``order``. Rows are summed inside their piece and
-    shifted by the pieces before it, so no task orders a whole key; the pieces' own sums are a small table.
+    ``piece`` numbers pieces of the timeline that follow each other in ``order``. Rows are looked at inside their piece and
+    shifted by what the pieces before leave. The pieces, a row each, are treated in the same way in pieces of ``FAN``, as often
+    as there are ``levels``, before a window orders what is left of a key. Rows with a null key or piece are left out.
     """
-    before = before or {}
     by = F.struct(*order)
     cut = df.withColumns({"_piece": piece, **{f"_{k}": v for k, v in (*sums.items(), *before.items())}})
-    pieces = cut.groupBy(*keys, "_piece").agg(*[F.sum(f"_{k}").alias(f"_p{k}") for k in sums], *[F.max_by(f"_{k}", by).alias(f"_p{k}") for k in before])
-    line = Window.partitionBy(*keys).orderBy("_piece")
-    shift = pieces.withColumns({f"_p{k}": F.sum(f"_p{k}").over(line) - F.col(f"_p{k}") for k in sums} | {f"_p{k}": F.lag(f"_p{k}").over(line) for k in before})
+    pieces = cut.groupBy(*keys, F.col("_piece").alias("_at")).agg(*[F.sum(f"_{k}").alias(f"_w{k}") for k in sums], *[F.max_by(f"_{k}", by).alias(f"_w{k}") for k in before])
+    part = lambda names: {f"_p{k}": F.col(f"_w{k}") for k in names}
+    if levels:
+        shift = earlier(pieces, keys, ["_at"], F.floor(F.col("_at") / FAN), part(sums), part(before), levels - 1)
+    else:
+        line = Window.partitionBy(*keys).orderBy("_at")
+        shift = pieces.withColumns({k: F.sum(v).over(line.rowsBetween(Window.unboundedPreceding, -1)) for k, v in part(sums).items()} | {k: F.lag(v).over(line) for k, v in part(before).items()})
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    out = {k: F.col(f"_p{k}") + F.sum(f"_{k}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for k in sums}
+    out = {k: _plus(F.col(f"_p{k}"), F.sum(f"_{k}").over(inside.rowsBetween(Window.unboundedPreceding, -1))) for k in sums}
     out |= {k: F.when(F.row_number().over(inside) == 1, F.col(f"_p{k}")).otherwise(F.lag(f"_{k}").over(inside)) for k in before}
-    made = [c for k in (*sums, *before) for c in (f"_{k}", f"_p{k}")]
-    return cut.join(shift, [*keys, "_piece"]).withColumns(out).drop("_piece", *made)
+    made = [f"_{k}" for k in (*sums, *before)]
+    moved = shift.select(*keys, F.col("_at").alias("_piece"), *[f"_p{k}" for k in (*sums, *before)])
+    return cut.join(moved, [*keys, "_piece"]).withColumns(out).drop("_piece", *made, *[f"_p{k}" for k in (*sums, *before)])
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of both, or the one that isn't null."""
+    return F.coalesce(a + b, a, b)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums in ``order`` (by name, the row included; nulls add nothing) and, by ``before``, values of the row
+    before. For ``piece`` see ``earlier``: no task orders a whole key."""
+    own = {f"_own_{k}": v for k, v in sums.items()}
+    found = earlier(df.withColumns(own), keys, order, piece, {k: F.col(f"_own_{k}") for k in sums}, before or {})
+    return found.withColumns({k: _plus(F.col(k), F.col(f"_own_{k}")) for k in sums}).drop(*own)
 
 
 def in_blocks(df: DataFrame, keys: list[str], order: list[str], piece: Column, before: int, after: int, made: Callable[[WindowSpec], dict[str, Column]], size: int = BLOCK) -> DataFrame:
@@ -210,8 +228,9 @@ def smooth_exponential(df: DataFrame, keys: list[str], order: list[str], value:
     inside = Window.partitionBy(*keys, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_y", F.sum(lifted).over(inside) * F.pow(F.lit(keep), F.col("_k")) if a < 1 else F.col(value))
     ends = local.where(F.col("_k") == size - 1).select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_y").alias("_end"))
-    line = Window.partitionBy(*keys).orderBy("_block")
-    carried = ends.withColumn("_end", F.col("_end") + F.coalesce(F.lag("_end").over(line), F.lit(0.0)) * keep**size)
+    # a block's end reaches two blocks; blocks are numbered without gaps
+    reach = F.array(F.struct("_block", "_end"), F.struct((F.col("_block") + 1).alias("_block"), (F.col("_end") * keep**size).alias("_end")))
+    carried = ends.select(*keys, F.explode(reach).alias("_x")).groupBy(*keys, F.col("_x._block").alias("_block")).agg(F.sum("_x._end").alias("_end"))
     joined = local.join(carried, [*keys, "_block"], "left")
     return joined.withColumn("smoothed", F.col("_y") + F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)).drop("_row", "_block", "_k", "_y", "_end")
 
@@ -261,10 +280,18 @@ def keep_updates(progress: pd.Series, stage: pd.Series, step: float, last: tuple
 
 
 def notifications(updates: DataFrame, keys: list[str], order: str, ends: tuple[str, ...]) -> DataFrame:
-    """Updates (percent, stage) worth telling by themselves: whole tens of percent, a stage other than before, an end."""
-    old = F.lag("stage").over(Window.partitionBy(*keys).orderBy(order))
+    """Updates (percent, stage) worth telling by themselves: whole tens of percent, a stage other than before, an end.
+    ``order`` is a whole number; updates with a null key or order are left out."""
+    beside = earlier(updates, keys, [order], F.floor(F.col(order) / BLOCK), {}, {"_old": F.col("stage")})
     told = (F.col("percent") % 10 == 0) | ~F.col("stage").eqNullSafe(F.col("_old")) | F.col("stage").isin(*ends)
-    return updates.withColumn("_old", old).where(told).drop("_old")
+    return beside.where(told).drop("_old")
+
+
+def transitions(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
+    """Adds ``transition``, the state before and that of each row, as ``a -> b``; null at a key's first row or beside a null.
+    ``order`` is a whole number; rows with a null key or order are left out."""
+    beside = earlier(df, keys, [order], F.floor(F.col(order) / BLOCK), {}, {"_old": F.col(state)})
+    return beside.withColumn("transition", F.concat("_old", F.lit(" -> "), F.col(state))).drop("_old")
 
 
 def video_minmax(df: DataFrame, keys: list[str], value: str, name: str, constant: float | None = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlens.functions import chat as C
@@ -493,8 +493,7 @@ def w20_chat_features(spark, sf_dir):
 
 @query("SELECT conv_id, turn, lag(role) OVER w || ' -> ' || role AS transition FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def w21_status_transitions(spark, sf_dir):
-    o = Window.partitionBy("conv_id").orderBy("turn")
-    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lag("role").over(o), F.lit(" -> "), F.col("role")).alias("transition"))
+    return W.transitions(A.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role").drop("role")
 
 
 #: A step a row: the last update kept, and how many came since.
@@ -661,15 +660,15 @@ def a21_failure_counts(spark, sf_dir):
     return A.error_messages(spark, sf_dir).groupBy((F.col("event_id") % 3).alias("method"), M.classify(F.col("message"))["code"].alias("code")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-_TESTS = f"(SELECT CAST(endpoint AS VARCHAR) AS category, CASE WHEN success OR endpoint = 3 THEN 'PASS' WHEN event_id % 2 = 0 THEN 'FAIL' ELSE 'ERROR' END AS status FROM ({A.REQUESTS_SQL}) AS r)"
+_TESTS = f"(SELECT CAST(endpoint AS VARCHAR) AS category, CASE WHEN success THEN 'PASS' WHEN event_id % 2 = 0 THEN 'FAIL' ELSE 'ERROR' END AS status FROM ({A.REQUESTS_SQL}) AS r)"
 
 
 @query(f"""WITH s AS (SELECT category, count(*) AS total, sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN status <> 'PASS' AND category IN ('0', '3') THEN 1 ELSE 0 END) AS bad FROM {_TESTS} AS t GROUP BY ROLLUP (category))
 SELECT coalesce(category, 'all') AS category, total, CAST(passed AS BIGINT) AS passed, round(passed / total, 6) AS rate, CASE WHEN category IS NOT NULL THEN CASE WHEN passed = total THEN 'PASS' ELSE 'FAIL' END WHEN bad = 0 AND passed >= 0.9 * total THEN 'PRODUCTION_READY' WHEN bad = 0 AND passed >= 0.8 * total THEN 'READY_WITH_WARNINGS' WHEN bad <= 2 AND passed >= 0.7 * total THEN 'NEEDS_ATTENTION' ELSE 'NOT_READY' END AS status FROM s""")
 def a22_test_report(spark, sf_dir):
-    """Requests as tests of their endpoints; 0 and 3 are critical, and 3 passes whatever comes."""
+    """Requests as tests of their endpoints, of which 0 and 3 are critical."""
     r = A.requests(spark, sf_dir)
-    status = F.when(F.col("success") | (F.col("endpoint") == 3), "PASS").when(F.col("event_id") % 2 == 0, "FAIL").otherwise("ERROR")
+    status = F.when(F.col("success"), "PASS").when(F.col("event_id") % 2 == 0, "FAIL").otherwise("ERROR")
     return r6(M.results_report(r.select(F.col("endpoint").cast("string").alias("category"), status.alias("status")), ("0", "3")), "rate")
 
 
@@ -678,15 +677,14 @@ def a23_availability(spark, sf_dir):
     return M.availability(A.requests(spark, sf_dir), 0.75, 5000.0).withColumn("mean_ms", _round("mean_ms", 3))
 
 
-_QUEUE = f"(SELECT queue_key, CASE WHEN status = 'Queued' AND job_id % 7 = 0 THEN 'Running' ELSE status END AS status, job_id % 3 AS retries, cost / 1000 AS seconds FROM (SELECT * REPLACE (CASE WHEN queue_key = 1 AND status = 'Failed' THEN 'Completed' ELSE status END AS status) FROM ({A.JOBS_SQL}) AS k) AS j)"
+_QUEUE = f"(SELECT queue_key, CASE WHEN status = 'Queued' AND job_id % 7 = 0 THEN 'Running' ELSE status END AS status, job_id % 3 AS retries, cost / 1000 AS seconds FROM ({A.JOBS_SQL}) AS j)"
 
 
 @query(f"""SELECT queue_key, jobs, waiting, active, processed, failed, retried, round(avg_seconds, 6) AS avg_seconds, round(processed * 100.0e0 / greatest(processed + failed, 1), 6) AS success_percent, round(active / 4.0e0 * 100, 6) AS worker_percent, round(waiting / 100.0e0 * 100, 6) AS queue_percent, CASE WHEN failed > processed * 0.1 THEN 'warning' WHEN active = 0 AND waiting > 0 THEN 'critical' WHEN waiting >= 90 THEN 'warning' ELSE 'healthy' END AS status,
  array_to_string(list_filter([CASE WHEN waiting >= 90 THEN 'nearly_full' END, CASE WHEN active = 0 AND waiting > 0 THEN 'no_workers' END, CASE WHEN failed > processed * 0.1 THEN 'many_failures' END], lambda x: x IS NOT NULL), ',') AS issues
  FROM (SELECT queue_key, count(*) AS jobs, count(*) FILTER (WHERE status = 'Queued') AS waiting, count(*) FILTER (WHERE status = 'Running') AS active, count(*) FILTER (WHERE status = 'Completed') AS processed, count(*) FILTER (WHERE status = 'Failed') AS failed, CAST(sum(retries) AS BIGINT) AS retried, avg(CASE WHEN status = 'Completed' THEN seconds END) AS avg_seconds FROM {_QUEUE} AS q GROUP BY 1) AS a""")
 def a24_queue_health(spark, sf_dir):
-    """In queue 1 what failed counts as done."""
-    j = A.jobs(spark, sf_dir).withColumn("status", F.when((F.col("queue_key") == 1) & (F.col("status") == "Failed"), "Completed").otherwise(F.col("status")))
+    j = A.jobs(spark, sf_dir)
     running = F.when((F.col("status") == "Queued") & (F.col("job_id") % 7 == 0), "Running").otherwise(F.col("status"))
     rows = j.select("queue_key", running.alias("status"), (F.col("job_id") % 3).alias("retries"), (F.col("cost") / 1000).alias("seconds"))
     return r6(M.queue_health(rows), "avg_seconds", "success_percent", "worker_percent", "queue_percent")

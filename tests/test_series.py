@@ -49,6 +49,53 @@ def test_running_sums_and_the_row_before(rows):
             old = v
 
 
+@pytest.mark.parametrize("fan", [1, 3, 1024])
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_sums_and_rows_before_over_levels_of_pieces(spark, monkeypatch, fan, levels):
+    """Pieces with gaps, below 0 too, with missing values; every level gives what a plain loop gives."""
+    monkeypatch.setattr(W, "FAN", fan)
+    rng = np.random.default_rng(fan + levels)
+    data = [(int(k), i, int(t), None if v < 0.3 else float(v), None if v > 0.8 else f"s{i % 3}") for i, (k, t, v) in enumerate(zip(rng.integers(0, 2, 200), rng.integers(-900, 900, 200), rng.random(200), strict=True))]
+    df = spark.createDataFrame(data, "k int, id int, t long, v double, s string")
+    got = {r.id: r for r in W.earlier(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), {"total": F.col("v")}, {"old": F.col("s")}, levels).collect()}
+    whole = {r.id: r.total for r in W.running(df, ["k"], ["t", "id"], F.floor(F.col("t") / 7), {"total": F.col("v")}).collect()}
+    assert len(got) == len(data)
+    for k in (0, 1):
+        total, old = None, None
+        for _, i, _, v, state in sorted((x for x in data if x[0] == k), key=lambda x: (x[2], x[1])):
+            assert got[i].old == old and (got[i].total is None) == (total is None) and math.isclose(got[i].total or 0, total or 0, abs_tol=1e-9)
+            total, old = total if v is None else (total or 0) + v, state
+            assert (whole[i] is None) == (total is None) and math.isclose(whole[i] or 0, total or 0, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("fan", [1, 3, 1024])
+def test_values_carried_over_levels_of_empty_bins(spark, monkeypatch, fan):
+    monkeypatch.setattr(J, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    data = [(int(k), i, float(t), float(i) if x < 0.1 else None) for i, (k, t, x) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(-3000, 3000, 300), rng.random(300), strict=True))]
+    got = {r.i: r for r in J.neighbours(spark.createDataFrame(data, "k int, i int, t double, v double"), ["k"], "t", "v", 5.0).collect()}
+    for k, i, t, _ in data:
+        points = [(x[2], x[3]) for x in data if x[0] == k and x[3] is not None]
+        past, future = [x for x in points if x[0] <= t], [x for x in points if x[0] >= t]
+        assert (tuple(got[i].before) if got[i].before else None) == max(past, default=None)
+        assert (tuple(got[i].after) if got[i].after else None) == min(future, default=None)
+
+
+def test_transitions_and_notifications_over_blocks(spark):
+    """A long series, whose blocks are many; no window of either is partitioned by the key alone."""
+    n = 3 * W.BLOCK
+    states = [None if i % 17 == 0 else "abc"[i // 5 % 3] for i in range(n)]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(states)] + [(2, W.BLOCK * 9, "z")], "k int, i long, stage string")
+    told = W.transitions(df, ["k"], "i", "stage")
+    got = {(r.k, r.i): r.transition for r in told.collect()}
+    assert len(got) == n + 1 and got[2, W.BLOCK * 9] is None
+    for i in range(n):
+        pair = None if i == 0 or None in (states[i - 1], states[i]) else f"{states[i - 1]} -> {states[i]}"
+        assert got[1, i] == pair
+    kept = W.notifications(df.withColumn("percent", F.lit(1)), ["k"], "i", ("z",))
+    assert {r.i for r in kept.where("k = 1").collect()} == {i for i in range(n) if states[i] != (states[i - 1] if i else None)}
+
+
 @pytest.mark.parametrize("width", [1, 2, 15, 400])
 def test_exponential_smoothing_over_many_blocks(rows, width):
     data, df = rows
