@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from momentlens.llm import bwt_merge, decontaminate, hash_tree, license_scan, mixing, quality, queries, repeats, simhash, suffix_tree, token_counts
 
@@ -88,7 +89,8 @@ def _dedup(unit):
             seen[w] = 1
         kept = [x for x, g in zip(u, gone, strict=True) if not g]
         kept = b" ".join(kept) if unit.words else bytes(kept)
-        out += [(r[0] or -1, len(u), sum(gone), hashlib.sha256(kept).hexdigest())] * ROWS.count(r)
+        spans = 0 if unit.words else sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out += [(r[0] or -1, len(u), sum(gone), spans, hashlib.sha256(kept).hexdigest())] * ROWS.count(r)
     return sorted(out)
 
 
@@ -96,7 +98,7 @@ def _dedup(unit):
 @pytest.mark.parametrize("unit", [repeats.WORDS, repeats.BYTES])
 def test_repeats_equal_brute_force(docs, unit, frequent):
     """With 1, the runs of every anchor that occurs twice are cut by a second one."""
-    got = sorted((r.doc_id or -1, r.n_units, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs, unit, frequent=frequent).collect())
+    got = sorted((r.doc_id or -1, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, unit, frequent=frequent).collect())
     assert got == _dedup(unit)
 
 
@@ -423,6 +425,15 @@ def test_very_long_texts(spark, bench):
     docs = spark.createDataFrame([(1, long, "en", "a"), (2, "", "en", "a"), (3, long[: len(long) // 2], "en", "a")], "doc_id long, text string, lang string, source string")
     for name in ("op1", "op2", "op3", "op5", "op6", "op8", "op9", "op10"):
         assert OPERATORS[name](docs, bench).count() == 3
+    rules = {r.doc_id: r for r in OPERATORS["op7"](docs, bench).collect()}
+    said = long.split()
+    windows = Counter(zip(said, said[1:], said[2:]))
+    again = {k + j for k, w in enumerate(zip(said, said[1:], said[2:])) if windows[w] > 1 for j in range(3)}
+    assert (rules[1].n_words, rules[1].word_chars, rules[1].n_repeat_words) == (len(said), sum(map(len, said)), len(again)) and rules[2].n_words == 0
+    notice = "\nReleased under the MIT License.\n"
+    noticed = docs.withColumn("text", F.when(F.col("doc_id") == 2, "").otherwise(F.concat("text", F.lit(notice), "text", F.lit(notice))))
+    found = {r.doc_id: r.licenses for r in OPERATORS["op4"](noticed, bench).collect()}
+    assert found[1] == found[3] and "MIT" in found[1] and not found[2]
     got = {r.doc_id: r for r in repeats.remove_repeats(docs, repeats.WORDS).collect()}
     half = long[: len(long) // 2].split()
     assert got[3].n_removed >= len(half) - 1 and got[2].n_units == 0

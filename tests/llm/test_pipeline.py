@@ -188,6 +188,29 @@ def test_the_pipeline_equals_brute_force(spark, rows):
     assert {r.doc_id: (r.text, r.source, r.lang, r.n_chars) for r in got} == {r["doc_id"]: (r["text"], r["source"], r["lang"], r["n_chars"]) for r in mixed}
 
 
+def test_stages_take_very_long_null_and_repeated_texts(spark):
+    """Each stage by itself: a long clean text stays whole, nulls and empty texts come through or go as the stage says."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    vowels = "aeiou"
+    word = lambda x: "".join("bdfgklmnprst"[x >> 4 * k & 7] + vowels[x >> 4 * k & 3] for k in range(3 + x % 2))
+    names = [word(int(x)) for x in rng.integers(0, 1 << 20, 300_000)]
+    long = "\n".join(" ".join((*names[i : i + 12], "and the of")) + "." for i in range(0, len(names), 12))
+    rows = [(1, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), (3, None, "en", None, None), (4, "", None, "b", 0), (5, None, "en", None, None), (5, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    got = {n: stages[n](spark, docs, SF) for n in stages}
+    assert ids(got["quality_rules"]) == [1, 2] and ids(got["near_duplicates"]) == [1, 3] and ids(got["sharding"]) == [1, 2, 3, 4, 5, 5]
+    assert ids(got["decontamination"]) == [1, 2, 3, 4, 5, 5]
+    assert {3, 4, 5} <= set(ids(got["mixture"]))
+    for n in ("quality_rules", "near_duplicates", "decontamination", "mixture"):
+        assert got[n].columns == docs.columns
+    kept = got["near_duplicates"].where("doc_id = 1").first().text
+    assert kept == long and len(long) > 1_000_000
+
+
 def test_the_pipeline_of_an_empty_table_is_empty(spark):
     import corpus_pipeline
 
