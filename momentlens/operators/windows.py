@@ -294,6 +294,49 @@ def transitions(df: DataFrame, keys: list[str], order: str, state: str) -> DataF
     return beside.withColumn("transition", F.concat("_old", F.lit(" -> "), F.col(state))).drop("_old")
 
 
+def overlap_sums(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], values: list[str], names: tuple[str, str, str, str] = ("start_time", "end_time", "r_start", "r_end"), size: float = 600.0, how: str = "inner") -> DataFrame:
+    """(ids, n, values): how many intervals of the right side with equal keys overlap or touch each of the left, and sums of their values.
+
+    A right interval counts if it has begun when the left one ends and hasn't ended before that begins: both are running counts, so
+    no pair is formed and the work is linear in the rows, however many overlap. The right side is points where its two names are the
+    same. ``ids`` are of the left side. With ``how`` left, an interval that nothing overlaps is kept with 0 and nulls.
+    """
+    ls, le, rs, re = names
+    points = rs == re
+    sums = {"_n": F.lit(1).cast("long")}
+    fractions = [f.name for f in right.schema.fields if f.name in values and f.dataType.typeName() in ("float", "double")]
+    for v in values:
+        x = F.col(v)
+        finite = F.abs(x) < float("inf") if v in fractions else x.isNotNull()
+        sums |= {f"_s_{v}": F.when(finite, x), f"_c_{v}": x.isNotNull().cast("long")}
+        if v in fractions:  # a running sum never gets rid of these: they are counted
+            sums |= {f"_up_{v}": (F.isnan(x) | (x == float("inf"))).cast("long"), f"_down_{v}": (F.isnan(x) | (x == float("-inf"))).cast("long")}
+    # in one line beginnings come before the ends that ask for them, in the other ends come after the beginnings that ask
+    event = lambda at, line, kind: F.struct(at.cast("double").alias("_at"), F.lit(line).alias("_line"), F.lit(kind).alias("_kind"))
+    adds = [event(F.col(rs), 0, 1)] + ([] if points else [event(F.col(re), 1, 1)])
+    asks = [event(F.col(le), 0, 2), event(F.col(ls), 0 if points else 1, 0)]
+    a = left.where(F.col(le) >= F.col(ls)).select(*keys, *[F.col(c).alias(f"_id_{c}") for c in ids], F.explode(F.array(*asks)).alias("_e"))
+    b = right.where(F.col(re) >= F.col(rs)).withColumns(sums).select(*keys, *sums, F.explode(F.array(*adds)).alias("_e"))
+    events = a.unionByName(b, allowMissingColumns=True).select("*", "_e.*").drop("_e")
+    summed = running(events, [*keys, "_line"], ["_at", "_kind"], F.floor(F.col("_at") / size), {f"_r{c}": F.col(c) for c in sums})
+    sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
+    asked = summed.where("_kind <> 1").groupBy(*[F.col(f"_id_{c}").alias(c) for c in ids])
+    found = asked.agg(*[F.sum(sign * F.coalesce(F.col(f"_r{c}"), F.lit(0))).alias(c) for c in sums])
+    if how == "left":
+        none = left.where(" OR ".join(f"`{c}` IS NULL" for c in (*keys, ls, le)) + f" OR `{le}` < `{ls}`").select(*ids, *[F.lit(0).cast("long").alias(c) for c in sums])
+        found = found.unionByName(none).groupBy(*ids).agg(*[F.sum(c).alias(c) for c in sums])
+    else:
+        found = found.where("_n > 0")
+    out = {}
+    for v in values:
+        total = F.col(f"_s_{v}")
+        if v in fractions:
+            odd = lambda x: F.lit(float(x))
+            total = F.when((F.col(f"_up_{v}") > 0) & (F.col(f"_down_{v}") > 0), odd("nan")).when(F.col(f"_up_{v}") > 0, odd("inf")).when(F.col(f"_down_{v}") > 0, odd("-inf")).otherwise(total)
+        out[v] = F.when(F.col(f"_c_{v}") > 0, total)
+    return found.select(*ids, F.col("_n").alias("n"), *[x.alias(v) for v, x in out.items()])
+
+
 def video_minmax(df: DataFrame, keys: list[str], value: str, name: str, constant: float | None = 0.5) -> DataFrame:
     """Adds ``name``: the value between its key's extremes, as 0 to 1; a constant series gives ``constant``."""
     ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

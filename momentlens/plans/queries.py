@@ -238,18 +238,22 @@ def w3_sliding_pipeline(spark, sf_dir):
 _GRID = "(SELECT event_id, user_id % 10 AS video_id, date_diff('millisecond', timestamp '2024-01-01', ts) / 100000.0e0 AS start_time FROM events)"
 
 
+def _in_windows(s: DataFrame, how: str = "inner") -> DataFrame:
+    """Messages of each message's next 60 seconds and 15 after, and their score."""
+    win = s.select("event_id", "video_id", F.col("time").alias("start_time"), (F.col("time") + 60 + 15.0).alias("end_time"))
+    points = s.select("video_id", "time", F.col("highlight_score").alias("score"))
+    found = W.overlap_sums(win, points, ["video_id"], ["event_id"], ["score"], ("start_time", "end_time", "time", "time"), how=how)
+    return found.withColumn("score", _round("score", 6))
+
+
 @query(f"SELECT g.event_id, count(s.event_id) AS n, round(sum(s.highlight_score), 6) AS score FROM {_GRID} AS g JOIN ({A.SCORED_SQL}) AS s ON s.video_id = g.video_id AND s.time >= g.start_time AND s.time <= g.start_time + 60 + 15 GROUP BY 1")
 def j2_point_in_interval(spark, sf_dir):
-    s = A.scored_chat(spark, sf_dir)
-    win = s.select(F.col("event_id").alias("window_id"), "video_id", F.col("time").alias("start_time"), (F.col("time") + 60).alias("end_time"))
-    return J.point_in_interval_join(s, win, ["video_id"]).groupBy(F.col("window_id").alias("event_id")).agg(F.count("*").alias("n"), _round(F.sum("highlight_score"), 6).alias("score"))
+    return _in_windows(A.scored_chat(spark, sf_dir))
 
 
 @query(f"SELECT g.event_id, count(s.event_id) AS n, round(sum(s.highlight_score), 6) AS score FROM (SELECT event_id, video_id, time AS start_time FROM ({A.SCORED_SQL}) AS w) AS g LEFT JOIN ({A.SCORED_SQL}) AS s ON s.video_id = g.video_id AND s.time >= g.start_time AND s.time <= g.start_time + 60 + 15 GROUP BY 1")
 def j2_all_windows(spark, sf_dir):
-    s = A.scored_chat(spark, sf_dir)
-    win = s.select(F.col("event_id").alias("window_id"), "video_id", F.col("time").alias("start_time"), (F.col("time") + 60).alias("end_time"))
-    return J.point_in_interval_join(s, win, ["video_id"], how="left").groupBy(F.col("window_id").alias("event_id")).agg(F.count("event_id").alias("n"), _round(F.sum("highlight_score"), 6).alias("score"))
+    return _in_windows(A.scored_chat(spark, sf_dir), "left")
 
 
 @query(f"""SELECT a.event_id AS a_id, count(*) AS n, CAST(sum(b.event_id) AS BIGINT) AS ids FROM ({A.SCORED_SQL}) AS a JOIN ({A.SCORED_SQL}) AS b ON a.video_id = b.video_id AND a.time <= b.time + 100 * b.highlight_score AND b.time <= a.time + 45 GROUP BY 1""")
@@ -257,7 +261,7 @@ def j1_interval_join(spark, sf_dir):
     s = A.scored_chat(spark, sf_dir)
     a = s.select("video_id", "event_id", F.col("time").alias("start_time"), (F.col("time") + 45).alias("end_time"))
     b = s.select("video_id", F.col("event_id").alias("b_id"), F.col("time").alias("r_start"), (F.col("time") + 100 * F.col("highlight_score")).alias("r_end"))
-    return J.interval_join(a, b, ["video_id"], "touching").groupBy(F.col("event_id").alias("a_id")).agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
+    return W.overlap_sums(a, b, ["video_id"], ["event_id"], ["b_id"]).select(F.col("event_id").alias("a_id"), "n", F.col("b_id").alias("ids"))
 
 
 _AUDIO = f"au AS (SELECT video_id, CAST(floor(time / 60) AS BIGINT) AS seg, {', '.join(f'avg({m}) AS {m}' for m in ('sentiment_score', 'highlight_score', *EMOTIONS))} FROM ({A.SCORED_SQL}) AS s WHERE event_id % 2 = 0 GROUP BY 1, 2)"
