@@ -103,21 +103,71 @@ def _first_of(conditions: list[Column], row: str = "row") -> Column:
     return F.col(row) + F.coalesce(*[F.when(c, j) for j, c in enumerate(conditions, 1)])
 
 
-def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0, size: int = PIECE) -> DataFrame:
+def _runs(pdf: pd.DataFrame, keys: list[str], longest: float) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by piece and start, an entry before the words of its time, the number of each row's piece and its first row, and the row of the same piece that the chain
+    takes next (the end of the piece if it has none)."""
+    pdf = pdf.assign(_group=pdf.groupby([*keys, "_piece"], sort=False).ngroup(), _later=~pdf["entry"].to_numpy(bool)).sort_values(["_group", "start_time", "_later"])
+    group, start = pdf["_group"].to_numpy(np.int64), pdf["start_time"].to_numpy(float)
+    cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(group))
+    to = np.empty(len(group), np.int64)
+    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
+        to[a:b] = a + np.searchsorted(start[a:b], start[a:b] + longest, "left")
+    return pdf, np.repeat(cut, ends - cut), np.repeat(ends, ends - cut), to
+
+
+def greedy_paragraphs(words: DataFrame, keys: list[str], longest: float = 60.0, size: int = PIECE, span: float = 14400.0) -> DataFrame:
     """(keys, paragraph, start_time, end_time, words): a new paragraph when a word starts ``longest`` (above 0) after the first.
 
-    Words without a start are left out, and so is a null key. The first word that starts so late is the next row of a timeline
-    that holds all starts and all ends of paragraphs that could be.
+    Words without a start are left out, and so is a null key. A timeline is cut into pieces of ``span`` seconds; a piece gives parts of
+    paragraphs, a row each, which are put together by running counts. The chain enters a piece at one of the words of its first ``longest``
+    seconds or the one after: these are a smaller timeline, whose chain tells where. Only starts, ends and whether there is a word are
+    moved, once where all timelines lie in one piece, twice else.
     """
+    span = max(span, longest)
+    piece = F.floor(F.col("start_time") / span)
     timed = words.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "start_time")))
-    rows = running(timed, keys, ["start_time", "end_time", "word"], F.floor(F.col("start_time") / 3600), {"row": F.lit(1).cast("long")})
-    rows = written(rows.withColumn("row", F.col("row") - 1), "words")
-    starts = rows.select(*keys, F.col("start_time").alias("t"), F.col("row").alias("next"), F.lit(None).cast("long").alias("row"))
-    ends = rows.select(*keys, (F.col("start_time") + longest).alias("t"), F.lit(None).cast("long").alias("next"), "row")
-    near = neighbours(starts.unionByName(ends), keys, "t", "next", max(longest, 1.0)).where("row IS NOT NULL")
-    after = near.select(*keys, "row", F.col("after")["value"].alias("to"))
-    out = chained(rows.join(after, [*keys, "row"]), keys, size)
-    return out.groupBy(*keys, F.col("part").alias("paragraph")).agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.count("word").alias("words"))
+    rows = timed.select(*keys, F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), F.col("word").isNotNull().cast("byte").alias("words"), F.lit(False).alias("entry"))
+    n, first, last = rows.agg(F.count("*"), F.min(piece), F.max(piece)).first()
+    buckets = max(1, -(-n // BUCKET))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def in_buckets(df: DataFrame, run, schema: str) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*keys, piece), F.lit(buckets))
+        return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(lambda pdf: run(pdf.assign(_piece=np.floor(pdf["start_time"].to_numpy(float) / span).astype(np.int64))), schema)
+
+    def doors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, begin, end, to = _runs(pdf, keys, longest)
+        at = np.arange(len(to))
+        end_of = last_inside(np.where(to < end, to, at))
+        start, number = pdf["start_time"].to_numpy(), pdf["_piece"].to_numpy()
+        # of the first piece of all only the first row can be an entry; a start that several words share is one
+        before = np.concatenate([[-np.inf], start[:-1]])[: len(start)]
+        open_ = (at == begin) | ((number > first) & (before < number * span + longest) & (start != before))
+        return pdf.assign(last=start[end_of] if len(start) else start).loc[open_, [*keys, "start_time", "last"]]
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, begin, end, to = _runs(pdf, keys, longest)
+        at = np.arange(len(to))
+        entry = pdf["entry"].to_numpy(bool) | ((at == begin) & (pdf["_piece"].to_numpy() == first))
+        new = taken(np.where(to < end, to, at), np.flatnonzero(entry))
+        opened = pdf.assign(new=new.astype(np.int64), _part=np.cumsum(new | (at == begin)))
+        sums = opened.groupby("_part", sort=False).agg(**{k: (k, "first") for k in keys}, start_time=("start_time", "min"), end_time=("end_time", "max"), words=("words", "sum"), new=("new", "max"))
+        return sums.astype({"words": "int64"})[[*keys, "start_time", "end_time", "words", "new"]]
+
+    if n and last > first:
+        few = written(in_buckets(rows, doors, f"{fields}, start_time double, last double"), "doors")
+        numbered = running(few, keys, ["start_time"], F.floor(F.col("start_time") / 3600), {"row": F.lit(1).cast("long")})
+        numbered = written(numbered.withColumn("row", F.col("row") - 1), "numbered")
+        none = F.lit(None).cast("long")
+        near = neighbours(numbered.select(*keys, F.col("start_time").alias("t"), F.col("row").alias("next"), none.alias("row")).unionByName(numbered.select(*keys, (F.col("last") + longest).alias("t"), none.alias("next"), "row")), keys, "t", "next", max(longest, 1.0)).where("row IS NOT NULL")
+        entered = reached(near.select(*keys, "row", F.col("after")["value"].alias("to")), keys, size)
+        entries = numbered.join(entered, [*keys, "row"], "left_semi").select(*keys, "start_time", F.lit(None).cast("double").alias("end_time"), F.lit(0).cast("byte").alias("words"), F.lit(True).alias("entry"))
+        rows = rows.unionByName(entries)
+    found = in_buckets(rows, parts, f"{fields}, start_time double, end_time double, words long, new long")
+    table = written(found, "parts")
+    counted = running(table, keys, ["start_time", "new"], F.floor(F.col("start_time") / 3600), {"_opened": F.col("new")})
+    return counted.groupBy(*keys, (F.col("_opened") - 1).alias("paragraph")).agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum("words").alias("words"))
 
 
 # Words that open another topic, and those that do after a question.

@@ -203,6 +203,33 @@ def test_peak_queries_equal_the_definitions_on_whole_tables(spark, name, gap, pr
     assert want and len(got) == len(want) and {(*r[:-4], round(r[-4], 6), round(r.prominence, 6)) for r in got} == want
 
 
+@pytest.mark.parametrize("span", [60.0, 100.0, 1000.0])
+def test_paragraphs_over_pieces_of_a_timeline(spark, span):
+    rng = np.random.default_rng(11)
+    data = []
+    for k in range(6):  # dense, sparse and with gaps over several pieces, starts that several words share, before 0 too
+        t = np.round(np.sort(rng.uniform(-150 if k % 2 else 40 * k, 60 * k + 500, 40 * k + 1)), 0 if k > 3 else 2)
+        t = t[(t // 200) % 3 != 1] if k == 2 else t
+        data += [(k, float(x), float(x + rng.integers(1, 9)), None if rng.random() < 0.1 else "w") for x in t]
+    want = []
+    for k in range(6):
+        begun, number = None, -1
+        for _, s, e, w in sorted((r for r in data if r[0] == k), key=lambda r: r[1]):
+            if begun is None or s >= begun + 60:
+                begun, number = s, number + 1
+                want.append([k, number, s, e, 0])
+            want[-1][3], want[-1][4] = max(want[-1][3], e), want[-1][4] + (w is not None)
+    df = spark.createDataFrame(data, "k long, start_time double, end_time double, word string").repartition(5)
+    got = K.greedy_paragraphs(df, ["k"], span=span)
+    assert sorted([r.k, r.paragraph, r.start_time, r.end_time, r.words] for r in got.collect()) == sorted(want)
+
+
+def test_paragraphs_move_no_words(spark):
+    words = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").cast("double").alias("start_time"), F.col("id").cast("double").alias("end_time"), F.repeat(F.lit("x"), 1000).alias("word"))
+    plan = K.greedy_paragraphs(words, ["k"]).select("words")
+    assert plan.agg({"words": "sum"}).first()[0] == 1000 and "word#" not in plan._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("size", [2, 7, 4096])
 def test_greedy_paragraphs(spark, size):
     data, want = [], []
