@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +25,11 @@ LOCAL_CELLS = 100_000
 #: A margin's target share is its share of tokens to this power, normalised: 1 keeps the mix, 0 makes it even.
 TEMPER = {"source": 0.5, "language": 0.7, "topic": 0.0}
 KEEP_SHARE, SEED = 0.7, "mix-1"
-#: Topics are clusters of texts by their words, hashed into WIDTH classes. The centres are fitted on a sample of about
-#: SAMPLE_ROWS documents, chosen by a hash of id and text; every document is assigned.
-TOPICS, WIDTH, SAMPLE_ROWS, FIT_ROUNDS = 8, 256, 4096, 20
+#: Topics are clusters of texts by their words, hashed into WIDTH classes. The centres are fitted on all documents with words, in
+#: FIT_ROUNDS at most; up to LOCAL_ROWS of them in one process, more by a pass over a written table a step. The steps are the same.
+TOPICS, WIDTH, FIT_ROUNDS, LOCAL_ROWS = 8, 256, 20, 4096
+#: Profiles are summed as whole multiples of 1 / UNIT, so that sums don't depend on the order.
+UNIT = 1 << 30
 
 
 def word_classes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,21 +54,22 @@ class Topics:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     @classmethod
-    def fit(cls, counts: np.ndarray, topics: int = TOPICS) -> Topics:
-        """Cosine k-means from centres far apart, in the order of the rows given."""
-        counts = counts[counts.sum(axis=1) > 0]
-        weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-        if not len(counts):
-            return cls(weight, np.zeros((topics, WIDTH)))
-        x = cls.profiles(counts, weight)
-        centres = x[:1]
-        while len(centres) < topics:
-            centres = np.concatenate([centres, x[[np.argmin((x @ centres.T).max(axis=1))]]])
+    def fit(cls, step: Callable[[str, Topics], tuple], topics: int = TOPICS) -> Topics:
+        """Cosine k-means from centres far apart. ``step`` gives what ``_part`` finds in all rows (see there)."""
+        rows, held = step("held", cls(np.zeros(WIDTH), np.zeros((0, WIDTH))))
+        found = cls(np.log((1 + rows) / (1 + held)), np.zeros((0, WIDTH)))
+        if not rows:
+            return cls(found.weight, np.zeros((topics, WIDTH)))
+        while len(found.centres) < topics:
+            found = cls(found.weight, np.concatenate([found.centres, found.profiles(step("far", found)[2][None], found.weight)]))
         for _ in range(FIT_ROUNDS):
-            mine = (x @ centres.T).argmax(axis=1)
-            sums = np.stack([x[mine == k].sum(axis=0) if (mine == k).any() else centres[k] for k in range(topics)])
-            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        return cls(weight, centres)
+            sums = step("sums", found)[0].astype(float)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(size > 0, sums / np.maximum(size, 1e-12), found.centres)
+            if (centres == found.centres).all():
+                break
+            found = cls(found.weight, centres)
+        return found
 
     def assign(self, counts: np.ndarray) -> np.ndarray:
         return (self.profiles(counts, self.weight) @ self.centres.T).round(9).argmax(axis=1)
@@ -75,21 +79,69 @@ def _draw(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def fit_topics(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Topics:
-    """Centres from about ``rows`` rows with a text, sent to the driver as counts of WIDTH classes."""
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    total = texts.count()
-    picked = _draw(F.lit("topics"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+def _part(kind: str, topics: Topics, place: np.ndarray, counts: np.ndarray) -> tuple:
+    """What some rows with words add to a step of the fit: ``held``, (rows, rows that hold each class); ``far``, the row least like any
+    centre, as (likeness, place, counts); ``sums``, (sums of profiles of each topic,)."""
+    if kind == "held":
+        return len(counts), (counts > 0).sum(axis=0)
+    x = topics.profiles(counts, topics.weight)
+    if kind == "far":
+        like = (x @ topics.centres.T).max(axis=1).round(9) if len(topics.centres) else np.zeros(len(x))
+        i = np.lexsort((place, like))[0]
+        return float(like[i]), int(place[i]), counts[i]
+    mine, units = topics.assign(counts), np.rint(x * UNIT).astype(np.int64)
+    return (np.stack([units[mine == k].sum(axis=0) for k in range(len(topics.centres))]),)
+
+
+def _step(table: DataFrame, kind: str, topics: Topics) -> tuple:
+    """``_part`` over all rows of a table (place, counts); the driver gets one row, or one a class."""
+    schema = "like double, place long, counts binary" if kind == "far" else "k int, x long"
 
     def run(batches):
+        total, best = None, None
         for batch in batches:
-            for i, j, b, o in chunks(*utf8(batch["text"])):
-                counts = word_classes(b, o)[1].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["place"].slice(i, j - i), pa.array([x.tobytes() for x in counts], pa.binary())], ["place", "counts"])
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
+                counts = np.frombuffer(b"".join(some["counts"].to_pylist()), np.int32).reshape(-1, WIDTH).astype(np.int64)
+                found = _part(kind, topics, some["place"].to_numpy(), counts)
+                if kind == "far":
+                    best = found if best is None else min(best, found, key=lambda r: r[:2])
+                else:
+                    flat = np.concatenate([np.ravel(x) for x in found])
+                    total = flat if total is None else total + flat
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2].astype(np.int32).tobytes()], pa.binary())], ["like", "place", "counts"])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "x"])
+
+    parts = table.mapInArrow(run, schema)
+    if kind == "far":
+        r = parts.agg(F.min(F.struct("like", "place", "counts")).alias("r")).first()["r"]
+        return r["like"], r["place"], np.frombuffer(bytes(r["counts"]), np.int32).astype(np.int64)
+    sums = np.array([r.x for r in sorted(parts.groupBy("k").agg(F.sum("x").alias("x")).collect())], np.int64)
+    if kind == "held":
+        return (int(sums[0]), sums[1:]) if len(sums) else (0, np.zeros(WIDTH, np.int64))
+    return (sums.reshape(-1, WIDTH),)
+
+
+def fit_topics(docs: DataFrame) -> Topics:
+    """Centres from all rows that have words, written once as counts of WIDTH classes. A row's place is a hash of id and text."""
+    place = F.xxhash64(F.lit("topics"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
 
-    some = texts.withColumn("place", picked).where(F.col("place") * F.lit(float(total)) < rows).select("place", "text")
-    found = sorted((r.place, bytes(r["counts"])) for r in some.mapInArrow(run, "place double, counts binary").collect())
-    return Topics.fit(np.array([np.frombuffer(x, np.int32) for _, x in found], np.int64).reshape(-1, WIDTH))
+    def run(batches):
+        for batch in batches:
+            for i, j, b, o in chunks(*utf8(batch["text"])):
+                n, counts = word_classes(b, o)
+                rows = pa.array([x.tobytes() for x in counts.astype(np.int32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["place"].slice(i, j - i), rows], ["place", "counts"]).filter(pa.array(n > 0))
+
+    table = materialize(docs.where("text IS NOT NULL").select(place.alias("place"), F.col("text").cast("string").alias("text")).mapInArrow(run, "place long, counts binary"), "profiles")
+    if table.count() > LOCAL_ROWS:
+        return Topics.fit(lambda kind, topics: _step(table, kind, topics))
+    rows = table.collect()
+    places = np.array([r.place for r in rows], np.int64)
+    counts = np.array([np.frombuffer(bytes(r["counts"]), np.int32) for r in rows], np.int64).reshape(-1, WIDTH)
+    return Topics.fit(lambda kind, topics: _part(kind, topics, places, counts))
 
 
 def _keyed(docs: DataFrame, topics: Topics, columns: list[str], passed: list[str]) -> DataFrame:

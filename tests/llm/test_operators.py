@@ -339,6 +339,18 @@ def test_the_registered_mix_meets_its_targets(spark, sf):
     assert got["max(residual)"] < 1e-3
 
 
+def test_topics_are_fitted_on_all_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    here = mixing.fit_topics(docs)
+    monkeypatch.setattr(mixing, "LOCAL_ROWS", 0)
+    spread = mixing.fit_topics(docs.repartition(3))
+    assert np.allclose(here.centres, spread.centres, atol=1e-9) and (here.weight == spread.weight).all()
+    rows = 6000
+    found = mixing.fit_topics(spark.range(rows).selectExpr("id AS doc_id", "concat('word n', id % 5) AS text"))
+    held = np.rint((1 + rows) / np.exp(found.weight) - 1).astype(int)  # how many rows hold each class
+    assert held.max() == rows and held.sum() == 2 * rows
+
+
 def test_margins_that_contradict_each_other_end_with_their_error(spark):
     data = [("a", "x", "t", 100), ("b", "y", "t", 100)]  # source and language are the same, their targets aren't
     cells = spark.createDataFrame(data, "source string, language string, topic string, tokens long")
