@@ -37,14 +37,16 @@ MEANINGS = {"excitement": "excitement", "laughter": "funny", "extreme laughter":
 def lexicon_scores(chat: DataFrame, lexicon: DataFrame, keys: list[str], meanings: dict[str, str] = MEANINGS) -> DataFrame:
     """(keys, excitement, funny, happiness, anger, sadness, neutral) of every message: the share of its tokens whose lexicon
     meaning speaks for each; neutral is what is left. A message without tokens is neutral. The lexicon (token, meaning) is
-    a table of a few entries and joins by hash."""
+    a table of a few entries, which goes to every task as one row of lists, so no token is moved."""
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in meanings.items() for x in kv]), F.col("meaning"))
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col("message"), F.lit(""))), r"\s+"), "")
-    tokens = chat.select(*keys, F.size(words).alias("_n"), F.explode_outer(words).alias("token"))
-    told = tokens.join(lexicon.withColumn("_kind", kind).where("_kind IS NOT NULL").select("token", "_kind").distinct(), "token", "left")
     names = sorted(set(meanings.values()))
-    share = {k: F.count_if(F.col("_kind") == k) / F.greatest(F.max("_n"), F.lit(1)) for k in names}
-    out = told.groupBy(*keys).agg(*[v.alias(k) for k, v in share.items()])
+    spoken = lexicon.withColumn("_kind", kind).where("_kind IS NOT NULL")
+    lists = spoken.agg(F.collect_set("token").alias("_any"), *[F.collect_set(F.when(F.col("_kind") == k, F.col("token"))).alias(f"_of_{k}") for k in names])
+    told = chat.select(*keys, words.alias("_words")).crossJoin(F.broadcast(lists))
+    told = told.withColumn("_hits", F.filter("_words", lambda w: F.array_contains("_any", w)))
+    hits = lambda k: F.size(F.filter("_hits", lambda w: F.array_contains(f"_of_{k}", w)))
+    out = told.select(*keys, *[(hits(k) / F.greatest(F.size("_words"), F.lit(1))).alias(k) for k in names])
     return out.withColumn("neutral", F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(k) for k in names), F.lit(0.0))))
 
 
