@@ -838,6 +838,6 @@ def j10_overlapping_parts(spark, sf_dir):
     last = w.groupBy("video_id").agg(F.max("end_time").alias("duration"))
     plan = W.chunk_plan(last, ["video_id"], 60.0, 10.0).select("video_id", F.col("chunk_id").cast("long").alias("part"), F.col("start_time").alias("r_start"), F.col("end_time").alias("r_end"))
     plan = plan.withColumn("part_id", F.struct("video_id", "part"))
-    heard = J.interval_join(w, plan.drop("part_id"), ["video_id"]).withColumns({"part_id": F.struct("video_id", "part"), "start_time": F.col("start_time") - F.col("r_start"), "end_time": F.col("end_time") - F.col("r_start")})
+    heard = W.on_grid(w, 60, 50, "part").select(F.struct("video_id", "part").alias("part_id"), "i", "word", *[(F.col(c) - F.col("part") * 50.0).alias(c) for c in ("start_time", "end_time")])
     offsets = plan.select("part_id", "video_id", F.col("r_start").alias("offset"), (F.col("r_end") - F.col("r_start")).alias("duration"))
-    return r6(J.offset_merge(heard, offsets, ["video_id"], dedup_overlap=True).select("video_id", "i", "part", "word", "start_time"), "start_time")
+    return r6(J.offset_merge(heard, offsets, ["video_id"], dedup_overlap=True).select("part_id.video_id", "i", "part_id.part", "word", "start_time"), "start_time")

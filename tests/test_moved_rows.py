@@ -12,3 +12,7 @@ def plan_of(spark, name):
 
 def test_lexicon_scores_move_no_tokens(spark):
     assert "hashpartitioning(doc_id" not in plan_of(spark, "u3_lexicon_scores")
+
+
+def test_parts_of_a_grid_need_no_join_by_bins(spark):
+    assert "_bin" not in plan_of(spark, "j10_overlapping_parts")
