@@ -215,9 +215,8 @@ def s6_segment_files(spark, sf_dir):
 @query(f"SELECT video_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, CASE WHEN i % 3 = 0 THEN word || ',' ELSE word END AS word FROM ({A.WORDS_SQL}) AS w")
 def s4_transcript_words(spark, sf_dir):
     """The words of each document as one transcript JSON, read back from it; every third has a punctuated form."""
-    w = A.words(spark, sf_dir)
-    part = F.struct(F.col("word"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.when(F.col("i") % 3 == 0, F.concat("word", F.lit(","))).alias("punctuated_word"))
-    best = w.groupBy("video_id").agg(F.struct(F.lit("").alias("transcript"), F.collect_list(part).alias("words")).alias("best"))
+    part = lambda w, i: F.struct(w.alias("word"), (i * 2 / 5.0).alias("start"), ((i + 1) * 2 / 5.0).alias("end"), F.when(i % 3 == 0, F.concat(w, F.lit(","))).alias("punctuated_word"))
+    best = A.word_lists(spark, sf_dir).select("video_id", F.struct(F.lit("").alias("transcript"), F.transform("words", part).alias("words")).alias("best"))
     text = F.to_json(F.struct(F.struct(F.array(F.struct(F.array("best").alias("alternatives"))).alias("channels")).alias("results")))
     found = S.parse_transcript(best.select("video_id", F.from_json(text, S.TRANSCRIPT_SCHEMA).alias("x")).select("video_id", "x.results"), ["video_id"])[0]
     return r6(found, "start_time", "end_time")

@@ -59,6 +59,12 @@ def emoted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMOTED_SQL = f"{_EMOTED} ({CHAT_SQL}) AS chat"
 
 
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each document as one list."""
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql(r"SELECT doc_id AS video_id, filter(split(text, '[ \n]+'), x -> x <> '') AS words FROM {docs}", docs=docs)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return spark.sql(r"SELECT doc_id AS video_id, i, i * 2 / 5.0D AS start_time, (i + 1) * 2 / 5.0D AS end_time, word FROM {docs} LATERAL VIEW posexplode(filter(split(text, '[ \n]+'), x -> x <> '')) AS i, word", docs=docs)

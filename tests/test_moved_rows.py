@@ -16,3 +16,7 @@ def test_lexicon_scores_move_no_tokens(spark):
 
 def test_parts_of_a_grid_need_no_join_by_bins(spark):
     assert "_bin" not in plan_of(spark, "j10_overlapping_parts")
+
+
+def test_transcripts_are_made_where_the_document_is(spark):
+    assert "Exchange" not in plan_of(spark, "s4_transcript_words")
