@@ -106,12 +106,13 @@ def rolling_zscore(df: DataFrame, keys: list[str], row: str, time: str, value: s
     return x.select(*keys, row, ((F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) + 3) / 6).alias("z"))
 
 
-def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column], levels: int = 1) -> DataFrame:
+def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column], levels: int = 1, kept: str | None = None) -> DataFrame:
     """Adds, by name, sums of the rows before each row in ``order`` (null before the first value) and values of the row before.
 
     ``piece`` numbers pieces of the timeline that follow each other in ``order``. Rows are looked at inside their piece and
     shifted by what the pieces before leave. The pieces, a row each, are treated in the same way in pieces of ``FAN``, as often
-    as there are ``levels``, before a window orders what is left of a key. Rows with a null key or piece are left out.
+    as there are ``levels``, before a window orders what is left of a key. Rows with a null key or piece are left out. The piece is
+    kept under the name ``kept``, if there is one: the result is dealt by keys and piece.
     """
     by = F.struct(*order)
     cut = df.withColumns({"_piece": piece, **{f"_{k}": v for k, v in (*sums.items(), *before.items())}})
@@ -127,7 +128,8 @@ def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sum
     out |= {k: F.when(F.row_number().over(inside) == 1, F.col(f"_p{k}")).otherwise(F.lag(f"_{k}").over(inside)) for k in before}
     made = [f"_{k}" for k in (*sums, *before)]
     moved = shift.select(*keys, F.col("_at").alias("_piece"), *[f"_p{k}" for k in (*sums, *before)])
-    return cut.join(moved, [*keys, "_piece"]).withColumns(out).drop("_piece", *made, *[f"_p{k}" for k in (*sums, *before)])
+    found = cut.join(moved, [*keys, "_piece"]).withColumns(out).drop(*made, *[f"_p{k}" for k in (*sums, *before)])
+    return found.withColumnRenamed("_piece", kept) if kept else found.drop("_piece")
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -135,11 +137,11 @@ def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None, kept: str | None = None) -> DataFrame:
     """Adds running sums in ``order`` (by name, the row included; nulls add nothing) and, by ``before``, values of the row
-    before. For ``piece`` see ``earlier``: no task orders a whole key."""
+    before. For ``piece`` and ``kept`` see ``earlier``: no task orders a whole key."""
     own = {f"_own_{k}": v for k, v in sums.items()}
-    found = earlier(df.withColumns(own), keys, order, piece, {k: F.col(f"_own_{k}") for k in sums}, before or {})
+    found = earlier(df.withColumns(own), keys, order, piece, {k: F.col(f"_own_{k}") for k in sums}, before or {}, kept=kept)
     return found.withColumns({k: _plus(F.col(k), F.col(f"_own_{k}")) for k in sums}).drop(*own)
 
 
@@ -263,10 +265,14 @@ def gap_islands(df: DataFrame, keys: list[str], index: str, gap: int = 5, size:
 
 
 def paragraphs_every_n_sentences(words: DataFrame, keys: list[str], order: str, n: int = 3, size: int = BLOCK) -> DataFrame:
-    """(keys, paragraph, start_time, end_time, text) of ``n`` sentences each, the last of what is left."""
+    """(keys, paragraph, start_time, end_time, text) of ``n`` sentences each, the last of what is left. Words are put together
+    in their pieces of the timeline first, so that texts are moved, not words."""
     end = F.coalesce(F.col("word").rlike("[.!?]"), F.lit(False)).cast("long")
-    numbered = running(words, keys, [order], F.floor(F.col(order) / size), {"_ends": end}).withColumn("paragraph", F.floor((F.col("_ends") - end) / n))
-    return numbered.groupBy(*keys, "paragraph").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), " ").alias("text"))
+    numbered = running(words, keys, [order], F.floor(F.col(order) / size), {"_ends": end}, kept="_part").withColumn("paragraph", F.floor((F.col("_ends") - end) / n))
+    times = (F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+    joined = lambda by, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), " ")
+    parts = numbered.groupBy(*keys, "_part", "paragraph").agg(*times, F.when(F.count("word") > 0, joined(order, "word")).alias("text"))
+    return parts.groupBy(*keys, "paragraph").agg(*times, joined("_part", "text").alias("text"))
 
 
 def paragraphs_by_pause(segments: DataFrame, keys: list[str], piece: Column, pause: float = 0.8) -> DataFrame:

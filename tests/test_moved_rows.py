@@ -20,3 +20,8 @@ def test_parts_of_a_grid_need_no_join_by_bins(spark):
 
 def test_transcripts_are_made_where_the_document_is(spark):
     assert "Exchange" not in plan_of(spark, "s4_transcript_words")
+
+
+def test_sentences_are_joined_before_they_are_moved(spark):
+    moved = [x for x in plan_of(spark, "w17_sentences").splitlines() if "Exchange hashpartitioning" in x and "paragraph" in x]
+    assert len(moved) == 1 and "_part" in plan_of(spark, "w17_sentences")
