@@ -197,8 +197,11 @@ def paragraphs_by_rules(segments: DataFrame, keys: list[str], pause: float = 0.8
 
         return {"to": _first_of([begins(j) for j in range(1, most + 1)], "_row") - 1}
 
-    found = in_blocks(flagged, keys, ["start_time", "end_time", "text"], F.floor(F.col("start_time") / 3600), 0, most, steps)
-    out = chained(found.withColumn("row", F.col("_row") - 1).drop("_row", "_cue", "_opener", "_asked"), keys, size)
+    numbered = running(flagged, keys, ["start_time", "end_time", "text"], F.floor(F.col("start_time") / 3600), {"row": F.lit(1).cast("long")})
+    table = written(numbered.withColumn("row", F.col("row") - 1), "segments")
+    # texts stay behind until it is known which paragraph they are of
+    found = in_blocks(table.drop("text"), keys, ["row"], F.floor(F.col("row") / size), 0, most, steps)
+    out = table.select(*keys, "row", "start_time", "end_time", "text").join(chained(found.select(*keys, "row", "to"), keys, size).select(*keys, "row", "part"), [*keys, "row"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ")
     return out.groupBy(*keys, F.col("part").alias("paragraph")).agg(F.min("start_time").alias("start_time"), F.max_by("end_time", "row").alias("end_time"), F.count("*").alias("segments"), texts.alias("text"))
 

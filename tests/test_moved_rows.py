@@ -25,3 +25,10 @@ def test_transcripts_are_made_where_the_document_is(spark):
 def test_sentences_are_joined_before_they_are_moved(spark):
     moved = [x for x in plan_of(spark, "w17_sentences").splitlines() if "Exchange hashpartitioning" in x and "paragraph" in x]
     assert len(moved) == 1 and "_part" in plan_of(spark, "w17_sentences")
+
+
+def test_texts_stay_behind_while_paragraphs_are_found(spark, monkeypatch):
+    seen, real = [], chains.chained
+    monkeypatch.setattr(chains, "chained", lambda rows, *a: seen.append(rows.columns) or real(rows, *a))
+    assert catalog.queries()["w19_paragraphs_by_rules"](spark, SF).count() > 0
+    assert seen == [["video_id", "row", "to"]]
