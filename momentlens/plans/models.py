@@ -283,6 +283,8 @@ def s7_file_sizes(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("1_words.csv", "1_Chat.json", "waveform.json", "1_Segments.csv", "notes.txt"))), (F.col("user_id") % 5 + 1).cast("int"))
     path = f"{new_folder(spark, 'artifacts')}/files"
     named = e.withColumn("file", F.concat(F.col("user_id").cast("string"), F.lit("-"), kind))
-    named.repartition("file").sortWithinPartitions("file", "event_id").select("event_type", "file").write.partitionBy("file").option("compression", "none").text(path)
+    # a number of partitions, as without one they are put together by bytes: few rows, but a file each user
+    dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    dealt.sortWithinPartitions("file", "event_id").select("event_type", "file").write.partitionBy("file").option("compression", "none").text(path)
     found = S.file_sizes(spark, path, {k: rf"file={v}" for k, v in {"words": "[0-9]+-1_words", "json": "[0-9]+-1_Chat", "waveform": "[0-9]+-waveform", "segments": "[0-9]+-1_Segments"}.items()}, "*.txt", of=-2)
     return C.artifact_sizes(found.select("kind", "bytes")).select("category", "files", "bytes")

@@ -1,6 +1,7 @@
 """File sources and sinks on small files, and live operators as streams against the same operators as batches."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,22 @@ def test_file_sizes_without_their_content(spark, tmp_path):
     assert "content" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_users_are_written_side_by_side(spark, monkeypatch):
+    """Several tasks write, each user has one file, and its lines are in order of event_id."""
+    from momentlens import catalog
+
+    seen, real = [], files.file_sizes
+    monkeypatch.setattr(files, "file_sizes", lambda s, path, *a, **k: seen.append(path) or real(s, path, *a, **k))
+    sf = "/root/testdata/sf0.001"
+    catalog.queries()["s7_file_sizes"](spark, sf)
+    written = [p for p in Path(seen[0].removeprefix("file:")).rglob("*.txt") if p.is_file()]
+    assert len({p.name.split("-")[1] for p in written}) > 1
+    want = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        want.setdefault(str(r.user_id), []).append(r.event_type)
+    assert len(written) == len(want) and {p.parent.name.removeprefix("file=").split("-")[0]: p.read_text().splitlines() for p in written} == want
+
+
 OPERATORS = {
     "tumbling": lambda d: live.live_windows(d, "6 hours"),
     "sliding": lambda d: live.live_windows(d, "12 hours", "6 hours"),
