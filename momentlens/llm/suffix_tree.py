@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlens.llm.shared import groups_for, pack_numbers, packed_documents, split_by, unpack_numbers, unpack_table
-from momentlens.llm.text import LOWER, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
+from momentlens.llm.text import LOWER, by_byte, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
 
 #: Contexts have up to DEPTH words, and at least LEAST occurrences in training. Those of one word are all kept.
 DEPTH, LEAST = 4, 2
@@ -35,6 +35,8 @@ LEAST_DIVERGENCE = 4.0
 MANY = 32_768
 #: Weight of the shorter state, in occurrences: p = (count of the pair + PRIOR * shorter p) / (count of the context + PRIOR).
 PRIOR = 32.0
+#: Bytes of text tokenised at a time: arrays of a number a byte stay in a core's cache.
+_CACHED = 1 << 16
 _U = np.uint64
 _END = _U(0x5BD1E995A3C59AC3)
 #: Numbers of pairs carry their level in so many bits.
@@ -49,14 +51,34 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _bits(x: np.ndarray) -> int:
+    return int(x.max(initial=0)).bit_length()
+
+
+def _runs(packed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows packed over their number in the low ``bits``, sorted in place: the rows in order, where a new value begins, and
+    the number of each row's value. Sorting values is several times as fast as sorting the numbers of rows by them."""
+    packed.sort()
+    order = (packed & _U((1 << bits) - 1)).astype(np.int64)
+    packed >>= _U(bits)
+    new = np.append(True, packed[1:] != packed[:-1])
+    of = np.empty(len(packed), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, new, of
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and the number of each value, by a hash table: for values that repeat much."""
-    coded = pa.array(x).dictionary_encode()
-    values = coded.dictionary.to_numpy()
-    order = np.argsort(values)
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values))
-    return values[order], rank[coded.indices.to_numpy()]
+    """Sorted distinct values and the number of each value. Values are sorted by as many high bits as leave room for the
+    number of the row, which is all of them unless two differ in the others only."""
+    if len(x):
+        bits = (len(x) - 1).bit_length()
+        low = _U((1 << bits) - 1)
+        narrow = _bits(x) + bits <= 64
+        order, new, of = _runs((x << _U(bits) if narrow else x & ~low) | np.arange(len(x), dtype=_U), bits)
+        values = x[order[new]]
+        if narrow or (values[of] == x).all():
+            return values, of
+    return np.unique(x, return_inverse=True)
 
 
 class Tokens:
@@ -66,8 +88,8 @@ class Tokens:
         self.docs = pa.concat_tables([unpack_table(x) for x in table["data"].to_pylist()])
         buf, offsets = utf8(self.docs["text"])
         found, count = [], []
-        for _, _, b, o in chunks(buf, offsets):
-            low = LOWER[b]
+        for _, _, b, o in chunks(buf, offsets, _CACHED):
+            low = by_byte(LOWER, b)
             starts, ends, at = words(low, o)
             found.append(span_hashes(prefix_sums(low), starts, ends))
             count.append(np.diff(at))
@@ -136,11 +158,19 @@ class Tokens:
 
 
 def _distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of two columns, sorted, and the pair of each row; packed into one number where that has the bits."""
-    bits = int(two.max(initial=0)).bit_length()
-    if int(one.max(initial=0)).bit_length() + bits <= 64:
-        keys, of = np.unique((one << _U(bits)) | two, return_inverse=True)
-        return keys >> _U(bits), keys & _U((1 << bits) - 1), of
+    """The distinct pairs of two columns, sorted, and the pair of each row; packed into one number with the row's where that
+    has the bits, after the columns' values are numbered if need be."""
+    if not len(one):
+        return one, two, np.zeros(0, np.int64)
+    bits, a, b = (len(one) - 1).bit_length(), one, two
+    if _bits(a) + _bits(b) + bits > 64:
+        a = _distinct(a)[1].astype(_U)
+    if _bits(a) + _bits(b) + bits > 64:
+        b = _distinct(b)[1].astype(_U)
+    if (width := _bits(b)) + _bits(a) + bits <= 64:
+        order, new, of = _runs((((a << _U(width)) | b) << _U(bits)) | np.arange(len(a), dtype=_U), bits)
+        first = order[new]
+        return one[first], two[first], of
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -261,7 +291,7 @@ def _gathered(level: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np
     """(context of each distinct row, the distinct row of each row asked for, how many each request asks for)."""
     if level == 0:
         asked = [_sums(p[0]) for p in parts]
-        found, of = np.unique(np.concatenate(asked), return_inverse=True)
+        found, of = _distinct(np.concatenate(asked))
         return found, of, np.array([len(x) for x in asked])
     context, _, of = _distinct_pairs(np.concatenate([_sums(p[0]) for p in parts]), np.concatenate([p[1].astype(_U) for p in parts]))
     return context, of, np.array([len(p[1]) for p in parts])
@@ -313,8 +343,8 @@ def _totals(docs: DataFrame, shards: int) -> tuple[int, int]:
         for batch in small_batches(batches):
             found.append(np.array([_END]))
             tokens += batch.num_rows
-            for _, _, b, o in chunks(*utf8(batch["text"])):
-                low = LOWER[b]
+            for _, _, b, o in chunks(*utf8(batch["text"]), _CACHED):
+                low = by_byte(LOWER, b)
                 starts, ends, _ = words(low, o)
                 found.append(pa.array(span_hashes(prefix_sums(low), starts, ends)).unique().to_numpy())
                 tokens += len(starts)

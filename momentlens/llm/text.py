@@ -54,6 +54,11 @@ def chunks(buf: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> It
         i = j
 
 
+def by_byte(table: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """table[buf], read only, for a table of 256 values of a byte each; indexing would make a number of eight bytes of each."""
+    return np.frombuffer(buf.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def small_batches(batches, limit: int = 4 << 20):
     """The rows of Arrow batches with a column ``text``, in batches of at most ``limit`` bytes of text (or one row)."""
     for batch in batches:
@@ -69,7 +74,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE)
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets), np.int64)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = is_word[buf]
+    inside[1:-1] = by_byte(is_word, buf)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))

@@ -234,6 +234,24 @@ def test_pairs_are_distinct_whether_they_fit_one_number_or_not(bits):
     assert (a[of] == one).all() and (b[of] == two).all()
 
 
+def test_rows_are_numbered_by_sorting_values_only(monkeypatch):
+    """Pairs that fit as they are, or after either column is numbered, and values that differ in their low bits only."""
+    rng = np.random.default_rng(3)
+    u = lambda n, top: rng.integers(0, top, n).astype(np.uint64)
+    columns = [(u(999, 50), u(999, 9)), (u(999, 1 << 50) >> np.uint64(45) << np.uint64(45), u(999, 9)), (u(999, 1 << 62) | np.uint64(1 << 62), u(999, 7) << np.uint64(60))]
+    want = [np.unique(np.stack(c), axis=1, return_inverse=True) for c in columns]
+    close = np.array([1 << 63 | 5, 1 << 63 | 4, 7, 1 << 63 | 5], np.uint64)
+    values, of = suffix_tree._distinct(close)
+    assert (values[of] == close).all() and len(values) == 3 and (np.diff(values.astype(object)) > 0).all()
+    assert all(len(x) == 0 for x in suffix_tree._distinct(close[:0])) and len(suffix_tree._distinct_pairs(close[:0], close[:0])[2]) == 0
+    for f in ("unique", "lexsort", "argsort"):
+        monkeypatch.setattr(np, f, lambda *a, **k: pytest.fail("sorts row numbers"))
+    for (one, two), (pairs, inverse) in zip(columns, want, strict=True):
+        a, b, of = suffix_tree._distinct_pairs(one, two)
+        assert (a == pairs[0]).all() and (b == pairs[1]).all() and (of == inverse.ravel()).all()
+
+
+
 def test_contexts_of_one_shard_are_never_one(spark, monkeypatch):
     """All contexts and words in one shard: as the tree over a thousand shards."""
     data = [(i, " ".join(f"w{(i * i + j * (1 + i % 3)) % 17}" for j in range(60))) for i in range(60)]
