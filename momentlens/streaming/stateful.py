@@ -20,6 +20,8 @@ from momentlens.sources.shared import new_folder
 
 #: Rows may come so much later than the last one seen, and a state is kept so long after its key's last row.
 LATENESS, TTL_SECONDS = "15 seconds", 24 * 3600
+#: Rows of a recording that are scored and sent on at a time.
+SCORED = 50_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -88,15 +90,26 @@ class _Zscores(_Ending):
 
     def handleInputRows(self, key, rows, timerValues):
         name, time, value, row = self.names
-        pdf = pd.concat(rows).sort_values([time, row])
+        parts, last = [], None
+        for pdf in rows:  # three columns stay of each part
+            parts.append((pdf[time].to_numpy(float), pdf[value].to_numpy(float), pdf[row].to_numpy()))
+            last = pdf["ts"].max() if last is None else max(last, pdf["ts"].max())
+        at, x, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((pd.factorize(ids, sort=True)[0] if ids.dtype == object else ids, at))
+        at, x, ids = at[order], x[order], ids[order]
+        del order
         old = np.array([tuple(v) for v in self.seen.get()], float).reshape(-1, 2) if self.seen.exists() else np.zeros((0, 2))
-        new_t = np.maximum(pdf[time].to_numpy(float), old[-1, 0] if len(old) else -np.inf)
-        t, x = np.concatenate([old[:, 0], new_t]), np.concatenate([old[:, 1], pdf[value].to_numpy(float)])
-        z = scaled_zscores(t, x, len(old), self.span)
-        keep = t >= t[-1] - self.span
+        t, x = np.concatenate([old[:, 0], np.maximum(at, old[-1, 0] if len(old) else -np.inf)]), np.concatenate([old[:, 1], x])
+        keep = slice(int(np.searchsorted(t, t[-1] - self.span, "left")), None)
         self.seen.put(list(zip(t[keep].tolist(), x[keep].tolist(), strict=True)))
-        self.again(pdf["ts"].max(), timerValues)
-        yield pd.DataFrame({name: key[0], row: pdf[row].to_numpy(), time: pdf[time].to_numpy(), "z": z})
+        self.again(last, timerValues)
+        for i in range(0, len(at), SCORED):
+            j = min(i + SCORED, len(at))
+            # the rows of the span before the part's first row, up to the last one's peers
+            a, b = np.searchsorted(t, t[len(old) + i] - self.span, "left"), np.searchsorted(t, t[len(old) + j - 1], "right")
+            z = scaled_zscores(t[a:b], x[a:b], len(old) + i - a, self.span)[: j - i]
+            yield pd.DataFrame({name: key[0], row: ids[i:j], time: at[i:j], "z": z})
 
 
 def live_zscores(frames: DataFrame, key: str, time: str, value: str, row: str, span: float = 600.0, lateness: str = LATENESS, ttl: float = TTL_SECONDS) -> DataFrame:
@@ -108,7 +121,7 @@ def live_zscores(frames: DataFrame, key: str, time: str, value: str, row: str, s
     kind = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     whole = frames.where(F.col(time).isNotNull() & F.col(value).isNotNull() & F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     schema = f"{key} {kind[key]}, {row} {kind[row]}, {time} {kind[time]}, z double"
-    return whole.groupBy(key).transformWithStateInPandas(_Zscores(key, time, value, row, span, ttl), schema, "append", "EventTime")
+    return whole.select(key, row, time, value, "ts").groupBy(key).transformWithStateInPandas(_Zscores(key, time, value, row, span, ttl), schema, "append", "EventTime")
 
 
 class _Updates(_Ending):

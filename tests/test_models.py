@@ -1,5 +1,9 @@
 """Scorers, stateful streams against the same operators as batches, and paragraphs by rules."""
 
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +64,24 @@ def test_live_zscores_over_many_batches_equal_the_window(spark, in_parts):
     assert both.count() == want.count() and both.where("abs(z - w) > 1e-3").count() == 0
 
 
+@pytest.mark.parametrize("scored", [1, 7, 1000])
+def test_scores_of_a_recording_are_sent_in_parts(monkeypatch, scored):
+    """Parts of any size, with peers over their ends and a state from before, are scored as the whole."""
+    monkeypatch.setattr(V, "SCORED", scored)
+    rng = np.random.default_rng(1)
+    made = V._Zscores("k", "t", "x", "id", 20.0, 1.0)
+    state = [(float(t), float(t % 3)) for t in range(-15, 0)]
+    made.seen = SimpleNamespace(exists=lambda: True, get=lambda: iter(state), put=lambda v: kept.extend(v))
+    made.again, kept = lambda *a: None, []
+    pdf = pd.DataFrame({"id": np.arange(90), "t": rng.integers(-3, 60, 90).astype(float), "x": rng.normal(size=90), "ts": pd.Timestamp(0)})
+    parts = list(made.handleInputRows(("a",), iter([pdf[:40], pdf[40:]]), None))
+    rows = pdf.sort_values(["t", "id"])
+    t, x = np.concatenate([[s[0] for s in state], np.maximum(rows.t, -1.0)]), np.concatenate([[s[1] for s in state], rows.x])
+    got = pd.concat(parts)
+    assert max(map(len, parts)) <= scored and got.id.tolist() == rows.id.tolist() and got.t.tolist() == rows.t.tolist()
+    assert np.allclose(got.z, V.scaled_zscores(t, x, len(state), 20.0)) and kept == [(a, b) for a, b in zip(t, x, strict=True) if a >= t[-1] - 20]
+
+
 def test_live_updates_equal_the_batch(spark, in_parts):
     from momentlens.plans.models import _updates
 
