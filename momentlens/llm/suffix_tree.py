@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlens.llm.shared import groups_for, pack_numbers, packed_documents, split_by, unpack_numbers, unpack_table
-from momentlens.llm.text import LOWER, by_byte, chunks, mix, prefix_sums, small_batches, span_hashes, utf8, words
+from momentlens.llm.text import LOWER, by_byte, chunks, mix, utf8, word_hashes, words
 
 #: Contexts have up to DEPTH words, and at least LEAST occurrences in training. Those of one word are all kept.
 DEPTH, LEAST = 4, 2
@@ -59,11 +59,13 @@ def _runs(packed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Rows packed over their number in the low ``bits``, sorted in place: the rows in order, where a new value begins, and
     the number of each row's value. Sorting values is several times as fast as sorting the numbers of rows by them."""
     packed.sort()
-    order = (packed & _U((1 << bits) - 1)).astype(np.int64)
+    order = (packed & _U((1 << bits) - 1)).view(np.int64)
     packed >>= _U(bits)
-    new = np.append(True, packed[1:] != packed[:-1])
+    new = np.zeros(len(packed), bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
     of = np.empty(len(packed), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of[order] = np.cumsum(new)
+    new[:1] = True
     return order, new, of
 
 
@@ -74,7 +76,9 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = (len(x) - 1).bit_length()
         low = _U((1 << bits) - 1)
         narrow = _bits(x) + bits <= 64
-        order, new, of = _runs((x << _U(bits) if narrow else x & ~low) | np.arange(len(x), dtype=_U), bits)
+        packed = x << _U(bits) if narrow else x & ~low
+        packed |= np.arange(len(x), dtype=_U)
+        order, new, of = _runs(packed, bits)
         values = x[order[new]]
         if narrow or (values[of] == x).all():
             return values, of
@@ -82,7 +86,13 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """The symbols of a bucket's documents (an end before the first, one after each) and what is known of each place."""
+    """The symbols of a bucket's documents (an end before the first, one after each) and what is known of each place.
+
+    A place is open at a level if its context there occurs LEAST times or more and lies in its document. Places only close,
+    as the counts of longer contexts are no greater, so what is known of contexts is kept for the open places alone: ``at``
+    in order, ``before`` (occurrences of the context), ``context`` (its number), ``word`` (the number of the word at the
+    place) and ``expected`` (a suffix of the context has one continuation, the word here; such a place isn't asked for).
+    """
 
     def __init__(self, table: pa.Table):
         self.docs = pa.concat_tables([unpack_table(x) for x in table["data"].to_pylist()])
@@ -91,70 +101,85 @@ class Tokens:
         for _, _, b, o in chunks(buf, offsets, _CACHED):
             low = by_byte(LOWER, b)
             starts, ends, at = words(low, o)
-            found.append(span_hashes(prefix_sums(low), starts, ends))
+            found.append(word_hashes(low, starts, ends))
             count.append(np.diff(at))
-        h, self.count = np.concatenate(found), np.concatenate(count)
+        self.count = np.concatenate(count)
         n = self.count + 1
         self.first = 1 + np.cumsum(n) - n
-        self.doc = np.repeat(np.arange(len(n)), n)
         self.symbols = np.full(1 + int(n.sum()), _END, _U)
         inside = np.ones(len(self.symbols), bool)
         inside[0] = False
         inside[self.first + self.count] = False
-        self.symbols[inside] = h
-        self.train = np.concatenate([[False], ~self.docs["held_out"].to_numpy()[self.doc]])
-        #: how many symbols before a place belong to its document, the end before it included
-        self.behind = np.concatenate([[0], np.arange(1, len(self.symbols)) - self.first[self.doc] + 1]).astype(np.int32)
-        self.places = np.arange(1, len(self.symbols))
+        self.symbols[inside] = np.concatenate(found)
+        self.train = np.append(False, np.repeat(~self.docs["held_out"].to_numpy(), n))
 
     def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
         return _distinct(self.symbols)
 
-    def start(self, counts: np.ndarray, numbers: np.ndarray, tokens: int, distinct: int) -> None:
-        """The root: counts of each place's word, and its number."""
-        self.known = counts > 0
-        self.base = (counts + 1) / (tokens + distinct + 1)
-        self.p = self.base.copy()
-        self.word = numbers
-        self.before = np.concatenate([[0], counts[:-1]])  # occurrences of the context
-        self.context = np.concatenate([np.zeros(1, _U), numbers[:-1]])  # its number
-        self.final = np.zeros(len(self.places), bool)
-        self.expected = np.zeros(len(counts), bool)  # a suffix of the context has one continuation, the word here
+    def start(self, of_word: np.ndarray, counts: np.ndarray, numbers: np.ndarray, tokens: int, distinct: int) -> None:
+        """The root: the word of each place, the words' counts and numbers."""
+        self.of_word, self.counts, self.base = of_word, counts, (counts + 1) / (tokens + distinct + 1)
+        self.p = self.base.take(of_word)
+        # how many symbols before a place belong to its document, the end before it included, up to DEPTH
+        self.behind = np.full(len(of_word), DEPTH, np.uint8)
+        self.behind[0] = 0
+        for k in range(DEPTH - 1, 0, -1):
+            self.behind[(self.first + k - 1)[: np.searchsorted(self.first, len(of_word) - k + 1)]] = k
+        before, number = _small(counts).take(of_word), _small(numbers).take(of_word)
+        self._open(np.arange(1, len(of_word)), before[:-1], number[:-1], number[1:], np.zeros(len(of_word) - 1, bool), before[:-1] >= LEAST)
+
+    def _open(self, at, before, context, word, expected, stay) -> None:
+        rows = np.flatnonzero(stay)
+        self.at, self.before, self.context, self.word, self.expected = (x.take(rows) for x in (at, before, context, word, expected))
 
     def ask(self, k: int, shards: int) -> tuple[np.ndarray, ...]:
-        """(context, word, pair of each place, shard of each pair) of level k: numbers, in order."""
-        at = self.places
-        self.places = at = at[(self.before[at] >= LEAST) & ~self.final & (self.behind[at] >= k)]
-        context, word, of = _distinct_pairs(self.context[at], self.word[at])
-        part = np.zeros(len(context), _U)
-        n = self.before[at]
-        many = np.flatnonzero(n > MANY)
-        np.maximum.at(part, of[many], self.symbols[at[many]] % (n[many] // MANY + 1).astype(_U))
-        return context, word, of, (mix(context * _U(0x9E3779B97F4A7C15) + part * _PART + _U(k)) % _U(shards)).astype(np.int32)
+        """(context, word, pair of each place asked for, shard of each pair) of level k: numbers, in order."""
+        self.asked = np.flatnonzero(~self.expected)
+        rows = (self.at, self.before, self.context, self.word)
+        self.places, self.n, asked, word = rows if len(self.asked) == len(self.at) else (x.take(self.asked) for x in rows)
+        context, word, of = _distinct_pairs(asked, word)
+        key = context.astype(_U)
+        key *= _U(0x9E3779B97F4A7C15)
+        many = np.flatnonzero(self.n > MANY)
+        if len(many):
+            part = np.zeros(len(context), _U)
+            np.maximum.at(part, of[many], self.symbols[self.places[many]] % (self.n[many] // MANY + 1).astype(_U))
+            key += part * _PART
+        key += _U(k)
+        key = mix(key)
+        # the remainder; a quotient by one divisor is several times as fast
+        whole = key // _U(shards)
+        whole *= _U(shards)
+        key -= whole
+        return context, word, of, key.astype(np.int32)
 
     def hints(self, of: np.ndarray, n: int) -> np.ndarray:
         """Expected counts of the n pairs asked for, as bytes."""
-        at = self.places
-        byte = np.clip(np.rint(_STEPS * np.log(self.before[at] * self.p[at])) + _LEAST_LOG, 0, _KEEP - 1)
+        byte = np.clip(np.rint(_STEPS * np.log(self.n * self.p.take(self.places))) + _LEAST_LOG, 0, _KEEP - 1)
         out = np.zeros(n, np.uint8)
-        np.maximum.at(out, of, np.where(self.before[at] > MANY, _KEEP, byte).astype(np.uint8))
+        np.maximum.at(out, of, np.where(self.n > MANY, _KEEP, byte).astype(np.uint8))
         return out
 
-    def learn(self, counts: np.ndarray, kept: np.ndarray, numbers: np.ndarray | None) -> None:
-        """Take in the answers for the places asked for and move on to the next level."""
-        places = self.places
-        n = self.before[places]
-        at, n_at = places[kept], n[kept]
-        self.p[at] = (counts[kept] + PRIOR * self.p[at]) / (n_at + PRIOR)
+    def learn(self, k: int, counts: np.ndarray, kept: np.ndarray | None, numbers: np.ndarray | None) -> None:
+        """Take in the answers for the places asked for (all kept if there are no verdicts) and move on to the next level."""
+        at, n, c = (self.places, self.n, counts) if kept is None else (x[kept] for x in (self.places, self.n, counts))
+        p = self.p.take(at)
+        p *= PRIOR
+        p += c
+        p /= n + PRIOR
+        self.p[at] = p
+        if numbers is None:
+            return
         # the pair of a longer context: as asked, or known where a suffix has the word here for its one continuation; such
         # a pair occurs wherever its context does, so it keeps the context's number
-        longer, pair = np.where(self.expected, self.before, 0), np.where(self.expected, self.context, _U(0))
-        longer[places] = counts
-        if numbers is not None:
-            pair[places] = numbers
-        self.final = (counts == n) & (n >= LEAST) & (n <= MANY)
-        self.expected[places[self.final]] = True
-        self.before, self.context = np.concatenate([[0], longer[:-1]]), np.concatenate([np.zeros(1, _U), pair[:-1]])
+        final = (counts == self.n) & (self.n <= MANY)
+        if len(self.places) == len(self.at):
+            longer, pair, expected = counts, numbers, final
+        else:
+            longer, pair, expected = self.before.astype(np.int64), self.context.astype(_U), self.expected.copy()
+            longer[self.asked], pair[self.asked], expected[self.asked] = counts, numbers, final
+        stay = (np.diff(self.at) == 1) & (longer[:-1] >= LEAST) & (self.behind.take(self.at[1:]) > k)
+        self._open(self.at[1:], longer[:-1], pair[:-1], self.word[1:], expected[1:], stay)
 
 
 def _distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,9 +193,13 @@ def _distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.nd
     if _bits(a) + _bits(b) + bits > 64:
         b = _distinct(b)[1].astype(_U)
     if (width := _bits(b)) + _bits(a) + bits <= 64:
-        order, new, of = _runs((((a << _U(width)) | b) << _U(bits)) | np.arange(len(a), dtype=_U), bits)
+        packed = a.astype(_U) << _U(width)
+        packed |= b
+        packed <<= _U(bits)
+        packed |= np.arange(len(a), dtype=_U)
+        order, new, of = _runs(packed, bits)
         first = order[new]
-        return one[first], two[first], of
+        return one.take(first), two.take(first), of
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -188,57 +217,64 @@ def _sums(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=_U)
 
 
-def _requests(shard: np.ndarray, encode) -> tuple[list[int], list[bytes]]:
-    """A row for each shard: what ``encode`` makes of the rows that go there."""
+def _requests(shard: np.ndarray, encode, every: int = 0) -> tuple[list[int], list[bytes]]:
+    """A row for each shard: what ``encode`` makes of the rows that go there; with ``every``, for each of so many, if only of none."""
     groups, rows = [], []
     for g, at in split_by(shard):
         groups.append(g)
         rows.append(pack_numbers(*encode(at)))
+    if len(groups) < every:
+        none = pack_numbers(*encode(np.zeros(0, np.int64)))
+        left = sorted(set(range(every)) - set(groups))
+        groups, rows = groups + left, rows + [none] * len(left)
     return groups, rows
 
 
 def _answers(table: pa.Table) -> dict[int, dict[int, list[np.ndarray]]]:
-    """level -> shard -> counts, numbers (but of the last level) and, from level 2 on, verdicts."""
+    """level -> shard -> counts, numbers (but of the last level) and, from level 2 on, verdicts; of the words, the shard's totals."""
     out: dict[int, dict[int, list[np.ndarray]]] = {}
     for level, shard, data in zip(*(table[c].to_pylist() for c in ("level", "shard", "data")), strict=True):
         out.setdefault(level, {})[shard] = unpack_numbers(data)
     return out
 
 
-def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, column: int = 0, kind=np.int64) -> np.ndarray:
-    """The answers for the rows asked for."""
-    out = np.zeros(len(shard), kind)
-    for g, at in split_by(shard):
-        out[at] = parts[g][column]
-    return out
-
+def _aligned(parts: dict[int, list[np.ndarray]], shard: np.ndarray, shards: int, level: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Counts, verdicts (from level 2 on) and numbers (but of the last level) for the rows asked for.
 
-def _numbers(parts: dict[int, list[np.ndarray]], shard: np.ndarray, shards: int, level: int) -> np.ndarray:
-    """The numbers, of all shards and levels, of the rows asked for: the place in the shard, the shard, the level. They tell
-    words apart, and pairs of LEAST occurrences or more."""
-    out = np.zeros(len(shard), _U)
+    Numbers are those of all shards and levels: the place in the shard, the shard, the level. They tell words apart, and
+    pairs of LEAST occurrences or more.
+    """
+    counts = np.zeros(len(shard), np.int64)
+    kept = np.zeros(len(shard), bool) if level > 1 else None
+    numbers = np.zeros(len(shard), _U) if level < DEPTH else None
     for g, at in split_by(shard):
-        out[at] = _sums(parts[g][1]) * _U(shards) + _U(g)
-    return out if level == 0 else (out << _LEVEL_BITS) | _U(level)
+        counts[at] = parts[g][0]
+        if numbers is not None:
+            numbers[at] = _sums(parts[g][1]) * _U(shards) + _U(g)
+        if kept is not None:
+            kept[at] = parts[g][-1]
+    if level and numbers is not None:
+        numbers <<= _LEVEL_BITS
+        numbers |= _U(level)
+    return counts, kept, numbers
 
 
-def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int, totals: tuple):
+def _replayed(left: pa.Table, right: pa.Table, level: int, shards: int):
     """The bucket's tokens after all levels before ``level`` are answered, and (if any) the contexts, words, training counts,
     expected counts and shards that it asks for at this level."""
     tokens, answers = Tokens(left), _answers(right)
     words_, of_word = tokens.word_keys()
-    shard = (words_ % _U(shards)).astype(np.int32)
-    tokens.start(_aligned(answers[0], shard)[of_word], _numbers(answers[0], shard, shards, 0)[of_word], *totals)
+    counts, _, numbers = _aligned(answers[0], (words_ % _U(shards)).astype(np.int32), shards, 0)
+    tokens.totals = tuple(sum(int(x[-1][i]) for x in answers[0].values()) for i in (0, 1))
+    tokens.start(of_word, counts, numbers, *tokens.totals)
     for k in range(1, min(level, DEPTH) + 1):
         context, word, of, shard = tokens.ask(k, shards)
         if k == level:
-            n = np.bincount(of, tokens.train[tokens.places], len(context)).astype(np.int64)
+            n = np.bincount(of[tokens.train[tokens.places]], minlength=len(context))
             return tokens, context, word, _small(n), tokens.hints(of, len(context)), shard
-        parts = answers.get(k, {})
-        numbers = _numbers(parts, shard, shards, k)[of] if k < DEPTH else None
+        counts, kept, numbers = _aligned(answers.get(k, {}), shard, shards, k)
         # contexts of one word are all kept
-        kept = _aligned(parts, shard, -1, bool)[of] if k > 1 else np.ones(len(of), bool)
-        tokens.learn(_aligned(parts, shard)[of], kept, numbers)
+        tokens.learn(k, counts.take(of), None if kept is None else kept.take(of), None if numbers is None else numbers.take(of))
     return tokens
 
 
@@ -252,24 +288,24 @@ def _rows(bucket: int, found: list[tuple[int, list[int], list[bytes]]]) -> pa.Ta
 
 
 def _asked_words(docs: DataFrame, shards: int) -> DataFrame:
-    """The words that each bucket asks each shard for."""
+    """The words that each bucket asks each shard for, with their training counts; every shard is asked, for its totals."""
 
     def run(table: pa.Table) -> pa.Table:
         tokens = Tokens(table)
         words_, of_word = tokens.word_keys()
-        n = _small(np.bincount(of_word, tokens.train, len(words_)).astype(np.int64))
-        return _rows(table["bucket"][0].as_py(), [(0, *_requests((words_ % _U(shards)).astype(np.int32), lambda at: (_steps(words_[at]), n[at])))])
+        n = _small(np.bincount(of_word[tokens.train], minlength=len(words_)))
+        return _rows(table["bucket"][0].as_py(), [(0, *_requests((words_ % _U(shards)).astype(np.int32), lambda at: (_steps(words_[at]), n[at]), shards))])
 
     return docs.groupBy("bucket").applyInArrow(run, _ASKED)
 
 
-def _asked(docs: DataFrame, answers: DataFrame, level: int, shards: int, totals: tuple) -> DataFrame:
+def _asked(docs: DataFrame, answers: DataFrame, level: int, shards: int) -> DataFrame:
     """The pairs of a level that each bucket asks each shard for, with the expected counts from level 2 on."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(0, [])
-        _, context, word, n, hints, shard = _replayed(left, right, level, shards, totals)
+        _, context, word, n, hints, shard = _replayed(left, right, level, shards)
         return _rows(left["bucket"][0].as_py(), [(level, *_requests(shard, lambda at: (_steps(context[at]), _small(word[at]), n[at], *([hints[at]] if level > 1 else []))))])
 
     return docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, _ASKED)
@@ -298,7 +334,8 @@ def _gathered(level: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _answered(asked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, level, shard, data): training counts, numbers and verdicts, in the order in which each bucket asked."""
+    """(bucket, level, shard, data): training counts, numbers and verdicts, in the order in which each bucket asked; of
+    words, the shard's training tokens and distinct ones too, so that a bucket has the sums of all shards."""
 
     def run(table: pa.Table) -> pa.Table:
         levels, out = table["level"].to_numpy(), [b""] * table.num_rows
@@ -313,6 +350,7 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
                 hints = np.zeros(len(contexts), np.uint8)
                 np.maximum.at(hints, of, np.concatenate([p[3] for p in parts]))
                 kept = verdicts(contexts, counts, hints).astype(np.uint8)
+            totals = np.array([counts.sum(), np.count_nonzero(counts)], _U)  # tokens and distinct words of the shard
             begin = 0
             for i, n in zip(rows, asked_for.tolist(), strict=True):
                 mine = of[begin : begin + n]
@@ -320,51 +358,12 @@ def _answered(asked: DataFrame, buckets: int) -> DataFrame:
                 # a pair that can't be a context gets no number of its own
                 own = mine if level == 0 else np.maximum.accumulate(np.where(counts[mine] >= LEAST, mine, 0)) if n else mine
                 numbers = [_steps(own.astype(_U))] if level < DEPTH else []
-                out[i] = pack_numbers(_small(counts[mine]), *numbers, *([kept[mine]] if kept is not None else []))
+                out[i] = pack_numbers(_small(counts[mine]), *numbers, *([kept[mine]] if kept is not None else []), *([totals] if level == 0 else []))
         return pa.table({"bucket": table["bucket"], "level": table["level"], "shard": table["shard"], "data": pa.array(out, pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "bucket int, level int, shard int, data binary").repartition(buckets, "bucket")
 
 
-#: Distinct words that a task of the totals gathers before it sends them.
-_GATHERED = 2_000_000
-
-
-def _totals(docs: DataFrame, shards: int) -> tuple[int, int]:
-    """Tokens (ends included) and distinct tokens of the training rows."""
-
-    def sent(found: list[np.ndarray], tokens: int) -> pa.RecordBatch:
-        keys = np.unique(np.concatenate(found))
-        groups, rows = _requests((keys % _U(shards)).astype(np.int32), lambda at: (_steps(keys[at]),))
-        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array([tokens] + [0] * (len(rows) - 1), pa.int64()), pa.array(rows, pa.binary())], ["shard", "tokens", "data"])
-
-    def count(batches):
-        found, tokens = [], 0
-        for batch in small_batches(batches):
-            found.append(np.array([_END]))
-            tokens += batch.num_rows
-            for _, _, b, o in chunks(*utf8(batch["text"]), _CACHED):
-                low = by_byte(LOWER, b)
-                starts, ends, _ = words(low, o)
-                found.append(pa.array(span_hashes(prefix_sums(low), starts, ends)).unique().to_numpy())
-                tokens += len(starts)
-            if sum(map(len, found)) > 2 * _GATHERED:
-                found = [np.unique(np.concatenate(found))]
-            if len(found[0]) > _GATHERED:
-                yield sent(found, tokens)
-                found, tokens = [], 0
-        if found:
-            yield sent(found, tokens)
-
-    def total(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([_sums(unpack_numbers(x)[0]) for x in table["data"].to_pylist()]))
-        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "keys": pa.array([len(keys)], pa.int64())})
-
-    rows = docs.where("NOT held_out").select("text").mapInArrow(count, "shard int, tokens long, data binary")
-    sums = rows.groupBy("shard").applyInArrow(total, "tokens long, keys long")
-    return tuple(map(int, sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("keys"), F.lit(0))).first()))
-
-
 def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -377,21 +376,21 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataF
     rows = docs.select(F.xxhash64("doc_id", "text").alias("did"), "doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = buckets = groups_for(size)
-    totals = _totals(rows, shards)
     dealt = packed_documents(rows, buckets, 6).repartition(buckets, "bucket")
     answers = _answered(_asked_words(dealt, shards), buckets)
     for level in range(1, DEPTH + 1):
-        answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards, totals), buckets))
+        answers = answers.unionByName(_answered(_asked(dealt, answers, level, shards), buckets))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not left.num_rows:
             return schema.empty_table()
-        tokens = _replayed(left, right, DEPTH + 1, shards, totals)
+        tokens = _replayed(left, right, DEPTH + 1, shards)
         if len(tokens.p) > 1 and tokens.p[1:].max() > 1:
             raise ValueError("a probability above 1: a context's count is less than that of a pair")
         per_doc = lambda x: np.add.reduceat(x[1:], tokens.first - 1)
-        n = len(tokens.count)
-        return pa.Table.from_arrays([tokens.docs["doc_id"].cast(pa.int64()), tokens.docs["held_out"], pa.array(tokens.count + 1), pa.array(per_doc(tokens.known.astype(np.int64))), pa.array(np.full(n, totals[0])), pa.array(per_doc(np.log10(tokens.base))), pa.array(per_doc(np.log10(tokens.p)))], schema=schema)
+        n, of_word = len(tokens.count), tokens.of_word
+        known = per_doc((tokens.counts > 0).take(of_word).astype(np.int64))
+        return pa.Table.from_arrays([tokens.docs["doc_id"].cast(pa.int64()), tokens.docs["held_out"], pa.array(tokens.count + 1), pa.array(known), pa.array(np.full(n, tokens.totals[0])), pa.array(per_doc(np.log10(tokens.base).take(of_word))), pa.array(per_doc(np.log10(tokens.p)))], schema=schema)
 
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -84,11 +84,11 @@ def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NON_SPACE)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that all bits of a hash depend on all bits of its input."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    half = h >> np.uint64(32)
+    h = h ^ half
+    for _ in range(2):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= np.right_shift(h, np.uint64(32), out=half)
     return h
 
 
@@ -120,6 +120,29 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_MULT))
 
 
+_FIRST = np.array([*((1 << 8 * i) - 1 for i in range(8)), _MASK], np.uint64)
+_HEAD = 64
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, taken eight bytes at a time, which is less work for short words than ``span_hashes``
+    (other values); that adds what stands beyond the first ``_HEAD`` bytes."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(buf) + 1,), np.uint64, padded, 0, (1,))
+    left, at = ends - starts, starts
+    h = (eight[at] & _FIRST.take(np.minimum(left, 8))) + left.astype(np.uint64) * np.uint64(_MULT)
+    rows = np.flatnonzero(left > 8)
+    for done in range(8, _HEAD, 8):
+        if not len(rows):
+            return mix(h)
+        left, at = ends[rows] - starts[rows] - done, starts[rows] + done
+        h[rows] = mix(h[rows]) * np.uint64(_MULT) + (eight[at] & _FIRST.take(np.minimum(left, 8)))
+        rows = rows[left > 8]
+    if len(rows):
+        h[rows] = mix(h[rows]) * np.uint64(_MULT) + span_hashes(prefix_sums(buf), starts[rows] + _HEAD, ends[rows])
+    return mix(h)
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive hashes; n - k + 1 values."""
     n = len(hashes) - k + 1

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from momentlens.llm import bwt_merge, decontaminate, hash_tree, license_scan, mixing, quality, queries, repeats, simhash, suffix_tree, token_counts
+from momentlens.llm import bwt_merge, decontaminate, hash_tree, license_scan, mixing, quality, queries, repeats, shared, simhash, suffix_tree, text, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, shard int, fingerprint string"
 _long = "  ".join(f"word{i % 7000}" for i in range(30000))
@@ -252,6 +253,39 @@ def test_rows_are_numbered_by_sorting_values_only(monkeypatch):
 
 
 
+def test_words_are_hashed_by_their_bytes_alone():
+    """Wherever they stand; words that differ in one byte, of any length, or in zeros at their end are told apart."""
+    rng = np.random.default_rng(5)
+    found = {bytes(rng.integers(0, 3, n, np.uint8)) for n in (*range(1, 20), 63, 64, 65, 66, 200, 5000) for _ in range(40)}
+    found |= {b"a" * n + b"\0" * z for n in range(70) for z in range(1, 9)}
+    hashes = []
+    for seed in (1, 2):
+        order = sorted(found, key=lambda w, seed=seed: zlib.crc32(w, seed))
+        ends = np.cumsum([len(w) for w in order])
+        h = text.word_hashes(np.frombuffer(b"".join(order), np.uint8), ends - [len(w) for w in order], ends)
+        hashes.append(dict(zip(order, h.tolist(), strict=True)))
+    assert hashes[0] == hashes[1] and len(set(hashes[0].values())) == len(found)
+
+
+def test_places_close_and_totals_take_no_pass_of_their_own(spark, monkeypatch):
+    """Texts pass through Python once before they are dealt; state is kept for the places that may be asked for again only."""
+    passes = []
+    docs = spark.createDataFrame([(1, "a b c d e"), (3, "a b x y z")], "doc_id long, text string")
+    made = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: passes.append(1) or made(*a, **k))
+    got = suffix_tree.score_documents(docs).collect()
+    assert len(passes) == 1 and {r.train_tokens for r in got} == {6 * (zlib.crc32(b"1") % 7 != 2) + 6 * (zlib.crc32(b"3") % 7 != 2)}
+    rows = pa.table({"doc_id": [1, 3], "text": ["a b c d e", "a b x y z"], "held_out": [False, False]})
+    tokens = suffix_tree.Tokens(pa.table({"data": [shared.pack(**{c: rows[c] for c in rows.column_names})]}))
+    words, of = tokens.word_keys()
+    tokens.start(of, np.bincount(of[1:], minlength=len(words)), np.arange(len(words)).astype(np.uint64), 12, 9)
+    assert tokens.at.tolist() == [1, 2, 3, 7, 8, 9]  # after an end, after a and b of either text, not after words that occur once
+    _, _, pair, _ = tokens.ask(1, 4)
+    counts = np.bincount(pair)
+    tokens.learn(1, counts[pair], None, pair.astype(np.uint64))
+    assert tokens.at.tolist() == [2, 3, 8, 9] and tokens.before.tolist() == [2, 2, 2, 2]
+
+
 def test_contexts_of_one_shard_are_never_one(spark, monkeypatch):
     """All contexts and words in one shard: as the tree over a thousand shards."""
     data = [(i, " ".join(f"w{(i * i + j * (1 + i % 3)) % 17}" for j in range(60))) for i in range(60)]
