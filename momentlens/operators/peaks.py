@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from momentlens.operators.intervals import neighbours
 from momentlens.operators.selection import quantiles
-from momentlens.operators.windows import in_blocks
+from momentlens.operators.windows import running
 from momentlens.sources.shared import written
 
 #: (rows between peaks, prominence, height); the adaptive one takes a twentieth of the series and its 60th percentile, and
@@ -21,22 +21,26 @@ FAN = 256
 CHUNK = 256
 
 
-def numbered_series(df: DataFrame, keys: list[str], time: str, value: str, piece: Column, size: int) -> DataFrame:
+def numbered_series(df: DataFrame, keys: list[str], time: str, value: str, piece: Column) -> DataFrame:
     """(keys, time, value, row, old, new): rows with a value in order of time (then value), from 0, with the values beside."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(time).cast("double").alias(time), F.col(value).cast("double").alias(value))
-    made = in_blocks(rows, keys, [time, value], piece, 1, 1, lambda w: {"old": F.lag(value).over(w), "new": F.lead(value).over(w)}, size)
+    made = running(rows, keys, [time, value], piece, {"_row": F.lit(1).cast("long")}, {"old": F.col(value)}, after={"new": F.col(value)})
     return made.withColumn("row", F.col("_row") - 1).drop("_row")
 
 
 def plateau_peaks(series: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
-    """(keys, at, value): the middle row of each run of equal values whose neighbours on both sides are lower."""
+    """(keys, at, value): the middle row of each run of equal values whose neighbours on both sides are lower.
+
+    A run of one row is told by the values beside it; only the ends of longer runs are looked up from one another.
+    """
     x = F.col(value)
-    edge = series.withColumns({"_begin": ~x.eqNullSafe(F.col("old")), "_end": ~x.eqNullSafe(F.col("new"))}).where("_begin OR _end")
+    single = series.where((x > F.col("old")) & (x > F.col("new"))).select(*keys, F.col("row").alias("at"), value)
+    edge = series.withColumns({"_begin": ~x.eqNullSafe(F.col("old")), "_end": ~x.eqNullSafe(F.col("new"))}).where("_begin <> _end")
     risen = F.when(F.col("_begin"), F.struct("row", (x > F.col("old")).alias("up")))
     paired = neighbours(edge.withColumn("_from", risen), keys, "row", "_from", float(size))
     first = F.col("before")["value"]
     out = paired.where(F.col("_end") & (x > F.col("new")) & F.coalesce(first["up"], F.lit(False)))
-    return out.select(*keys, F.expr("(before.value.row + row) DIV 2").alias("at"), value)
+    return single.unionByName(out.select(*keys, F.expr("(before.value.row + row) DIV 2").alias("at"), value))
 
 
 def settle(at: np.ndarray, v: np.ndarray, state: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
@@ -150,11 +154,10 @@ def prominences(peaks: DataFrame, series: DataFrame, keys: list[str], value: str
 def find_peaks(series: DataFrame, keys: list[str], value: str, height, distance, prominence: float, size: int = 4096, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(keys, at, value, prominence) of strict local maxima of a numbered series (the middle of a plateau), filtered by
     height, then distance, then prominence. ``height`` and ``distance`` are numbers or tables (keys, least) and (keys, gap)."""
-    peaks = plateau_peaks(series, keys, value, size)
     if isinstance(height, DataFrame):
-        peaks = peaks.join(height, keys).where(F.col(value) >= F.col("least")).drop("least")
+        peaks = plateau_peaks(series, keys, value, size).join(height, keys).where(F.col(value) >= F.col("least")).drop("least")
     else:
-        peaks = peaks.where(F.col(value) >= height)
+        peaks = plateau_peaks(series.where(F.col(value) >= height), keys, value, size)
     kept = widely_spaced(peaks.join(distance, keys), keys, value).drop("gap") if isinstance(distance, DataFrame) else spaced(peaks, keys, value, distance, chunk)
     return prominences(written(kept, "peaks"), series, keys, value, fan).where(F.col("prominence") >= prominence)
 
@@ -168,7 +171,7 @@ def peak_moments(df: DataFrame, keys: list[str], time: str, value: str, profile:
     gap, prominence, height = PROFILES[profile] if isinstance(profile, str) else profile
     piece = F.floor(F.col(time) / 3600) if piece is None else piece
     whole = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, time)))
-    series = written(numbered_series(whole, keys, time, value, piece, size), "series")
+    series = written(numbered_series(whole, keys, time, value, piece), "series")
     least = height if height is not None else quantiles(series, keys, value, {"least": 0.6})
     apart = gap or series.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 20)).cast("long").alias("gap"))
     found = find_peaks(series, keys, value, least, apart, prominence, size, chunk, fan)

@@ -106,29 +106,31 @@ def rolling_zscore(df: DataFrame, keys: list[str], row: str, time: str, value: s
     return x.select(*keys, row, ((F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) + 3) / 6).alias("z"))
 
 
-def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column], levels: int = 1, kept: str | None = None) -> DataFrame:
-    """Adds, by name, sums of the rows before each row in ``order`` (null before the first value) and values of the row before.
+def earlier(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column], levels: int = 1, kept: str | None = None, after: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, by name, sums of the rows before each row in ``order`` (null before the first value) and values of the row before
+    and ``after``.
 
     ``piece`` numbers pieces of the timeline that follow each other in ``order``. Rows are looked at inside their piece and
     shifted by what the pieces before leave. The pieces, a row each, are treated in the same way in pieces of ``FAN``, as often
     as there are ``levels``, before a window orders what is left of a key. Rows with a null key or piece are left out. The piece is
     kept under the name ``kept``, if there is one: the result is dealt by keys and piece.
     """
-    by = F.struct(*order)
-    cut = df.withColumns({"_piece": piece, **{f"_{k}": v for k, v in (*sums.items(), *before.items())}})
-    pieces = cut.groupBy(*keys, F.col("_piece").alias("_at")).agg(*[F.sum(f"_{k}").alias(f"_w{k}") for k in sums], *[F.max_by(f"_{k}", by).alias(f"_w{k}") for k in before])
+    by, after = F.struct(*order), after or {}
+    cut = df.withColumns({"_piece": piece, **{f"_{k}": v for k, v in (*sums.items(), *before.items(), *after.items())}})
+    pieces = cut.groupBy(*keys, F.col("_piece").alias("_at")).agg(*[F.sum(f"_{k}").alias(f"_w{k}") for k in sums], *[F.max_by(f"_{k}", by).alias(f"_w{k}") for k in before], *[F.min_by(f"_{k}", by).alias(f"_w{k}") for k in after])
     part = lambda names: {f"_p{k}": F.col(f"_w{k}") for k in names}
     if levels:
-        shift = earlier(pieces, keys, ["_at"], F.floor(F.col("_at") / FAN), part(sums), part(before), levels - 1)
+        shift = earlier(pieces, keys, ["_at"], F.floor(F.col("_at") / FAN), part(sums), part(before), levels - 1, after=part(after))
     else:
         line = Window.partitionBy(*keys).orderBy("_at")
-        shift = pieces.withColumns({k: F.sum(v).over(line.rowsBetween(Window.unboundedPreceding, -1)) for k, v in part(sums).items()} | {k: F.lag(v).over(line) for k, v in part(before).items()})
+        shift = pieces.withColumns({k: F.sum(v).over(line.rowsBetween(Window.unboundedPreceding, -1)) for k, v in part(sums).items()} | {k: F.lag(v).over(line) for k, v in part(before).items()} | {k: F.lead(v).over(line) for k, v in part(after).items()})
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
     out = {k: _plus(F.col(f"_p{k}"), F.sum(f"_{k}").over(inside.rowsBetween(Window.unboundedPreceding, -1))) for k in sums}
     out |= {k: F.when(F.row_number().over(inside) == 1, F.col(f"_p{k}")).otherwise(F.lag(f"_{k}").over(inside)) for k in before}
-    made = [f"_{k}" for k in (*sums, *before)]
-    moved = shift.select(*keys, F.col("_at").alias("_piece"), *[f"_p{k}" for k in (*sums, *before)])
-    found = cut.join(moved, [*keys, "_piece"]).withColumns(out).drop(*made, *[f"_p{k}" for k in (*sums, *before)])
+    out |= {k: F.when(F.lead(F.lit(1)).over(inside).isNull(), F.col(f"_p{k}")).otherwise(F.lead(f"_{k}").over(inside)) for k in after}
+    names = (*sums, *before, *after)
+    moved = shift.select(*keys, F.col("_at").alias("_piece"), *[f"_p{k}" for k in names])
+    found = cut.join(moved, [*keys, "_piece"]).withColumns(out).drop(*[f"_{k}" for k in names], *[f"_p{k}" for k in names])
     return found.withColumnRenamed("_piece", kept) if kept else found.drop("_piece")
 
 
@@ -137,11 +139,11 @@ def _plus(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None, kept: str | None = None) -> DataFrame:
-    """Adds running sums in ``order`` (by name, the row included; nulls add nothing) and, by ``before``, values of the row
-    before. For ``piece`` and ``kept`` see ``earlier``: no task orders a whole key."""
+def running(df: DataFrame, keys: list[str], order: list[str], piece: Column, sums: dict[str, Column], before: dict[str, Column] | None = None, kept: str | None = None, after: dict[str, Column] | None = None) -> DataFrame:
+    """Adds running sums in ``order`` (by name, the row included; nulls add nothing) and, by ``before`` and ``after``, values of
+    the rows beside. For ``piece`` and ``kept`` see ``earlier``: no task orders a whole key."""
     own = {f"_own_{k}": v for k, v in sums.items()}
-    found = earlier(df.withColumns(own), keys, order, piece, {k: F.col(f"_own_{k}") for k in sums}, before or {}, kept=kept)
+    found = earlier(df.withColumns(own), keys, order, piece, {k: F.col(f"_own_{k}") for k in sums}, before or {}, kept=kept, after=after)
     return found.withColumns({k: _plus(F.col(k), F.col(f"_own_{k}")) for k in sums}).drop(*own)
 
 

@@ -166,6 +166,21 @@ def test_peak_profiles(spark, profile):
     assert sum(r.k == "flat" for r in found) == (9 if profile == "adaptive" else 0) and {r.k for r in found} <= {"a", "flat"}
 
 
+def test_only_the_ends_of_plateaus_are_looked_up(spark, monkeypatch):
+    """Rows see the values beside them in their piece, over empty pieces too; runs of one row aren't moved to tell peaks."""
+    at = [0, 1, 2, 3, 50, 51, 52, 9000, 9001]
+    values = [1.0, 3.0, 2.0, 4.0, 4.0, 4.0, 0.5, 6.0, 5.0]
+    df = spark.createDataFrame([("a", float(t), v) for t, v in zip(at, values, strict=True)], "k string, t double, v double")
+    series = P.numbered_series(df, ["k"], "t", "v", F.floor(F.col("t") / 2))
+    got = [(r.row, r.old, r.v, r.new) for r in series.orderBy("row").collect()]
+    assert got == [(i, values[i - 1] if i else None, v, values[i + 1] if i < 8 else None) for i, v in enumerate(values)]
+    moved = []
+    made = P.neighbours
+    monkeypatch.setattr(P, "neighbours", lambda d, *a: moved.append(d.count()) or made(d, *a))
+    assert sorted((r["at"], r.v) for r in P.plateau_peaks(series, ["k"], "v", 4).collect()) == [(1, 3.0), (4, 4.0), (7, 6.0)]
+    assert moved == [2]
+
+
 def test_no_rows_have_no_peaks(spark):
     df = spark.createDataFrame([], "k string, t double, v double")
     assert P.peak_moments(df, ["k"], "t", "v").count() == 0 and P.peak_moments(df, ["k"], "t", "v", "adaptive").count() == 0
